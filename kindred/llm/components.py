@@ -1,0 +1,40 @@
+"""Connected components of a link table by alternating large and small stars, all in DataFrames."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from kindred.llm.common import Shelf
+
+
+def _large(edges: DataFrame) -> DataFrame:
+    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    return both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+
+
+def _small(edges: DataFrame) -> DataFrame:
+    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    own = least.select("u", F.col("m").alias("v"))
+    moved = edges.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return own.union(moved)
+
+
+def components(links: DataFrame, shelf: Shelf, name: str) -> DataFrame:
+    """(node, root) of every node with a link; root is the smallest node of its component.
+
+    ``links`` has the long columns a and b. Self-links, repeated links and null ends are left out.
+    """
+    edges = links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    seal, step = None, 0
+    while True:
+        edges = shelf.put(edges, f"{name}-{step}")
+        if step:
+            shelf.drop(f"{name}-{step - 1}")
+        now = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v") % 1_000_000_007), F.lit(0))).first()
+        if seal == now or not now[0]:
+            break
+        seal, step = now, step + 1
+        edges = _small(_large(edges).where(F.col("u") != F.col("v")).distinct()).distinct()
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
