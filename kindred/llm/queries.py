@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kindred.llm import contain, minhash, quality_rules
+from kindred.llm import contain, curriculum, mil, minhash, pii, quality_rules, secrets_scan
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -16,6 +17,15 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = curriculum.mix(_read(spark, sf_dir, "documents"), keep=["doc_id"])
+    return mixed.select("row.doc_id", "size", "source_size", "target", "taken", F.round(F.get("positions", F.lit(0)), 6).alias("position"))
+
+
+def op6_pii_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(_read(spark, sf_dir, "documents"))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_read(spark, sf_dir, "documents"), k=3, percent=85)
 
@@ -24,8 +34,18 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contain.search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op7_minhash_near_dedup, op8_decontamination)}
+def op9_secret_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets_scan.find(_read(spark, sf_dir, "documents"))
+
+
+def op10_quality_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return mil.score(docs, mil.train(docs, _read(spark, sf_dir, "labels")))
+
+
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op5_curriculum_mix, op6_pii_field, op7_minhash_near_dedup, op8_decontamination, op9_secret_automata, op10_quality_attention)}
 
 ORACLES = {
     "op2_quality_rules": "WITH " + quality_rules.oracle_cte() + " SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM judged",
+    "op5_curriculum_mix": curriculum.oracle(),
 }
