@@ -5,18 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import contain, curriculum, mil, minhash, pii, quality_rules, secrets_scan
+from kindred.llm import contain, curriculum, html_diff, lm_diff, mil, minhash, pii, quality_rules, secrets_scan, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = _read(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return lm_diff.score(_read(spark, sf_dir, "documents"), good)
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(_read(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op3_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_diff.extract(_read(spark, sf_dir, "pages"))
+
+
+def op4_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_read(spark, sf_dir, "pages"))
+
+
 def op5_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = curriculum.mix(_read(spark, sf_dir, "documents"), keep=["doc_id"])
     return mixed.select("row.doc_id", "size", "source_size", "target", "taken", F.round(F.get("positions", F.lit(0)), 6).alias("position"))
@@ -43,9 +56,10 @@ def op10_quality_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mil.score(docs, mil.train(docs, _read(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op5_curriculum_mix, op6_pii_field, op7_minhash_near_dedup, op8_decontamination, op9_secret_automata, op10_quality_attention)}
+QUERIES = {f.__name__: f for f in (op1_cross_entropy_difference, op2_quality_rules, op3_page_differencing, op4_warc_chunks, op5_curriculum_mix, op6_pii_field, op7_minhash_near_dedup, op8_decontamination, op9_secret_automata, op10_quality_attention)}
 
 ORACLES = {
     "op2_quality_rules": "WITH " + quality_rules.oracle_cte() + " SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM judged",
     "op5_curriculum_mix": curriculum.oracle(),
+    "op4_warc_chunks": warc.oracle(),
 }
