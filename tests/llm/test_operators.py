@@ -12,6 +12,7 @@ pytest.importorskip("kindred.llm")
 from pyspark.sql import functions as F
 
 from kindred.llm import common, contain, curriculum, html_diff, lm_diff, mil, minhash, pii, quality_rules, queries, secrets_scan, warc
+from tests_llm_support import brute_components, words
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words long, score double, key string, kept string"
@@ -53,10 +54,6 @@ def test_oracles(spark, name):
     same_as_oracle(spark, name)
 
 
-def words(text):
-    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
-
-
 def test_quality_rules_edges(spark, odd, empty):
     rows = quality_rules.judge(odd).collect()
     assert len(rows) == len(ODD)
@@ -82,30 +79,6 @@ def test_keep_good_is_judge(docs):
     assert kept == {r.doc_id for r in quality_rules.judge(docs).collect() if r.kept}
 
 
-def shingles(text, k):
-    w = words("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
-    k = min(k, len(w)) or 1
-    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
-
-
-def brute_components(rows, k, percent):
-    sets = {i: shingles(t, k) for i, t in rows}
-    parent = {i: i for i in sets}
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    ids = sorted(sets)
-    for a in ids:
-        for b in ids:
-            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
-                x, y = find(a), find(b)
-                parent[max(x, y)] = min(x, y)
-    return {i: (len(sets[i]), find(i)) for i in ids}
-
-
 @pytest.mark.parametrize("k,percent", [(3, 85), (5, 80)])
 def test_near_duplicates_brute(spark, docs, k, percent):
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
