@@ -6,9 +6,9 @@ continuation records with segment numbers, so that no task builds a whole oversi
 end with the separator of Spark's text writer. Payloads that were met before are written as revisit
 records, which have no block but carry the digest and the length.
 
-Archives are read back as files of at most ``file_rows`` records, cut into records again, and
-segmented records are sorted by identifier and segment number and run through an incremental digest,
-one chunk at a time.
+Archives are gzip files of at most ``file_rows`` records. They are read back by inflating a little at a
+time and cutting records off, and segmented records are sorted by identifier and segment number and run
+through an incremental digest, one chunk at a time.
 
 Defined cases: a null html is an empty payload; of equal payloads the record of the smallest page_id
 is the response (rows that repeat this page_id with this payload are all responses), and a null
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -88,22 +89,50 @@ def _header(record_date: str) -> Column:
 def write(chunks: DataFrame, path: str, file_rows: int = FILE_ROWS, record_date: str = "2024-01-01T00:00:00Z") -> None:
     """Archives of at most ``file_rows`` records: a file holds no more than that many chunks."""
     record = F.concat(_header(record_date).cast("binary"), F.col("data")).cast("string")
-    chunks.select(record.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", file_rows).text(path)
-
-
-def records_of(raw: bytes) -> Iterator[tuple[dict[str, str], memoryview]]:
-    """Header fields and block of each record of an archive; blocks are views, not copies."""
-    at, view = 0, memoryview(raw)
-    while at < len(raw):
-        head = raw.index(b"\r\n\r\n", at)
-        lines = raw[at:head].decode().split("\r\n")
+    chunks.select(record.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", file_rows).option("compression", "gzip").text(path)
+
+
+def inflated(raw: bytes, step: int = 1 << 18) -> Iterator[bytes]:
+    """The text of a gzip file of one or more members, or of a plain file, a piece at a time."""
+    if raw[:2] != b"\x1f\x8b":
+        for i in range(0, len(raw), step):
+            yield raw[i : i + step]
+        return
+    while raw:
+        member, at = zlib.decompressobj(31), 0
+        while not member.eof and (at < len(raw) or member.unconsumed_tail):
+            piece = member.unconsumed_tail or raw[at : at + step]
+            at += 0 if member.unconsumed_tail else step
+            yield member.decompress(piece, step)
+        raw = member.unused_data + raw[at:]
+
+
+def records_of(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Header fields and block of each record; holds one record and one piece at a time."""
+    buffer = bytearray()
+
+    def fill(size: int) -> bool:
+        while len(buffer) < size:
+            piece = next(pieces, None)
+            if piece is None:
+                return False
+            buffer.extend(piece)
+        return True
+
+    while fill(1):
+        head = buffer.find(b"\r\n\r\n")
+        while head < 0 and fill(len(buffer) + 1):
+            head = buffer.find(b"\r\n\r\n")
+        lines = bytes(buffer[: max(head, 0)]).decode().split("\r\n")
         if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no record at byte {at}")
+            raise ValueError("no record where one should begin")
         fields = dict(x.split(": ", 1) for x in lines[1:])
-        start = head + 4
-        end = start + int(fields["Content-Length"])
-        yield fields, view[start:end]
-        at = end + 4
+        start, size = head + 4, int(fields["Content-Length"])
+        if not fill(start + size + 4):
+            raise ValueError(f"{fields['WARC-Record-ID']} is cut off")
+        block = bytes(buffer[start : start + size])
+        del buffer[: start + size + 4]
+        yield fields, block
 
 
 def _origin(fields: dict[str, str]) -> str:
@@ -124,13 +153,13 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for raw in batch.column(0):
                 rows = []
-                for fields, block in records_of(raw.as_py()):
+                for fields, block in records_of(inflated(raw.as_py())):
                     number = int(fields.get("WARC-Segment-Number", 0))
                     refers = fields.get("WARC-Refers-To")
                     length = int(fields["X-Payload-Length"]) if refers else len(block)
                     declared = fields.get("WARC-Payload-Digest", "").removeprefix("sha1:")
                     digest = None if number else declared if refers else base64.b32encode(hashlib.sha1(block).digest()).decode()
-                    rows.append((_origin(fields), number, declared or None, fields["WARC-Type"], _page(refers) if refers else None, length, digest, bytes(block) if number else None))
+                    rows.append((_origin(fields), number, declared or None, fields["WARC-Type"], _page(refers) if refers else None, length, digest, block if number else None))
                     if len(rows) >= 256:
                         yield _chunk_batch(rows)
                         rows = []
