@@ -1,11 +1,574 @@
-"""Queries of the clustering operators with their oracle SQL."""
+"""Queries of the clustering operators, each with the SQL that gives the same rows where SQL can."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from kindred.functions.expr import lit_array, signif
+from kindred.functions.preprocess import fit_encoder, fit_scaler
+from kindred.operators import api, consensus, embed, explain, metrics
+from kindred.operators.distance import eps_pairs, euclidean_pairs, mixed_distance, vectors
+from kindred.operators.graph import connected
+from kindred.operators.methods import center_distances, estimate_lambda, fit_dbscan, lloyd, mixed_distances, nearest, prototype_step
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(ORACLES)
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def r6(c, name: str):
+    return F.round(c, 6).alias(name)
+
+
+# -- preprocessing --------------------------------------------------------------------------------
+
+PART = ["p_size", "p_retailprice"]
+
+
+def part_z(spark, sf, keep=("p_partkey",)) -> DataFrame:
+    part = table(spark, sf, "part")
+    return fit_scaler(part, PART, True, True).apply(part, list(keep))
+
+
+PART_Z = """z AS (SELECT p_partkey, p_type, p_brand, (p_size - avg(p_size) OVER ()) / stddev_samp(p_size) OVER () AS a,
+ (p_retailprice - avg(p_retailprice) OVER ()) / stddev_samp(p_retailprice) OVER () AS b FROM part)"""
+
+
+@query(f"WITH {PART_Z} SELECT p_partkey, round(a, 6) AS z_size, round(b, 6) AS z_price FROM z")
+def zscore_part(spark, sf):
+    return part_z(spark, sf).select("p_partkey", r6(F.col("p_size"), "z_size"), r6(F.col("p_retailprice"), "z_price"))
+
+
+GAPPED = "g AS (SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_acctbal END AS bal, CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE c_mktsegment END AS seg FROM customer)"
+
+
+def gapped(spark, sf) -> DataFrame:
+    c = table(spark, sf, "customer")
+    return c.select("c_custkey", F.when(F.col("c_custkey") % 7 != 0, F.col("c_acctbal")).alias("bal"), F.when(F.col("c_custkey") % 11 != 0, F.col("c_mktsegment")).alias("seg"))
+
+
+@query(f"WITH {GAPPED} SELECT c_custkey, round(coalesce(bal, (SELECT median(bal) FROM g)), 4) AS bal, coalesce(seg, 'missing') AS seg FROM g")
+def impute_median(spark, sf):
+    df = gapped(spark, sf)
+    e = fit_encoder(df, "c_custkey", ["bal", "seg"], False, False)
+    return df.select("c_custkey", F.round(F.coalesce("bal", F.lit(e.medians["bal"])), 4).alias("bal"), F.coalesce("seg", F.lit("missing")).alias("seg"))
+
+
+LEVELS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY", "missing")
+
+
+@query(f"WITH {GAPPED} SELECT c_custkey, " + ", ".join(f"CASE WHEN coalesce(seg, 'missing') = '{v}' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS seg_{v}" for v in LEVELS) + " FROM g")
+def onehot_segment(spark, sf):
+    return fit_encoder(gapped(spark, sf), "c_custkey", ["seg"], False, False).apply(gapped(spark, sf), "c_custkey")
+
+
+@query(
+    f"WITH {GAPPED}, e AS (SELECT c_custkey, coalesce(bal, (SELECT median(bal) FROM g)) AS bal, "
+    + ", ".join(f"CASE WHEN coalesce(seg, 'missing') = '{v}' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS s{i}" for i, v in enumerate(LEVELS))
+    + " FROM g) SELECT c_custkey, round((bal - avg(bal) OVER ()) / stddev_samp(bal) OVER (), 6) AS bal, "
+    + ", ".join(f"round((s{i} - avg(s{i}) OVER ()) / stddev_samp(s{i}) OVER (), 6) AS seg_{v}" for i, v in enumerate(LEVELS))
+    + " FROM e"
+)
+def mixed_encode(spark, sf):
+    df = gapped(spark, sf)
+    out = fit_encoder(df, "c_custkey", ["bal", "seg"]).apply(df, "c_custkey")
+    return out.select("c_custkey", *(F.round(c, 6).alias(c) for c in out.columns[1:]))
+
+
+@query(
+    """WITH s AS (SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS v FROM lineitem)
+    SELECT l_orderkey, l_linenumber, round(v * pow(10.0::DOUBLE, 3.0::DOUBLE - floor(log10(abs(v))))) / pow(10.0::DOUBLE, 3.0::DOUBLE - floor(log10(abs(v)))) AS v4 FROM s WHERE v <> 0"""
+)
+def signif4(spark, sf):
+    df = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("v"))
+    return df.where("v <> 0").select("l_orderkey", "l_linenumber", signif(F.col("v")).alias("v4"))
+
+
+# -- distances ------------------------------------------------------------------------------------
+
+@query(
+    f"""WITH s AS (SELECT s_suppkey, CAST(s_nationkey AS VARCHAR) AS n, s_acctbal AS b FROM supplier), r AS (SELECT max(b) - min(b) AS w FROM s)
+    SELECT x.s_suppkey AS i, y.s_suppkey AS j, round((abs(x.b - y.b) / w + CASE WHEN x.n <> y.n THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) / 2, 6) AS d FROM s x JOIN s y ON x.s_suppkey < y.s_suppkey, r"""
+)
+def gower_pairs(spark, sf):
+    s = table(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").cast("string").alias("n"), F.col("s_acctbal").alias("b"))
+    return mixed_distance(s, "s_suppkey", ["n", "b"]).select("i", "j", r6(F.col("d"), "d"))
+
+
+@query("SELECT x.s_suppkey AS i, y.s_suppkey AS j, round(sqrt((x.s_nationkey - y.s_nationkey) ** 2 + (x.s_acctbal / 1000 - y.s_acctbal / 1000) ** 2), 6) AS d FROM supplier x JOIN supplier y ON x.s_suppkey < y.s_suppkey")
+def euclid_pairs(spark, sf):
+    s = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey", (F.col("s_acctbal") / 1000).alias("b"))
+    return euclidean_pairs(vectors(s, "s_suppkey", ["s_nationkey", "b"])).select("i", "j", r6(F.col("d"), "d"))
+
+
+EPS = 0.05
+
+
+@query(f"WITH {PART_Z} SELECT x.p_partkey AS row_id, CAST(count(*) AS BIGINT) AS n FROM z x JOIN z y ON x.a BETWEEN y.a - {EPS} AND y.a + {EPS} AND sqrt((x.a - y.a) ** 2 + (x.b - y.b) ** 2) <= {EPS} GROUP BY 1")
+def eps_neighbors(spark, sf):
+    x = vectors(part_z(spark, sf), "p_partkey", PART)
+    return eps_pairs(x, x, EPS).groupBy(F.col("i").alias("row_id")).agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""WITH RECURSIVE {PART_Z}, e AS (SELECT x.p_partkey AS i, y.p_partkey AS j FROM z x JOIN z y ON x.a BETWEEN y.a - {EPS} AND y.a + {EPS} AND sqrt((x.a - y.a) ** 2 + (x.b - y.b) ** 2) <= {EPS}),
+    c AS (SELECT i FROM e GROUP BY i HAVING count(*) >= 4), l AS (SELECT e.i, e.j FROM e JOIN c p ON e.i = p.i JOIN c q ON e.j = q.i),
+    w(i, r) AS (SELECT i, i FROM c UNION SELECT l.j, w.r FROM w JOIN l ON w.i = l.i WHERE w.r < l.j), m AS (SELECT i, min(r) AS root FROM w GROUP BY i),
+    b AS (SELECT e.i, coalesce(max(o.root), min(m.root)) AS root FROM e JOIN m ON e.j = m.i LEFT JOIN m o ON e.i = o.i GROUP BY e.i),
+    f AS (SELECT root, row_number() OVER (ORDER BY min(i)) AS id FROM b GROUP BY root)
+    SELECT z.p_partkey AS row_id, CAST(coalesce(f.id, 0) AS INTEGER) AS cluster FROM z LEFT JOIN b ON z.p_partkey = b.i LEFT JOIN f ON b.root = f.root"""
+)
+def dbscan_part(spark, sf):
+    x = vectors(part_z(spark, sf), "p_partkey", PART)
+    info = api.DataInfo(0, "p_partkey", tuple(PART), "matrix", None, None)
+    return fit_dbscan(x, info, EPS, 4).clusters
+
+
+@query("SELECT c.c_custkey AS row_id, min(d.c_custkey) AS root FROM customer c JOIN customer d ON c.c_nationkey = d.c_nationkey AND c.c_mktsegment = d.c_mktsegment GROUP BY 1")
+def components_customer(spark, sf):
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("row_id"), "c_nationkey", "c_mktsegment")
+    before = F.lag("row_id").over(Window.partitionBy("c_nationkey", "c_mktsegment").orderBy("row_id"))
+    links = c.select(F.col("row_id").alias("i"), before.alias("j")).where("j is not null")
+    return connected(c.select("row_id"), links)
+
+
+# -- assignment and k-means -----------------------------------------------------------------------
+
+CENTERS = [[-1.0, -1.0], [0.0, 0.5], [1.2, 0.8]]
+SQL_D = [f"(a - {p}) ** 2 + (b - {q}) ** 2" for p, q in (("(-1.0::DOUBLE)", "(-1.0::DOUBLE)"), ("0.0::DOUBLE", "0.5::DOUBLE"), ("1.2::DOUBLE", "0.8::DOUBLE"))]
+NEAR = f"d AS (SELECT *, {SQL_D[0]} AS d1, {SQL_D[1]} AS d2, {SQL_D[2]} AS d3 FROM z), n AS (SELECT *, CASE WHEN d1 <= d2 AND d1 <= d3 THEN 1 WHEN d2 <= d3 THEN 2 ELSE 3 END AS cluster FROM d)"
+
+
+def assigned_part(spark, sf, keep=("p_partkey",)):
+    z = part_z(spark, sf, keep)
+    x = F.array(*(F.col(f) for f in PART))
+    return z.withColumn("x", x).withColumn("cluster", nearest(F.col("x"), CENTERS))
+
+
+@query(f"WITH {PART_Z}, {NEAR} SELECT p_partkey, cluster FROM n")
+def assign_fixed_centers(spark, sf):
+    return assigned_part(spark, sf).select("p_partkey", "cluster")
+
+
+@query(
+    f"""WITH {PART_Z}, {NEAR} SELECT cluster, CAST(count(*) AS BIGINT) AS size, round(avg(a), 6) AS mean_size, round(avg(b), 6) AS mean_price, round(stddev_samp(a), 6) AS sd_size, round(stddev_samp(b), 6) AS sd_price,
+    round(sum((a - ma) ** 2 + (b - mb) ** 2) / count(*), 6) AS within FROM (SELECT *, avg(a) OVER (PARTITION BY cluster) AS ma, avg(b) OVER (PARTITION BY cluster) AS mb FROM n) GROUP BY cluster"""
+)
+def part_profile(spark, sf):
+    """The flagship: standardise, assign to literal centers, and profile the clusters in one aggregate."""
+    placed = assigned_part(spark, sf)
+    a, b = (F.col(f) for f in PART)
+    return placed.groupBy("cluster").agg(
+        F.count("*").alias("size"), r6(F.avg(a), "mean_size"), r6(F.avg(b), "mean_price"), r6(F.stddev_samp(a), "sd_size"), r6(F.stddev_samp(b), "sd_price"), r6(F.var_pop(a) + F.var_pop(b), "within"),
+    )
+
+
+@query(
+    f"""WITH {PART_Z}, {NEAR}, s AS (SELECT median(v) AS s FROM (SELECT unnest([sqrt(d1), sqrt(d2), sqrt(d3)]) AS v FROM n)),
+    e AS (SELECT p_partkey, cluster, exp(-d1 / (2 * s * s)) AS e1, exp(-d2 / (2 * s * s)) AS e2, exp(-d3 / (2 * s * s)) AS e3 FROM n, s)
+    SELECT p_partkey, cluster, round(e1 / (e1 + e2 + e3), 6) AS s1, round(e2 / (e1 + e2 + e3), 6) AS s2, round(e3 / (e1 + e2 + e3), 6) AS s3 FROM e"""
+)
+def scores_radial(spark, sf):
+    z = part_z(spark, sf)
+    cols = {f: F.col(f) for f in PART}
+    placed = z.withColumn("d", center_distances(CENTERS)(cols)).withColumn("cluster", F.array_position("d", F.array_min("d")).cast("int"))
+    sigma = placed.select(F.explode("d").alias("v")).agg(F.median("v").alias("s"))
+    scored = placed.join(F.broadcast(sigma)).withColumn("p", explain.radial(F.col("d"), F.col("s")))
+    return scored.select("p_partkey", "cluster", *(r6(F.get("p", F.lit(i)), f"s{i + 1}") for i in range(3)))
+
+
+def _lloyd_sql(rounds: int) -> str:
+    steps = ["c0 AS (SELECT 1 AS g, -1.0::DOUBLE AS p, -1.0::DOUBLE AS q UNION ALL SELECT 2, 0.0, 0.5 UNION ALL SELECT 3, 1.2, 0.8)"]
+    for i in range(rounds):
+        steps.append(f"a{i} AS (SELECT p_partkey, any_value(a) AS a, any_value(b) AS b, min_by(g, ((a - p) ** 2 + (b - q) ** 2, g)) AS g FROM z, c{i} GROUP BY p_partkey)")
+        steps.append(f"c{i + 1} AS (SELECT g, avg(a) AS p, avg(b) AS q FROM a{i} GROUP BY g)")
+    return f"WITH {PART_Z}, " + ", ".join(steps) + f" SELECT CAST(g AS INTEGER) AS cluster, round(p, 6) AS m_size, round(q, 6) AS m_price FROM c{rounds}"
+
+
+def _lloyd(spark, sf, rounds):
+    x = vectors(part_z(spark, sf), "p_partkey", PART)
+    centers = lloyd(x, CENTERS, rounds)
+    return spark.createDataFrame([(g, round(p, 6), round(q, 6)) for g, (p, q) in enumerate(centers, 1)], "cluster int, m_size double, m_price double")
+
+
+@query(_lloyd_sql(1))
+def lloyd_step(spark, sf):
+    return _lloyd(spark, sf, 1)
+
+
+@query(_lloyd_sql(4))
+def lloyd_rounds(spark, sf):
+    return _lloyd(spark, sf, 4)
+
+
+# -- mixed prototypes -----------------------------------------------------------------------------
+
+PROTOS = [{"bal": 0.0, "seg": "BUILDING"}, {"bal": 5000.0, "seg": "MACHINERY"}, {"bal": 9000.0, "seg": None}]
+TYPES = {"bal": "numeric", "seg": "categorical"}
+LAM = 4.0e6
+
+
+def _kmm_sql(p: dict) -> str:
+    cat = f"CASE WHEN seg <> '{p['seg']}' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END" if p["seg"] else "NULL::DOUBLE"
+    num, lam = f"pow(bal - {p['bal']}::DOUBLE, 2)", f"{LAM}::DOUBLE"
+    seen = f"(CASE WHEN bal IS NULL THEN 0 ELSE 1 END + CASE WHEN seg IS NULL{'' if p['seg'] else ' OR TRUE'} THEN 0 ELSE {lam} END)"
+    return f"CASE WHEN {seen} > 0 THEN (coalesce({num}, 0) + coalesce(CASE WHEN seg IS NULL THEN NULL ELSE {lam} * {cat} END, 0)) * (1 + {lam}) / {seen} ELSE 'inf'::DOUBLE END"
+
+
+@query(f"WITH {GAPPED} SELECT c_custkey, " + ", ".join(f"CASE WHEN isinf({_kmm_sql(p)}) THEN -1.0::DOUBLE ELSE round({_kmm_sql(p)} / 1e8::DOUBLE, 6) END AS d{i}" for i, p in enumerate(PROTOS)) + " FROM g")
+def kmm_distance_pairwise(spark, sf):
+    d = mixed_distances(PROTOS, TYPES, LAM)({f: F.col(f) for f in TYPES})
+    far = lambda i: F.get(d, F.lit(i))
+    return gapped(spark, sf).select("c_custkey", *(F.when(far(i) == float("inf"), -1.0).otherwise(F.round(far(i) / 1e8, 6)).alias(f"d{i}") for i in range(3)))
+
+
+@query(
+    f"""WITH {GAPPED}, z AS (SELECT (bal - avg(bal) OVER ()) / stddev_samp(bal) OVER () AS b, seg FROM g), f AS (SELECT count(*)::DOUBLE AS n FROM z WHERE seg IS NOT NULL GROUP BY seg)
+    SELECT round((SELECT var_samp(b) FROM z) / (1 - (SELECT sum(n * n) FROM f) / (SELECT sum(n) * sum(n) FROM f)), 6) AS lambda"""
+)
+def lambda_auto(spark, sf):
+    df = gapped(spark, sf)
+    s = fit_scaler(df, ["bal"], True, True)
+    lam = estimate_lambda(df.select(s.column("bal").alias("bal"), "seg"), TYPES)
+    return spark.createDataFrame([(round(lam, 6),)], "lambda double")
+
+
+@query(
+    f"""WITH {GAPPED}, d AS (SELECT *, {_kmm_sql(PROTOS[0])} AS d1, {_kmm_sql(PROTOS[1])} AS d2 FROM g WHERE bal IS NOT NULL OR seg IS NOT NULL),
+    a AS (SELECT *, CASE WHEN d1 <= d2 THEN 1 ELSE 2 END AS g FROM d), m AS (SELECT g, seg, row_number() OVER (PARTITION BY g ORDER BY count(*) DESC, seg) AS r FROM a WHERE seg IS NOT NULL GROUP BY g, seg)
+    SELECT CAST(a.g AS INTEGER) AS cluster, round(avg(bal) / 1000, 6) AS bal, any_value(m.seg) AS seg FROM a JOIN m ON a.g = m.g AND m.r = 1 GROUP BY a.g"""
+)
+def prototypes_step(spark, sf):
+    rows = gapped(spark, sf).where("bal is not null or seg is not null").withColumnRenamed("c_custkey", "row_id")
+    new, _, _ = prototype_step(rows, TYPES, PROTOS[:2], LAM)
+    return spark.createDataFrame([(g, round(p["bal"] / 1000, 6), p["seg"]) for g, p in enumerate(new, 1)], "cluster int, bal double, seg string")
+
+
+# -- metrics --------------------------------------------------------------------------------------
+
+LINE = ["l_quantity", "l_discount", "l_tax"]
+
+
+def line(spark, sf) -> DataFrame:
+    li = table(spark, sf, "lineitem")
+    return li.select(F.col("l_orderkey").alias("row_id"), F.col("l_returnflag").alias("cluster"), *LINE, F.array(*(F.col(c) for c in LINE)).alias("x"))
+
+
+def _tall(cols=LINE) -> str:
+    return "t AS (" + " UNION ALL ".join(f"SELECT l_returnflag AS cluster, '{c}' AS feature, {c}::DOUBLE AS v FROM lineitem" for c in cols) + ")"
+
+
+@query(f"WITH {_tall()} SELECT cluster, feature, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS sd, round(median(v), 6) AS median, min(v) AS min, max(v) AS max FROM t GROUP BY 1, 2")
+def feature_summary(spark, sf):
+    s = metrics.feature_summary(line(spark, sf), LINE)
+    return s.select("cluster", "feature", r6(F.col("mean"), "mean"), r6(F.col("sd"), "sd"), r6(F.col("median"), "median"), "min", "max")
+
+
+@query(f"WITH {_tall()}, g AS (SELECT cluster, feature, count(*) AS n, avg(v) AS m FROM t GROUP BY 1, 2), a AS (SELECT feature, avg(v) AS m, count(*) AS n, var_samp(v) AS s FROM t GROUP BY 1) SELECT g.feature, round(1e4::DOUBLE * sum(g.n * (g.m - a.m) ** 2) / any_value((a.n - 1) * a.s), 6) AS separation FROM g JOIN a USING (feature) GROUP BY 1")
+def separation_eta2(spark, sf):
+    return metrics.separation(line(spark, sf), LINE).select("feature", F.round(F.col("separation") * 1e4, 6).alias("separation"))
+
+
+@query("SELECT l_returnflag AS cluster, CAST(count(*) AS BIGINT) AS size FROM lineitem GROUP BY 1")
+def cluster_sizes(spark, sf):
+    return metrics.sizes(line(spark, sf))
+
+
+@query("SELECT l_returnflag AS cluster, CAST(count(*) AS BIGINT) AS n, " + ", ".join(f"round(avg({c}), 6) AS c{i}" for i, c in enumerate(LINE)) + " FROM lineitem GROUP BY 1")
+def centroids(spark, sf):
+    return metrics.centroids(line(spark, sf)).select("cluster", "n", *(r6(F.get("center", F.lit(i)), f"c{i}") for i in range(3)))
+
+
+@query(f"WITH {_tall()}, g AS (SELECT count(*) * var_pop(v) AS w FROM t GROUP BY cluster, feature) SELECT round(sum(w) / (SELECT count(*) FROM lineitem), 6) AS within_per_row FROM g")
+def total_within(spark, sf):
+    n = line(spark, sf).agg(F.count("*").alias("n"))
+    return metrics.total_within(line(spark, sf)).join(n).select(r6(F.col("total_within") / F.col("n"), "within_per_row"))
+
+
+EMB = "e AS (SELECT vec_id AS row_id, label AS cluster, unnest(range(64)) AS f, unnest(embedding)::DOUBLE AS v FROM embeddings)"
+
+
+def emb(spark, sf) -> DataFrame:
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("label").alias("cluster"), F.col("embedding").cast("array<double>").alias("x"))
+
+
+@query(
+    f"WITH {EMB}, g AS (SELECT cluster, f, count(*) AS n, avg(v) AS m, var_pop(v) AS s FROM e GROUP BY 1, 2), a AS (SELECT f, avg(v) AS m FROM e GROUP BY 1), b AS (SELECT sum(g.n * (g.m - a.m) ** 2) AS b, sum(g.n * s) AS w, count(DISTINCT cluster) AS k FROM g JOIN a USING (f)) SELECT round((b / (k - 1)) / (w / ((SELECT count(*) FROM embeddings) - k)), 6) AS calinski_harabasz FROM b"
+)
+def calinski_harabasz(spark, sf):
+    return metrics.calinski_harabasz(emb(spark, sf)).select(r6(F.col("calinski_harabasz"), "calinski_harabasz"))
+
+
+@query(
+    f"""WITH {EMB}, c AS (SELECT cluster, f, avg(v) AS m FROM e GROUP BY 1, 2), r AS (SELECT row_id, cluster, sqrt(sum((v - m) ** 2)) AS d FROM e JOIN c USING (cluster, f) GROUP BY 1, 2), s AS (SELECT cluster, avg(d) AS s FROM r GROUP BY 1),
+    p AS (SELECT x.cluster AS i, y.cluster AS j, sqrt(sum((x.m - y.m) ** 2)) AS d FROM c x JOIN c y ON x.f = y.f AND x.cluster <> y.cluster GROUP BY 1, 2) SELECT round(avg(q), 6) AS davies_bouldin FROM (SELECT i, max((a.s + b.s) / d) AS q FROM p JOIN s a ON a.cluster = i JOIN s b ON b.cluster = j GROUP BY i)"""
+)
+def davies_bouldin(spark, sf):
+    return metrics.davies_bouldin(emb(spark, sf)).select(r6(F.col("davies_bouldin"), "davies_bouldin"))
+
+
+SIL = """e AS (SELECT vec_id AS i, label AS g, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings),
+ p AS (SELECT a.i, a.g, b.g AS h, avg(sqrt(list_sum(list_transform(list_zip(a.x, b.x), lambda z: (z[1] - z[2]) ** 2)))) AS d FROM e a JOIN e b ON a.i <> b.i GROUP BY 1, 2, 3),
+ w AS (SELECT i, g, min(CASE WHEN h = g THEN d END) AS a, min(CASE WHEN h <> g THEN d END) AS b FROM p GROUP BY 1, 2), s AS (SELECT i, g, CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END AS s FROM w)"""
+
+
+@query(f"WITH {SIL} SELECT round(avg(s), 6) AS silhouette FROM s")
+def silhouette(spark, sf):
+    return metrics.silhouette(emb(spark, sf)).select(r6(F.col("silhouette"), "silhouette"))
+
+
+@query(f"WITH {SIL} SELECT g AS cluster, round(avg(s), 6) AS silhouette FROM s GROUP BY 1")
+def silhouette_per_cluster(spark, sf):
+    return metrics.silhouette_per_cluster(emb(spark, sf)).select("cluster", r6(F.col("silhouette"), "silhouette"))
+
+
+def pairs(spark, sf) -> DataFrame:
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("row_id"), F.col("p_type").alias("a"), F.col("p_brand").alias("b"))
+
+
+CELLS = "c AS (SELECT p_type AS a, p_brand AS b, count(*)::DOUBLE AS n FROM part GROUP BY 1, 2), x AS (SELECT sum(n) AS n FROM c GROUP BY a), y AS (SELECT sum(n) AS n FROM c GROUP BY b), t AS (SELECT sum(n) AS n FROM c)"
+
+
+@query("SELECT p_type AS a, p_brand AS b, CAST(count(*) AS BIGINT) AS n FROM part GROUP BY 1, 2")
+def contingency(spark, sf):
+    return metrics.contingency(pairs(spark, sf))
+
+
+@query(f"WITH {CELLS}, q AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM c) AS i, (SELECT sum(n * (n - 1) / 2) FROM x) AS p, (SELECT sum(n * (n - 1) / 2) FROM y) AS r, n * (n - 1) / 2 AS m FROM t) SELECT round((i - p * r / m) / ((p + r) / 2 - p * r / m), 6) AS ari FROM q")
+def ari(spark, sf):
+    return metrics.adjusted_rand_index(pairs(spark, sf)).select(r6(F.col("ari"), "ari"))
+
+
+@query(f"WITH {CELLS}, h AS (SELECT (SELECT -sum(x.n / t.n * ln(x.n / t.n)) FROM x, t) AS p, (SELECT -sum(y.n / t.n * ln(y.n / t.n)) FROM y, t) AS q, (SELECT -sum(c.n / t.n * ln(c.n / t.n)) FROM c, t) AS r) SELECT round((p + q - r) / sqrt(p * q), 6) AS nmi FROM h")
+def nmi(spark, sf):
+    return metrics.normalized_mutual_information(pairs(spark, sf)).select(r6(F.col("nmi"), "nmi"))
+
+
+@query(f"WITH {CELLS} SELECT round((n * n - (SELECT sum(n * n) FROM x) - (SELECT sum(n * n) FROM y) + 2 * (SELECT sum(n * n) FROM c)) / (n * n), 6) AS ppa FROM t")
+def ppa(spark, sf):
+    return metrics.partition_agreement(pairs(spark, sf)).select(r6(F.col("ppa"), "ppa"))
+
+
+# -- consensus ------------------------------------------------------------------------------------
+
+LABELS = "l AS (SELECT 1 AS c, c_custkey AS r, c_nationkey % 4 AS g FROM customer UNION ALL SELECT 2, c_custkey, CAST(floor((c_acctbal + 1000) / 3000) AS INTEGER) + 1 FROM customer UNION ALL SELECT 3, c_custkey, CAST(length(c_mktsegment) AS INTEGER) FROM customer)"
+
+
+def candidate_labels(spark, sf) -> DataFrame:
+    c = table(spark, sf, "customer")
+    rule = [F.col("c_nationkey") % 4, F.floor((F.col("c_acctbal") + 1000) / 3000).cast("int") + 1, F.length("c_mktsegment")]
+    out = None
+    for i, r in enumerate(rule, 1):
+        part = c.select(F.lit(i).alias("candidate"), F.col("c_custkey").alias("row_id"), r.cast("int").alias("cluster"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(
+    """WITH l AS (SELECT 1 AS c, s_suppkey AS r, s_nationkey % 4 AS g FROM supplier UNION ALL SELECT 2, s_suppkey, CAST(floor((s_acctbal + 1000) / 3000) AS INTEGER) + 1 FROM supplier)
+    SELECT a.r AS i, b.r AS j, round(count(*) / 2.0::DOUBLE, 6) AS agreement FROM l a JOIN l b ON a.c = b.c AND a.g = b.g AND a.r < b.r WHERE a.g <> 0 GROUP BY 1, 2"""
+)
+def coassoc(spark, sf):
+    s = table(spark, sf, "supplier")
+    rule = [F.col("s_nationkey") % 4, F.floor((F.col("s_acctbal") + 1000) / 3000).cast("int") + 1]
+    parts = [s.select(F.lit(i).alias("candidate"), F.col("s_suppkey").alias("row_id"), r.cast("int").alias("cluster")) for i, r in enumerate(rule, 1)]
+    return consensus.coassociation(parts[0].unionByName(parts[1])).select("i", "j", r6(F.col("agreement"), "agreement"))
+
+
+@query(f"WITH {LABELS}, s AS (SELECT r, list(g ORDER BY c) AS s FROM l GROUP BY r) SELECT array_to_string(s, '-') AS signature, CAST(count(*) AS BIGINT) AS weight, min(r) AS first FROM s GROUP BY s, CASE WHEN list_contains(s, 0) THEN r END")
+def consensus_signatures(spark, sf):
+    s = consensus.signatures(candidate_labels(spark, sf))
+    return s.select(F.array_join(F.col("signature").cast("array<string>"), "-").alias("signature"), "weight", "first")
+
+
+@query(
+    f"""WITH {LABELS}, p AS (SELECT a.c AS c1, b.c AS c2, a.g AS u, b.g AS v, count(*)::DOUBLE AS n FROM l a JOIN l b ON a.r = b.r AND a.c < b.c GROUP BY 1, 2, 3, 4),
+    q AS (SELECT c1, c2, sum(n * n) AS s, sum(n) AS t FROM p GROUP BY 1, 2), x AS (SELECT c1, c2, sum(n * n) AS s FROM (SELECT c1, c2, u, sum(n) AS n FROM p GROUP BY 1, 2, 3) GROUP BY 1, 2), y AS (SELECT c1, c2, sum(n * n) AS s FROM (SELECT c1, c2, v, sum(n) AS n FROM p GROUP BY 1, 2, 3) GROUP BY 1, 2)
+    SELECT round(avg(z), 6) AS mean_ppa, round(min(z), 6) AS min_ppa, round(max(z), 6) AS max_ppa FROM (SELECT (t * t - x.s - y.s + 2 * q.s) / (t * t) AS z FROM q JOIN x USING (c1, c2) JOIN y USING (c1, c2))"""
+)
+def ensemble_stability(spark, sf):
+    s = metrics.ensemble_stability(candidate_labels(spark, sf))
+    return s.select(*(r6(F.col(c), c) for c in s.columns))
+
+
+# -- explanations ---------------------------------------------------------------------------------
+
+
+@query(
+    f"""WITH {PART_Z}, {NEAR}, t AS (SELECT p_partkey, b, cluster, row_number() OVER (ORDER BY p_partkey) AS k FROM n), v AS (SELECT a, row_number() OVER (ORDER BY md5(concat(p_partkey, ':p_size:1:7')), p_partkey) AS k FROM n),
+    m AS (SELECT t.p_partkey, v.a, t.b, t.cluster FROM t JOIN v USING (k)), d2 AS (SELECT *, {SQL_D[0]} AS d1, {SQL_D[1]} AS d2, {SQL_D[2]} AS d3 FROM m)
+    SELECT round(avg(CASE WHEN cluster <> CASE WHEN d1 <= d2 AND d1 <= d3 THEN 1 WHEN d2 <= d3 THEN 2 ELSE 3 END THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS instability FROM d2"""
+)
+def importance_md5(spark, sf):
+    base = assigned_part(spark, sf)
+    moved = explain.permuted(base, "p_partkey", "p_size", 1, 7)
+    again = base.select("p_partkey", "p_retailprice", "cluster").join(moved.withColumnRenamed("row_id", "p_partkey"), "p_partkey")
+    now = nearest(F.array("value", "p_retailprice"), CENTERS)
+    return again.agg(r6(F.avg((now != F.col("cluster")).cast("double")), "instability"))
+
+
+@query(
+    """WITH o AS (SELECT p_retailprice AS v, row_number() OVER (ORDER BY p_retailprice) AS k, count(*) OVER () AS n FROM part), g AS (SELECT unnest(range(6)) AS i), h AS (SELECT i, ((SELECT count(*) FROM part) + 1.0::DOUBLE / 3) * (i / 5.0::DOUBLE) + 1.0::DOUBLE / 3 AS h, (SELECT count(*) FROM part) AS n FROM g),
+    q AS (SELECT i, h, n, CASE WHEN h < 1 THEN 1 WHEN h >= n THEN n ELSE floor(h) END AS lo, CASE WHEN h < 1 THEN 1 WHEN h >= n THEN n ELSE floor(h) + 1 END AS hi FROM h)
+    SELECT CAST(i AS INTEGER) AS i, round(a.v + (CASE WHEN lo = hi THEN 0 ELSE h - floor(h) END) * (b.v - a.v), 6) AS value FROM q JOIN o a ON a.k = lo JOIN o b ON b.k = hi"""
+)
+def cp_grid_quantile8(spark, sf):
+    values = explain.grid_values(table(spark, sf, "part"), "p_retailprice", True, None, 6)
+    return spark.createDataFrame([(i, round(v, 6)) for i, v in enumerate(values)], "i int, value double")
+
+
+GRID = [-1.5, -0.5, 0.5, 1.5]
+CP = f"""WITH {PART_Z}, t AS (SELECT p_partkey, v AS a, b FROM z, (SELECT unnest([-1.5::DOUBLE, -0.5, 0.5, 1.5]) AS v)),
+ d AS (SELECT *, {SQL_D[0]} AS d1, {SQL_D[1]} AS d2, {SQL_D[2]} AS d3 FROM t), n AS (SELECT *, CASE WHEN d1 <= d2 AND d1 <= d3 THEN 1 WHEN d2 <= d3 THEN 2 ELSE 3 END AS cluster FROM d)"""
+
+
+def _cp_tasks(spark, sf):
+    z = part_z(spark, sf)
+    tasks = z.withColumn("v", F.explode(lit_array(GRID)))
+    d = center_distances(CENTERS)({"v": F.col("v"), "p_retailprice": F.col("p_retailprice")})
+    return tasks.withColumn("d", d).withColumn("cluster", F.array_position("d", F.array_min("d")).cast("int"))
+
+
+@query(CP + " SELECT p_partkey AS observation, a AS feature_value, cluster FROM n")
+def cp_profile_cluster(spark, sf):
+    return _cp_tasks(spark, sf).select(F.col("p_partkey").alias("observation"), F.col("v").alias("feature_value"), "cluster")
+
+
+@query(
+    CP
+    + """, s AS (SELECT p_partkey, median(v) AS s FROM (SELECT p_partkey, unnest([sqrt(d1), sqrt(d2), sqrt(d3)]) AS v FROM n) GROUP BY 1), e AS (SELECT n.*, exp(-d1 / (2 * s * s)) AS e1, exp(-d2 / (2 * s * s)) AS e2, exp(-d3 / (2 * s * s)) AS e3 FROM n JOIN s USING (p_partkey))
+    SELECT p_partkey AS observation, a AS feature_value, round(e1 / (e1 + e2 + e3), 6) AS value FROM e"""
+)
+def cp_profile_score(spark, sf):
+    tasks = _cp_tasks(spark, sf)
+    sigma = tasks.select("p_partkey", F.explode("d").alias("x")).groupBy("p_partkey").agg(F.median("x").alias("s"))
+    p = explain.radial(F.col("d"), F.col("s"))
+    return tasks.join(sigma, "p_partkey").select(F.col("p_partkey").alias("observation"), F.col("v").alias("feature_value"), r6(F.get(p, F.lit(0)), "value"))
+
+
+@query("WITH e AS (SELECT p_brand AS observation, p_type AS feature, avg(p_retailprice - 1400) / 1000 AS estimate FROM part GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY observation ORDER BY abs(estimate) DESC, feature) AS rank FROM e) SELECT observation, feature, round(estimate, 6) AS estimate, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3")
+def rank_effects(spark, sf):
+    e = table(spark, sf, "part").groupBy(F.col("p_brand").alias("observation"), F.col("p_type").alias("feature")).agg((F.avg(F.col("p_retailprice") - 1400) / 1000).alias("estimate"))
+    return metrics.rank_effects(e, 3).select("observation", "feature", r6(F.col("estimate"), "estimate"), "rank")
+
+
+@query("SELECT feature, contribution FROM (SELECT p_type AS feature, CAST(count(*) AS BIGINT) AS contribution FROM part GROUP BY 1) ORDER BY contribution DESC, feature LIMIT 5")
+def top_contributions(spark, sf):
+    c = table(spark, sf, "part").groupBy(F.col("p_type").alias("feature")).agg(F.count("*").alias("contribution"))
+    return metrics.top_contributions(c, 5)
+
+
+# -- embeddings -----------------------------------------------------------------------------------
+
+
+@query(f"WITH {PART_Z} SELECT round(var_samp(a), 6) AS v_size, round(covar_samp(a, b), 6) AS cov, round(var_samp(b), 6) AS v_price FROM z")
+def pca_covariance(spark, sf):
+    _, cov = embed.covariance(part_z(spark, sf), PART)
+    return spark.createDataFrame([(round(float(cov[0, 0]), 6), round(float(cov[0, 1]), 6), round(float(cov[1, 1]), 6))], "v_size double, cov double, v_price double")
+
+
+@query(
+    """WITH l AS (SELECT o_orderkey, unnest(['o_orderstatus_' || o_orderstatus, 'o_orderpriority_' || regexp_replace(o_orderpriority, '[^A-Za-z0-9._]', '.', 'g')]) AS v FROM (SELECT o_orderkey, o_orderstatus, 'X' || o_orderpriority AS o_orderpriority FROM orders))
+    SELECT a.v AS a, b.v AS b, CAST(count(*) AS BIGINT) AS n FROM l a JOIN l b ON a.o_orderkey = b.o_orderkey GROUP BY 1, 2"""
+)
+def mca_burt(spark, sf):
+    o = table(spark, sf, "orders")
+    names, counts, _ = embed.burt(o, "o_orderkey", ["o_orderstatus", "o_orderpriority"])
+    rows = [(a, b, int(counts[i, j])) for i, a in enumerate(names) for j, b in enumerate(names) if counts[i, j] > 0]
+    return spark.createDataFrame(rows, "a string, b string, n long")
+
+
+@query()
+def pca_embedding(spark, sf):
+    points, _, _ = embed.pca(table(spark, sf, "part"), "p_partkey", PART)
+    return points
+
+
+@query()
+def famd_embedding(spark, sf):
+    points, _, _ = embed.famd(table(spark, sf, "customer").select("c_custkey", "c_acctbal", "c_mktsegment"), "c_custkey", ["c_acctbal", "c_mktsegment"])
+    return points
+
+
+@query()
+def mca_embedding(spark, sf):
+    points, _, _ = embed.mca(table(spark, sf, "orders"), "o_orderkey", ["o_orderstatus", "o_orderpriority"])
+    return points
+
+
+# -- full fits ------------------------------------------------------------------------------------
+
+
+@query()
+def kmeans_part(spark, sf):
+    return api.cluster(table(spark, sf, "part"), "kmeans", 3, id_col="p_partkey", features=PART, scale=True, seed=1, nstart=3).clusters
+
+
+@query()
+def pam_supplier(spark, sf):
+    return api.cluster(table(spark, sf, "supplier"), "pam", 3, id_col="s_suppkey", features=["s_acctbal"], scale=True).clusters
+
+
+@query()
+def hclust_supplier(spark, sf):
+    return api.cluster(table(spark, sf, "supplier"), "hclust", 4, id_col="s_suppkey", features=["s_acctbal"], linkage="ward.D2").clusters
+
+
+@query()
+def agnes_gower_supplier(spark, sf):
+    s = table(spark, sf, "supplier").withColumn("n", F.col("s_nationkey").cast("string"))
+    return api.cluster(mixed_distance(s, "s_suppkey", ["n", "s_acctbal"]), "agnes", 4).clusters
+
+
+@query()
+def gmm_part(spark, sf):
+    fit = api.cluster(table(spark, sf, "part"), "gmm", 2, id_col="p_partkey", features=PART, scale=True, seed=1, families=("EEI", "VVV"), iter_max=15)
+    return fit.clusters
+
+
+@query()
+def kproto_customer(spark, sf):
+    c = table(spark, sf, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
+    return api.cluster(c, "kproto", 3, id_col="c_custkey", scale=True, seed=1, nstart=2, iter_max=10).clusters
+
+
+@query()
+def kmm_customer(spark, sf):
+    return api.cluster(gapped(spark, sf).where("bal is not null or seg is not null"), "kmm", 3, id_col="c_custkey", seed=1, nstart=2, iter_max=10).clusters
+
+
+@query()
+def metacluster_supplier(spark, sf):
+    s = table(spark, sf, "supplier")
+    return consensus.metacluster(s, ("kmeans", "pam", "hclust"), range(2, 4), id_col="s_suppkey", features=["s_acctbal"], scale=True, seed=1).final_clusters
+
+
+@query()
+def lime_supplier(spark, sf):
+    s = table(spark, sf, "supplier").select("s_suppkey", "s_acctbal", F.col("s_nationkey").cast("double").alias("nation"))
+    fit = api.cluster(s, "kmeans", 3, id_col="s_suppkey", features=["s_acctbal", "nation"], scale=True, seed=1, nstart=1)
+    return explain.lime_explain(fit, s, n_permutations=100).explanations
