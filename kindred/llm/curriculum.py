@@ -86,12 +86,12 @@ def inverse(x: Column, t: Column, w: Column, cum: Column) -> Column:
     return F.when(root > 0, F.least(t1, t0 + 2 * rest / root)).otherwise(t0)
 
 
-def mix(
+def lay_out(
     docs: DataFrame, schedules=in_turns, share: float = 1.5, most: float = 2.0, seed: int = 0, keep: list[str] | None = None,
     id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", bucket_rows: int = 4096, most_sources: int = 100_000,
 ) -> DataFrame:
-    """(row, size, source_size, target, copies, taken, positions) of each row of docs, range-sorted by
-    first position, rows that are not taken last. ``row`` is a struct of the columns ``keep`` (default: all)."""
+    """(row, size, source_size, target, copies, taken, positions) of each row of docs, in no order.
+    ``row`` is a struct of the columns ``keep`` (default: all)."""
     spark = docs.sparkSession
     shelf = Shelf(spark, "mix")
     row = F.struct(*(F.col(f"`{c}`") for c in (keep or docs.columns))).alias("row")
@@ -119,13 +119,17 @@ def mix(
     counted = laid.withColumn("copies", F.least(copies, F.lit(int(most))).cast("int"))
     met = lambda j: F.least(F.lit(1.0), (j * F.col("source_size") + F.col("start")) / F.col("target"))
     positions = F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0), F.col("copies") - 1), lambda j: inverse(met(j), F.col("t"), F.col("w"), F.col("cum")))).otherwise(F.array().cast("array<double>"))
-    out = counted.select("row", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), positions.alias("positions"))
-    return out.orderBy(F.get("positions", F.lit(0)).asc_nulls_last())
+    return counted.select("row", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), positions.alias("positions"))
+
+
+def mix(docs: DataFrame, **parameters) -> DataFrame:
+    """The rows of lay_out, range-sorted by first position, rows that are not taken last."""
+    return lay_out(docs, **parameters).orderBy(F.get("positions", F.lit(0)).asc_nulls_last())
 
 
 def training_order(docs: DataFrame, **parameters) -> DataFrame:
     """The mix: a row for each copy, range-sorted by training position; the columns of docs, then epoch and position."""
-    mixed = mix(docs, **parameters).where(F.col("copies") > 0)
+    mixed = lay_out(docs, **parameters).where(F.col("copies") > 0)
     return mixed.select("row", F.posexplode("positions").alias("epoch", "position")).select("row.*", "epoch", "position").orderBy("position")
 
 
