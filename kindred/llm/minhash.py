@@ -6,14 +6,15 @@ values of a band come from different permutations and each is unbiased for the J
 ``rows_per_band`` takes the largest r at which a pair right at the threshold shares no band with a
 probability of at most 1e-5.
 
-Candidates are confirmed on the full shingle sets (64-bit hashes of the shingles). Documents with equal
-sets are one class with its smallest id. In each bucket of classes every member is first compared with
-its smallest one. Members in that one's component are then done with it; the others go on, with those
-members that the triangle inequality of the Jaccard distance leaves within reach of them. Rounds follow
-in which some of the others (all, in a bucket of up to SMALL; MANY in a larger one) are compared with
-what is in reach and in another component, and leave. Rounds end when no bucket holds two components
-between which a link is possible. So no candidate link between components is missed, a large group of
-near copies costs a comparison a member, and the pairs of a group are never written out.
+Candidates are confirmed on the full shingle sets (64-bit hashes of the shingles), in two rounds.
+Documents with equal sets are one class with its smallest id. In each bucket of classes every member is
+first compared with the smallest one, the pivot. Members in the pivot's component are then done with
+it. A pivot's group are its members in other components, and those of its own that the triangle
+inequality of the Jaccard distance leaves within reach of them. In the second round the groups are
+compared within themselves, by blocks of bounded size: a task holds the sets of two blocks, counts all
+their intersections at once (a product of membership matrices) and gives back a spanning forest of the
+links it finds. So every candidate pair is judged or ruled out, a large group of near copies costs a
+comparison a member, and the pairs of a group are never written out.
 
 Defined cases: without words (or with a null text) a document's set is empty, and it is linked with
 nothing; rows of a null id are returned with a null component and kept; rows that repeat an id are
@@ -27,7 +28,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm.common import Shelf, WordHashes, column_bytes, mix, shingle_hashes, slices
@@ -35,7 +36,8 @@ from kindred.llm.components import components
 
 PERMUTATIONS = 126
 MISS = 1e-5
-SMALL, MANY = 64, 16
+MOST_BITS = 26
+BLOCK, WIDE = 384, 4096
 
 
 def rows_per_band(threshold: float, permutations: int = PERMUTATIONS, miss: float = MISS) -> int:
@@ -99,16 +101,29 @@ def sign(docs: DataFrame, k: int, rows: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, bands array<long>")
 
 
-def _sets(docs: DataFrame, k: int) -> DataFrame:
+def _sets(docs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
+    """(doc_id, d1, d2, own) of the rows of wanted ids, and of some others: ids are first looked for in a
+    hashed bitmap of at most 2**MOST_BITS bits, so that the texts are not shuffled."""
+    n = wanted.count()
+    bits = 1 << min(MOST_BITS, max(10, (16 * n).bit_length()))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    words = wanted.select(place(F.col("rep")).alias("h")).select(F.shiftright("h", 5).alias("word"), F.expr("shiftleft(1L, CAST(h % 32 AS INT))").alias("bit"))
+    bitmap = np.zeros(bits >> 5, np.int64)
+    for r in words.groupBy("word").agg(F.bit_or("bit").alias("bit")).toLocalIterator():
+        bitmap[r.word] = r.bit
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap.astype(np.uint32))
+
     def run(batches):
-        hashes = WordHashes()
+        hashes, known = WordHashes(), shared.value
         for batch in slices(batches):
+            h = batch.column(2).fill_null(0).to_numpy(zero_copy_only=False)
+            batch = batch.filter(pa.array((known[h >> 5] >> (h & 31).astype(np.uint32)) & 1 == 1))
             own = [shingle_set(text, k, hashes) for text in column_bytes(batch, "text")]
             d = [digest(x) for x in own]
             columns = [batch.column(0), [x[0] for x in d], [x[1] for x in d], [x.tobytes() for x in own]]
             yield _arrow(columns, [pa.int64(), pa.int64(), pa.int64(), pa.binary()], ["doc_id", "d1", "d2", "own"])
 
-    return docs.mapInArrow(run, "doc_id long, d1 long, d2 long, own binary")
+    return docs.select("doc_id", "text", place(F.col("doc_id")).alias("h")).mapInArrow(run, "doc_id long, d1 long, d2 long, own binary")
 
 
 def _compared(pairs: DataFrame) -> DataFrame:
@@ -123,9 +138,9 @@ def _compared(pairs: DataFrame) -> DataFrame:
                 same = int((both[1:] == both[:-1]).sum())
                 common.append(same)
                 union.append(len(both) - same)
-            yield _arrow([batch.column(0), batch.column(1), common, union], [pa.int64()] * 4, ["a", "b", "common", "n_union"])
+            yield _arrow([batch.column(0), batch.column(1), common, union], [pa.int64()] * 4, ["rep", "pivot", "common", "n_union"])
 
-    return pairs.mapInArrow(run, "a long, b long, common long, n_union long")
+    return pairs.mapInArrow(run, "rep long, pivot long, common long, n_union long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -141,79 +156,103 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         "classes",
     )
     buckets = classes.select(F.explode("bands").alias("key"), "rep")
-    several = buckets.groupBy("key").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where(F.col("first") != F.col("last")).select("key", "first")
-    members = shelf.put(buckets.join(several, "key").distinct(), "members-0")
-    judge = _Judge(shelf, source, classes, k, percent)
-    reach = 1 - percent / 100 + 1e-9
-    judge.compare(members.where(F.col("rep") != F.col("first")).select(F.least("rep", "first").alias("a"), F.greatest("rep", "first").alias("b")))
-    distance = judge.judged.select("a", "b", (1 - F.col("common") / F.col("n_union")).alias("d"))
-    pair = {"a": F.least("rep", "first"), "b": F.greatest("rep", "first")}
-    going = members.where(F.col("rep") != F.col("first")).withColumns(pair).join(distance, ["a", "b"]).select("key", "rep", "first", "d")
-    step = 0
-    while judge.step and not judge.judged.isEmpty():
-        step += 1
-        going = shelf.put(_within_reach(going, judge.roots, reach), f"members-{step}")
-        shelf.drop(f"members-{step - 1}")
-        if going.isEmpty():
-            break
-        size = going.groupBy("key").agg(F.count("*").alias("size"))
-        turn = F.row_number().over(Window.partitionBy("key").orderBy("rep"))
-        heads = going.where("other").withColumn("turn", turn).where(F.col("turn") <= SMALL).join(size, "key")
-        heads = heads.where((F.col("size") <= SMALL) | (F.col("turn") <= MANY)).select("key", F.col("rep").alias("head"), F.col("d").alias("head_d"), F.col("root").alias("head_root"))
-        near = going.join(heads, "key").where((F.col("root") != F.col("head_root")) & (F.abs(F.col("d") - F.col("head_d")) <= reach))
-        judge.compare(near.select(F.least("rep", "head").alias("a"), F.greatest("rep", "head").alias("b")))
-        gone = heads.select("key", F.col("head").alias("rep"))
-        going = going.join(gone, ["key", "rep"], "left_anti").select("key", "rep", "first", "d")
-    roots = judge.roots
+    several = buckets.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).where(F.col("pivot") != F.col("last")).select("key", "pivot")
+    members = shelf.put(buckets.join(several.hint("merge"), "key").where("rep != pivot").distinct(), "members")
+    # sets are made once, of all classes that share a bucket
+    ids = members.select("rep").union(members.select(F.col("pivot").alias("rep"))).distinct()
+    wanted = shelf.put(classes.select("rep", "d1", "d2").join(ids.hint("merge"), "rep", "left_semi"), "wanted")
+    found = _sets(source, k, wanted).join(wanted.withColumnRenamed("rep", "doc_id").hint("merge"), ["doc_id", "d1", "d2"], "left_semi")
+    sets = shelf.put(found.dropDuplicates(["doc_id", "d1", "d2"]).select(F.col("doc_id").alias("rep"), "own"), "sets")
+    pairs = members.select("rep", "pivot").distinct()
+    compared = _compared(pairs.join(sets.hint("merge"), "rep").join(sets.select(F.col("rep").alias("pivot"), F.col("own").alias("other")).hint("merge"), "pivot").select("rep", "pivot", "own", "other"))
+    # an id repeated over different texts has several sets: the closest decides
+    best = compared.groupBy("rep", "pivot").agg(F.max(F.struct((F.col("common") / F.col("n_union")).alias("j"), "common", "n_union")).alias("z"))
+    judged = shelf.put(best.select("rep", "pivot", "z.common", "z.n_union"), "judged")
+    links = judged.where(100 * F.col("common") >= percent * F.col("n_union")).select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
+    roots = components(links, shelf, "roots-0")
+    groups = shelf.put(_groups(members, judged, roots, 1 - percent / 100 + 1e-9), "groups")
+    if not groups.isEmpty():
+        more = shelf.put(_within_groups(groups, sets, percent), "links")
+        if not more.isEmpty():
+            roots = components(more.union(roots.select("node", "root")), shelf, "roots-1")
+    shelf.drop("sets", "members", "wanted")
     own = classes.select("n", "d1", "d2", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("n", "d1", "d2", F.coalesce("root", "rep").alias("root"))
     whole = signed.select("doc_id", "n", "d1", "d2").join(own, ["n", "d1", "d2"], "left")
     component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("root", "doc_id"))
     return whole.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _within_reach(going: DataFrame, roots: DataFrame, reach: float) -> DataFrame:
-    """(key, rep, first, d, root, other) of the members between whose components a link is still possible."""
+def _groups(members: DataFrame, judged: DataFrame, roots: DataFrame, reach: float) -> DataFrame:
+    """(pivot, rep) of the classes to compare within each pivot's group: see the module's text."""
     root = lambda name: roots.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root"))
-    placed = going.join(root("rep"), "rep", "left").join(root("first"), "first", "left")
-    placed = placed.withColumn("root", F.coalesce("rep_root", "rep")).withColumn("other", F.col("root") != F.coalesce("first_root", "first"))
-    ahead = placed.groupBy("key").agg(F.min(F.when(F.col("other"), F.col("d"))).alias("least"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-    left = placed.join(ahead.where("lo != hi").select("key", "least"), "key").where(F.col("other") | (F.col("d") >= F.col("least") - reach))
-    return left.select("key", "rep", "first", "d", "root", "other")
-
-
-class _Judge:
-    """Confirms pairs on their full sets; keeps what was judged and the components of the links."""
-
-    def __init__(self, shelf: Shelf, source: DataFrame, classes: DataFrame, k: int, percent: int):
-        self.shelf, self.source, self.classes, self.k, self.percent, self.step, self.found = shelf, source, classes, k, percent, 0, False
-        spark = source.sparkSession
-        self.judged = spark.createDataFrame([], "a long, b long, common long, n_union long")
-        self.roots = spark.createDataFrame([], "node long, root long")
-
-    def compare(self, pairs: DataFrame) -> None:
-        step, shelf = self.step, self.shelf
-        pairs = shelf.put(pairs.distinct() if not step else pairs.distinct().join(self.judged.select("a", "b"), ["a", "b"], "left_anti"), f"pairs-{step}")
-        self.step += 1
-        if pairs.isEmpty():
-            return
-        ids = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
-        wanted = self.classes.join(ids, "rep", "left_semi").select(F.col("rep").alias("doc_id"), "d1", "d2")
-        texts = self.source.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-        sets = _sets(texts, self.k).join(wanted, ["doc_id", "d1", "d2"], "left_semi").dropDuplicates(["doc_id", "d1", "d2"]).select("doc_id", "own")
-        sets = shelf.put(sets, f"sets-{step}")
-        left = sets.select(F.col("doc_id").alias("a"), F.col("own").alias("x"))
-        right = sets.select(F.col("doc_id").alias("b"), F.col("own").alias("y"))
-        compared = _compared(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"))
-        # an id repeated over different texts has several sets: the closest decides
-        best = compared.groupBy("a", "b").agg(F.max(F.struct((F.col("common") / F.col("n_union")).alias("j"), "common", "n_union")).alias("z"))
-        fresh = shelf.put(best.select("a", "b", "z.common", "z.n_union"), f"judged-{step}")
-        self.judged = self.judged.unionByName(fresh) if step else fresh
-        shelf.drop(f"sets-{step}", f"pairs-{step}")
-        new = 100 * F.col("common") >= self.percent * F.col("n_union")
-        if not fresh.where(new).isEmpty():
-            known = self.roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-            self.roots = components(fresh.where(new).select("a", "b").union(known), shelf, f"roots-{step}")
-            self.found = True
+    distance = judged.select("rep", "pivot", (1 - F.col("common") / F.col("n_union")).alias("d"))
+    known = members.join(distance.hint("merge"), ["rep", "pivot"]).join(root("rep").hint("merge"), "rep", "left").join(root("pivot").hint("merge"), "pivot", "left")
+    placed = known.withColumn("root", F.coalesce("rep_root", "rep")).withColumn("other", F.col("root") != F.coalesce("pivot_root", "pivot"))
+    # buckets in which a link between two components is still possible, without the pivot
+    ahead = placed.groupBy("key").agg(F.min(F.when(F.col("other"), F.col("d"))).alias("least"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi")
+    left = placed.join(ahead.select("key", "least").hint("merge"), "key").where(F.col("other") | (F.col("d") >= F.col("least") - reach))
+    return left.select("pivot", "rep").distinct()
+
+
+def _within_groups(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b), a spanning forest for each pair of blocks of a group. Blocks are by hash and hold
+    about BLOCK classes; a class goes to as many tasks as its group has blocks."""
+    sizes = groups.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = groups.join(sizes.hint("merge"), "pivot").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    spread = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    spread = spread.select("pivot", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", "rep")
+    rows = spread.join(sets.hint("merge"), "rep").select("pivot", "lo", "hi", "block", "rep", "own")
+
+    def run(table: pa.Table) -> pa.Table:
+        block, rep = table["block"].to_numpy(), table["rep"].to_numpy()
+        own = [np.frombuffer(x, np.uint64) for x in table["own"].to_pylist()]
+        first = block == block.min()
+        edges = forest(own, rep, first, ~first if (~first).any() else first, percent)
+        return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
+
+    return rows.groupBy("pivot", "lo", "hi").applyInArrow(run, "a long, b long").distinct()
+
+
+def forest(own: list[np.ndarray], ids: np.ndarray, rows: np.ndarray, columns: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links between the sets of ``rows`` and of ``columns`` (masks), as a spanning forest of their components."""
+    left, right = np.flatnonzero(rows), np.flatnonzero(columns)
+    size = np.array([len(x) for x in own])
+    value = np.concatenate(own)
+    who = np.repeat(np.arange(len(own)), size)
+    _, place, count = np.unique(value, return_inverse=True, return_counts=True)
+    kept = count[place] > 1
+    place, who = place[kept], who[kept]
+    _, place = np.unique(place, return_inverse=True)
+    order = np.argsort(place, kind="stable")
+    place, who = place[order], who[order]
+    common = np.zeros((len(left), len(right)), np.float32)
+    at = np.full((2, len(own)), -1)
+    at[0, left], at[1, right] = np.arange(len(left)), np.arange(len(right))
+    for i in range(0, int(place[-1]) + 1 if len(place) else 0, WIDE):
+        lo, hi = np.searchsorted(place, (i, i + WIDE))
+        m = [np.zeros((len(n), WIDE), np.float32) for n in (left, right)]
+        for side in (0, 1):
+            mine = at[side, who[lo:hi]]
+            m[side][mine[mine >= 0], place[lo:hi][mine >= 0] - i] = 1
+        common += m[0] @ m[1].T
+    union = size[left][:, None] + size[right][None, :] - common
+    hits = np.argwhere(100 * common.astype(np.float64) >= percent * union)
+    parent = list(range(len(own)))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    edges = []
+    for i, j in hits.tolist():
+        x, y = int(left[i]), int(right[j])
+        p, q = find(x), find(y)
+        if p != q and ids[x] != ids[y]:
+            parent[p] = q
+            edges.append((int(ids[x]), int(ids[y])))
+    return edges
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", **parameters) -> DataFrame:
@@ -222,3 +261,20 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", **parameters) -> DataFra
     kept = found.where(F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_kept")).distinct()
     known = docs.where(F.col(id_col).isNotNull()).join(kept, docs[id_col].cast("long") == F.col("_kept"), "left_semi").dropDuplicates([id_col])
     return known.unionByName(docs.where(F.col(id_col).isNull()))
+
+
+def oracle(k: int = 3, percent: int = 85, table: str = "documents") -> str:
+    """DuckDB: the rows of near_duplicates, by a self-join on the shingles."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""
+    WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\\x20\\x09-\\x0D]+') AS w FROM {table}),
+    t AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i, len(w) AS n FROM d),
+    g AS (SELECT doc_id, n, i, x{"".join(f" || ' ' || coalesce(lead(x, {j}) OVER p, '')" for j in range(1, k))} AS g FROM t WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
+    s AS (SELECT DISTINCT doc_id, g FROM g WHERE i <= greatest(1, n - {k - 1})),
+    c AS (SELECT doc_id, CAST(count(*) AS BIGINT) AS n FROM s GROUP BY 1),
+    m AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+    l AS (SELECT a, b FROM m JOIN c x ON a = x.doc_id JOIN c y ON b = y.doc_id WHERE 100 * m.c >= {percent} * (x.n + y.n - m.c)),
+    e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+    r(i, root) AS (SELECT doc_id, doc_id FROM d UNION SELECT e.b, r.root FROM r JOIN e ON r.i = e.a WHERE r.root < e.b),
+    f AS (SELECT i, min(root) AS root FROM r GROUP BY i)
+    SELECT d.doc_id, coalesce(c.n, 0) AS n_shingles, f.root AS component_id, d.doc_id = f.root AS kept FROM d LEFT JOIN c USING (doc_id) JOIN f ON f.i = d.doc_id"""

@@ -61,5 +61,6 @@ QUERIES = {f.__name__: f for f in (op1_cross_entropy_difference, op2_quality_rul
 ORACLES = {
     "op2_quality_rules": "WITH " + quality_rules.oracle_cte() + " SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM judged",
     "op5_curriculum_mix": curriculum.oracle(),
+    "op7_minhash_near_dedup": minhash.oracle(),
     "op4_warc_chunks": warc.oracle(),
 }
