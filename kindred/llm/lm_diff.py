@@ -158,7 +158,7 @@ def score(docs: DataFrame, target_ids: DataFrame, most: int = MOST, id_col: str
     encoded = shelf.put(encode(source, words), "encoded")
     ids = target_ids.select(F.col("doc_id").cast("long")).where("doc_id is not null").distinct()
     background = bigram_counts(encoded, size)
-    target = bigram_counts(encoded.join(ids, "doc_id", "left_semi"), size)
+    target = bigram_counts(encoded.join(ids.hint("merge"), "doc_id", "left_semi"), size)
     shared = spark.sparkContext.broadcast((losses(target), losses(background)))
     del background, target
 
