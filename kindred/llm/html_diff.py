@@ -44,6 +44,7 @@ RAW_END = {name: re.compile(rf"</{name}\b[^>]*>?", re.IGNORECASE) for name in ("
 WHITE = re.compile(r"\s+")
 
 OUT, FREE, BODY = 0, 1, 2
+FOLDERS = 100_000
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -236,9 +237,13 @@ def extract(pages: DataFrame, block_pages: int = 256, id_col: str = "page_id", u
     host, path = host_and_path(F.col(url_col))
     keyed = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host.alias("host"), path.alias("path"), F.col(html_col).alias("html"))
     keyed = keyed.withColumn("folder", F.regexp_replace("path", r"[^/]*$", ""))
-    # a folder's number of blocks follows from its number of pages, so no folder is one group
-    sizes = keyed.groupBy("host", "folder").agg(F.ceil(F.count("*") / block_pages).alias("blocks"))
-    dealt = keyed.join(sizes, ["host", "folder"]).withColumn("block", F.pmod(F.xxhash64("path"), F.col("blocks")))
+    # a folder's number of blocks follows from its number of pages, so no folder is one group; the table of
+    # folders of more than one block is broadcast up to FOLDERS of them, and joined by a shuffle beyond
+    sizes = keyed.groupBy("host", "folder").agg(F.ceil(F.count("*") / block_pages).alias("blocks")).where("blocks > 1")
+    few = sizes.limit(FOLDERS + 1).count() <= FOLDERS
+    joined = keyed.join(F.broadcast(sizes) if few else sizes.hint("merge"), ["host", "folder"], "left")
+    dealt = joined.withColumn("block", F.pmod(F.xxhash64("path"), F.coalesce("blocks", F.lit(1))))
+    dealt = dealt if few else dealt.repartition("host", "folder", "block")
     id_type = pages.schema[id_col].dataType.simpleString()
 
     def run(table: pa.Table) -> pa.Table:
