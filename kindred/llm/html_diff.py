@@ -8,8 +8,8 @@ are aligned by their longest common subsequence, and shared lines are deleted.
 Differencing alone would also delete article lines that copies share, and keep menus and adverts that
 change from page to page. So the markup has a say first: lines under elements that never hold the
 article (menus, headers, footers, asides, forms, scripts, adverts, notices, comments) are left out, and
-lines under an article or main element are kept. Shared lines are deleted among all others, which on
-pages without such elements are all lines.
+lines under an article or main element are kept. The alignment decides all others, on pages with such
+elements as on pages without: shared lines are deleted, lines of the page's own are kept.
 
 Defined cases: a null html is empty and gives an empty text; a null url has the empty host and path;
 repeated page rows are each returned and not paired with each other (equal lines of equal pages would
@@ -221,8 +221,7 @@ def main_texts(pages: list[tuple[str, str | None]]) -> list[str]:
             if near:
                 other = parsed[min(near)[2]]
                 gone = shared([t for t, _ in lines], [t for t, _ in other])
-        kept_body = any(part == BODY for _, part in lines)
-        texts[i] = "\n\n".join(t for n, (t, part) in enumerate(lines) if part == BODY or (not kept_body and n not in gone))
+        texts[i] = "\n\n".join(t for n, (t, part) in enumerate(lines) if part == BODY or n not in gone)
     return texts
 
 

@@ -333,6 +333,11 @@ def test_page_differencing():
     assert [t for t, _ in html_diff.lines_of("<p>one<p>two</p>three<div id=x>four<span hidden>zz</span> five</div><script>a<b</script>")] == ["one", "two", "three", "four five"]
 
 
+def test_differencing_beside_an_article():
+    page = lambda x: f"<div>Home</div><div><p>Text of {x}</p></div><article><p>Teaser {x}</p></article><div>All rights</div>"
+    assert html_diff.main_texts([("/a/1", page("one")), ("/a/2", page("two"))]) == ["Text of one\n\nTeaser one", "Text of two\n\nTeaser two"]
+
+
 def test_common_subsequence_brute():
     rng = random.Random(1)
     for _ in range(1500):
