@@ -298,6 +298,26 @@ def test_language_model_brute(spark, docs):
         assert np.allclose([r.target_loss, r.background_loss, r.score], [*losses, losses[0] - losses[1]], atol=2e-5)
 
 
+def test_language_model_reads_every_word(spark):
+    common = " ".join(f"w{i}" for i in range(2500)) + " "
+    rows = [(i, common * 2) for i in range(3)] + [(10 + i, "zorda zordb zordc zordd") for i in range(2)] + [(20, "zorde zordf zordg zordh")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in lm_diff.score(docs, docs.where("doc_id = 10").select("doc_id")).collect()}
+    # words of the same shape, all rarer than 2500 others: only the words themselves tell 11 from 20
+    assert got[11].score == got[10].score < got[20].score - 0.5
+    tokens = {i: [None, *t.split()] for i, t in rows}
+    size = 1 + len({w for t in tokens.values() for w in t[1:]})
+    for name, ids in (("target_loss", [10]), ("background_loss", list(tokens))):
+        c, into, out = Counter(), Counter(), Counter()
+        for i in ids:
+            for a, b in zip(tokens[i], tokens[i][1:]):
+                c[a, b], into[b], out[a] = c[a, b] + 1, into[b] + 1, out[a] + 1
+        total = sum(into.values()) + lm_diff.ALPHA * size
+        for i, t in tokens.items():
+            want = np.mean([-np.log((c[a, b] + lm_diff.MU * (into[b] + lm_diff.ALPHA) / total) / (out[a] + lm_diff.MU)) for a, b in zip(t, t[1:])])
+            assert abs(got[i][name] - want) < 2e-6
+
+
 def test_language_model_edges(odd, empty, docs):
     rows = lm_diff.score(odd, odd.select("doc_id")).collect()
     assert len(rows) == len(ODD) and {r.score for r in rows if r.doc_id in (1, 2)} == {0.0}
