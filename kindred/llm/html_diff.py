@@ -1,8 +1,9 @@
 """Main text of web pages by nearest-URL page differencing.
 
-Pages are paired by URL path within each host: the pages of a host and directory are dealt to blocks
-of about ``block_pages`` by a hash of their path, sorted by path in their block, and each is paired
-with the neighbour whose path shares more with its own. The text lines (blocks of the page) of the two
+Pages are paired by URL path within each host: in the order of host, path with query, and id, each is
+paired with the neighbour on the same host whose path shares more with its own, which is the nearest of
+all. The order is cut into contiguous blocks of about ``block_pages``, and a block gets a copy of the
+page before it and the page after it, so where it is cut changes no pair. The text lines (blocks of the page) of the two
 are aligned by their longest common subsequence, and shared lines are deleted.
 
 Differencing alone would also delete article lines that copies share, and keep menus and adverts that
@@ -13,18 +14,23 @@ elements as on pages without: shared lines are deleted, lines of the page's own
 
 Defined cases: a null html is empty and gives an empty text; a null url has the empty host and path;
 repeated page rows are each returned and not paired with each other (equal lines of equal pages would
-delete all); a page alone in its block has no shared lines; other columns are not read.
+delete all), the next other page being taken; a page alone on its host has no shared lines; rows equal
+in url, id and html are in one block; other columns are not read.
 """
 
 from __future__ import annotations
 
+import bisect
 import html as entities
+import itertools
 import re
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kindred.llm.common import Shelf
+
 # Elements by their part in a page.
 SKIPPED = frozenset("script style noscript template svg math iframe object canvas select textarea button head title audio video map datalist".split())
 ASIDE = frozenset("nav header footer aside form dialog menu".split())
@@ -44,7 +50,7 @@ RAW_END = {name: re.compile(rf"</{name}\b[^>]*>?", re.IGNORECASE) for name in ("
 WHITE = re.compile(r"\s+")
 
 OUT, FREE, BODY = 0, 1, 2
-FOLDERS = 100_000
+SAMPLES = 200_000
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -201,53 +207,115 @@ def common_prefix(a: str, b: str) -> int:
     return n
 
 
-def main_texts(pages: list[tuple[str, str | None]]) -> list[str]:
-    """Main texts of the pages of a block, given as (path, html)."""
+def ordered_texts(pages: list[tuple[str, str | None]]) -> list[str]:
+    """Main texts of pages of a host in order, given as (path, html)."""
+    n = len(pages)
+    before, after = [-1] * n, [n] * n
+    for i in range(1, n):
+        before[i] = before[i - 1] if pages[i][1] == pages[i - 1][1] else i - 1
+    for i in range(n - 2, -1, -1):
+        after[i] = after[i + 1] if pages[i][1] == pages[i + 1][1] else i + 1
     parsed = [lines_of(p or "") for _, p in pages]
-    order = sorted(range(len(pages)), key=lambda i: (pages[i][0], pages[i][1] or "", i))
-    texts = [""] * len(pages)
-    for at, i in enumerate(order):
-        lines = parsed[i]
+    texts = []
+    for i, lines in enumerate(parsed):
         gone: set[int] = set()
-        free = [n for n, (_, part) in enumerate(lines) if part == FREE]
-        if free:
-            near = []
-            for step in (-1, 1):
-                to = at + step
-                while 0 <= to < len(order) and pages[order[to]][1] == pages[i][1]:
-                    to += step
-                if 0 <= to < len(order):
-                    near.append((-common_prefix(pages[i][0], pages[order[to]][0]), step, order[to]))
+        if any(part == FREE for _, part in lines):
+            near = [(-common_prefix(pages[i][0], pages[to][0]), to) for to in (before[i], after[i]) if 0 <= to < n]
             if near:
-                other = parsed[min(near)[2]]
-                gone = shared([t for t, _ in lines], [t for t, _ in other])
-        texts[i] = "\n\n".join(t for n, (t, part) in enumerate(lines) if part == BODY or n not in gone)
+                gone = shared([t for t, _ in lines], [t for t, _ in parsed[min(near)[1]]])
+        texts.append("\n\n".join(t for n, (t, part) in enumerate(lines) if part == BODY or n not in gone))
+    return texts
+
+
+def main_texts(pages: list[tuple[str, str | None]]) -> list[str]:
+    """Main texts of the pages of a host, given as (path, html)."""
+    order = sorted(range(len(pages)), key=lambda i: (pages[i][0], pages[i][1] or "", i))
+    texts = [""] * len(pages)
+    for i, text in zip(order, ordered_texts([pages[i] for i in order]), strict=True):
+        texts[i] = text
     return texts
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
+    """Host, and path with query."""
     bare = F.regexp_replace(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://", "")
     host = F.lower(F.regexp_extract(bare, r"^([^/?#]*)", 1))
-    return host, F.regexp_replace(F.regexp_extract(bare, r"^[^/?#]*([^?#]*)", 1), r"/+$", "")
+    path = F.regexp_replace(F.regexp_extract(bare, r"^[^/?#]*([^?#]*)", 1), r"/+$", "")
+    return host, F.concat(path, F.regexp_extract(bare, r"^[^?#]*(\?[^#]*)", 1))
+
+
+def key_of(host: str, path: str, page_id, digest: int) -> tuple:
+    """What pages are ordered by."""
+    return host, path, (page_id is not None, page_id) if page_id is not None else (False,), digest
+
+
+def edges(heads: dict[int, tuple]) -> dict[tuple, list[int]]:
+    """Blocks that need a copy of a page, by its key.
+
+    ``heads`` has, of each block, its first key, its first key of another html than the first, its last
+    key of another html than the last, and its last key.
+    """
+    out: dict[tuple, list[int]] = {}
+    for step in (1, -1):
+        last, near = None, None
+        for block in sorted(heads, reverse=step < 0):
+            first, other, back, end = heads[block][::step]
+            if last is not None:
+                # of a run of one html that goes on, the page before the run is still the nearest other one
+                to = near if last[3] == first[3] else last
+                to = to if to is not None and to[0] == first[0] else None
+            else:
+                to = None
+            if to is not None:
+                out.setdefault(to, []).append(block)
+            last, near = end, back if other is not None else to
+    return out
 
 
 def extract(pages: DataFrame, block_pages: int = 256, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) of each row."""
+    spark, key = pages.sparkSession, ["host", "path", "page_id", "digest"]
+    shelf = Shelf(spark, "pages")
     host, path = host_and_path(F.col(url_col))
-    keyed = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host.alias("host"), path.alias("path"), F.col(html_col).alias("html"))
-    keyed = keyed.withColumn("folder", F.regexp_replace("path", r"[^/]*$", ""))
-    # a folder's number of blocks follows from its number of pages, so no folder is one group; the table of
-    # folders of more than one block is broadcast up to FOLDERS of them, and joined by a shuffle beyond
-    sizes = keyed.groupBy("host", "folder").agg(F.ceil(F.count("*") / block_pages).alias("blocks")).where("blocks > 1")
-    few = sizes.limit(FOLDERS + 1).count() <= FOLDERS
-    joined = keyed.join(F.broadcast(sizes) if few else sizes.hint("merge"), ["host", "folder"], "left")
-    dealt = joined.withColumn("block", F.pmod(F.xxhash64("path"), F.coalesce("blocks", F.lit(1))))
-    dealt = dealt if few else dealt.repartition("host", "folder", "block")
+    keyed = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host.alias("host"), path.alias("path"), F.xxhash64(html_col).alias("digest"), F.col(html_col).alias("html"))
     id_type = pages.schema[id_col].dataType.simpleString()
+    keys = shelf.put(keyed.select(key), "keys")
+    # blocks begin at evenly taken keys of a sample by hash, of at most about SAMPLES keys
+    rate = max(1, block_pages // 8, -(-keys.count() // SAMPLES))
+    sample = sorted({key_of(*r) for r in keys.where(F.pmod(F.xxhash64(*key), F.lit(rate)) == 0).collect()})
+    bounds = spark.sparkContext.broadcast(sample[:: max(1, block_pages // rate)])
+    block_of = F.udf(lambda *k: bisect.bisect_right(bounds.value, key_of(*k)), "long")
+
+    def head(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(table[c].to_pylist() for c in key), strict=True), key=lambda k: key_of(*k))
+        first, end = rows[0], rows[-1]
+        other = next((k for k in rows if k[3] != first[3]), None)
+        back = next((k for k in reversed(rows) if k[3] != end[3]), None)
+        block = table["block"][0].as_py()
+        kept = [(block, at, *k) for at, k in enumerate((first, other, back, end)) if k is not None]
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*kept, strict=True), (pa.int64(), pa.int64(), *(table.schema.field(c).type for c in key)), strict=True)], ["block", "at", *key])
+
+    heads: dict[int, list] = {}
+    found = keys.withColumn("block", block_of(*key)).groupBy("block").applyInArrow(head, f"block long, at long, host string, path string, page_id {id_type}, digest long")
+    for r in found.collect():
+        heads.setdefault(r[0], [None] * 4)[r[1]] = key_of(*r[2:])
+    shelf.drop("keys")
+    copies = spark.sparkContext.broadcast(edges({b: tuple(k) for b, k in heads.items()}))
+
+    def places(*k):
+        """The page's block, and as -1 - block those that need a copy of it."""
+        one = key_of(*k)
+        return [bisect.bisect_right(bounds.value, one), *(-1 - b for b in copies.value.get(one, ()))]
+
+    dealt = keyed.withColumn("place", F.explode(F.udf(places, "array<long>")(*key)))
+    dealt = dealt.select("*", (F.col("place") >= 0).alias("own"), F.when(F.col("place") >= 0, F.col("place")).otherwise(-1 - F.col("place")).alias("block")).drop("place")
 
     def run(table: pa.Table) -> pa.Table:
-        texts = main_texts(list(zip(table["path"].to_pylist(), table["html"].to_pylist(), strict=True)))
-        return pa.table({"page_id": table["page_id"], "url": table["url"], "text": pa.array(texts, pa.string()), "n_chars": pa.array(map(len, texts), pa.int64())})
+        ranked = [key_of(*k) for k in zip(*(table[c].to_pylist() for c in key), strict=True)]
+        table = table.take(sorted(range(len(ranked)), key=ranked.__getitem__))
+        rows = zip(table["host"].to_pylist(), table["path"].to_pylist(), table["html"].to_pylist(), strict=True)
+        texts = [t for _, part in itertools.groupby(rows, key=lambda r: r[0]) for t in ordered_texts([r[1:] for r in part])]
+        out = pa.table({"page_id": table["page_id"], "url": table["url"], "text": pa.array(texts, pa.string()), "n_chars": pa.array(map(len, texts), pa.int64())})
+        return out.filter(table["own"])
 
-    grouped = dealt.select("page_id", "url", "path", "html", "host", "folder", "block").groupBy("host", "folder", "block")
-    return grouped.applyInArrow(run, f"page_id {id_type}, url string, text string, n_chars long")
+    return dealt.groupBy("block").applyInArrow(run, f"page_id {id_type}, url string, text string, n_chars long")

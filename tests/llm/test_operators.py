@@ -358,6 +358,28 @@ def test_differencing_beside_an_article():
     assert html_diff.main_texts([("/a/1", page("one")), ("/a/2", page("two"))]) == ["Text of one\n\nTeaser one", "Text of two\n\nTeaser two"]
 
 
+def test_nearest_page_of_the_host(spark):
+    rng = random.Random(4)
+    page = lambda i: f"<div>Home</div><div>Menu {i % 3}</div><p>own {i}</p><div>{rng.choice('ab')}</div>"
+    # folders of one page, one path with many queries, runs of equal pages, two hosts, null urls
+    rows = [(i, f"http://h.a/2024/{i % 12:02}/{i}/title", page(i)) for i in range(60)] + [(100 + i, f"http://h.a/index.php?id={i}", page(i)) for i in range(60)]
+    rows += [(200 + i, f"http://h.b/x/{i:03}", page(7) if 10 < i < 40 else page(i)) for i in range(60)] + [(300 + i, None, page(i)) for i in range(30)]
+    copy = page(5)
+    rows += [(400 + i, f"http://h.c/{i:03}", copy if 2 < i < 40 else page(i)) for i in range(43)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {}
+    for host in ("http://h.a", "http://h.b", "http://h.c", None):
+        own = sorted(((u or "").removeprefix(host or ""), i, h) for i, u, h in rows if (u.startswith(host) if host and u else host is u))
+        for at, (path, i, h) in enumerate(own):
+            near = [next((x for x in side if x[2] != h), None) for side in (own[:at][::-1], own[at + 1 :])]
+            to = max((x for x in near if x), key=lambda x: html_diff.common_prefix(path, x[0]))
+            mine, others = ([t for t, _ in html_diff.lines_of(x)] for x in (h, to[2]))
+            gone = html_diff.shared(mine, others)
+            want[i] = "\n\n".join(t for n, t in enumerate(mine) if n not in gone)
+    for block in (4, 30, 256):
+        assert {r.page_id: r.text for r in html_diff.extract(pages, block).collect()} == want
+
+
 def test_common_subsequence_brute():
     rng = random.Random(1)
     for _ in range(1500):
