@@ -5,7 +5,9 @@ many examples arrive, end and go on by each symbol. States are merged, the tree
 all their frequencies differ by less than the Hoeffding bound; what is left is a deterministic
 probabilistic automaton of the format. Every candidate (a run of 20 or more token characters with a
 letter and a digit) is scored by all automata: the log-likelihood of its format over that under the
-automaton of ordinary tokens, per character. The automata are inferred on the driver and broadcast.
+automaton of ordinary tokens, per character. In a run the automata also
+start behind each sign and may end before each sign or at its end (key=..., paths, query strings); of
+parts that overlap the one of the largest ratio in all is taken. The automata are inferred on the driver and broadcast.
 
 Defined cases: a null or empty text has no spans and the digest of an empty string; offsets are code
 points; repeated rows are searched alike; a null id is returned as null; other columns are not read.
@@ -32,6 +34,8 @@ KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 BASE = ("assign", "access", "hex")
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{20,}")
+SIGN = re.compile(r"[+/_.=-]")
+LEAST_LENGTH = 20
 ALPHA, DIGIT = re.compile(r"[A-Za-z]"), re.compile(r"[0-9]")
 # Symbols: ranges of letters and digits, and each sign by itself.
 CLASSES = {"a": "abcdef", "g": "ghijklmnopqrstuvwxyz", "A": "ABCDEF", "G": "GHIJKLMNOPQRSTUVWXYZ", "0": "0123456789"}
@@ -60,6 +64,8 @@ class Automaton:
 
     def __init__(self, examples: list[str], alpha: float = 0.05):
         self.arrive, self.ends, self.next = [0], [0], [{}]
+        # merged states forget lengths, so a part of a run is held to those of the examples
+        self.least, self.most = min(map(len, examples)), max(map(len, examples))
         for example in examples:
             q = 0
             self.arrive[0] += 1
@@ -145,6 +151,23 @@ class Automaton:
         return total + (self.logs[q][2] if q is not None else FLOOR)
 
 
+    def ended(self, token: str, stops: set[int], start: int) -> list[tuple[int, float]]:
+        """(end, loglik of token[start:end]) for each of the stops that the automaton reaches in its format."""
+        q, total, found = 0, 0.0, []
+        for i in range(start, len(token) + 1):
+            if i in stops and i - start >= LEAST_LENGTH and self.least <= i - start <= self.most:
+                found.append((i, total + self.logs[q][2]))
+            if i == len(token):
+                break
+            c = token[i].translate(SYMBOL)
+            steps, to, _ = self.logs[q]
+            if c not in to:
+                break
+            total += steps[c] + SPREAD.get(c, 0.0)
+            q = to[c]
+        return found
+
+
 # The formats of the labelled credentials; x any letter or digit, h hexadecimal, d digit, u upper or digit, b base64.
 FORMATS = {
     "github": ("ghp_", "x36"),
@@ -190,17 +213,42 @@ class Scanner:
         ll, family = max((a.loglik(token), k) for k, a in self.families.items())
         return (ll - self.plain.loglik(token)) / len(token), family
 
+    def parts(self, token: str, whole: bool) -> list[tuple[int, int, str]]:
+        """(start, end, family) of the whole, if asked for, and of parts between signs that score as credentials, the best of those that overlap."""
+        signs = [m.start() for m in SIGN.finditer(token)]
+        stops, found = {*signs, len(token)}, []
+        score, family = self.score(token) if whole else (0.0, "")
+        if score >= LEAST_SCORE:
+            found.append((-score * len(token), 0, len(token), family))
+        for start in (0, *(i + 1 for i in signs)):
+            if len(token) - start < LEAST_LENGTH:
+                break
+            for family, automaton in self.families.items():
+                for end, ll in automaton.ended(token, stops, start):
+                    part = token[start:end]
+                    if ALPHA.search(part) and DIGIT.search(part):
+                        score = (ll - self.plain.loglik(part)) / len(part)
+                        if score >= LEAST_SCORE:
+                            found.append((-score * len(part), start, end, family))
+        taken: list[tuple[int, int, str]] = []
+        for _, start, end, family in sorted(found):
+            if not any(s < end and start < e for s, e, _ in taken):
+                taken.append((start, end, family))
+        return taken
+
     def find(self, text: str) -> tuple[list, list]:
         """(base spans, all spans)."""
         base = base_spans(text)
         more = []
         if max(map(len, text.split()), default=0) >= 20:
             for m in CANDIDATE.finditer(text):
-                if not ALPHA.search(m[0]) or not DIGIT.search(m[0]) or any(s < m.end() and m.start() < e for s, e, _ in base):
+                if not ALPHA.search(m[0]) or not DIGIT.search(m[0]):
                     continue
-                score, family = self.score(m[0])
-                if score >= LEAST_SCORE:
-                    more.append((m.start(), m.end(), f"format-{family}"))
+                free = not any(s < m.end() and m.start() < e for s, e, _ in base)
+                for start, end, family in self.parts(m[0], free):
+                    start, end = m.start() + start, m.start() + end
+                    if free or not any(s < end and start < e for s, e, _ in base):
+                        more.append((start, end, f"format-{family}"))
         rank = {k: i for i, k in enumerate(BASE)}
         return base, sorted(base + more, key=lambda x: (x[0], rank.get(x[2], 9), x[2]))
 

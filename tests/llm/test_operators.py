@@ -217,6 +217,18 @@ def test_secrets(odd, empty, docs):
     assert len(secrets_scan.find(odd).collect()) == len(ODD) and secrets_scan.find(empty).count() == 0
 
 
+def test_secrets_inside_a_run():
+    scanner = secrets_scan.Scanner()
+    shares = Counter()
+    for token, family in secrets_scan.labelled_credentials(30, seed=77):
+        if family in ("github", "stripe", "slack", "google"):
+            for before, after in (("auth=", ""), ("key=", ""), ("v1/keys/", ""), ("https://a.example.com/x?auth=", "&b=1")):
+                start = len(before) + 4
+                shares[family, any(s in (start, 4 if "/keys/" in before else start) and e == start + len(token) for s, e, _ in scanner.find(f"use {before}{token}{after} now")[1])] += 1
+    for family in ("github", "stripe", "slack", "google"):
+        assert shares[family, True] >= 0.9 * (shares[family, True] + shares[family, False]), shares
+
+
 def test_automaton_is_a_distribution():
     a = secrets_scan.Automaton(["ab1", "ab2", "a1", "b", "ab1"])
     for q in a.red:
