@@ -1,35 +1,46 @@
 """Main text of web pages by nearest-URL page differencing.
 
-Pages are paired by URL path within each host: in the order of host, path with query, and id, each is
-paired with the neighbour on the same host whose path shares more with its own, which is the nearest of
-all. The order is cut into contiguous blocks of about ``block_pages``, and a block gets a copy of the
-page before it and the page after it, so where it is cut changes no pair. The text lines (blocks of the page) of the two
-are aligned by their longest common subsequence, and shared lines are deleted.
-
-Differencing alone would also delete article lines that copies share, and keep menus and adverts that
-change from page to page. So the markup has a say first: lines under elements that never hold the
-article (menus, headers, footers, asides, forms, scripts, adverts, notices, comments) are left out, and
-lines under an article or main element are kept. The alignment decides all others, on pages with such
-elements as on pages without: shared lines are deleted, lines of the page's own are kept.
+Pages stand in the order of host, path with query, and id. Each is compared with the ``NEAR`` other pages
+before it and after it, by longest common subsequences of their lines; a line is a block's text together
+with the elements that it is in. A run of pages of one html counts as one page. From the alignments come
+two decisions.
+
+* Lines that a page shares with its nearest page (of the same host, by the common part of their paths;
+  near copies are passed over, or they would take the article along) are deleted.
+* From the page's root down, the element whose own text, that which is not shared, is most over all
+  compared pages is the one that holds the article. Elements beside it that stand before or after it on at least
+  half of the compared pages, and hold at most ``SMALL`` of its own text, are the frame: menus, adverts and
+  footers whose words change from page to page. They are deleted. Headings are not.
+
+Markup is a guard: text under elements that hold no article by their meaning in HTML (menus, asides,
+footers, forms, scripts, what is hidden) is left out, and lines under an article or main element are not
+deleted. There is no list of class names.
+
+The order is cut into contiguous blocks of about ``block_pages``; a block gets copies of the pages next to
+it, so where it is cut changes no text. A task reads its blocks in order and holds the lines of 2 * NEAR + 1
+pages.
 
 Defined cases: a null html is empty and gives an empty text; a null url has the empty host and path;
-repeated page rows are each returned and not paired with each other (equal lines of equal pages would
-delete all), the next other page being taken; a page alone on its host has no shared lines; rows equal
-in url, id and html are in one block; other columns are not read.
+repeated page rows are each returned and not compared with each other. A page with fewer than two others
+on its host has its frame decided with the next pages of other hosts too; alone on its host it has no
+shared lines; without any other page all its lines outside the guarded elements are kept. Other columns
+are not read.
 """
 
 from __future__ import annotations
 
 import bisect
 import html as entities
-import itertools
 import re
+from collections import Counter, deque
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from kindred.llm.common import Shelf
+from kindred.llm.common import Shelf, slices
 
 # Elements by their part in a page.
 SKIPPED = frozenset("script style noscript template svg math iframe object canvas select textarea button head title audio video map datalist".split())
@@ -38,62 +49,74 @@ MAIN = frozenset("article main".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {"p": frozenset(("p",)), "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "tr": frozenset(("tr", "td", "th")), "td": frozenset(("td", "th")), "th": frozenset(("td", "th")), "option": frozenset(("option",))}
-HINT = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|alert|popup|modal|newsletter|subscribe|signup|sidebar|side|widget|menu|nav\w*|breadcrumbs?|pagination|pager|"
-    r"footer|header|masthead|comments?|commentlist|reply|replies|respond|discussion|disqus|share|sharing|social|related|recommend\w*|login|search|skip|toolbar|tags|copyright)(?=$|[\s_-])",
-    re.IGNORECASE,
-)
 ROLE = re.compile(r"banner|navigation|complementary|contentinfo|search|form|dialog|alert|menu|menubar|note", re.IGNORECASE)
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?=[^A-Za-z/!?]|$)|</(?=[^A-Za-z])[^>]*>?", re.DOTALL)
 ATTRIBUTE = re.compile(r"([A-Za-z_:][\w:.-]*)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 RAW_END = {name: re.compile(rf"</{name}\b[^>]*>?", re.IGNORECASE) for name in ("script", "style", "textarea", "title", "iframe", "noscript")}
 WHITE = re.compile(r"\s+")
 
+HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+DIGITS = re.compile(r"[0-9]+")
+
 OUT, FREE, BODY = 0, 1, 2
 SAMPLES = 200_000
+NEAR, SMALL, COPY = 3, 0.2, 0.7
+TABLE_BITS = 1 << 27
 
 
 def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): entities.unescape((m[2] or "").strip("\"'")) for m in ATTRIBUTE.finditer(raw)}
 
 
-def _part(name: str, raw: str, inside: int) -> int:
+def _part(name: str, a: dict[str, str], inside: int, guard: bool) -> int:
     """Of an element: out of the article, free, or the article's body. What is out stays out."""
     if inside == OUT or name in SKIPPED:
         return OUT
+    if a and ("hidden" in a or a.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", a.get("style", ""))):
+        return OUT
+    if not guard:
+        return FREE
     if name in ASIDE and not (name == "header" and inside == BODY):
         return OUT
-    if raw:
-        a = _attributes(raw)
-        if "hidden" in a or a.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", a.get("style", "")):
-            return OUT
-        role = a.get("role", "")
-        if role == "main" or a.get("itemprop") == "articleBody":
-            return BODY
-        if name not in ("html", "body", *MAIN) and (ROLE.fullmatch(role) or HINT.search(f"{a.get('class', '')} {a.get('id', '')}")):
-            return OUT
+    role = a.get("role", "")
+    if role == "main" or a.get("itemprop") == "articleBody":
+        return BODY
+    if name not in ("html", "body", *MAIN) and ROLE.fullmatch(role):
+        return OUT
     return BODY if name in MAIN else inside
 
 
-def lines_of(page: str) -> list[tuple[str, int]]:
-    """(text, part) of each block of the page, in page order; parts of text out of the article are left out."""
-    out: list[tuple[str, int]] = []
-    stack: list[tuple[str, int]] = []
+def _sign(name: str, a: dict[str, str]) -> str:
+    """An element as part of a path: its name, classes and id, with any number for each number."""
+    marks = ".".join(a.get("class", "").split()) + "#" + a.get("id", "") if name not in ("html", "body") else "#"
+    return name if marks == "#" else DIGITS.sub("0", f"{name}.{marks}")
+
+
+Line = tuple[str, int, tuple[str, ...]]
+
+
+def lines_of(page: str, guard: bool = True) -> list[Line]:
+    """(text, part, path of block elements) of each block of the page, in page order, but for what is out."""
+    out: list[Line] = []
+    stack: list[tuple[str, int, tuple[str, ...]]] = []
     text: list[str] = []
-    part, at, n, began = FREE, 0, len(page), FREE
+    part, path, at, n, began = FREE, (), 0, len(page), (FREE, ())
 
     def close() -> None:
         if text:
             line = WHITE.sub(" ", "".join(text)).strip()
             if line:
-                out.append((line, began))
+                out.append((line, *began))
             text.clear()
 
+    def above(depth: int) -> tuple[int, tuple[str, ...]]:
+        return stack[depth - 1][1:] if depth else (FREE, ())
+
     while at < n:
         m = TOKEN.search(page, at)
         upto = m.start() if m else n
         if upto > at and part != OUT:
-            began = began if text else part
+            began = began if text else (part, path)
             text.append(entities.unescape(page[at:upto]))
         if not m:
             break
@@ -101,7 +124,7 @@ def lines_of(page: str) -> list[tuple[str, int]]:
         name = m[2]
         if not name:
             if m[0] == "<" and part != OUT:
-                began = began if text else part
+                began = began if text else (part, path)
                 text.append("<")
             continue
         name = name.lower()
@@ -112,13 +135,13 @@ def lines_of(page: str) -> list[tuple[str, int]]:
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
             if block:
                 close()
-            if depth is not None and (block or all(x in INLINE for x, _ in stack[depth:])):
+            if depth is not None and (block or all(x[0] in INLINE for x in stack[depth:])):
                 if not block:
-                    changed = stack[depth - 1][1] if depth else FREE
+                    changed = above(depth)[0]
                     if OUT not in (changed, part) and changed != part:
                         close()
                 del stack[depth:]
-                part = stack[-1][1] if stack else FREE
+                part, path = above(len(stack))
             continue
         if name == "br":
             if text:
@@ -130,18 +153,17 @@ def lines_of(page: str) -> list[tuple[str, int]]:
             continue
         if block:
             close()
-            ends = CLOSES.get(name)
-            if ends or not (name in INLINE):
-                # an open paragraph ends at any block, an open item at the next one
-                want = ends or frozenset(("p",))
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in want or (stack[i][0] == "p" and block):
-                        del stack[i:]
-                        part = stack[-1][1] if stack else FREE
-                        break
-                    if stack[i][0] not in INLINE and stack[i][0] not in want:
-                        break
-        now = _part(name, m[3], part)
+            # an open paragraph ends at any block, an open item at the next one
+            want = CLOSES.get(name) or frozenset(("p",))
+            for i in range(len(stack) - 1, -1, -1):
+                if stack[i][0] in want or stack[i][0] == "p":
+                    del stack[i:]
+                    part, path = above(len(stack))
+                    break
+                if stack[i][0] not in INLINE:
+                    break
+        a = _attributes(m[3]) if m[3] and part != OUT else {}
+        now = _part(name, a, part, guard)
         if now != part and (block or now != OUT):
             close()
         if m[3].endswith("/") and name not in SKIPPED and not block:
@@ -151,51 +173,74 @@ def lines_of(page: str) -> list[tuple[str, int]]:
             if end or name in ("script", "style"):
                 at = end.end() if end else n
                 continue
-        stack.append((name, now))
-        part = now
+        part, path = now, (*path, _sign(name, a)) if block and now != OUT else path
+        stack.append((name, part, path))
     close()
     return out
 
 
-def shared(a: list[str], b: list[str]) -> set[int]:
-    """Places in a of a longest common subsequence with b.
-
-    Equal ends are cut off first; between them the table has a bit for each line of a (the bit-parallel
-    recurrence), and the rows kept for the trace take len(a) * len(b) / 8 bytes.
-    """
-    lo = 0
-    while lo < min(len(a), len(b)) and a[lo] == b[lo]:
-        lo += 1
-    hi = 0
-    while hi < min(len(a), len(b)) - lo and a[-1 - hi] == b[-1 - hi]:
-        hi += 1
-    found = {*range(lo), *range(len(a) - hi, len(a))}
-    x, y = a[lo : len(a) - hi], b[lo : len(b) - hi]
-    common = set(x) & set(y)
-    places = [i for i, line in enumerate(x) if line in common]
-    y = [line for line in y if line in common]
-    if not places:
-        return found
-    where: dict[str, int] = {}
-    for bit, i in enumerate(places):
-        where[x[i]] = where.get(x[i], 0) | 1 << bit
-    full = (1 << len(places)) - 1
-    rows, v = [], full
-    for line in y:
-        u = v & where[line]
+def _rows(x: list, y: list) -> list[int]:
+    """The bit-parallel table of the longest common subsequence: a zero bit of row j at i says that the subsequence of x[:i+1] and y[:j+1] grows by one at i."""
+    where: dict = {}
+    for bit, item in enumerate(x):
+        where[item] = where.get(item, 0) | 1 << bit
+    full, rows = (1 << len(x)) - 1, []
+    v = full
+    for item in y:
+        u = v & where.get(item, 0)
         v = ((v + u) | (v - u)) & full
         rows.append(v)
-    # a zero bit of row j at i: the subsequence of x[:i+1] and y[:j+1] grows by one at i
-    i, j = len(places) - 1, len(y) - 1
+    return rows
+
+
+def _last_row(x: list, y: list) -> np.ndarray:
+    """Lengths of the longest common subsequences of y and each beginning of x."""
+    where: dict = {}
+    for bit, item in enumerate(x):
+        where[item] = where.get(item, 0) | 1 << bit
+    full = v = (1 << len(x)) - 1
+    for item in y:
+        u = v & where.get(item, 0)
+        v = ((v + u) | (v - u)) & full
+    bits = np.unpackbits(np.frombuffer(v.to_bytes(len(x) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(x)]
+    return np.concatenate(([0], np.cumsum(1 - bits.astype(np.int64))))
+
+
+def _aligned(x: list, y: list) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence; its table takes len(x) * len(y) bits, and y is halved where that is over TABLE_BITS."""
+    if len(x) * len(y) > TABLE_BITS and len(y) > 1:
+        half = len(y) // 2
+        cut = int(np.argmax(_last_row(x, y[:half]) + _last_row(x[::-1], y[half:][::-1])[::-1]))
+        return _aligned(x[:cut], y[:half]) + [(i + cut, j + half) for i, j in _aligned(x[cut:], y[half:])]
+    rows, found = _rows(x, y), []
+    i, j = len(x) - 1, len(y) - 1
     while i >= 0 and j >= 0:
         if rows[j] >> i & 1:
             i -= 1
         elif j > 0 and not rows[j - 1] >> i & 1:
             j -= 1
         else:
-            found.add(lo + places[i])
+            found.append((i, j))
             i, j = i - 1, j - 1
-    return found
+    return found[::-1]
+
+
+def shared(a: list, b: list) -> tuple[set[int], set[int]]:
+    """Places in a and in b of a longest common subsequence. Equal ends, and what only one has, are set apart first."""
+    lo = 0
+    while lo < min(len(a), len(b)) and a[lo] == b[lo]:
+        lo += 1
+    hi = 0
+    while hi < min(len(a), len(b)) - lo and a[-1 - hi] == b[-1 - hi]:
+        hi += 1
+    one, two = {*range(lo), *range(len(a) - hi, len(a))}, {*range(lo), *range(len(b) - hi, len(b))}
+    common = set(a[lo : len(a) - hi]) & set(b[lo : len(b) - hi])
+    if common:
+        x, y = ([i for i in range(lo, len(s) - hi) if s[i] in common] for s in (a, b))
+        for i, j in _aligned([a[i] for i in x], [b[j] for j in y]):
+            one.add(x[i])
+            two.add(y[j])
+    return one, two
 
 
 def common_prefix(a: str, b: str) -> int:
@@ -207,31 +252,124 @@ def common_prefix(a: str, b: str) -> int:
     return n
 
 
-def ordered_texts(pages: list[tuple[str, str | None]]) -> list[str]:
-    """Main texts of pages of a host in order, given as (path, html)."""
-    n = len(pages)
-    before, after = [-1] * n, [n] * n
-    for i in range(1, n):
-        before[i] = before[i - 1] if pages[i][1] == pages[i - 1][1] else i - 1
-    for i in range(n - 2, -1, -1):
-        after[i] = after[i + 1] if pages[i][1] == pages[i + 1][1] else i + 1
-    parsed = [lines_of(p or "") for _, p in pages]
+class Page:
+    """Pages of one html, next to each other: its lines, its first and last path, and its alignments."""
+
+    def __init__(self, host: str, digest: int, html: str, guard: bool):
+        self.host, self.digest, self.lines = host, digest, lines_of(html, guard)
+        self.keys = [(text, path) for text, _, path in self.lines]
+        self.first = self.last = ""
+        self.rows: list = []
+        self.found: dict[int, tuple[set[int], set[int]]] = {}
+
+    def with_(self, other: Page) -> tuple[set[int], set[int]]:
+        if id(other) not in self.found:
+            both = shared(self.keys, other.keys)
+            self.found[id(other)], other.found[id(self)] = both, both[::-1]
+        return self.found[id(other)]
+
+
+def frame(page: Page, others: list[Page]) -> tuple[set[tuple[str, ...]], tuple[str, ...]]:
+    """Paths of the elements of the page's frame, and that of the element which holds the article."""
+    out: set[tuple[str, ...]] = set()
+    node: tuple[str, ...] = ()
+    often = Counter(i for x in others for i in page.with_(x)[0])
+    compared = [(page, {i for i, n in often.items() if 2 * n >= len(others)}), *((x, page.with_(x)[1]) for x in others)]
+    while True:
+        depth, own, deeper = len(node), Counter(), set()
+        spans: list[dict[tuple[str, ...], list[int]]] = []
+        for x, gone in compared:
+            span: dict[tuple[str, ...], list[int]] = {}
+            for i, (text, _, path) in enumerate(x.lines):
+                if path[:depth] == node:
+                    child = path[: depth + 1] if len(path) > depth else (*node, "")
+                    if len(path) > depth + 1:
+                        deeper.add(child)
+                    own[child] += 0 if i in gone else len(text)
+                    span.setdefault(child, [i, i])[1] = i
+            spans.append(span)
+        if not own:
+            return out, node
+        best = max(own, key=lambda c: (own[c], c))
+
+        def outside(span: dict, child: tuple[str, ...], best=best) -> bool:
+            return child in span and (best not in span or span[child][1] < span[best][0] or span[child][0] > span[best][1])
+
+        for child in spans[0]:
+            if child != best and child[-1].split(".")[0] not in HEADING and own[child] <= SMALL * own[best] and outside(spans[0], child):
+                votes = sum(outside(s, child) for s in spans[1:])
+                if votes and 2 * votes >= len(others):
+                    out.add(child)
+        parts = {part for _, part, path in page.lines if path[: depth + 1] == best}
+        if best not in deeper or parts == {BODY}:
+            return out, best
+        node = best
+
+
+def texts_of(pages: list[Page], at: int) -> list[str]:
+    """Main texts of the rows of pages[at], by the pages around it."""
+    page = pages[at]
+    around = [(i, pages[i]) for i in range(max(0, at - NEAR), min(len(pages), at + NEAR + 1)) if i != at]
+    host = [(i, x) for i, x in around if x.host == page.host]
+    cut, best = frame(page, [x for _, x in (host if len(host) > 1 else around)])
+    inside = {i for i, (_, _, path) in enumerate(page.lines) if path[: len(best)] == best or (*path, "") == best}
+    size = sum(len(page.lines[i][0]) for i in inside)
+
+    def copy(x: Page) -> bool:
+        return bool(inside) and sum(len(page.lines[i][0]) for i in page.with_(x)[0] & inside) >= COPY * size
+
+    usable = [(i, x) for i, x in host if not copy(x)]
+    framed = {i for i, (_, part, path) in enumerate(page.lines) if part != BODY and any(path[:d] in cut for d in range(1, len(path) + 1)) or part != BODY and (*path, "") in cut}
+    made: dict[int, str] = {}
     texts = []
-    for i, lines in enumerate(parsed):
-        gone: set[int] = set()
-        if any(part == FREE for _, part in lines):
-            near = [(-common_prefix(pages[i][0], pages[to][0]), to) for to in (before[i], after[i]) if 0 <= to < n]
-            if near:
-                gone = shared([t for t, _ in lines], [t for t, _ in parsed[min(near)[1]]])
-        texts.append("\n\n".join(t for n, (t, part) in enumerate(lines) if part == BODY or n not in gone))
+    for path, *_ in page.rows:
+        near = min(((-common_prefix(path, x.last if i < at else x.first), abs(i - at), i) for i, x in usable), default=(0, 0, -1))[2]
+        if near not in made:
+            gone = page.with_(pages[near])[0] if near >= 0 else set()
+            made[near] = "\n\n".join(t for i, (t, part, _) in enumerate(page.lines) if part == BODY or not (i in gone or i in framed))
+        texts.append(made[near])
     return texts
 
 
-def main_texts(pages: list[tuple[str, str | None]]) -> list[str]:
+class Window:
+    """Pages of one block as they come; rows are given back when the pages after them are known."""
+
+    def __init__(self, guard: bool):
+        self.pages: list[Page] = []
+        self.guard, self.at = guard, 0
+
+    def add(self, host: str, path: str, digest: int, html: str | None, row) -> None:
+        last = self.pages[-1] if self.pages else None
+        if last is None or (last.host, last.digest) != (host, digest):
+            last = Page(host, digest, html or "", self.guard)
+            last.first = path
+            self.pages.append(last)
+        last.last = path
+        if row is not None:
+            last.rows.append((path, row))
+
+    def done(self, whole: bool):
+        """(row, text) of the pages with NEAR pages after them, or of all."""
+        while self.at < len(self.pages) - (0 if whole else NEAR + 1):
+            page = self.pages[self.at]
+            if page.rows:
+                yield from zip((r for _, r in page.rows), texts_of(self.pages, self.at), strict=True)
+            page.rows = []
+            self.at += 1
+            if self.at > NEAR:
+                left = self.pages.pop(0)
+                for x in self.pages:
+                    x.found.pop(id(left), None)
+                self.at -= 1
+
+
+def main_texts(pages: list[tuple[str, str | None]], guard: bool = True) -> list[str]:
     """Main texts of the pages of a host, given as (path, html)."""
     order = sorted(range(len(pages)), key=lambda i: (pages[i][0], pages[i][1] or "", i))
-    texts = [""] * len(pages)
-    for i, text in zip(order, ordered_texts([pages[i] for i in order]), strict=True):
+    texts, window = [""] * len(pages), Window(guard)
+    for i in order:
+        window.add("", pages[i][0], hash(pages[i][1] or ""), pages[i][1], i)
+    for i, text in window.done(True):
         texts[i] = text
     return texts
 
@@ -249,30 +387,31 @@ def key_of(host: str, path: str, page_id, digest: int) -> tuple:
     return host, path, (page_id is not None, page_id) if page_id is not None else (False,), digest
 
 
-def edges(heads: dict[int, tuple]) -> dict[tuple, list[int]]:
-    """Blocks that need a copy of a page, by its key.
+def _runs(keys: list[tuple]) -> list[tuple]:
+    """Of keys in order, the first of each run of one html on one host; at most NEAR + 1."""
+    out: list[tuple] = []
+    for k in keys:
+        if not out or (k[0], k[3]) != (out[-1][0], out[-1][3]):
+            if len(out) > NEAR:
+                break
+            out.append(k)
+    return out
 
-    ``heads`` has, of each block, its first key, its first key of another html than the first, its last
-    key of another html than the last, and its last key.
-    """
+
+def edges(heads: dict[int, tuple[list[tuple], list[tuple]]]) -> dict[tuple, list[int]]:
+    """Blocks that need a copy of a page, by its key. ``heads`` has, of each block, the runs it begins with and, last first, those it ends with."""
     out: dict[tuple, list[int]] = {}
-    for step in (1, -1):
-        last, near = None, None
+    for side, step in ((1, 1), (0, -1)):
+        known: deque[tuple] = deque(maxlen=NEAR + 1)  # what lies on this side, nearest first
         for block in sorted(heads, reverse=step < 0):
-            first, other, back, end = heads[block][::step]
-            if last is not None:
-                # of a run of one html that goes on, the page before the run is still the nearest other one
-                to = near if last[3] == first[3] else last
-                to = to if to is not None and to[0] == first[0] else None
-            else:
-                to = None
-            if to is not None:
-                out.setdefault(to, []).append(block)
-            last, near = end, back if other is not None else to
+            for k in known:
+                out.setdefault(k, []).append(block)
+            # the runs that the block ends with on that side, then those that were known before
+            known = deque(_runs([*heads[block][side], *known]), maxlen=NEAR + 1)
     return out
 
 
-def extract(pages: DataFrame, block_pages: int = 256, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extract(pages: DataFrame, block_pages: int = 256, guard: bool = True, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) of each row."""
     spark, key = pages.sparkSession, ["host", "path", "page_id", "digest"]
     shelf = Shelf(spark, "pages")
@@ -288,19 +427,19 @@ def extract(pages: DataFrame, block_pages: int = 256, id_col: str = "page_id", u
 
     def head(table: pa.Table) -> pa.Table:
         rows = sorted(zip(*(table[c].to_pylist() for c in key), strict=True), key=lambda k: key_of(*k))
-        first, end = rows[0], rows[-1]
-        other = next((k for k in rows if k[3] != first[3]), None)
-        back = next((k for k in reversed(rows) if k[3] != end[3]), None)
         block = table["block"][0].as_py()
-        kept = [(block, at, *k) for at, k in enumerate((first, other, back, end)) if k is not None]
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*kept, strict=True), (pa.int64(), pa.int64(), *(table.schema.field(c).type for c in key)), strict=True)], ["block", "at", *key])
+        kept = [(block, side, *k) for side, order in enumerate((rows, rows[::-1])) for k in _runs(order)]
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*kept, strict=True), (pa.int64(), pa.int64(), *(table.schema.field(c).type for c in key)), strict=True)], ["block", "side", *key])
 
-    heads: dict[int, list] = {}
-    found = keys.withColumn("block", block_of(*key)).groupBy("block").applyInArrow(head, f"block long, at long, host string, path string, page_id {id_type}, digest long")
+    heads: dict[int, tuple[list, list]] = {}
+    found = keys.withColumn("block", block_of(*key)).groupBy("block").applyInArrow(head, f"block long, side long, host string, path string, page_id {id_type}, digest long")
     for r in found.collect():
-        heads.setdefault(r[0], [None] * 4)[r[1]] = key_of(*r[2:])
+        heads.setdefault(r[0], ([], []))[r[1]].append(key_of(*r[2:]))
+    for ends in heads.values():
+        ends[0].sort()
+        ends[1].sort(reverse=True)
     shelf.drop("keys")
-    copies = spark.sparkContext.broadcast(edges({b: tuple(k) for b, k in heads.items()}))
+    copies = spark.sparkContext.broadcast(edges(heads))
 
     def places(*k):
         """The page's block, and as -1 - block those that need a copy of it."""
@@ -308,14 +447,33 @@ def extract(pages: DataFrame, block_pages: int = 256, id_col: str = "page_id", u
         return [bisect.bisect_right(bounds.value, one), *(-1 - b for b in copies.value.get(one, ()))]
 
     dealt = keyed.withColumn("place", F.explode(F.udf(places, "array<long>")(*key)))
-    dealt = dealt.select("*", (F.col("place") >= 0).alias("own"), F.when(F.col("place") >= 0, F.col("place")).otherwise(-1 - F.col("place")).alias("block")).drop("place")
-
-    def run(table: pa.Table) -> pa.Table:
-        ranked = [key_of(*k) for k in zip(*(table[c].to_pylist() for c in key), strict=True)]
-        table = table.take(sorted(range(len(ranked)), key=ranked.__getitem__))
-        rows = zip(table["host"].to_pylist(), table["path"].to_pylist(), table["html"].to_pylist(), strict=True)
-        texts = [t for _, part in itertools.groupby(rows, key=lambda r: r[0]) for t in ordered_texts([r[1:] for r in part])]
-        out = pa.table({"page_id": table["page_id"], "url": table["url"], "text": pa.array(texts, pa.string()), "n_chars": pa.array(map(len, texts), pa.int64())})
-        return out.filter(table["own"])
-
-    return dealt.groupBy("block").applyInArrow(run, f"page_id {id_type}, url string, text string, n_chars long")
+    dealt = dealt.select("page_id", "url", "host", "path", "digest", "html", (F.col("place") >= 0).alias("own"), F.when(F.col("place") >= 0, F.col("place")).otherwise(-1 - F.col("place")).alias("block"))
+    ordered = dealt.repartition("block").sortWithinPartitions("block", "host", "path", F.col("page_id").asc_nulls_first(), "digest")
+
+    def run(batches):
+        held, size, block, window = [], 0, None, Window(guard)
+        types = pa.schema([("page_id", id_arrow), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
+
+        def flushed():
+            nonlocal size
+            columns = [[r[0] for r, _ in held], [r[1] for r, _ in held], [t for _, t in held], [len(t) for _, t in held]]
+            held.clear()
+            size = 0
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, types, strict=True)], schema=types)
+
+        for batch in slices(batches, 64):
+            for page_id, url, at_host, at_path, digest, html, own, at_block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                ended = window.done(True) if at_block != block else window.done(False)
+                for row, text in ended:
+                    held.append((row, text))
+                    size += len(text) + 200
+                if at_block != block:
+                    block, window = at_block, Window(guard)
+                window.add(at_host, at_path, digest, html, (page_id, url) if own else None)
+                if size > 4 << 20:
+                    yield flushed()
+        held += window.done(True)
+        yield flushed()
+
+    id_arrow = to_arrow_type(pages.schema[id_col].dataType)
+    return ordered.mapInArrow(run, f"page_id {id_type}, url string, text string, n_chars long")
