@@ -5,7 +5,8 @@ probability. (With ``most`` it is the so many most frequent words, and every oth
 word-shape classes.) The background model counts the bigrams of all documents, the target model those
 of the target documents. Both smooth a bigram with the unigrams of their own counts, and those with an
 even share, by the same constants. A document's score is its mean loss per token under the target model
-less that under the background model: the lower, the more like the target.
+less that under the background model: the lower, the more like the target. Neither model scores a document
+that it has counted: the document's own counts are first taken from those of each model it is in.
 
 No table of words or bigrams is collected or broadcast. Documents are put together in batches of about
 ``BATCH`` bytes of text. A batch asks once for each bigram and word it has, with its own counts, and the
@@ -182,6 +183,19 @@ class Opened:
             out.append(np.concatenate((np.zeros(self.n_pairs, np.int64), np.bincount(self.tokens[self.ends[which] - 1], minlength=n_words))))
         return out
 
+    def own(self) -> list[np.ndarray]:
+        """By token, how often its own document has its bigram, its word, and the word before it with another behind (or a beginning)."""
+        doc = np.repeat(np.arange(len(self.lengths)), self.lengths)
+        out = []
+        for x in (self.pairs, self.tokens):
+            _, place, n = np.unique(doc * (int(x.max(initial=0)) + 1) + x, return_inverse=True, return_counts=True)
+            out.append(n[place])
+        some = self.lengths > 0
+        last = np.repeat(self.tokens[self.ends[some] - 1], self.lengths[some])
+        before = np.roll(out[1] - (self.tokens == last), 1)
+        before[self.starts[some]] = 1
+        return [*out, before]
+
     def dealt(self, buckets: int) -> list[tuple[int, np.ndarray]]:
         """(bucket, places of its keys in their order)."""
         bucket = (self.keys >> np.uint64(20)) % np.uint64(buckets)
@@ -218,7 +232,7 @@ def answers(encoded: DataFrame, buckets: int) -> DataFrame:
     return asked.groupBy("bucket").applyInArrow(answer, f"batch long, bucket long, {counted}")
 
 
-def losses(pair: np.ndarray, after: np.ndarray, before: np.ndarray, total: float) -> np.ndarray:
+def losses(pair: np.ndarray, after: np.ndarray, before: np.ndarray, total: np.ndarray) -> np.ndarray:
     """-log p(next | previous) of a model with these counts of the bigram, the next and the previous word."""
     return -np.log((pair + MU * (after + ALPHA) / total) / (before + MU))
 
@@ -262,12 +276,14 @@ def score(docs: DataFrame, target_ids: DataFrame, most: int | None = None, id_co
         for bucket, p in batch.dealt(buckets):
             for k, name in enumerate(COUNTS):
                 counts[k, p] = unpacked(found[bucket][name], len(p))
-        means = []
+        means, own = [], batch.own()
         for k in (0, 1):
             pair, word, end = counts[k, : batch.n_pairs], counts[k, batch.n_pairs :], counts[k + 2, batch.n_pairs :]
             before = np.roll((word - end)[batch.tokens], 1)
             before[batch.starts[batch.lengths > 0]] = firsts[k]
-            summed = np.concatenate(([0.0], np.cumsum(losses(pair[batch.pairs], word[batch.tokens], before, totals[k]))))
+            inside = np.repeat(batch.target, batch.lengths) if k == 0 else 1
+            less = [x * inside for x in (*own, np.repeat(batch.lengths, batch.lengths))]
+            summed = np.concatenate(([0.0], np.cumsum(losses(pair[batch.pairs] - less[0], word[batch.tokens] - less[1], before - less[2], totals[k] - less[3]))))
             means.append((summed[batch.ends] - summed[batch.starts]) / np.maximum(batch.lengths, 1))
         columns = [np.round(x, 6) + 0.0 for x in (*means, means[0] - means[1])]
         return pa.table({"doc_id": pa.array(row["ids"], pa.int64()), "n_tokens": pa.array(batch.lengths, pa.int64()), **{c: pa.array(x, pa.float64()) for c, x in zip(("target_loss", "background_loss", "score"), columns, strict=True)}})

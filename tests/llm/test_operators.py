@@ -293,19 +293,25 @@ def test_language_model_brute(spark, docs):
     vocabulary = {w: lm_diff.SHAPES + i for i, w in enumerate(top)}
     size = lm_diff.SHAPES + 301
     tokens = {i: [vocabulary.get(w, lm_diff.shape(w)) for w in t] for i, t in rows}
-    models = []
-    for ids_of in (good, set(tokens)):
+    def counts(ids_of):
         c, into, out = Counter(), Counter(), Counter()
         for i in ids_of:
             for a, b in zip([size - 1, *tokens[i]], tokens[i]):
                 c[a, b] += 1
                 into[b] += 1
                 out[a] += 1
-        total = sum(into.values()) + lm_diff.ALPHA * size
-        models.append(lambda a, b, c=c, into=into, out=out, total=total: -np.log((c[a, b] + lm_diff.MU * (into[b] + lm_diff.ALPHA) / total) / (out[a] + lm_diff.MU)))
+        return c, into, out
+
+    whole = [(ids_of, *counts(ids_of)) for ids_of in (good, set(tokens))]
     for r in lm_diff.score(docs, ids, most=300).collect():
-        own = tokens[r.doc_id]
-        losses = [np.mean([m(a, b) for a, b in zip([size - 1, *own], own)]) if own else 0.0 for m in models]
+        own, losses = tokens[r.doc_id], []
+        mine = counts([r.doc_id])
+        for ids_of, *model in whole:
+            # a document is left out of the models that score it
+            c, into, out = (lambda x, m=m, o=o: m[x] - o[x] * (r.doc_id in ids_of) for m, o in zip(model, mine))  # noqa: B023
+            total = sum(model[1].values()) - len(own) * (r.doc_id in ids_of) + lm_diff.ALPHA * size
+            steps = [-np.log((c((a, b)) + lm_diff.MU * (into(b) + lm_diff.ALPHA) / total) / (out(a) + lm_diff.MU)) for a, b in zip([size - 1, *own], own)]
+            losses.append(np.mean(steps) if own else 0.0)
         assert r.n_tokens == len(own)
         assert np.allclose([r.target_loss, r.background_loss, r.score], [*losses, losses[0] - losses[1]], atol=2e-5)
 
@@ -316,16 +322,16 @@ def test_language_model_reads_every_word(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r for r in lm_diff.score(docs, docs.where("doc_id = 10").select("doc_id")).collect()}
     # words of the same shape, all rarer than 2500 others: only the words themselves tell 11 from 20
-    assert got[11].score == got[10].score < got[20].score - 0.5
+    assert got[11].target_loss < got[20].target_loss - 0.5
     tokens = {i: [None, *t.split()] for i, t in rows}
     size = 1 + len({w for t in tokens.values() for w in t[1:]})
     for name, ids in (("target_loss", [10]), ("background_loss", list(tokens))):
-        c, into, out = Counter(), Counter(), Counter()
-        for i in ids:
-            for a, b in zip(tokens[i], tokens[i][1:]):
-                c[a, b], into[b], out[a] = c[a, b] + 1, into[b] + 1, out[a] + 1
-        total = sum(into.values()) + lm_diff.ALPHA * size
         for i, t in tokens.items():
+            c, into, out = Counter(), Counter(), Counter()
+            for j in set(ids) - {i}:
+                for a, b in zip(tokens[j], tokens[j][1:]):
+                    c[a, b], into[b], out[a] = c[a, b] + 1, into[b] + 1, out[a] + 1
+            total = sum(into.values()) + lm_diff.ALPHA * size
             want = np.mean([-np.log((c[a, b] + lm_diff.MU * (into[b] + lm_diff.ALPHA) / total) / (out[a] + lm_diff.MU)) for a, b in zip(t, t[1:])])
             assert abs(got[i][name] - want) < 2e-6
 
