@@ -36,7 +36,7 @@ from kindred.llm.common import STEP, Shelf, WordHashes, column_bytes, mix, slice
 SHAPES = 48
 MU, ALPHA = 50.0, 0.5
 FLUSH = 400_000
-BATCH, BUCKET = 4_000_000, 2_000_000
+BATCH, BUCKET = 4_000_000, 1_500_000
 # The low bit of a key tells bigrams and words apart; words hold no spaces, so START is none of them.
 PAIR, WORD = np.uint64(0), np.uint64(1)
 START = np.uint64(xxhash.xxh3_64_intdigest(b" start"))
@@ -70,7 +70,7 @@ class Vocabulary(WordHashes):
     """Hash of each word; with a closed list of words, those outside get the hash of their shape."""
 
     def __init__(self, words: list[bytes] | None):
-        super().__init__(500_000)
+        super().__init__(250_000)
         self.words = None if words is None else frozenset(words)
 
     def __missing__(self, word: bytes) -> int:
@@ -198,8 +198,8 @@ class Opened:
 
     def dealt(self, buckets: int) -> list[tuple[int, np.ndarray]]:
         """(bucket, places of its keys in their order)."""
-        bucket = (self.keys >> np.uint64(20)) % np.uint64(buckets)
-        order = np.lexsort((self.keys, bucket))
+        bucket = ((self.keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+        order = np.argsort(self.keys)
         return [(int(bucket[p[0]]), p) for p in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(p)]
 
 
@@ -211,12 +211,13 @@ def answers(encoded: DataFrame, buckets: int) -> DataFrame:
         for batch in slices(batches, 1):
             batch = Opened(batch.to_pylist()[0]), batch.column(0)[0].as_py()
             counts = batch[0].counts()
-            rows = [(batch[1], b, packed(batch[0].keys[p], 8), *(packed(c[p]) for c in counts)) for b, p in batch[0].dealt(buckets)]
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), *[pa.binary()] * 5), strict=True)], ["batch", "bucket", "keys", *COUNTS])
+            # a bucket is a range of keys, so their steps are shorter than the keys
+            rows = [(batch[1], b, len(p), packed(np.diff(batch[0].keys[p], prepend=np.uint64(0))), *(packed(c[p]) for c in counts)) for b, p in batch[0].dealt(buckets)]
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 8
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (*[pa.int64()] * 3, *[pa.binary()] * 5), strict=True)], ["batch", "bucket", "n", "keys", *COUNTS])
 
     def answer(table: pa.Table) -> pa.Table:
-        parts = [unpacked(k, len(k) // 8) for k in table["keys"].to_pylist()]
+        parts = [np.cumsum(unpacked(k, n), dtype=np.uint64) for k, n in zip(table["keys"].to_pylist(), table["n"].to_pylist(), strict=True)]
         cuts = np.cumsum([len(k) for k in parts])[:-1]
         keys, places = np.unique(np.concatenate(parts), return_inverse=True)
         columns = {}
@@ -228,7 +229,7 @@ def answers(encoded: DataFrame, buckets: int) -> DataFrame:
         n_words = int((keys & WORD).sum())
         return pa.table({"batch": pa.array([*table["batch"].to_pylist(), None], pa.int64()), "bucket": pa.array([*table["bucket"].to_pylist(), n_words], pa.int64()), **columns})
 
-    asked = encoded.select("batch", "lengths", "target", "words", "tokens").mapInArrow(ask, f"batch long, bucket long, keys binary, {counted}")
+    asked = encoded.select("batch", "lengths", "target", "words", "tokens").mapInArrow(ask, f"batch long, bucket long, n long, keys binary, {counted}")
     return asked.groupBy("bucket").applyInArrow(answer, f"batch long, bucket long, {counted}")
 
 
