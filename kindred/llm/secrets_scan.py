@@ -3,11 +3,12 @@
 For each family of credentials a prefix tree of its labelled examples is built, states counting how
 many examples arrive, end and go on by each symbol. States are merged, the tree folded along, where
 all their frequencies differ by less than the Hoeffding bound; what is left is a deterministic
-probabilistic automaton of the format. Every candidate (a run of 20 or more token characters with a
-letter and a digit) is scored by all automata: the log-likelihood of its format over that under the
-automaton of ordinary tokens, per character. In a run the automata also
-start behind each sign and may end before each sign or at its end (key=..., paths, query strings); of
-parts that overlap the one of the largest ratio in all is taken. The automata are inferred on the driver and broadcast.
+probabilistic automaton of the format. Every candidate is scored by all automata: each run of 20 or more token
+characters, and what each base span has as its secret. The score is the log-likelihood under the
+likeliest format over that under the automaton of ordinary tokens, per character. In a run the automata
+also start behind each sign and may end before each sign or at its end (key=..., paths, query strings);
+of parts that overlap the one of the largest ratio in all is taken. What scores ``LEAST_SCORE`` or more
+and meets no base span is a span of its own. The automata are inferred on the driver and broadcast.
 
 Defined cases: a null or empty text has no spans and the digest of an empty string; offsets are code
 points; repeated rows are searched alike; a null id is returned as null; other columns are not read.
@@ -36,7 +37,6 @@ BASE = ("assign", "access", "hex")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{20,}")
 SIGN = re.compile(r"[+/_.=-]")
 LEAST_LENGTH = 20
-ALPHA, DIGIT = re.compile(r"[A-Za-z]"), re.compile(r"[0-9]")
 # Symbols: ranges of letters and digits, and each sign by itself.
 CLASSES = {"a": "abcdef", "g": "ghijklmnopqrstuvwxyz", "A": "ABCDEF", "G": "GHIJKLMNOPQRSTUVWXYZ", "0": "0123456789"}
 SYMBOL = str.maketrans({c: k for k, members in CLASSES.items() for c in members})
@@ -64,7 +64,7 @@ class Automaton:
 
     def __init__(self, examples: list[str], alpha: float = 0.05):
         self.arrive, self.ends, self.next = [0], [0], [{}]
-        # merged states forget lengths, so a part of a run is held to those of the examples
+        # merged states forget lengths, so what is found is held to those of the examples
         self.least, self.most = min(map(len, examples)), max(map(len, examples))
         for example in examples:
             q = 0
@@ -157,7 +157,7 @@ class Automaton:
         for i in range(start, len(token) + 1):
             if i in stops and i - start >= LEAST_LENGTH and self.least <= i - start <= self.most:
                 found.append((i, total + self.logs[q][2]))
-            if i == len(token):
+            if i == len(token) or i - start == self.most:
                 break
             c = token[i].translate(SYMBOL)
             steps, to, _ = self.logs[q]
@@ -168,19 +168,19 @@ class Automaton:
         return found
 
 
-# The formats of the labelled credentials; x any letter or digit, h hexadecimal, d digit, u upper or digit, b base64.
+# The formats of the labelled credentials; x any letter or digit, h hexadecimal, d digit, u upper or digit, b base64, w base64 of URLs.
 FORMATS = {
     "github": ("ghp_", "x36"),
     "access": ("AKIA", "u16"),
-    "stripe": ("sk_live_", "x24"),
-    "slack": ("xoxb-", "d12", "-", "d12", "-", "x24"),
-    "google": ("AIza", "x35"),
+    "stripe": ("sk_live_", "x24-99"),
+    "slack": ("xoxb-", "d12", "-", "d12", "-", "x24-32"),
+    "google": ("AIza", "w35"),
     "aws": ("b40",),
-    "jwt": ("eyJ", "x33", ".eyJ", "x60", ".", "x43"),
+    "jwt": ("eyJ", "w17-60", ".eyJ", "w20-200", ".", "w43-86"),
     "digest": ("h40",),
 }
 LETTERS = {"x": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "h": "0123456789abcdef", "d": "0123456789", "u": "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"}
-LETTERS["b"] = LETTERS["x"] + "+/"
+LETTERS |= {"b": LETTERS["x"] + "+/", "w": LETTERS["x"] + "-_"}
 SYLLABLES = "an ar be con de ed en er es for ge in ing ion le ment ou per re se sta th ti tion un ver".split()
 
 
@@ -190,7 +190,8 @@ def labelled_credentials(count: int = 150, seed: int = 5) -> list[tuple[str, str
     word = lambda: "".join(rng.choice(SYLLABLES) for _ in range(rng.randint(1, 4)))
     for family, parts in FORMATS.items():
         for _ in range(count):
-            rows.append(("".join("".join(rng.choice(LETTERS[p[0]]) for _ in range(int(p[1:]))) if re.fullmatch(r"[xhdub]\d+", p) else p for p in parts), family))
+            drawn = [(p, re.fullmatch(r"([xhdubw])(\d+)(?:-(\d+))?", p)) for p in parts]
+            rows.append(("".join("".join(rng.choice(LETTERS[m[1]]) for _ in range(rng.randint(int(m[2]), int(m[3] or m[2])))) if m else p for p, m in drawn), family))
     for _ in range(6 * count):
         kind = rng.randrange(7)
         text = "_".join(word() for _ in range(rng.randint(2, 6))) if kind == 0 else "/".join(word() for _ in range(rng.randint(2, 7))) if kind == 1 else "-".join(word() for _ in range(rng.randint(2, 6)))
@@ -213,44 +214,45 @@ class Scanner:
         ll, family = max((a.loglik(token), k) for k, a in self.families.items())
         return (ll - self.plain.loglik(token)) / len(token), family
 
-    def parts(self, token: str, whole: bool) -> list[tuple[int, int, str]]:
-        """(start, end, family) of the whole, if asked for, and of parts between signs that score as credentials, the best of those that overlap."""
+    def parts(self, token: str) -> list[tuple[int, int, str, float]]:
+        """(start, end, family, score) of the whole, and of parts between signs that score as credentials, the best of those that overlap first of all."""
         signs = [m.start() for m in SIGN.finditer(token)]
-        stops, found = {*signs, len(token)}, []
-        score, family = self.score(token) if whole else (0.0, "")
-        if score >= LEAST_SCORE:
-            found.append((-score * len(token), 0, len(token), family))
+        score, family = self.score(token)
+        whole = (0, len(token), family, score)
+        found = [(-score * len(token), whole)] if score >= LEAST_SCORE and self.families[family].least <= len(token) <= self.families[family].most else []
+        stops = {*signs, len(token)}
         for start in (0, *(i + 1 for i in signs)):
             if len(token) - start < LEAST_LENGTH:
                 break
             for family, automaton in self.families.items():
                 for end, ll in automaton.ended(token, stops, start):
                     part = token[start:end]
-                    if ALPHA.search(part) and DIGIT.search(part):
-                        score = (ll - self.plain.loglik(part)) / len(part)
-                        if score >= LEAST_SCORE:
-                            found.append((-score * len(part), start, end, family))
-        taken: list[tuple[int, int, str]] = []
-        for _, start, end, family in sorted(found):
-            if not any(s < end and start < e for s, e, _ in taken):
-                taken.append((start, end, family))
-        return taken
-
-    def find(self, text: str) -> tuple[list, list]:
-        """(base spans, all spans)."""
+                    score = (ll - self.plain.loglik(part)) / len(part)
+                    if score >= LEAST_SCORE:
+                        found.append((-score * len(part), (start, end, family, score)))
+        taken: list[tuple[int, int, str, float]] = []
+        for _, part in sorted(found):
+            if not any(s < part[1] and part[0] < e for s, e, *_ in taken):
+                taken.append(part)
+        return taken or [whole]
+
+    def find(self, text: str) -> tuple[list, list, list]:
+        """(base spans, all spans, all candidates as (start, end, family, score))."""
         base = base_spans(text)
-        more = []
-        if max(map(len, text.split()), default=0) >= 20:
+        scored = []
+        for start, end, kind in base:
+            inner = ASSIGN.match(text, start) if kind == "assign" else None
+            start = inner.start(1) if inner else start
+            score, family = self.score(text[start:end])
+            scored.append((start, end, family, score))
+        own = {x[:2] for x in scored}
+        if max(map(len, text.split()), default=0) >= LEAST_LENGTH:
             for m in CANDIDATE.finditer(text):
-                if not ALPHA.search(m[0]) or not DIGIT.search(m[0]):
-                    continue
-                free = not any(s < m.end() and m.start() < e for s, e, _ in base)
-                for start, end, family in self.parts(m[0], free):
-                    start, end = m.start() + start, m.start() + end
-                    if free or not any(s < end and start < e for s, e, _ in base):
-                        more.append((start, end, f"format-{family}"))
+                scored += [x for s, e, family, score in self.parts(m[0]) if (x := (m.start() + s, m.start() + e, family, score))[:2] not in own]
+        fits = lambda n, family: self.families[family].least <= n <= self.families[family].most
+        more = [(s, e, f"format-{family}") for s, e, family, score in scored if score >= LEAST_SCORE and fits(e - s, family) and not any(a < e and s < b for a, b, _ in base)]
         rank = {k: i for i, k in enumerate(BASE)}
-        return base, sorted(base + more, key=lambda x: (x[0], rank.get(x[2], 9), x[2]))
+        return base, sorted(base + more, key=lambda x: (x[0], rank.get(x[2], 9), x[2])), sorted(scored)
 
 
 def joined(spans: list[tuple[int, int, str]]) -> str:
@@ -258,16 +260,27 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
 
 
 def find(docs: DataFrame, scanner: Scanner | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) of each row."""
+    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_scored, top_score, top_family, scored) of each row.
+
+    ``scored`` has every candidate as family:start:end:score, base ones too; the top is the likeliest of them."""
     shared = docs.sparkSession.sparkContext.broadcast(scanner or Scanner())
+    names = ("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_scored", "top_score", "top_family", "scored")
 
     def run(batches):
         for batch in slices(batches):
-            results = [shared.value.find(t) for t in column_text(batch, "text")]
-            counts = [[sum(k == kind for _, _, k in b) for b, _ in results] for kind in BASE]
-            digests = [hashlib.sha256(joined(b).encode()).hexdigest() for b, _ in results]
-            columns = [batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array([joined(a) for _, a in results], pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
+            base, spans, scored = zip(*map(shared.value.find, column_text(batch, "text")), strict=True)
+            tops = [max(((round(score, 6) + 0.0, f) for *_, f, score in x), default=(None, None)) for x in scored]
+            columns = [
+                batch.column(0),
+                *(pa.array([sum(k == kind for _, _, k in b) for b in base], pa.int64()) for kind in BASE),
+                pa.array([hashlib.sha256(joined(b).encode()).hexdigest() for b in base], pa.string()),
+                pa.array([joined(x) for x in spans], pa.string()),
+                pa.array(list(map(len, scored)), pa.int64()),
+                pa.array([t for t, _ in tops], pa.float64()),
+                pa.array([f for _, f in tops], pa.string()),
+                pa.array([",".join(f"{f}:{s}:{e}:{score:.3f}" for s, e, f, score in x) for x in scored], pa.string()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, list(names))
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return source.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_scored long, top_score double, top_family string, scored string")

@@ -229,6 +229,87 @@ def test_secrets_inside_a_run():
         assert shares[family, True] >= 0.9 * (shares[family, True] + shares[family, False]), shares
 
 
+def walked(a, token):
+    """Log-likelihood by the automaton's counts."""
+    q, total = 0, 0.0
+    for c in token:
+        symbol = next((k for k, members in secrets_scan.CLASSES.items() if c in members), c)
+        total -= np.log(len(secrets_scan.CLASSES.get(symbol, " ")))
+        if q is None:
+            total += secrets_scan.FLOOR / 2
+        else:
+            to, n = a.next[q].get(symbol, (None, 0))
+            total += np.log(n / a.arrive[q]) if n else secrets_scan.FLOOR
+            q = to
+    return total + (np.log(a.ends[q] / a.arrive[q]) if q is not None and a.ends[q] else secrets_scan.FLOOR)
+
+
+def test_every_candidate_is_scored_brute(spark):
+    scanner = secrets_scan.Scanner()
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    extra = [(90_000, "auth=ghp_" + "Ab3" * 12 + " and password: hunter22 then " + "lettersonly" * 3), (90_001, "x" * 30 + "/" + "0f" * 20), (90_002, None)]
+    rows = rows.union(spark.createDataFrame(extra, rows.schema))
+    texts = {r.doc_id: r.text or "" for r in rows.collect()}
+    n = 0
+    for r in secrets_scan.find(rows).collect():
+        text = texts[r.doc_id]
+        found = [x.rsplit(":", 3) for x in r.scored.split(",")] if r.scored else []
+        assert r.n_scored == len(found)
+        for family, start, end, score in found:
+            token = text[int(start) : int(end)]
+            ll = {k: walked(a, token) for k, a in scanner.families.items()}
+            assert abs(float(score) - (ll[family] - walked(scanner.plain, token)) / len(token)) < 6e-4
+            n += 1
+        # each run of token characters and each base span has a score
+        covered = [(int(s), int(e)) for _, s, e, _ in found]
+        for m in re.finditer(r"[A-Za-z0-9+/_.=-]{20,}", text):
+            assert any(s < m.end() and m.start() < e for s, e in covered)
+        for s, e, _ in secrets_scan.base_spans(text):
+            assert any(s <= a and b <= e for a, b in covered)
+        if found:
+            assert r.top_score == pytest.approx(max(float(x[3]) for x in found), abs=6e-4)
+    assert n > 10
+
+
+def test_automaton_keeps_frequencies():
+    rng = random.Random(5)
+    examples = ["".join(rng.choice("aA0-") for _ in range(rng.randint(1, 4))) for _ in range(60)]
+    # alpha 2 makes the bound nought: only states of equal frequencies are merged, which changes no likelihood
+    a = secrets_scan.Automaton(examples, alpha=2.0)
+    for x, n in Counter(examples).items():
+        spread = sum(np.log(len(secrets_scan.CLASSES.get(next((k for k, v in secrets_scan.CLASSES.items() if c in v), c), " "))) for c in x)
+        assert abs(a.loglik(x) - (np.log(n / len(examples)) - spread)) < 1e-9
+
+
+def test_secrets_of_another_making():
+    """Tokens drawn from digests, not by the generator that labels the examples."""
+    import base64
+
+    alphabet = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    raw = lambda i, n: b"".join(hashlib.sha512(f"{i}/{j}".encode()).digest() for j in range(n // 64 + 1))[:n]
+    letters = lambda i, n, among=alphabet: "".join(among[b % len(among)] for b in raw(i, n))
+    made = {
+        "github": lambda i: "ghp_" + letters(i, 36),
+        "access": lambda i: "AKIA" + letters(i, 16, alphabet[:36]),
+        "stripe": lambda i: "sk_live_" + letters(i, 24),
+        "slack": lambda i: f"xoxb-{letters(i, 12, '0123456789')}-{letters(i + 1, 12, '0123456789')}-{letters(i, 24)}",
+        "google": lambda i: "AIza" + letters(i, 35, alphabet + "-_"),
+        "aws": lambda i: base64.b64encode(raw(i, 30)).decode(),
+        "jwt": lambda i: ".".join(("eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9", "eyJ" + base64.urlsafe_b64encode(raw(i, 45)).decode(), base64.urlsafe_b64encode(raw(i, 32)).decode().rstrip("="))),
+        "digest": lambda i: hashlib.sha1(b"%d" % i).hexdigest(),
+    }
+    scanner, hit = secrets_scan.Scanner(), Counter()
+    for family, make in made.items():
+        for i in range(100):
+            token = make(i * 7)
+            spans = scanner.find(f"the value {token} was set")[1]
+            hit[family] += any(s < 10 + len(token) and 10 < e for s, e, _ in spans)
+    print(dict(hit))
+    assert all(hit[f] >= 90 for f in made if f != "jwt") and hit["jwt"] >= 50
+    plain = ["electroencephalographically", "https://docs.example.org/guide/getting-started", "src/main/java/com/example/App.java", "snake_case_variable_name_of_old", "2024-05-17T10:22:31.000", "Donaudampfschifffahrtsgesellschaft", "v1.22.333-alpha.4.linux.amd64", "===========================", "one.two.three.four.five.six"]
+    assert [x for x in plain if scanner.find(x)[1]] == []
+
+
 def test_automaton_is_a_distribution():
     a = secrets_scan.Automaton(["ab1", "ab2", "a1", "b", "ab1"])
     for q in a.red:
