@@ -1,15 +1,17 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, verified exactly.
 
-Items are partitioned by size (powers of two of their shingle count). For the class whose items have
-at most u shingles the index keeps, of each item, the k = u - ceil(threshold * u) + 1 smallest hashes
-of its shingles (its bottom-k MinHash sketch). A document that holds at least the threshold's share of
-an item's shingles misses at most k - 1 of them, so one sketch hash at least occurs in it: the search
-loses nothing at any document length, and short items are found inside long texts. Candidates are then
-verified on the shingles themselves.
-
-Documents are read once for each block of the index (``block`` sketch hashes; one block unless the
-benchmark is very large), with the block shipped to the tasks: no shuffle, and what is shipped is
-bounded by the parameter. Words are lower-cased and lose punctuation at their ends.
+Items are partitioned by size: a partition has the items of one shingle length whose numbers of shingles
+lie between two powers of two, u/2 and u. It keeps of each item the u - ceil(threshold * u) + 1 smallest hashes of its shingles
+(a bottom-k MinHash sketch, k by partition), and is searched by itself: from a document it takes the
+hashes up to the largest of its sketches, which is the document's sketch for that partition, and counts by
+item how many it has in common. A document that holds the threshold's share of an item's shingles misses
+at most e = n - ceil(threshold * n) of them, so it holds all but e of the sketch at least: fewer common
+hashes rule an item out, and the search loses nothing at any document length. What is left is verified
+on the shingles themselves.
+
+Documents are read once for each block of the index; a block has at most about ``block`` bytes of item texts and sketches (one
+block unless the benchmark is very large) and is shipped to the tasks: no shuffle. Words are lower-cased
+and lose punctuation at their ends.
 
 Defined cases: null or empty texts hold nothing and contain nothing; items with fewer words than a
 shingle are one shingle of their whole sequence; equal items are each reported; repeated document rows
@@ -18,8 +20,8 @@ are each reported; a null id is returned as null; other columns are not read.
 
 from __future__ import annotations
 
-import math
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,7 @@ from pyspark.sql import functions as F
 from kindred.llm.common import WordHashes, column_bytes, shingle_hashes, slices
 
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
+BLOCK = 32 << 20
 SCHEMA = "doc_id long, item_id long, n_shingles long, n_common long, containment double"
 
 
@@ -51,104 +54,141 @@ def text_hashes(text: bytes, k: int, hashes: WordHashes) -> np.ndarray:
     return shingle_hashes(ids[ids != 0], k)
 
 
-class SketchIndex:
-    """The sketches of a block of items: sorted hashes, and by hash the items that have it."""
+class Partition:
+    """The sketches of items of one shingle length and size class."""
 
-    def __init__(self, items: list[tuple[int, bytes]], k: int, threshold: float):
-        hashes = WordHashes(clean=clean)
-        self.k, self.threshold, self.ids, self.sets, self.sizes = k, threshold, [], [], []
-        found, owner = [], []
-        for item_id, text in items:
-            own = np.unique(text_hashes(text, k, hashes))
-            if not len(own):
-                continue
-            bound = 1 << math.ceil(math.log2(len(own)))
-            keep = bound - math.ceil(threshold * bound - 1e-9) + 1
-            sketch = own[:keep]
-            found.append(sketch)
-            owner.append(np.full(len(sketch), len(self.ids)))
-            self.ids.append(item_id)
-            self.sets.append(shingles_of(text, k))
-            self.sizes.append(min(len(words_of(text)), k))
-        hash_, own_ = (np.concatenate(found), np.concatenate(owner)) if found else (np.zeros(0, np.uint64), np.zeros(0, int))
-        order = np.argsort(hash_, kind="stable")
-        self.hashes, self.owners = hash_[order], own_[order]
+    def __init__(self, length: int, items: list[tuple[int, int, np.ndarray]], threshold: float):
+        """``items`` has the number, the number of shingles and the sketch of each."""
+        self.length = length
+        hashes = np.concatenate([sketch for *_, sketch in items])
+        owners = np.repeat(np.arange(len(items)), [len(sketch) for *_, sketch in items])
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.owners, self.bound = hashes[order], owners[order], hashes.max()
+        self.items = np.array([i for i, *_ in items])
+        self.least = np.array([max(1, len(sketch) - (n - needed(n, threshold))) for _, n, sketch in items])
 
     def candidates(self, own: np.ndarray) -> np.ndarray:
-        """Numbers of the items that share a sketch hash with the shingles."""
-        at = np.searchsorted(self.hashes, own)
-        hit = own[(at < len(self.hashes)) & (self.hashes[np.minimum(at, len(self.hashes) - 1)] == own)] if len(self.hashes) else own[:0]
+        """Numbers of the items that a text with these distinct sorted hashes may contain."""
+        sketch = own[: np.searchsorted(own, self.bound, "right")]
+        lo = np.searchsorted(self.hashes, sketch)
+        hit = sketch[self.hashes[np.minimum(lo, len(self.hashes) - 1)] == sketch]
         if not len(hit):
-            return np.zeros(0, int)
-        hit = np.unique(hit)
-        spans = [self.owners[a:b] for a, b in zip(np.searchsorted(self.hashes, hit), np.searchsorted(self.hashes, hit, "right"), strict=True)]
-        return np.unique(np.concatenate(spans))
+            return self.items[:0]
+        lo, hi = np.searchsorted(self.hashes, hit), np.searchsorted(self.hashes, hit, "right")
+        common = np.bincount(np.concatenate([self.owners[a:b] for a, b in zip(lo, hi, strict=True)]), minlength=len(self.items))
+        return self.items[common >= self.least]
 
 
-def search(docs: DataFrame, items: DataFrame, k: int = 5, threshold: float = 0.8, block: int = 200_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, item_id, n_shingles, n_common, containment) of each document and item it contains.
+def needed(n: int, threshold: float) -> int:
+    """The least number of an item's n shingles that a text which contains it has."""
+    return int(np.ceil(threshold * n - 1e-9))
 
-    ``block`` bounds the sketch hashes of an index block and so what a task holds.
-    """
-    spark = docs.sparkSession
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    out, chunk, weight = [], [], 0
 
-    def flush() -> None:
-        nonlocal chunk, weight
-        out.append(_against(source, SketchIndex(chunk, k, threshold)))
-        chunk, weight = [], 0
+class Index:
+    """A block of items in partitions."""
 
+    def __init__(self, items: list[tuple[int, bytes]], k: int, threshold: float):
+        hashes = WordHashes(clean=clean)
+        self.threshold, self.ids, self.texts, self.lengths = threshold, [], [], []
+        classes: dict[tuple[int, int], list[tuple[int, int, np.ndarray]]] = {}
+        for item_id, text in items:
+            own = np.unique(text_hashes(text, k, hashes))
+            if len(own):
+                length = min(len(words_of(text)), k)
+                u = sketched(len(own))
+                classes.setdefault((length, u), []).append((len(self.ids), len(own), own[: u - needed(u, threshold) + 1]))
+                self.ids.append(item_id)
+                self.texts.append(text)
+                self.lengths.append(length)
+        self.partitions = [Partition(length, members, threshold) for (length, _), members in sorted(classes.items(), key=lambda x: x[0])]
+
+
+def sketched(n: int) -> int:
+    """The upper end of the size class of n shingles."""
+    return 1 << (n - 1).bit_length()
+
+
+class Reader:
+    """Searches a block of the index."""
+
+    def __init__(self, index: Index):
+        self.index, self.hashes, self.sets = index, WordHashes(clean=clean), {}
+
+    def found(self, text: bytes) -> Iterator[tuple[int, int, int]]:
+        """(number of the item, its shingles, those in the text) of each item that the text contains."""
+        ids = self.hashes.of(text.split())
+        ids = ids[ids != 0]
+        own: dict[int, np.ndarray] = {}
+        exact: dict[int, set] = {}
+        for part in self.index.partitions:
+            length = part.length
+            if len(ids) < length:
+                continue
+            if length not in own:
+                own[length] = np.unique(shingle_hashes(ids, length))
+            for i in part.candidates(own[length]).tolist():
+                if length not in exact:
+                    exact[length] = shingles_of(text, length)
+                if i not in self.sets:
+                    self.sets[i] = shingles_of(self.index.texts[i], length)
+                n, common = len(self.sets[i]), len(self.sets[i] & exact[length])
+                if common >= needed(n, self.index.threshold):
+                    yield i, n, common
+
+    def contained(self, text: bytes) -> bool:
+        return next(self.found(text), None) is not None
+
+
+def indexes(items: DataFrame, k: int, threshold: float, block: int) -> Iterator[Index]:
+    chunk, weight = [], 0
     for row in items.select(F.col("item_id").cast("long"), F.col("text")).orderBy("item_id", "text").toLocalIterator():
         text = (row[1] or "").encode()
         chunk.append((row[0], text))
-        weight += len(text) // 16 + 1
+        # a sketch has at most a hash and its owner for each word
+        weight += len(text) + 16 * len(text.split()) + 64
         if weight >= block:
-            flush()
-    if chunk or not out:
-        flush()
-    found = out[0]
-    for more in out[1:]:
-        found = found.unionByName(more)
-    return found if out else spark.createDataFrame([], SCHEMA)
+            yield Index(chunk, k, threshold)
+            chunk, weight = [], 0
+    if chunk:
+        yield Index(chunk, k, threshold)
 
 
-def _against(source: DataFrame, index: SketchIndex) -> DataFrame:
-    shared = source.sparkSession.sparkContext.broadcast(index)
+def search(docs: DataFrame, items: DataFrame, k: int = 5, threshold: float = 0.8, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, item_id, n_shingles, n_common, containment) of each document and item it contains."""
+    spark = docs.sparkSession
+    source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    found = spark.createDataFrame([], SCHEMA)
+    for n, index in enumerate(indexes(items, k, threshold, block)):
+        part = source.mapInArrow(_matches(spark.sparkContext.broadcast(index)), SCHEMA)
+        found = found.unionByName(part) if n else part
+    return found
 
+
+def _matches(shared):
     def run(batches):
-        index = shared.value
-        hashes = WordHashes(clean=clean)
-        # whole items of fewer words than a shingle are looked for at their own length
-        short = sorted({s for s in index.sizes if s < index.k})
+        reader = Reader(shared.value)
         for batch in slices(batches):
-            rows = []
-            ids = batch.column(0).to_pylist()
-            for doc_id, text in zip(ids, column_bytes(batch, "text"), strict=True):
-                own = hashes.of(text.split())
-                own = own[own != 0]
-                seen = np.concatenate([shingle_hashes(own, index.k), *(shingle_hashes(own, s) for s in short if len(own) >= s)]) if len(own) else own
-                found = index.candidates(seen)
-                if not len(found):
-                    continue
-                by_size: dict[int, set] = {}
-                for i in found:
-                    size = index.sizes[i]
-                    if size not in by_size:
-                        by_size[size] = shingles_of(text, size)
-                    items = index.sets[i]
-                    common = len(items & by_size[size])
-                    if common >= index.threshold * len(items) - 1e-9:
-                        rows.append((doc_id, index.ids[i], len(items), common, common / len(items)))
+            rows = [(doc_id, reader.index.ids[i], n, common, common / n) for doc_id, text in zip(batch.column(0).to_pylist(), column_bytes(batch, "text"), strict=True) for i, n, common in reader.found(text)]
             columns = list(zip(*rows, strict=True)) if rows else [()] * 5
             types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "item_id", "n_shingles", "n_common", "containment"])
 
-    return source.mapInArrow(run, SCHEMA)
+    return run
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **parameters) -> DataFrame:
-    """The rows of docs that contain no item; rows of a null id are judged one by one and kept if clean."""
-    known = docs.where(F.col(id_col).isNotNull())
-    found = search(known, items, id_col=id_col, **parameters).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(found, docs[id_col].cast("long") == found["_hit"], "left_anti")
+def drop_contaminated(docs: DataFrame, items: DataFrame, k: int = 5, threshold: float = 0.8, block: int = BLOCK, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose text contains no item, each judged by its own text; no join, no shuffle."""
+    at = docs.columns.index(text_col)
+    for index in indexes(items, k, threshold, block):
+        docs = docs.mapInArrow(_clean_rows(docs.sparkSession.sparkContext.broadcast(index), at), docs.schema)
+    return docs
+
+
+def _clean_rows(shared, at: int):
+    def run(batches):
+        reader = Reader(shared.value)
+        for batch in slices(batches):
+            texts = column_bytes(batch.select([at]), batch.schema.names[at])
+            yield batch.filter(pa.array([not reader.contained(t) for t in texts], pa.bool_()))
+
+    return run
