@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -20,11 +21,10 @@ STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset, one is set for this session."""
-    context = spark.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    """The folder of spark.checkpoint.dir; where that is unset, one in the warehouse is set for this session."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "/tmp/checkpoints"
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shelf"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
@@ -32,25 +32,50 @@ def shared_folder(spark: SparkSession) -> str:
 class Shelf:
     """Tables written under the shared folder, in order to cut lineage or to be read more than once.
 
-    Tables that a returned DataFrame still reads stay there; drop() removes the others.
+    Tables that a returned DataFrame still reads stay there until the driver ends, or the block of
+    ``released`` does in which the shelf was made; drop() removes the others at once.
     """
 
+    made: list[Shelf] = []
+
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        self.spark, self.root, self.kept = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", False
+        Shelf.made.append(self)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(self.path(name))
+        if not self.kept:
+            files, path = self._at(self.root)
+            self.kept = files.deleteOnExit(path)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def _at(self, path: str) -> tuple:
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), where
+
     def drop(self, *names: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            path.getFileSystem(conf).delete(path, True)
+            files, path = self._at(self.path(name))
+            files.delete(path, True)
+
+    def drop_all(self) -> None:
+        files, path = self._at(self.root)
+        files.delete(path, True)
+
+
+@contextmanager
+def released() -> Iterator[None]:
+    """Shelves made in the block go with its end: what was read from them has been written elsewhere."""
+    before, Shelf.made = Shelf.made, []
+    try:
+        yield
+    finally:
+        for shelf in Shelf.made:
+            shelf.drop_all()
+        Shelf.made = before
 
 
 class WordHashes(dict):
@@ -93,11 +118,6 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return mix(out + np.uint64(k))
 
 
-def lower_az(text: bytes) -> bytes:
-    """bytes.lower() changes A-Z only."""
-    return text.lower()
-
-
 def column_bytes(batch: pa.RecordBatch, name: str) -> list[bytes]:
     """UTF-8 of a string column; null as empty."""
     column = batch.column(batch.schema.get_field_index(name))

@@ -7,7 +7,7 @@ values of a band come from different permutations and each is unbiased for the J
 probability of at most 1e-5.
 
 Candidates are confirmed on the full shingle sets (64-bit hashes of the shingles), in two rounds.
-Documents with equal sets are one class with its smallest id. In each bucket of classes every member is
+Documents with equal sets are one class. In each bucket of classes every member is
 first compared with the smallest one, the pivot. Members in the pivot's component are then done with
 it. A pivot's group are its members in other components, and those of its own that the triangle
 inequality of the Jaccard distance leaves within reach of them. In the second round the groups are
@@ -17,9 +17,10 @@ links it finds. So every candidate pair is judged or ruled out, a large group of
 comparison a member, and the pairs of a group are never written out.
 
 Defined cases: without words (or with a null text) a document's set is empty, and it is linked with
-nothing; rows of a null id are returned with a null component and kept; rows that repeat an id are
-returned each, and rows of different texts under one id are linked like any others; other columns
-are not read.
+nothing. Rows are told apart by id and text, so rows of different texts under one id, or under none, are
+each linked by their own text and returned each. A component's id is its smallest id that is not null,
+null if it has none; kept are its rows of this id, or if it has none those of the first text by hash;
+without words a row is its own component and kept. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm.common import Shelf, WordHashes, column_bytes, mix, shingle_hashes, slices
@@ -84,7 +85,7 @@ def _arrow(columns, types, names):
 
 
 def sign(docs: DataFrame, k: int, rows: int) -> DataFrame:
-    """(doc_id, n, d1, d2, bands): size and digest of each row's shingle set and its band keys."""
+    """(doc_id, h, n, d1, d2, bands): of each row (doc_id, h, text) size and digest of the shingle set and its band keys."""
 
     def run(batches):
         hashes = WordHashes()
@@ -96,18 +97,18 @@ def sign(docs: DataFrame, k: int, rows: int) -> DataFrame:
                 keys = band_keys(*min_max(own, a, b), rows).astype(np.int64) if len(own) else np.zeros(0, np.int64)
                 out.append((len(own), *digest(own), keys))
             n, d1, d2, keys = zip(*out, strict=True) if out else [()] * 4
-            yield _arrow([batch.column(0), n, d1, d2, list(keys)], [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())], ["doc_id", "n", "d1", "d2", "bands"])
+            yield _arrow([batch.column(0), batch.column(1), n, d1, d2, list(keys)], [*[pa.int64()] * 5, pa.list_(pa.int64())], ["doc_id", "h", "n", "d1", "d2", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, h long, n long, d1 long, d2 long, bands array<long>")
 
 
 def _sets(docs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
-    """(doc_id, d1, d2, own) of the rows of wanted ids, and of some others: ids are first looked for in a
+    """(n, d1, d2, own) of the rows whose h is wanted, and of some others: h is first looked for in a
     hashed bitmap of at most 2**MOST_BITS bits, so that the texts are not shuffled."""
     n = wanted.count()
     bits = 1 << min(MOST_BITS, max(10, (16 * n).bit_length()))
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
-    words = wanted.select(place(F.col("rep")).alias("h")).select(F.shiftright("h", 5).alias("word"), F.expr("shiftleft(1L, CAST(h % 32 AS INT))").alias("bit"))
+    words = wanted.select(place("h").alias("p")).select(F.shiftright("p", 5).alias("word"), F.expr("shiftleft(1L, CAST(p % 32 AS INT))").alias("bit"))
     bitmap = np.zeros(bits >> 5, np.int64)
     for r in words.groupBy("word").agg(F.bit_or("bit").alias("bit")).toLocalIterator():
         bitmap[r.word] = r.bit
@@ -116,14 +117,13 @@ def _sets(docs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
     def run(batches):
         hashes, known = WordHashes(), shared.value
         for batch in slices(batches):
-            h = batch.column(2).fill_null(0).to_numpy(zero_copy_only=False)
-            batch = batch.filter(pa.array((known[h >> 5] >> (h & 31).astype(np.uint32)) & 1 == 1))
+            p = batch.column(1).to_numpy(zero_copy_only=False)
+            batch = batch.filter(pa.array((known[p >> 5] >> (p & 31).astype(np.uint32)) & 1 == 1))
             own = [shingle_set(text, k, hashes) for text in column_bytes(batch, "text")]
             d = [digest(x) for x in own]
-            columns = [batch.column(0), [x[0] for x in d], [x[1] for x in d], [x.tobytes() for x in own]]
-            yield _arrow(columns, [pa.int64(), pa.int64(), pa.int64(), pa.binary()], ["doc_id", "d1", "d2", "own"])
+            yield _arrow([list(map(len, own)), [x[0] for x in d], [x[1] for x in d], [x.tobytes() for x in own]], [pa.int64(), pa.int64(), pa.int64(), pa.binary()], ["n", "d1", "d2", "own"])
 
-    return docs.select("doc_id", "text", place(F.col("doc_id")).alias("h")).mapInArrow(run, "doc_id long, d1 long, d2 long, own binary")
+    return docs.select("text", place("h").alias("p")).mapInArrow(run, "n long, d1 long, d2 long, own binary")
 
 
 def _compared(pairs: DataFrame) -> DataFrame:
@@ -143,31 +143,34 @@ def _compared(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, "rep long, pivot long, common long, n_union long")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of each row: linked are documents of which
-    100 * intersection >= percent * union holds for the sets of distinct k-word shingles."""
-    spark = docs.sparkSession
-    shelf = Shelf(spark, "minhash")
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> tuple[Column, Column, Column]:
+    """What tells rows apart: id, and a hash of id and text; and the text."""
+    doc_id, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")
+    return doc_id.alias("doc_id"), F.xxhash64(doc_id, text).alias("h"), text.alias("text")
+
+
+def judged_rows(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, h, n, component_id, first) of each row: linked are documents of which
+    100 * intersection >= percent * union holds for the sets of distinct k-word shingles; first are
+    the rows equal to the first of their component in id and text."""
+    shelf = Shelf(docs.sparkSession, "minhash")
+    source = docs.select(*_rows(docs, id_col, text_col))
     signed = shelf.put(sign(source, k, rows_per_band(percent / 100)), "signed")
-    usable = signed.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    classes = shelf.put(
-        usable.groupBy("n", "d1", "d2").agg(F.min(F.struct("doc_id", "bands")).alias("x")).select("n", "d1", "d2", F.col("x.doc_id").alias("rep"), F.col("x.bands").alias("bands")),
-        "classes",
-    )
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "bands")).alias("x")
+    found = signed.where("n > 0").groupBy("n", "d1", "d2").agg(first)
+    # a class gets a number, which holds from here on since it is written
+    classes = shelf.put(found.select("n", "d1", "d2", F.struct("x.none", "x.doc_id", "x.h").alias("first"), "x.bands", F.monotonically_increasing_id().alias("rep")), "classes")
     buckets = classes.select(F.explode("bands").alias("key"), "rep")
     several = buckets.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).where(F.col("pivot") != F.col("last")).select("key", "pivot")
     members = shelf.put(buckets.join(several.hint("merge"), "key").where("rep != pivot").distinct(), "members")
     # sets are made once, of all classes that share a bucket
     ids = members.select("rep").union(members.select(F.col("pivot").alias("rep"))).distinct()
-    wanted = shelf.put(classes.select("rep", "d1", "d2").join(ids.hint("merge"), "rep", "left_semi"), "wanted")
-    found = _sets(source, k, wanted).join(wanted.withColumnRenamed("rep", "doc_id").hint("merge"), ["doc_id", "d1", "d2"], "left_semi")
-    sets = shelf.put(found.dropDuplicates(["doc_id", "d1", "d2"]).select(F.col("doc_id").alias("rep"), "own"), "sets")
+    wanted = shelf.put(classes.select("rep", "n", "d1", "d2", F.col("first.h").alias("h")).join(ids.hint("merge"), "rep", "left_semi"), "wanted")
+    own = _sets(source, k, wanted).join(wanted.select("rep", "n", "d1", "d2").hint("merge"), ["n", "d1", "d2"])
+    sets = shelf.put(own.groupBy("rep").agg(F.any_value("own").alias("own")), "sets")
     pairs = members.select("rep", "pivot").distinct()
     compared = _compared(pairs.join(sets.hint("merge"), "rep").join(sets.select(F.col("rep").alias("pivot"), F.col("own").alias("other")).hint("merge"), "pivot").select("rep", "pivot", "own", "other"))
-    # an id repeated over different texts has several sets: the closest decides
-    best = compared.groupBy("rep", "pivot").agg(F.max(F.struct((F.col("common") / F.col("n_union")).alias("j"), "common", "n_union")).alias("z"))
-    judged = shelf.put(best.select("rep", "pivot", "z.common", "z.n_union"), "judged")
+    judged = shelf.put(compared, "judged")
     links = judged.where(100 * F.col("common") >= percent * F.col("n_union")).select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
     roots = components(links, shelf, "roots-0")
     groups = shelf.put(_groups(members, judged, roots, 1 - percent / 100 + 1e-9), "groups")
@@ -175,11 +178,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         more = shelf.put(_within_groups(groups, sets, percent), "links")
         if not more.isEmpty():
             roots = components(more.union(roots.select("node", "root")), shelf, "roots-1")
-    shelf.drop("sets", "members", "wanted")
-    own = classes.select("n", "d1", "d2", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("n", "d1", "d2", F.coalesce("root", "rep").alias("root"))
-    whole = signed.select("doc_id", "n", "d1", "d2").join(own, ["n", "d1", "d2"], "left")
-    component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("root", "doc_id"))
-    return whole.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    shelf.drop("sets", "members", "wanted", "judged", "groups", "links")
+    own = classes.select("n", "d1", "d2", "rep", "first").join(roots, F.col("rep") == F.col("node"), "left").withColumn("root", F.coalesce("root", "rep")).drop("rep", "node", "bands")
+    heads = own.groupBy("root").agg(F.min("first").alias("head"))
+    own = own.join(heads.hint("merge"), "root").select("n", "d1", "d2", "head")
+    whole = signed.select("doc_id", "h", "n", "d1", "d2").join(own, ["n", "d1", "d2"], "left")
+    empty = F.col("n") == 0
+    return whole.select(
+        "doc_id", "h", "n", F.when(empty, F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("component_id"),
+        (empty | (F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("h") == F.col("head.h")))).alias("first"),
+    )
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of each row, by ``judged_rows``."""
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("first"))
+    return judged_rows(docs, k, percent, id_col, text_col).select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
 
 
 def _groups(members: DataFrame, judged: DataFrame, roots: DataFrame, reach: float) -> DataFrame:
@@ -255,12 +269,22 @@ def forest(own: list[np.ndarray], ids: np.ndarray, rows: np.ndarray, columns: np
     return edges
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", **parameters) -> DataFrame:
-    """One row of docs of each group, that of the smallest id; rows of a null id stay."""
-    found = near_duplicates(docs, id_col=id_col, **parameters)
-    kept = found.where(F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_kept")).distinct()
-    known = docs.where(F.col(id_col).isNotNull()).join(kept, docs[id_col].cast("long") == F.col("_kept"), "left_semi").dropDuplicates([id_col])
-    return known.unionByName(docs.where(F.col(id_col).isNull()))
+def keep_first(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of docs of each group, the first by id (null last), then by a hash of id and text; of rows
+    equal in both, the least by their columns. Rows without words all stay."""
+    shelf = Shelf(docs.sparkSession, "first")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.select(F.struct(*columns).alias("row"), *_rows(docs, id_col, text_col)[:2])
+    found = judged_rows(docs, k, percent, id_col, text_col).where("n > 0").groupBy("doc_id", "h").agg(F.max("first").alias("first"), F.count("*").alias("copies"))
+    # what is not simply kept: rows that go, and rows equal in id and text, of which one stays
+    other = shelf.put(found.where("NOT first OR copies > 1"), "other").withColumnsRenamed({"doc_id": "own", "h": "own_h"})
+    match = F.col("doc_id").eqNullSafe(F.col("own")) & (F.col("h") == F.col("own_h"))
+    kept = rows.join(other, match, "left_anti").select("row.*")
+    repeated = other.where("first")
+    if not repeated.isEmpty():
+        one = rows.join(repeated, match).groupBy("doc_id", "h").agg(F.min("row").alias("row"))
+        kept = kept.unionByName(one.select("row.*"))
+    return kept
 
 
 def oracle(k: int = 3, percent: int = 85, table: str = "documents") -> str:

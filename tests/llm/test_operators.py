@@ -99,10 +99,26 @@ def test_near_duplicates_edges(odd, empty):
     rows = minhash.near_duplicates(odd, 3, 85).collect()
     assert len(rows) == len(ODD)
     assert {(r.doc_id, r.component_id) for r in rows if r.doc_id is not None} == {(i, i) for i, *_ in ODD if i is not None}
-    assert all(r.kept and r.component_id is None for r in rows if r.doc_id is None)
+    # of the null ids one has no words, and one has the words of id 9
+    assert {(r.n_shingles, r.component_id, r.kept) for r in rows if r.doc_id is None} == {(0, None, True), (3, 9, False)}
     assert minhash.near_duplicates(empty, 3, 85).count() == 0
     kept = minhash.keep_first(odd)
-    assert kept.columns == odd.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 0, 1, 2, 3, 4, 7, 8, 9]
+    # one of the two equal rows of id 4 goes, and the null id with the words of id 9
+    assert kept.columns == odd.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 7, 8, 9]
+
+
+def test_near_duplicates_of_repeated_and_null_ids(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b), (None, c), (None, c + " more"), (None, d), (4, d + " more"), (5, None), (5, None), (None, ""), (6, "A0"), (6, "a0")]
+    docs = spark.createDataFrame([(i, t, n, "x") for n, (i, t) in enumerate(rows)], "doc_id long, text string, h long, first string")
+    got = Counter((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(docs, 5, 80).collect())
+    assert got == Counter({(1, 1, True): 2, (2, 1, False): 1, (3, 1, False): 1, (None, None, True): 2, (None, None, False): 1, (None, 4, False): 1, (4, 4, True): 1, (5, 5, True): 2, (6, 6, True): 2})
+    kept = minhash.keep_first(docs)
+    assert kept.columns == docs.columns
+    found = [(r.doc_id, r.text) for r in kept.collect()]
+    # both texts of id 1 stay, a text of the null ids, every row without words, and one of the equal sets of id 6
+    assert {(1, a), (1, b), (4, d + " more"), (5, None), (None, "")} <= set(found) and len(found) == 8
+    assert sum(i is None and t.startswith("c0") for i, t in found if t) == 1 and sum(i == 6 for i, _ in found) == 1
 
 
 def test_min_max_is_unbiased():
@@ -128,7 +144,7 @@ def test_containment_brute(spark, docs):
     for r in every.collect():
         own = contain.shingles_of(r.text.encode(), 5)
         want |= {(r.doc_id, i, len(s), len(s & own)) for i, s in sets.items() if len(s & own) >= 0.8 * len(s)}
-    for block in (200_000, 20):
+    for block in (contain.BLOCK, 4000):
         found = contain.search(every, items, block=block)
         assert {(r.doc_id, r.item_id, r.n_shingles, r.n_common) for r in found.collect()} == want
     assert len(want) > 10
@@ -139,8 +155,23 @@ def test_containment_edges(spark, odd, empty):
     rows = contain.search(odd, items).collect()
     assert {r.item_id for r in rows if r.doc_id == 4} == {1} and {r.item_id for r in rows if r.doc_id == 3} == {None}
     assert contain.search(empty, items).count() == 0 and contain.search(odd, items.limit(0)).count() == 0
-    kept = contain.drop_contaminated(odd, items)
-    assert kept.columns == odd.columns and 4 not in {r.doc_id for r in kept.collect()}
+    # rows of a null id are judged by their own text
+    kept = contain.drop_contaminated(odd, items).collect()
+    assert kept[0].__fields__ == odd.columns and sorted((r.doc_id or 0, r.text or "") for r in kept) == sorted((i or 0, t or "") for i, t, *_ in ODD if i not in (3, 4, 9) and t != "ab cd ef gh ij")
+    assert contain.drop_contaminated(odd, items.limit(0)).count() == len(ODD)
+
+
+def test_partitions_by_size():
+    rng = random.Random(9)
+    items = [(i, " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(n)).encode()) for i, n in enumerate((5, 6, 8, 12, 30, 31, 70, 300))]
+    index = contain.Index(items, 5, 0.8)
+    sizes = {i: len(t.split()) - 4 for i, t in items}
+    assert len(index.partitions) == len({contain.sketched(n) for n in sizes.values()})
+    for part in index.partitions:
+        ends = {contain.sketched(sizes[i]) for i in part.items.tolist()}
+        assert len(ends) == 1
+        u = ends.pop()
+        assert all(u / 2 < sizes[i] <= u for i in part.items.tolist()) and (np.bincount(part.owners) == np.minimum(u - contain.needed(u, 0.8) + 1, [sizes[i] for i in part.items.tolist()])).all()
 
 
 def test_pii_base_brute(odd, empty, docs):
