@@ -32,7 +32,7 @@ def op4_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = curriculum.mix(_read(spark, sf_dir, "documents"), keep=["doc_id"])
-    return mixed.select("row.doc_id", "size", "source_size", "target", "taken", F.round(F.get("positions", F.lit(0)), 6).alias("position"))
+    return mixed.select("row.doc_id", "size", "source_size", "target", "taken", *(F.round(F.get("positions", F.lit(i)), 6).alias(c) for i, c in enumerate(("position", "position_2"))))
 
 
 def op6_pii_field(spark: SparkSession, sf_dir: str) -> DataFrame:
