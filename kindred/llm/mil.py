@@ -5,13 +5,15 @@ byte classes and of their pairs and by its words' lengths and repeats, then by a
 attention, a = softmax(w . (tanh(V h) * sigmoid(U h))), learned from document labels only, weighs the
 passages; the weighted sum of their encodings is scored by a logistic unit.
 
-Training is on the driver, on at most ``most_labelled`` labelled documents, taken in the order of a
-hash of the id, from those outside the held-out fold (crc32 of the id as text, mod 5, not 0).
-Scoring reads every row in Arrow batches.
+Training is on the driver, on at most ``most_labelled`` labelled documents of at most ``most_bytes`` of
+whole text in all, taken in the order of a hash of the id (one that would go beyond the bytes is passed
+over), from those outside the held-out fold (crc32 of the id as text, mod 5, not 0). Scoring reads every
+row in Arrow batches.
 
 Defined cases: a null or empty text is one passage of zeros and gets a score; without labels to learn
 from every score is 0.5; a null id is never held out; of repeated labels of an id the mean counts,
-from one half up as 1; rows that repeat an id are scored each; other columns are not read.
+from one half up as 1; of texts that repeat an id the first by hash is learned from, and each is scored;
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import M1, column_bytes, slices
+from kindred.llm.common import M1, Shelf, column_bytes, slices
 
 PASSAGE = 512
 BLOCK = PASSAGE * 2048
@@ -114,21 +116,26 @@ class Attention:
         z = np.add.reduceat(s[:, None] * h, starts)
         return lengths, h, a, g, s, z, _sigmoid(z @ w["c"] + w["b"])
 
+    def gradients(self, x: np.ndarray, starts: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean cross-entropy of the bags' labels, by weight."""
+        w = self.w
+        lengths, h, a, g, s, z, p = self._forward(x, starts)
+        d = (p - y) / len(y)
+        dz = np.repeat(d[:, None] * w["c"], lengths, axis=0)
+        ds = s * ((h * dz).sum(axis=1))
+        ds = ds - s * np.repeat(np.add.reduceat(ds, starts), lengths)
+        dag = ds[:, None] * w["w"]
+        da, dg = dag * g * (1 - a * a), dag * a * g * (1 - g)
+        dh = (s[:, None] * dz + da @ w["V"].T + dg @ w["U"].T) * (1 - h * h)
+        return {"E": x.T @ dh, "e": dh.sum(axis=0), "V": h.T @ da, "U": h.T @ dg, "w": (a * g).T @ ds, "c": z.T @ d, "b": d.sum(keepdims=True)}
+
     def fit(self, x: np.ndarray, starts: np.ndarray, y: np.ndarray, rounds: int = 150, rate: float = 0.01, decay: float = 1e-4) -> Attention:
         self.mean, self.scale = x.mean(axis=0), 1 / (x.std(axis=0) + 0.02)
         x = (x - self.mean) * self.scale
         w, y = self.w, y.astype(np.float32)
         m, v = ({k: np.zeros_like(a) for k, a in w.items()} for _ in range(2))
         for t in range(1, rounds + 1):
-            lengths, h, a, g, s, z, p = self._forward(x, starts)
-            d = (p - y) / len(y)
-            dz = np.repeat(d[:, None] * w["c"], lengths, axis=0)
-            ds = s * ((h * dz).sum(axis=1))
-            ds = ds - s * np.repeat(np.add.reduceat(ds, starts), lengths)
-            dag = ds[:, None] * w["w"]
-            da, dg = dag * g * (1 - a * a), dag * a * g * (1 - g)
-            dh = (s[:, None] * dz + da @ w["V"].T + dg @ w["U"].T) * (1 - h * h)
-            grads = {"E": x.T @ dh, "e": dh.sum(axis=0), "V": h.T @ da, "U": h.T @ dg, "w": (a * g).T @ ds, "c": z.T @ d, "b": d.sum(keepdims=True)}
+            grads = self.gradients(x, starts, y)
             for k, grad in grads.items():
                 grad = grad + decay * w[k] * (k != "b")
                 m[k] = 0.9 * m[k] + 0.1 * grad
@@ -156,29 +163,32 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", most_labelled: int = 3000) -> Attention:
-    """A model of at most ``most_labelled`` documents of the fold to learn from."""
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", most_labelled: int = 3000, most_bytes: int = 32 << 20) -> Attention:
+    """A model of at most ``most_labelled`` documents and ``most_bytes`` of their text, of the fold to learn from."""
+    shelf = Shelf(docs.sparkSession, "labelled")
     ids = labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull() & ~held_out()).groupBy("doc_id").agg((F.avg(label_col) >= 0.5).cast("int").alias("y"))
     sample = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled)
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    text = F.coalesce("text", F.lit(""))
+    found = docs.select("doc_id", text.alias("text")).join(F.broadcast(sample), "doc_id").groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    texts = shelf.put(found, "texts")
+    chosen, left = [], most_bytes
+    for doc_id, size in texts.select("doc_id", F.octet_length("text").alias("size")).orderBy(F.xxhash64("doc_id"), "doc_id").collect():
+        if size <= left:
+            chosen.append(doc_id)
+            left -= size
 
     def run(batches):
         for batch in slices(batches, 64):
             raw = [passages(t) for t in column_bytes(batch, "text")]
-            ys = batch.column(batch.schema.get_field_index("y"))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ys, pa.array([r.astype(np.float16).tobytes() for r in raw], pa.binary())], ["doc_id", "y", "x"])
-
-    rows = texts.select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, x binary").toLocalIterator()
-    seen: dict[int, tuple[int, np.ndarray]] = {}
-    for doc_id, y, x in rows:
-        own = np.frombuffer(x, np.float16).reshape(-1, WIDTH)
-        if doc_id not in seen or own.tobytes() < seen[doc_id][1].tobytes():
-            seen[doc_id] = (y, own)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.astype(np.float16).tobytes() for r in raw], pa.binary())], ["doc_id", "y", "x"])
+
+    rows = texts.where(F.col("doc_id").isin(chosen)).select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, x binary").toLocalIterator()
+    bags = sorted(((doc_id, y, np.frombuffer(x, np.float16).reshape(-1, WIDTH)) for doc_id, y, x in rows), key=lambda b: b[0])
+    shelf.drop_all()
     model = Attention()
-    if seen:
-        ordered = [seen[k] for k in sorted(seen)]
-        x = np.concatenate([o for _, o in ordered]).astype(np.float32)
-        model.fit(x, np.cumsum([0, *(len(o) for _, o in ordered[:-1])]), np.array([y for y, _ in ordered]))
+    if bags:
+        x = np.concatenate([own for *_, own in bags]).astype(np.float32)
+        model.fit(x, np.cumsum([0, *(len(own) for *_, own in bags[:-1])]), np.array([y for _, y, _ in bags]))
     return model
 
 

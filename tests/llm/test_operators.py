@@ -12,7 +12,7 @@ pytest.importorskip("kindred.llm")
 from pyspark.sql import functions as F
 
 from kindred.llm import common, contain, curriculum, html_diff, lm_diff, mil, minhash, pii, quality_rules, queries, secrets_scan, warc
-from tests_llm_support import brute_components, words
+from tests_llm_support import brute_components, brute_targets, words
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words long, score double, key string, kept string"
@@ -359,11 +359,21 @@ def test_mix(odd, empty, docs):
     assert all(abs(t - k) <= big for t, k, big in by.values())
     order = [r.position for r in curriculum.training_order(docs).collect()]
     assert order == sorted(order) and 0 <= order[0] and order[-1] <= 1
+    clash = curriculum.training_order(docs.selectExpr("*", "'mine' AS position", "1 AS key", "2 AS target", "3 AS row", "4 AS Epoch"))
+    assert clash.columns == [*docs.columns, "key", "target", "row", "epoch", "position"] and [r.position for r in clash.collect()] == order
+    flat = curriculum.mix(docs, named={"s": curriculum.Schedule(((0.0, 1.0), (1.0, 1.0)))}, turns=((1.0, ((0.0, 1.0), (1.0, 1.0))),), share=1.0)
+    assert all(abs(r.target - r.source_size) < 1e-6 * r.source_size or r.target == 2 * r.source_size or r.target > 0 for r in flat.collect())
 
 
 def test_targets_and_inverse(spark):
-    got = curriculum.targets([100, 10, 1000], [5.0, 2.0, 1.0], 1.5, 2.0)
-    assert got == [200.0, 20.0, 1445.0]
+    rng = random.Random(3)
+    for n in (3, 40):
+        sizes = {f"s{i:02}": rng.choice((0, 1, 10, 1000, rng.randint(1, 9999))) for i in range(n)} | {None: 7}
+        rows = spark.createDataFrame([(k, v, 1) for k, v in sizes.items()], "source string, s long, n long")
+        got = {r.source: r.target for r in curriculum.goals(common.Shelf(spark, "goals"), rows, curriculum.TURNS, {"s01": curriculum.Schedule(((0.0, 0.0), (1.0, 6.0)))}, 1.5, 2.0).collect()}
+        weights = {k: 3.0 if k == "s01" else (5.0, 2.0, 1.0)[i % 3] for i, k in enumerate(sorted(sizes, key=lambda k: (k is None, k)))}
+        want = brute_targets(sizes, weights)
+        assert got == pytest.approx(want)
     plan = curriculum.Schedule(((0.0, 1.5), (0.5, 0.5), (1.0, 2.0)))
     t, w, cum = [k[0] for k in plan.knots], [k[1] for k in plan.knots], plan.integrals()
     row = [float(x) for x in np.linspace(0, 1, 21)]
@@ -387,7 +397,56 @@ def test_classifier(spark, docs, odd, empty):
     assert {r.score for r in mil.score(odd, mil.train(docs, labels.limit(0))).collect()} == {0.5}
 
 
-def test_attention_gradient():
+def test_training_is_bounded(spark, docs):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    twice = docs.union(docs.withColumn("text", F.concat("text", F.lit(" again"))))
+    assert mil.train(twice, labels, most_labelled=20).trained and not mil.train(docs, labels, most_bytes=0).trained
+    one, two = (mil.train(docs.orderBy(F.rand(i)), labels, most_bytes=100_000) for i in (1, 2))
+    assert all((one.w[k] == two.w[k]).all() for k in one.w)
+
+
+def test_attention_brute():
+    """Forward by loops, bag by bag, and gradients by finite differences."""
+    rng = np.random.default_rng(4)
+    model = mil.Attention(width=6, encode=5, gate=4)
+    model.w = {k: rng.normal(size=v.shape) for k, v in model.w.items()}
+    x, starts, y = rng.normal(size=(11, 6)), np.array([0, 1, 4, 9]), np.array([1.0, 0.0, 1.0, 0.0])
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+
+    def brute():
+        w, out = model.w, []
+        for lo, hi in zip(starts, [*starts[1:], len(x)]):
+            h = [np.tanh(sum(x[i][a] * w["E"][a] for a in range(6)) + w["e"]) for i in range(lo, hi)]
+            s = np.array([sum(w["w"][j] * np.tanh(v @ w["V"][:, j]) * sigmoid(v @ w["U"][:, j]) for j in range(4)) for v in h])
+            weight = np.exp(s) / np.exp(s).sum()
+            out.append(sigmoid(sum(a * v for a, v in zip(weight, h)) @ w["c"] + w["b"][0]))
+        return np.array(out)
+
+    assert np.allclose(model._forward(x, starts)[-1], brute())
+    loss = lambda: -np.mean(y * np.log(brute()) + (1 - y) * np.log(1 - brute()))
+    for k, grad in model.gradients(x, starts, y).items():
+        for at in np.ndindex(grad.shape):
+            kept = model.w[k][at]
+            ends = []
+            for step in (1e-5, -1e-5):
+                model.w[k][at] = kept + step
+                ends.append(loss())
+            model.w[k][at] = kept
+            assert abs((ends[0] - ends[1]) / 2e-5 - grad[at]) < 1e-6
+
+
+def test_classifier_scores_brute(spark, docs):
+    """Scores of the query's operator are the model's on whole texts, one by one."""
+    model = mil.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    texts = [(r.doc_id, r.text) for r in docs.limit(60).collect()]
+    got = {r.doc_id: r for r in mil.score(docs, model).collect()}
+    for i, t in texts:
+        x = (mil.passages((t or "").encode()) - model.mean) * model.scale
+        want = float(model._forward(x, np.array([0]))[-1][0])
+        assert got[i].score == pytest.approx(want, abs=2e-6) and got[i].predicted == (got[i].score >= 0.3)
+
+
+def test_attention_learns():
     rng = np.random.default_rng(2)
     x, starts, y = rng.normal(size=(300, mil.WIDTH)).astype(np.float32), np.arange(0, 300, 3), rng.integers(0, 2, 100)
     x[starts[y == 1], 0] += 6

@@ -4,8 +4,8 @@ import pytest
 
 pytest.importorskip("kindred.llm")
 import corpus_pipeline
-from kindred.llm import contain, curriculum, pii
-from tests_llm_support import brute_components, brute_quality, words
+from kindred.llm import contain, pii
+from tests_llm_support import brute_components, brute_quality, brute_targets, words
 
 SF = "/root/testdata/sf0.001"
 
@@ -23,7 +23,7 @@ def test_pipeline_brute(spark):
     for i, r in kept.items():
         sizes[r.source] += len(words(texts[i]))
     sources = sorted(sizes)
-    goals = dict(zip(sources, curriculum.targets([sizes[s] for s in sources], [(5.0, 2.0, 1.0)[n % 3] for n in range(len(sources))], 1.5, 2.0), strict=True))
+    goals = brute_targets(sizes, {s: (5.0, 2.0, 1.0)[n % 3] for n, s in enumerate(sources)})
     import hashlib
     import math
 

@@ -32,6 +32,18 @@ def brute_components(rows, k, percent):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
+def brute_targets(sizes, weights, share=1.5, most=2.0):
+    """Water-filling: all sources above their bound are set to it, round by round."""
+    want, left, free = {}, share * sum(sizes.values()), {k for k in sizes if weights[k]}
+    while free:
+        over = [k for k in free if weights[k] * left / sum(weights[j] for j in free) > most * sizes[k]]
+        if not over:
+            return want | {k: weights[k] * left / sum(weights[j] for j in free) for k in free}
+        want |= {k: most * sizes[k] for k in over}
+        left, free = left - sum(most * sizes[k] for k in over), free - set(over)
+    return want
+
+
 def brute_quality(text):
     w = words(text)
     lines = [x for x in (text or "").split("\n") if words(x)]
