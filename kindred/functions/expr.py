@@ -39,8 +39,9 @@ def missing(c: Column, numeric: bool) -> Column:
 
 
 def hash_uniform(*keys) -> Column:
-    """A number in (0, 1) that depends on the keys only, not on partitions."""
-    return (F.pmod(F.xxhash64(*keys), F.lit(2**52)) + 0.5) / F.lit(float(2**52))
+    """A number in (0, 1) from an md5 of the keys as text: it depends on nothing else."""
+    digest = F.md5(F.concat_ws(":", *(k.cast("string") for k in keys)))
+    return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") + 0.5) / F.lit(16.0**13)
 
 
 def hash_normal(*keys) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kindred.functions.expr import missing
+from kindred.functions.quantile import medians as exact_medians
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
@@ -139,7 +140,7 @@ def fit_encoder(df: DataFrame, id_col: str, features: list[str], center: bool =
     if na_action not in ("keep", "fail"):
         raise ValueError("na_action must be keep or fail")
     clean = {f: F.when(missing(F.col(f).cast("double"), True), None).otherwise(F.col(f).cast("double")) for f in numeric}
-    gaps = df.agg(F.count("*").alias("_n"), *(F.count(c).alias(f) for f, c in clean.items()), *(F.count(f).alias(f) for f in other), *(F.median(c).alias(f"med_{f}") for f, c in clean.items())).first()
+    gaps = df.agg(F.count("*").alias("_n"), *(F.count(c).alias(f) for f, c in clean.items()), *(F.count(f).alias(f) for f in other)).first()
     if na_action == "fail" and any(gaps[f] < gaps["_n"] for f in features):
         raise ValueError("missing values found; na_action is fail")
     levels = {}
@@ -148,7 +149,11 @@ def fit_encoder(df: DataFrame, id_col: str, features: list[str], center: bool =
         if len(found) > most_levels:
             raise ValueError(f"column `{f}` has more than {most_levels} levels")
         levels[f] = sorted({r.v for r in found} | ({"missing"} if gaps[f] < gaps["_n"] else set()))[int(drop_first) :]
-    medians = {f: float(gaps[f"med_{f}"] or 0.0) for f in numeric}
+    found = {}
+    if numeric:
+        tall = df.select(*(c.alias(f) for f, c in clean.items())).unpivot([], [f"`{f}`" for f in numeric], "feature", "value")
+        found = {r["feature"]: r["median"] for r in exact_medians(tall, ["feature"], "value").collect()}
+    medians = {f: float(found.get(f) or 0.0) for f in numeric}
     plain = Encoder(types, medians, levels, ())
     columns = tuple(plain.apply(df, id_col).columns[1:])
     scaler = fit_scaler(plain.apply(df, id_col), list(columns), center, scale) if center or scale else None

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+import re
+from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kindred.functions.expr import argmin, hash_uniform, signif
-from kindred.functions.preprocess import check_input, check_numeric, feature_types, fit_encoder, fit_scaler
+from kindred.functions.expr import argmin, signif
+from kindred.functions.preprocess import check_input, check_numeric, feature_type, feature_types, fit_encoder, fit_scaler
 from kindred.operators import embed, metrics
 from kindred.operators.distance import MOST_ROWS, vectors
 from kindred.operators.methods import ClusterFit, DataInfo, fit_dbscan, fit_gmm, fit_kmeans, fit_pam, fit_prototypes, fit_tree, mixed_frame, predict_dbscan, softmax
+from kindred.operators.order import ranked
 
 METHODS = ("kmeans", "pam", "hclust", "agnes", "dbscan", "gmm", "kproto", "kmm")
 MIXED = ("kproto", "kmm")
@@ -192,20 +194,16 @@ class ClusterValidation:
         return self.metrics_table.withColumn("value", signif(F.col("value"), digits))
 
 
-INTERNAL = {
-    "silhouette": metrics.silhouette,
-    "calinski_harabasz": metrics.calinski_harabasz,
-    "davies_bouldin": metrics.davies_bouldin,
-    "total_within": metrics.total_within,
-}
+INTERNAL = {"calinski_harabasz": metrics.calinski_harabasz, "davies_bouldin": metrics.davies_bouldin, "total_within": metrics.total_within}
+EXTERNAL = {"ari": metrics.adjusted_rand_index, "nmi": metrics.normalized_mutual_information}
 
 
 def original_vectors(info: DataInfo) -> DataFrame:
-    """Metrics are taken on the original data; mixed data one-hot encoded and standardised."""
+    """Metrics are taken on the original data; mixed data imputed and one-hot encoded, not standardised."""
     if info.input_type == "dist":
         raise ValueError("a fit on distances alone can't be validated; its data are needed")
     if info.input_type == "mixed":
-        encoder = fit_encoder(info.data, info.id_col, list(info.features))
+        encoder = fit_encoder(info.data, info.id_col, list(info.features), False, False)
         return vectors(encoder.apply(info.data, info.id_col), info.id_col, list(encoder.columns))
     return vectors(info.data, info.id_col, list(info.features))
 
@@ -230,44 +228,59 @@ def validate(obj, *, truth: DataFrame | None = None, metrics_wanted: list[str] |
         for t in tables[1:]:
             out = out.unionByName(t)
         return ClusterValidation(out, None, {"k": grid, "method": method}, "grid")
-    fit = obj
+    fit, consensus = obj, not isinstance(obj, ClusterFit)
     labels = clusters(fit)
-    info = fit.info
-    labelled = original_vectors(info).join(labels, "row_id")
-    spark = labels.sparkSession
+    labelled = original_vectors(fit.info).join(labels, "row_id")
     wanted = lambda m: metrics_wanted is None or m in metrics_wanted
     rows: list[tuple[str, float | None]] = []
+    per, extras = None, {"selection_summary": fit.selection_summary} if consensus else {}
+    number = lambda row: None if row is None or row[0] is None else float(row[0])
+    if wanted("silhouette"):
+        widths = metrics.silhouette_rows(labelled).persist()
+        rows.append(("silhouette", number(widths.agg(F.avg("width")).first())))
+        per = labels.sparkSession.createDataFrame(widths.groupBy("cluster").agg(F.avg("width").alias("silhouette")).collect(), f"cluster {labels.schema['cluster'].dataType.simpleString()}, silhouette double")
+        widths.unpersist()
     for name, make in INTERNAL.items():
-        if wanted(name):
-            value = make(labelled).first()
-            rows.append((name, None if value is None or value[0] is None else float(value[0])))
+        if wanted(name) and not (consensus and name == "total_within"):
+            rows.append((name, number(make(labelled).first())))
     if truth is not None:
         pairs = _label_pairs(labels, truth)
-        for name, make in (("ari", metrics.adjusted_rand_index), ("nmi", metrics.normalized_mutual_information)):
-            if wanted(name):
-                rows.append((name, float(make(pairs).first()[0])))
-    if wanted("bootstrap_ari") and n_boot > 0 and getattr(fit, "method", "") in ("kmeans", "pam", "gmm"):
-        rows.append(("bootstrap_ari", bootstrap_ari(fit, n_boot)[0]))
-    table = spark.createDataFrame([(m, v, *metrics.METRICS[m]) for m, v in rows], "metric string, value double, scale string, direction string")
-    per = metrics.silhouette_per_cluster(labelled) if wanted("silhouette") else None
-    return ClusterValidation(table, per, {"n_boot": n_boot, "metrics": metrics_wanted}, type(fit).__name__)
-
-
-def bootstrap_ari(fit: ClusterFit, n_boot: int = 10, seed: int = 1) -> tuple[float, float]:
-    """Mean and standard deviation of the ARI of refits on resamples of the same size, drawn by hash;
-    a row drawn more than once keeps its last label. Preprocessing is the fit's."""
+        rows += [(name, number(make(pairs).first())) for name, make in EXTERNAL.items() if wanted(name)]
+    if not consensus and wanted("bootstrap_ari") and n_boot > 0 and fit.method in ("kmeans", "pam", "gmm"):
+        extras["stability"] = bootstrap_ari(fit, n_boot)
+        rows.append(("bootstrap_ari", extras["stability"][0]))
+    if consensus and fit.stability_summary is not None and wanted("pairwise_partition_agreement"):
+        rows.append(("pairwise_partition_agreement", fit.stability_summary.first().mean_ppa))
+    # rows that are appended to the internal metrics have no scale and direction
+    known = [(m, v, *(metrics.METRICS[m] if m == "silhouette" or m in INTERNAL else (None, None))) for m, v in rows]
+    table = labels.sparkSession.createDataFrame(known, "metric string, value double, scale string, direction string")
+    settings = {"method": fit.method, "n_boot": n_boot, "metrics": metrics_wanted}
+    return ClusterValidation(table, per, settings, "metacluster_fit" if consensus else "cluster_fit", extras)
+
+
+def draws_of(spark, n: int, repeat: int) -> DataFrame:
+    """(draw, place): n draws of places 0 to n - 1 with replacement, by an md5 of draw and repeat."""
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("id").cast("string"), F.lit(str(repeat)))), 1, 13), 16, 10).cast("long")
+    return spark.range(n).select(F.col("id").alias("draw"), F.least(F.floor(u / F.lit(16.0**13) * n), F.lit(n - 1)).cast("long").alias("place"))
+
+
+def bootstrap_ari(fit: ClusterFit, n_boot: int = 10, seed: int = 1, refit=None) -> tuple[float, float]:
+    """Mean and standard deviation of the ARI of refits on resamples of the same size. Places are those of the
+    rows in the order of their ids, and every draw counts; a row drawn more than once has its last label.
+    ``refit`` takes a resample (draw_id, features) to its labels (row_id, cluster); without it the fit's method
+    and preprocessing do."""
     info, values = fit.info, []
-    numbered = info.data.select(F.col(info.id_col).alias("row_id"), *info.features)
-    place = numbered.select("row_id").rdd.map(lambda r: r[0]).zipWithIndex().toDF(["row_id", "place"])
-    placed = numbered.join(place, "row_id").persist()
-    n = info.n_obs
+    names = {f: f"f{i}" for i, f in enumerate(info.features)}
+    numbered = info.data.select(F.col(f"`{info.id_col}`").alias("row_id"), *(F.col(f"`{f}`").alias(c) for f, c in names.items()))
+    placed, n = ranked(numbered, ["row_id"]), info.n_obs
+    again = refit or (lambda sample: cluster(sample, fit.method, fit.params["k"], id_col="draw_id", features=list(names.values()), scale=bool(info.scaler and info.scaler.sd), center=True, seed=seed).clusters)
     for b in range(n_boot):
-        draws = numbered.sparkSession.range(n).select(F.col("id").alias("draw"), F.floor(hash_uniform(F.col("id"), F.lit(seed * 1000 + b)) * n).alias("place"))
-        sample = draws.join(placed, "place").select(F.col("draw").alias("draw_id"), "row_id", *info.features)
-        again = cluster(sample.drop("row_id"), fit.method, fit.params["k"], id_col="draw_id", features=list(info.features), scale=bool(info.scaler and info.scaler.sd), center=True, seed=seed + b)
-        mapped = again.clusters.withColumnRenamed("row_id", "draw_id").join(sample.select("draw_id", "row_id"), "draw_id").groupBy("row_id").agg(F.max_by("cluster", "draw_id").alias("cluster"))
-        values.append(float(metrics.adjusted_rand_index(_label_pairs(fit.clusters, mapped)).first()[0]))
-    placed.unpersist()
+        drawn = draws_of(placed.sparkSession, n, seed * 1000 + b).join(placed, "place").persist()
+        found = again(drawn.select(F.col("draw").alias("draw_id"), *names.values())).select(F.col("row_id").alias("draw"), "cluster")
+        last = found.join(drawn.select("draw", "row_id"), "draw").groupBy("row_id").agg(F.max_by("cluster", "draw").alias("b"))
+        pairs = drawn.select("row_id").join(last, "row_id").join(fit.clusters.select("row_id", F.col("cluster").alias("a")), "row_id")
+        values.append(float(metrics.adjusted_rand_index(pairs.select("a", "b")).first()[0]))
+        drawn.unpersist()
     mean = sum(values) / n_boot
     return mean, (sum((v - mean) ** 2 for v in values) / max(1, n_boot - 1)) ** 0.5
 
@@ -287,41 +300,85 @@ class ClusterExplore:
     embedding_fit: dict[str, Any]
 
 
-def explore(fit, embedding: str = "auto") -> ClusterExplore:
+def explore(fit, embedding: str = "auto", data: DataFrame | None = None) -> ClusterExplore:
+    """Sizes, profiles, separation and an embedding; of ``data`` (the same rows by id, any columns) in place of the fit's own."""
     labels = clusters(fit)
     info = fit.info
-    if info.input_type == "dist":
-        points, names, extra = embed.mds_of_pairs(info.data)
-        return ClusterExplore(metrics.sizes(labels), None, None, None, points.join(labels, "row_id"), "mds", names, extra)
-    features = list(info.features)
-    if info.input_type == "mixed":
-        encoder = fit_encoder(info.data, info.id_col, features)
-        table, columns = encoder.apply(info.data, info.id_col), list(encoder.columns)
+    protos = (prototypes(fit) or centers(fit)) if isinstance(fit, ClusterFit) else None
+    if data is None and info.input_type == "dist" or data is not None and is_distance(data):
+        points, names, extra = embed.mds_of_pairs(info.data if data is None else data)
+        return ClusterExplore(metrics.sizes(labels), None, None, protos, points.join(labels, "row_id"), "mds", names, extra)
+    features = list(info.features) if data is None else [c for c in data.columns if c != info.id_col]
+    data = info.data if data is None else data
+    if set(feature_types(data, features).values()) != {"numeric"} and any(feature_type(data.schema[f].dataType) != "numeric" for f in features):
+        encoder = fit_encoder(data, info.id_col, features)
+        table, columns = encoder.apply(data, info.id_col), list(encoder.columns)
     else:
-        table, columns = info.data.select(info.id_col, *features), features
-    joined = table.withColumnRenamed(info.id_col, "row_id").join(labels, "row_id")
-    points, method, names, extra = embed.embed(info.data, info.id_col, features, embedding)
-    protos = prototypes(fit) if isinstance(fit, ClusterFit) and fit.prototypes else (centers(fit) if isinstance(fit, ClusterFit) else None)
-    return ClusterExplore(metrics.sizes(labels), metrics.feature_summary(joined, columns), metrics.separation(joined, columns), protos, points.join(labels, "row_id"), method, names, extra)
+        table, columns = data.select(info.id_col, *features), features
+    joined = table.withColumnRenamed(info.id_col, "row_id").join(labels.withColumnRenamed("cluster", "cluster of the row"), "row_id")
+    points, method, names, extra = embed.embed(data, info.id_col, features, embedding)
+    of = "cluster of the row"
+    return ClusterExplore(metrics.sizes(labels), metrics.feature_summary(joined, columns, of), metrics.separation(joined, columns, of), protos, points.join(labels, "row_id"), method, names, extra)
 
 
 # -- printing -------------------------------------------------------------------------------------
 
 
+@dataclass(frozen=True)
+class Summary:
+    """What summary tells of a fit, by name."""
+
+    kind: str
+    values: dict[str, Any]
+
+
+def summary(obj):
+    """Of a fit a Summary; other results are their own summary."""
+    if isinstance(obj, ClusterFit):
+        values = {"method": obj.method, "n_obs": obj.info.n_obs, "n_clusters": obj.n_clusters, "sizes": _size_list(obj), "has_centers": obj.centers is not None, "has_prototypes": obj.prototypes is not None}
+        return Summary("Cluster fit summary", values)
+    if hasattr(obj, "candidate_table"):
+        values = {"methods": _methods(obj), "candidate_fits": obj.candidate_table.count(), "final_k": obj.final_k, "sizes": _size_list(obj), "selection_summary": obj.selection_summary}
+        return Summary("Meta-cluster summary", values)
+    return obj
+
+
+def _size_list(fit) -> dict:
+    return {r["cluster"]: r["size"] for r in sizes(fit).orderBy("cluster").collect()}
+
+
+def _methods(fit) -> list[str]:
+    return list(dict.fromkeys(r["method"] for r in fit.candidate_table.orderBy("candidate").collect()))
+
+
 def describe(obj) -> str:
-    """A short text of a result, as print shows it."""
+    """The text of a result, as print shows it."""
+    lines: list[tuple[str, Any]] = []
+    if isinstance(obj, Summary):
+        v = obj.values
+        counts = ", ".join(f"{k}={n}" for k, n in v["sizes"].items())
+        lines = [("Method", v["method"]), ("Observations", v["n_obs"]), ("Clusters", v["n_clusters"])] if "method" in v else [("Methods", ", ".join(v["methods"])), ("Candidate fits", v["candidate_fits"]), ("Final clusters", v["final_k"])]
+        return "\n".join([obj.kind, *(f"  {k}: {x}" for k, x in [*lines, ("Sizes", counts)])])
+    name = {"ClusterFit": "cluster_fit", "MetaclusterFit": "metacluster_fit", "ClusterValidation": "cluster_validation", "ClusterExplore": "cluster_explore", "ClusterPrediction": "cluster_prediction"}.get(type(obj).__name__)
+    name = name or re.sub(r"(?<=[a-z])(?=[A-Z])", "_", type(obj).__name__).lower()
     if isinstance(obj, ClusterFit):
-        counts = ", ".join(str(r["size"]) for r in sizes(obj).orderBy("cluster").collect())
-        return f"<cluster_fit>\n  method: {obj.method}\n  clusters: {obj.n_clusters}\n  observations: {obj.info.n_obs}\n  sizes: {counts}"
-    if isinstance(obj, ClusterValidation):
-        lines = [f"  {r.metric}: {r.value}" for r in obj.rounded().collect()]
-        return "\n".join(["<cluster_validation>", *lines])
-    if isinstance(obj, ClusterPrediction):
-        return f"<cluster_prediction>\n  method: {obj.method}\n  type: {obj.prediction_type}\n  observations: {obj.clusters.count()}"
-    if isinstance(obj, ClusterExplore):
-        return f"<cluster_explore>\n  clusters: {obj.size_table.count()}\n  embedding: {obj.embedding_method}"
-    name = type(obj).__name__
-    return f"<{name}>\n" + "\n".join(f"  {k}: {v}" for k, v in vars(obj).items() if not isinstance(v, DataFrame))
-
-
-__all__ = ["replace"]
+        lines = [("Method", obj.method), ("Observations", obj.info.n_obs), ("Clusters", obj.n_clusters)]
+    elif hasattr(obj, "candidate_table"):
+        lines = [("Methods", ", ".join(_methods(obj))), ("Candidate fits", obj.candidate_table.count()), ("Final clusters", obj.final_k)]
+    elif isinstance(obj, ClusterValidation):
+        rows = obj.rounded().collect()
+        columns = [c for c in ("metric", "value", "scale", "direction", "k") if c in obj.metrics_table.columns]
+        cells = [columns, *([f"{r[c]:.15g}" if isinstance(r[c], float) else str(r[c]) for c in columns] for r in rows)]
+        wide = [max(len(row[i]) for row in cells) for i in range(len(columns))]
+        return "\n".join([f"<{name}>", f"  Object type: {obj.object_type}", f"  Metrics: {len(rows)}", *(" " + " ".join(c.rjust(w) for c, w in zip(row, wide, strict=True)) for row in cells)])
+    elif isinstance(obj, ClusterExplore):
+        lines = [("Feature summary", "unavailable")] if obj.feature_summary is None else [("Rows in feature summary", obj.feature_summary.count())]
+    elif isinstance(obj, ClusterPrediction):
+        lines = [("Method", obj.method), ("Predictions", obj.clusters.count())]
+    elif hasattr(obj, "summary"):
+        lines = [("Metric", obj.settings["metric"]), ("Features", obj.summary.count()), ("Repeats", obj.settings["n_repeats"])]
+    elif hasattr(obj, "profiles"):
+        lines = [("Target", obj.settings["target"]), ("Profiles", obj.profiles.count())]
+    elif hasattr(obj, "explanations"):
+        lines = [("Target", obj.settings["target"]), ("Observations", obj.explanations.select("observation").distinct().count()), ("Effects", obj.explanations.count())]
+    return "\n".join([f"<{name}>", *(f"  {k}: {v}" for k, v in lines)])

@@ -6,24 +6,42 @@ from __future__ import annotations
 from typing import Any
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.functions.preprocess import feature_types, fit_encoder, fit_scaler, make_name
+from kindred.functions.preprocess import feature_types, fit_encoder, fit_scaler
 from kindred.operators import kernels
 from kindred.operators.distance import MOST_ROWS
 from kindred.operators.methods import square_form
 
 
 def covariance(df: DataFrame, columns: list[str], population: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Means and covariance matrix, in one aggregate."""
-    cov = F.covar_pop if population else F.covar_samp
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
-    row = df.agg(*(F.avg(f"`{c}`").alias(f"m{i}") for i, c in enumerate(columns)), *(cov(f"`{columns[i]}`", f"`{columns[j]}`").alias(f"c{i}_{j}") for i, j in pairs)).first()
-    out = np.zeros((len(columns), len(columns)))
-    for i, j in pairs:
-        out[i, j] = out[j, i] = row[f"c{i}_{j}"] or 0.0
-    return np.array([row[f"m{i}"] or 0.0 for i in range(len(columns))]), out
+    """Means and covariance matrix. Products are summed about the means in Arrow batches, a matrix for a task,
+    and the matrices of the tasks by an aggregate."""
+    p = len(columns)
+    row = df.agg(F.count("*"), *(F.avg(f"`{c}`") for c in columns)).first()
+    n, mean = row[0], np.array([v or 0.0 for v in row[1:]])
+    out = moments(df, columns, mean)
+    return mean, out.reshape(p, p) / max(1, n if population else n - 1)
+
+
+def moments(df: DataFrame, columns: list[str], about: np.ndarray) -> np.ndarray:
+    """The sums of products of all pairs of columns, less ``about``."""
+    p = len(columns)
+
+    def run(batches):
+        total = np.zeros((p, p))
+        for batch in batches:
+            x = np.column_stack([np.asarray(c.to_numpy(zero_copy_only=False), float) for c in batch.columns]) - about
+            total += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array(range(p)), pa.array(total.tolist(), pa.list_(pa.float64()))], ["i", "v"])
+
+    parts = df.select(*(F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(columns))).mapInArrow(run, "i long, v array<double>")
+    out = np.zeros((p, p))
+    for r in parts.select("i", F.posexplode("v").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v")).collect():
+        out[r.i, r.j] = r.v
+    return out
 
 
 def project(df: DataFrame, id_col: str, columns: list[str], mean: np.ndarray, loadings: np.ndarray) -> DataFrame:
@@ -52,7 +70,8 @@ def pca(df: DataFrame, id_col: str, columns: list[str], scale: bool = True):
     table = fit_scaler(df, used, True, scale).apply(df, [id_col])
     mean, cov = covariance(table, used)
     values, loadings = kernels.eigen(cov)
-    return project(table, id_col, used, mean, loadings[:, :2]), _axes(values, "PC"), {"columns": used, "sdev": np.sqrt(values), "rotation": loadings, "mean": scaler.mean, "kind": "pca"}
+    norm2 = table.select(F.col(id_col).alias("row_id"), sum((F.pow(F.col(f"`{c}`") - F.lit(float(m)), 2) for c, m in zip(used, mean, strict=True)), F.lit(0.0)).alias("norm2"))
+    return project(table, id_col, used, mean, loadings[:, :2]), _axes(values, "PC"), {"columns": used, "sdev": np.sqrt(values), "rotation": loadings, "mean": scaler.mean, "kind": "pca", "norm2": norm2}
 
 
 def mds(df: DataFrame, id_col: str, columns: list[str]):
@@ -93,15 +112,10 @@ def famd(df: DataFrame, id_col: str, features: list[str]):
 
 
 def burt(df: DataFrame, id_col: str, features: list[str]) -> tuple[list[str], np.ndarray, int]:
-    """Joint counts of the levels of all pairs of features, in one aggregate."""
+    """Joint counts of the levels of all pairs of features."""
     encoder, table = _indicators(df, id_col, features)
     columns = list(encoder.columns)
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
-    row = table.agg(F.count("*").alias("n"), *(F.sum(F.col(f"`{columns[i]}`") * F.col(f"`{columns[j]}`")).alias(f"b{i}_{j}") for i, j in pairs)).first()
-    out = np.zeros((len(columns), len(columns)))
-    for i, j in pairs:
-        out[i, j] = out[j, i] = row[f"b{i}_{j}"] or 0.0
-    return columns, out, row.n
+    return columns, np.rint(moments(table, columns, np.zeros(len(columns)))), table.count()
 
 
 def mca(df: DataFrame, id_col: str, features: list[str]):
@@ -121,7 +135,10 @@ def mca(df: DataFrame, id_col: str, features: list[str]):
     points = project(indicators, id_col, columns, np.zeros(len(columns)), coord[:, :2] * scale[:2] / q)
     contrib = 100 * mass[:, None] * coord**2 / np.maximum(lam, 1e-300)
     dist2 = (coord**2).sum(axis=1, keepdims=True)
-    return points, _axes(lam, "Dim"), {"kind": "mca", "columns": columns, "eig": lam, "var_coord": coord, "contrib": contrib, "cos2": coord**2 / np.maximum(dist2, 1e-300)}
+    # a row's squared distance to the center
+    far = sum((F.col(f"`{c}`") * F.lit(float(1 / (q * q * m))) for c, m in zip(columns, mass, strict=True)), F.lit(-1.0))
+    norm2 = indicators.select(F.col(id_col).alias("row_id"), far.alias("norm2"))
+    return points, _axes(lam, "Dim"), {"kind": "mca", "columns": columns, "eig": lam, "var_coord": coord, "contrib": contrib, "cos2": coord**2 / np.maximum(dist2, 1e-300), "norm2": norm2}
 
 
 def embed(df: DataFrame, id_col: str, features: list[str], method: str = "auto"):
@@ -141,18 +158,18 @@ def embed(df: DataFrame, id_col: str, features: list[str], method: str = "auto")
 
 
 def biplot(extra: dict[str, Any], top_n: int | None = None) -> list[dict]:
-    """Variables with coordinates, contribution (percent of the two axes) and arrow ends, largest first."""
+    """Variables with coordinates and contribution (percent, of the two axes weighed by their eigenvalues), largest first."""
     if extra["kind"] not in ("pca", "mca"):
         raise ValueError("a biplot is for pca and mca only")
+    wide = lambda m: np.pad(m[:, :2], ((0, 0), (0, max(0, 2 - m.shape[1]))))
     if extra["kind"] == "pca":
-        coord = extra["rotation"][:, :2] * extra["sdev"][:2]
+        eig = extra["sdev"] ** 2
+        coord = wide(extra["rotation"] * extra["sdev"])
+        share = coord**2 * 100 / np.maximum((coord**2).sum(axis=0), 1e-300)
     else:
-        coord = extra["var_coord"][:, :2]
-    coord = np.pad(coord, ((0, 0), (0, 2 - coord.shape[1])))
-    total = (coord**2).sum()
-    rows = [{"variable": v, "x": float(c[0]), "y": float(c[1]), "contribution": float(100 * (c**2).sum() / total) if total else 0.0} for v, c in zip(extra["columns"], coord, strict=True)]
+        eig, coord, share = extra["eig"], wide(extra["var_coord"]), wide(extra["contrib"])
+    weight = np.pad(eig[:2], (0, max(0, 2 - len(eig))))
+    contribution = share @ weight / max(weight.sum(), 1e-300)
+    rows = [{"variable": v, "x": float(c[0]), "y": float(c[1]), "contribution": float(t)} for v, c, t in zip(extra["columns"], coord, contribution, strict=True)]
     rows.sort(key=lambda r: (-r["contribution"], r["variable"]))
     return rows[:top_n] if top_n else rows
-
-
-__all__ = ["make_name"]

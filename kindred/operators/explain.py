@@ -12,15 +12,17 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kindred.functions.expr import hash_normal, hash_uniform
 from kindred.functions.preprocess import fit_encoder
+from kindred.functions.quantile import medians
 from kindred.operators import metrics
-from kindred.operators.api import _label_pairs, check_new, cluster_expr, clusters, feature_columns, original_vectors, predict
+from kindred.operators.api import _label_pairs, check_new, cluster_expr, feature_columns, predict
 from kindred.operators.distance import vectors
 from kindred.operators.methods import ClusterFit, softmax
+from kindred.operators.order import ranked
 
 
 def _usable(fit) -> None:
@@ -52,26 +54,16 @@ class FeatureImportance:
     settings: dict[str, Any]
 
 
-def permuted(df: DataFrame, id_col: str, feature: str, repeat: int, seed: int) -> DataFrame:
-    """(row_id, value): the feature's values dealt to the rows in the order of an md5 of id, feature,
-    repeat and seed. Both sides are ranked; ranks are global, of (id, value) only."""
-    text = F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(feature), F.lit(str(repeat)), F.lit(str(seed))))
-    takers = ranked(df.select(F.col(id_col).alias("row_id")), ["row_id"])
-    givers = ranked(df.select(text.alias("order"), F.col(id_col).alias("row_id"), F.col(feature).alias("value")), ["order", "row_id"]).select("place", "value")
-    return takers.join(givers, "place").select("row_id", "value")
-
-
-def ranked(df: DataFrame, order: list[str]) -> DataFrame:
-    """Adds place, 0 to n - 1 in the given order: a range sort, and an offset for each partition."""
-    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
-    ordered = ordered.persist()
-    counts = {r["_p"]: (r["n"], r["lo"]) for r in ordered.groupBy("_p").agg(F.count("*").alias("n"), F.min("_i").alias("lo")).collect()}
-    offset, table = 0, []
-    for p in sorted(counts):
-        table.append((p, offset - counts[p][1]))
-        offset += counts[p][0]
-    shifts = df.sparkSession.createDataFrame(table, "_p int, _o long")
-    return ordered.join(F.broadcast(shifts), "_p").withColumn("place", F.col("_i") + F.col("_o")).drop("_p", "_i", "_o")
+def permuted(df: DataFrame, id_col: str, feature: str, repeats: list[int], seed: int) -> DataFrame:
+    """(repeat_id, row_id, value): for each repeat the feature's values dealt to the rows in the order of an md5
+    of id, feature, repeat and seed. Rows are ranked once, and the dealing orders of all repeats together."""
+    rows = df.select(F.col(f"`{id_col}`").alias("row_id"), F.col(f"`{feature}`").alias("value"))
+    takers = ranked(rows.select("row_id"), ["row_id"])
+    n = takers.count()
+    tasks = rows.withColumn("repeat_id", F.explode(F.array(*map(F.lit, sorted(repeats)))))
+    text = F.md5(F.concat_ws(":", F.col("row_id").cast("string"), F.lit(feature), F.col("repeat_id").cast("string"), F.lit(str(seed))))
+    givers = ranked(tasks.withColumn("order", text), ["repeat_id", "order", "row_id"])
+    return givers.select("repeat_id", "value", F.pmod("place", F.lit(max(n, 1))).alias("place")).join(takers, "place").select("repeat_id", "row_id", "value")
 
 
 def feature_importance(fit: ClusterFit, data: DataFrame, features=None, metric: str = "instability", loss: Callable | None = None, n_repeats: int = 10, seed: int = 1, **ignored) -> FeatureImportance:
@@ -87,7 +79,7 @@ def feature_importance(fit: ClusterFit, data: DataFrame, features=None, metric:
 
     def basis(table: DataFrame) -> DataFrame:
         if fit.info.input_type == "mixed":
-            encoder = fit_encoder(fit.info.data, id_col, list(fit.info.features))
+            encoder = fit_encoder(fit.info.data, id_col, list(fit.info.features), False, False)
             return vectors(encoder.apply(table, id_col), id_col, list(encoder.columns))
         return vectors(table, id_col, list(fit.info.features))
 
@@ -98,19 +90,28 @@ def feature_importance(fit: ClusterFit, data: DataFrame, features=None, metric:
         row = (metrics.silhouette if metric == "silhouette" else metrics.total_within)(labelled).first()
         return float(row[0]) if row and row[0] is not None else float("nan")
 
-    before = None if loss is None and metric == "instability" else measure(base, data)
+    changes = loss is None and metric == "instability"
+    before = None if changes else measure(base, data)
     rows = []
     for f in names:
+        moved = permuted(data, id_col, f, list(range(1, n_repeats + 1)), seed)
+        if changes and fit.method != "dbscan":  # all repeats in one plan
+            own = {g: f"f{i}" for i, g in enumerate(fit.info.features)}
+            table = data.select(F.col(f"`{id_col}`").alias("row_id"), *(F.col(f"`{g}`").alias(c) for g, c in own.items())).join(moved, "row_id").join(base.withColumnRenamed("cluster", "before"), "row_id")
+            now = cluster_expr(fit, feature_columns(fit, {g: F.col(c) for g, c in own.items()} | {f: F.col("value")}))
+            found = table.groupBy("repeat_id").agg(F.avg((now != F.col("before")).cast("double")).alias("v")).collect()
+            rows += sorted((f, r.repeat_id, None, r.v, r.v) for r in found)
+            continue
         for repeat in range(1, n_repeats + 1):
-            moved = permuted(data, id_col, f, repeat, seed)
-            table = data.drop(f).join(moved.select(F.col("row_id").alias(id_col), F.col("value").alias(f)), id_col)
+            table = data.drop(f).join(moved.where(F.col("repeat_id") == repeat).select(F.col("row_id").alias(id_col), F.col("value").alias(f)), id_col)
             labels = predict(fit, table).clusters
-            if before is None:
+            if changes:
                 value = _label_pairs(base, labels).agg(F.avg((F.col("a") != F.col("b")).cast("double"))).first()[0]
                 rows.append((f, repeat, None, value, value))
             else:
                 after = measure(labels, table)
                 rows.append((f, repeat, before, after, before - after if loss is None and metric == "silhouette" else after - before))
+    base.unpersist()
     spark = data.sparkSession
     results = spark.createDataFrame(rows, "feature string, repeat_id int, baseline double, permuted double, importance double")
     return FeatureImportance(results, importance_summary(results), {"metric": "custom" if loss else metric, "n_repeats": n_repeats, "seed": seed, **ignored})
@@ -125,11 +126,6 @@ def importance_summary(results: DataFrame) -> DataFrame:
 # -- scores ---------------------------------------------------------------------------------------
 
 
-def sigma_of(distances: DataFrame) -> Column:
-    """Median of the finite distances of a batch; 1 where it is not positive."""
-    return distances
-
-
 def score_rows(fit: ClusterFit, rows: DataFrame, cols: dict[str, Column], batch: list[str] | None = None, sigma: float | None = None) -> DataFrame:
     """Adds cluster and scores. Scores are memberships, or radial: exp(-d^2 / 2 sigma^2), shared to sum
     to 1, with sigma the median distance of the row's batch (the whole table without batch columns)."""
@@ -141,8 +137,11 @@ def score_rows(fit: ClusterFit, rows: DataFrame, cols: dict[str, Column], batch:
     placed = rows.withColumns({"_d": d, "cluster": cluster_expr(fit, cols)})
     if sigma is None:
         finite = placed.select(*(batch or []), F.explode("_d").alias("v")).where("v < double('inf')")
-        grouped = finite.groupBy(*(batch or [])).agg(F.median("v").alias("_s"))
-        placed = placed.join(F.broadcast(grouped)) if not batch else placed.join(grouped, batch)
+        if batch:  # a batch is the tasks of one observation
+            placed = placed.join(finite.groupBy(*batch).agg(F.median("v").alias("_s")), batch)
+        else:
+            middle = medians(finite, [], "v").first()
+            placed = placed.withColumn("_s", F.lit(float(middle[0]) if middle else 0.0))
     else:
         placed = placed.withColumn("_s", F.lit(float(sigma)))
     return placed.withColumn("scores", radial(F.col("_d"), F.col("_s"))).drop("_d", "_s")
@@ -164,23 +163,25 @@ class CeterisParibus:
     settings: dict[str, Any]
 
 
-def quantile8(ordered: Column, p: float) -> Column:
-    """The median-unbiased (type 8) quantile of a sorted array."""
-    n = F.size(ordered)
-    h = (n + F.lit(1.0) / F.lit(3.0)) * F.lit(p) + F.lit(1.0) / F.lit(3.0)
-    at = F.floor(h).cast("int")
-    low, high = F.get(ordered, at - 1), F.get(ordered, at)
-    return F.when(h < 1, F.get(ordered, F.lit(0))).when(h >= n, F.get(ordered, n - 1)).otherwise(low + (h - at) * (high - low))
+MOST_LEVELS = 10_000
 
 
-def grid_values(data: DataFrame, feature: str, numeric: bool, grid, size: int, most_distinct: int = 10_000_000) -> list:
+def _levels(counted: DataFrame, feature: str) -> list:
+    """Rows of a table of levels ``v``, in order; a category of over MOST_LEVELS levels is an error."""
+    found = counted.orderBy("v").limit(MOST_LEVELS + 1).collect()
+    if len(found) > MOST_LEVELS:
+        raise ValueError(f"column `{feature}` has more than {MOST_LEVELS} levels")
+    return found
+
+
+def grid_values(data: DataFrame, feature: str, numeric: bool, grid, size: int) -> list:
     """A given grid sorted, few distinct values themselves, or quantiles, from value counts."""
     given = grid.get(feature) if isinstance(grid, dict) else grid
     if given is not None:
         return sorted(set(given))
     counts = data.where(F.col(feature).isNotNull()).groupBy(feature).agg(F.count("*").alias("n"))
     if not numeric:
-        return [r[0] for r in counts.select(F.col(feature).cast("string").alias("v")).orderBy("v").limit(10_001).collect()]
+        return [r[0] for r in _levels(counts.select(F.col(feature).cast("string").alias("v")), feature)]
     few = counts.orderBy(feature).limit(size + 1).collect()
     if len(few) <= size:
         return [float(r[0]) for r in few]
@@ -268,7 +269,7 @@ def lime_explain(fit: ClusterFit, new: DataFrame, n_features: int = 5, n_permuta
     first = F.col("sample") == 1
     moved = {f: F.when(first, F.col(f).cast("double")).otherwise(F.col(f).cast("double") + F.lit(float(sds[f] or 0.0)) * hash_normal(F.lit(seed), F.col("observation"), F.col("sample"), F.lit(f))) for f in numeric}
     for f in other:  # a draw from the training rows is a draw from their level frequencies
-        counts = info.data.groupBy(F.coalesce(F.col(f).cast("string"), F.lit("missing")).alias("v")).agg(F.count("*").alias("n")).orderBy("v").limit(10_001).collect()
+        counts = _levels(info.data.groupBy(F.coalesce(F.col(f).cast("string"), F.lit("missing")).alias("v")).agg(F.count("*").alias("n")), f)
         edges, total, acc = [], sum(r.n for r in counts), 0
         for r in counts:
             acc += r.n
@@ -279,7 +280,6 @@ def lime_explain(fit: ClusterFit, new: DataFrame, n_features: int = 5, n_permuta
             drawn = F.when(u < edge, F.lit(v)).otherwise(drawn)
         moved[f] = F.when(first, F.col(f).cast("string")).otherwise(drawn)
     near = rows.select("observation", "sample", "base", *(F.col(f).alias(f"_o_{f}") for f in info.features), *(moved[f].alias(f) for f in info.features))
-    center = own.select(*(F.col(f).alias(f) for f in info.features))
     deltas = []
     raw = encoder.raw()
     at_center = {f: F.col(f"_o_{f}") for f in info.features}
@@ -310,16 +310,14 @@ def lime_explain(fit: ClusterFit, new: DataFrame, n_features: int = 5, n_permuta
     def solve(group: pd.DataFrame) -> pd.DataFrame:
         z = np.stack(group["z"].to_numpy())
         beta = weighted_fit(z, group["response"].to_numpy(), group["weight"].to_numpy())
-        order = sorted(range(len(columns)), key=lambda i: (-abs(beta[i]), i))[:keep]
         return pd.DataFrame({
-            "observation": group["observation"].iloc[0], "cluster": group["cluster"].iloc[0], "target": target, "feature": [columns[i] for i in order], "estimate": [beta[i] for i in order],
-            "absolute_effect": [abs(beta[i]) for i in order], "direction": ["positive" if beta[i] >= 0 else "negative" for i in order], "rank": range(1, len(order) + 1),
+            "observation": group["observation"].iloc[0], "cluster": group["cluster"].iloc[0], "target": target, "feature": columns, "estimate": beta,
+            "absolute_effect": np.abs(beta), "direction": np.where(beta >= 0, "positive", "negative"), "at": range(len(columns)),
         })
 
-    schema = f"observation {id_type}, cluster int, target string, feature string, estimate double, absolute_effect double, direction string, rank int"
-    explanations = full.groupBy("observation").applyInPandas(solve, schema)
+    schema = f"observation {id_type}, cluster int, target string, feature string, estimate double, absolute_effect double, direction string, at int"
+    explanations = metrics.rank_effects(full.groupBy("observation").applyInPandas(solve, schema), keep)
     hoods = full.select("observation", "sample", "cluster", F.lit(target).alias("target"), "response", "weight", "distance")
-    del center
     return LimeExplanation(explanations, hoods, {"n_features": n_features, "n_permutations": n_permutations, "kernel_width": width, "target": target, "seed": seed, **ignored})
 
 
@@ -337,6 +335,3 @@ def weighted_fit(z: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
     out = np.zeros(design.shape[1])
     out[keep] = np.linalg.lstsq(design[:, keep], y * np.sqrt(w), rcond=None)[0]
     return out[1:]
-
-
-__all__ = ["Window", "clusters", "original_vectors"]

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(df: DataFrame) -> None:
+    """The folder of spark.checkpoint.dir; where that is unset, one in the warehouse."""
     spark = df.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
+    if not spark.sparkContext.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+        spark.sparkContext.setCheckpointDir(folder)
 
 
 def connected(nodes: DataFrame, links: DataFrame, most_rounds: int = 1000) -> DataFrame:
@@ -28,5 +30,5 @@ def connected(nodes: DataFrame, links: DataFrame, most_rounds: int = 1000) -> Da
         moved = step.join(jump, step.root == jump.via).select("row_id", "old", F.least("root", "far").alias("root")).checkpoint()
         roots = moved.select("row_id", "root")
         if moved.where("old != root").isEmpty():
-            break
-    return roots
+            return roots
+    raise RuntimeError(f"components have not settled after {most_rounds} rounds (most_rounds)")

@@ -14,16 +14,17 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kindred.functions.expr import argmin, lit_array, missing, squared
-from kindred.functions.preprocess import Encoder, Scaler, feature_types, fit_scaler
+from kindred.functions.expr import argmin, missing, squared
+from kindred.functions.preprocess import Encoder, Scaler
+from kindred.functions.quantile import medians, trimmed_means
 from kindred.operators import kernels
-from kindred.operators.distance import MOST_ROWS, check_rows, eps_pairs, vectors
-from kindred.operators.graph import connected
+from kindred.operators.distance import MOST_ROWS, check_rows, eps_blocks
+from kindred.operators.graph import connected, ensure_checkpoint_dir
+from kindred.operators.order import ranked
 
 
 @dataclass(frozen=True)
@@ -64,48 +65,130 @@ def nearest(x: Column, centers: list[list[float]]) -> Column:
     return argmin(F.array(*(squared([F.get(x, F.lit(i)) for i in range(p)], c) for c in centers)))
 
 
-def first_seen(labels: DataFrame) -> DataFrame:
-    """Clusters numbered by their least row_id."""
-    firsts = labels.groupBy("cluster").agg(F.min("row_id").alias("least"))
-    numbered = firsts.withColumn("id", F.row_number().over(Window.orderBy("least")))  # a row a cluster
-    return labels.join(F.broadcast(numbered), "cluster").select("row_id", F.col("id").cast("int").alias("cluster"))
+# -- k-means --------------------------------------------------------------------------------------
 
 
-# -- k-means --------------------------------------------------------------------------------------
+SAMPLE = 4096
+
+
+def seeded_starts(x: DataFrame, k: int, seed: int, nstart: int) -> list[list[list[float]]]:
+    """Starting centers: far rows by weighted draws, and rounds of means, on SAMPLE rows taken by a hash of row_id."""
+    part = x.orderBy(F.xxhash64("row_id", F.lit(seed)), "row_id").limit(max(SAMPLE, 4 * k)).select("x").collect()
+    m, out = np.array([r.x for r in part], float), []
+    for i in range(nstart):
+        rng = np.random.default_rng((seed & 0xFFFFFFFF, i))
+        chosen = [m[rng.integers(len(m))]]
+        far = ((m - chosen[0]) ** 2).sum(axis=1)
+        while len(chosen) < k:
+            at = rng.choice(len(m), p=far / far.sum()) if far.sum() > 0 else rng.integers(len(m))
+            chosen.append(m[at])
+            far = np.minimum(far, ((m - chosen[-1]) ** 2).sum(axis=1))
+        c = np.array(chosen)
+        for _ in range(10):
+            own = np.argmin(((m[:, None, :] - c[None]) ** 2).sum(axis=2), axis=1)
+            c = np.array([m[own == g].mean(axis=0) if (own == g).any() else c[g] for g in range(k)])
+        out.append(c.tolist())
+    return out
 
 
-def lloyd_step(x: DataFrame, centers: list[list[float]]) -> list[list[float]]:
-    """One round: nearest center, then means; an empty cluster keeps its center."""
-    p = len(centers[0])
-    rows = x.groupBy(nearest(F.col("x"), centers).alias("c")).agg(*(F.avg(F.get("x", F.lit(i))).alias(f"m{i}") for i in range(p))).collect()
-    out = [list(c) for c in centers]
-    for r in rows:
-        out[r.c - 1] = [r[f"m{i}"] for i in range(p)]
+@dataclass
+class Run:
+    """One start: its centers, and after a round the sizes, cost and best moves that belong to them."""
+
+    centers: list[list[float]]
+    sizes: list[int]
+    cost: float = math.inf
+    settled: bool = False
+
+
+def _squares(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    d = np.zeros((len(x), len(centers)))
+    for f in range(x.shape[1]):
+        d += (x[:, f, None] - centers[None, :, f]) ** 2
+    return d
+
+
+def means_round(x: DataFrame, runs: dict[int, Run]) -> dict[int, tuple[list[list[float]], list[int], float, list]]:
+    """One pass for all runs: means, sizes and cost of the nearest-center clusters, and of each cluster the row
+    whose move to another center lowers the cost most, by the sizes that the run has. Tasks sum up what they
+    hold in Arrow batches (the centers are data, so no round compiles a plan of its own), an aggregate the rest."""
+    k, p = len(next(iter(runs.values())).centers), len(next(iter(runs.values())).centers[0])
+    every = {s: (np.array(run.centers), np.maximum(1, run.sizes).astype(float)) for s, run in runs.items()}
+    own = [f"m{i}" for i in range(p)]
+
+    def run(batches):
+        sums = {s: (np.zeros(k, np.int64), np.zeros(k), np.zeros((k, p)), [None] * k) for s in every}
+        for batch in batches:
+            m = np.array(batch.column(0).to_pylist(), float).reshape(-1, p)
+            at = np.arange(len(m))
+            for s, (centers, size) in every.items():
+                n, cost, total, moves = sums[s]
+                d = _squares(m, centers)
+                g = d.argmin(axis=1)
+                n += np.bincount(g, minlength=k)
+                cost += np.bincount(g, d[at, g], k)
+                for f in range(p):
+                    total[:, f] += np.bincount(g, m[:, f], k)
+                stay = d[at, g] * np.where(size > 1, size / np.maximum(size - 1, 1), 0)[g]
+                others = d * (size / (size + 1))
+                others[at, g] = np.inf
+                gain = stay - others.min(axis=1)
+                for c in np.unique(g).tolist():
+                    i = int(np.where(g == c, gain, -np.inf).argmax())
+                    if moves[c] is None or gain[i] > moves[c][0]:
+                        moves[c] = (float(gain[i]), int(others[i].argmin()) + 1, m[i].tolist())
+        rows = [(s, c + 1, int(n[c]), float(cost[c]), *total[c].tolist(), *moves[c]) for s, (n, cost, total, moves) in sums.items() for c in range(k) if n[c]]
+        types = [pa.int32(), pa.int32(), pa.int64(), *[pa.float64()] * (p + 2), pa.int32(), pa.list_(pa.float64())]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * len(types), types, strict=True)], ["s", "g", "n", "cost", *own, "gain", "to", "x"])
+
+    parts = x.select("x").mapInArrow(run, "s int, g int, n long, cost double, " + "".join(f"{c} double, " for c in own) + "gain double, to int, x array<double>")
+    best = F.max(F.struct("gain", "to", "x")).alias("best")
+    out = {s: ([list(c) for c in run.centers], [0] * k, 0.0, [None] * k) for s, run in runs.items()}
+    for r in parts.groupBy("s", "g").agg(F.sum("n").alias("n"), F.sum("cost").alias("cost"), best, *(F.sum(c).alias(c) for c in own)).collect():
+        means, sizes, cost, moves = out[r.s]
+        means[r.g - 1], sizes[r.g - 1], moves[r.g - 1] = [r[c] / r.n for c in own], r.n, (r.best.gain, r.g, r.best.to, r.best.x)
+        out[r.s] = (means, sizes, cost + r.cost, moves)
     return out
 
 
-def lloyd(x: DataFrame, centers: list[list[float]], rounds: int) -> list[list[float]]:
-    for _ in range(rounds):
-        new = lloyd_step(x, centers)
-        if new == centers:
+def means_of(x: DataFrame, starts: list[list[list[float]]], iter_max: int) -> list[Run]:
+    """Rounds of means from all starts at once. A run that has come to rest takes the single move of a row that
+    lowers its cost most, if one does, and goes on; an empty cluster keeps its center."""
+    runs = [Run([list(map(float, c)) for c in start], [0] * len(start)) for start in starts]
+    for _ in range(iter_max):
+        active = {s: run for s, run in enumerate(runs) if not run.settled}
+        if not active:
             break
-        centers = new
-    return centers
+        for s, (means, sizes, cost, moves) in means_round(x, active).items():
+            run = runs[s]
+            rest = max((abs(a - b) for old, new in zip(run.centers, means, strict=True) for a, b in zip(old, new, strict=True)), default=0.0) <= 1e-12 * max(1.0, *(abs(a) for c in means for a in c))
+            known = sizes == run.sizes
+            run.centers, run.sizes, run.cost = means, sizes, cost
+            if not (rest and known):
+                continue
+            gain, g, to, row = max((m for m in moves if m and m[2] is not None), default=(0.0, 0, 0, None), key=lambda m: m[0])
+            if row is None or gain <= 1e-12 * max(cost, 1e-300) or len(run.centers) < 2:
+                run.settled = True
+                continue
+            a, b = sizes[g - 1], sizes[to - 1]
+            run.centers[g - 1] = [c - (v - c) / (a - 1) for c, v in zip(means[g - 1], row, strict=True)]
+            run.centers[to - 1] = [c + (v - c) / (b + 1) for c, v in zip(means[to - 1], row, strict=True)]
+    return runs
 
 
-def fit_kmeans(x: DataFrame, info: DataInfo, k: int, seed: int | None, nstart: int = 10, iter_max: int = 100, **_) -> ClusterFit:
-    data = x.select("row_id", "x", array_to_vector("x").alias("v")).persist()
+def fit_kmeans(x: DataFrame, info: DataInfo, k: int, seed: int | None, nstart: int = 10, iter_max: int = 100, starts: list[list[list[float]]] | None = None, **_) -> ClusterFit:
+    """The best of ``nstart`` starts, or of the given ``starts`` (of k preprocessed centers each)."""
+    data = x.select("row_id", "x").persist()
     try:
-        best = None
-        for i in range(nstart):
-            model = KMeans(k=k, maxIter=iter_max, tol=1e-9, seed=(seed or 0) + i, featuresCol="v").fit(data)
-            if best is None or model.summary.trainingCost < best[0]:
-                best = (model.summary.trainingCost, [list(map(float, c)) for c in model.clusterCenters()])
+        runs = means_of(data, starts or seeded_starts(data, k, seed or 0, nstart), iter_max)
+        # of the last centers, not of those before them
+        costs = {s: found[2] for s, found in means_round(data, dict(enumerate(runs))).items()}
     finally:
         data.unpersist()
-    centers = best[1]
+    cost, best = min((costs[s], s) for s in range(len(runs)))
+    centers = runs[best].centers
     labels = x.select("row_id", nearest(F.col("x"), centers).alias("cluster"))
-    return ClusterFit("kmeans", {"k": k, "nstart": nstart, "iter.max": iter_max}, labels, len(centers), info, centers, distances=center_distances(centers), extras={"tot_withinss": best[0]})
+    return ClusterFit("kmeans", {"k": k, "nstart": nstart, "iter.max": iter_max}, labels, len(centers), info, centers, distances=center_distances(centers), extras={"tot_withinss": cost})
 
 
 # -- k-medoids ------------------------------------------------------------------------------------
@@ -152,8 +235,9 @@ def square_form(pairs: DataFrame, max_exact_rows: int) -> tuple[list, np.ndarray
         raise ValueError(f"a distance input is limited to {max_exact_rows} rows (max_exact_rows)")
     at = {v: i for i, v in enumerate(ids)}
     d = np.zeros((len(ids), len(ids)))
-    for r in pairs.select("i", "j", "d").toLocalIterator():
-        d[at[r.i], at[r.j]] = d[at[r.j], at[r.i]] = r.d
+    found = pairs.select("i", "j", F.col("d").cast("double").alias("d")).toArrow()
+    i, j = (np.fromiter(map(at.__getitem__, found[c].to_pylist()), np.int64, found.num_rows) for c in ("i", "j"))
+    d[i, j] = d[j, i] = found["d"].to_numpy()
     return ids, d
 
 
@@ -177,69 +261,186 @@ def fit_tree(method: str, data: DataFrame, info: DataInfo, k: int, linkage: str,
     return ClusterFit(method, {"k": k, "linkage": linkage}, labels, int(own.max()), info, centers, distances=center_distances(centers) if centers else None, extras=extras)
 
 
-def dendrogram(spark, fit: ClusterFit) -> DataFrame:
-    t = fit.extras["tree"]
-    rows = [(s + 1, int(a), int(b), float(h), int(n)) for s, ((a, b), h, n) in enumerate(zip(t["merge"], t["height"], t["size"], strict=True))]
+def dendrogram(spark, tree: dict[str, Any]) -> DataFrame:
+    rows = [(s + 1, int(a), int(b), float(h), int(n)) for s, ((a, b), h, n) in enumerate(zip(tree["merge"], tree["height"], tree["size"], strict=True))]
     return spark.createDataFrame(rows, "step int, left int, right int, height double, size int")
 
 
 # -- density --------------------------------------------------------------------------------------
 
 
+def _close(rows: pa.Table, others: pa.Table, eps: float, at: int = 512):
+    """(first row, distances, whether within eps) of pieces of the rows to all others."""
+    x, y = (np.array(t["x"].to_pylist(), float).reshape(t.num_rows, -1) for t in (rows, others))
+    for lo in range(0, len(x), at):
+        d = np.zeros((len(x[lo : lo + at]), len(y)))
+        for f in range(x.shape[1]):
+            d += (x[lo : lo + at, f, None] - y[None, :, f]) ** 2
+        d = np.sqrt(d)
+        yield lo, d, d <= eps
+
+
 def fit_dbscan(x: DataFrame, info: DataInfo, eps: float, min_pts: int, **_) -> ClusterFit:
-    """Noise is 0. A border row near several clusters goes to the lowest id."""
+    """Noise is 0. A border row near several clusters goes to the lowest id. No pairs are written: blocks of
+    neighbouring rows give back counts, a spanning forest of the core rows, and each border row's least root."""
     if eps is None or eps <= 0:
         raise ValueError("`eps` must be positive")
     if min_pts is None or min_pts < 1:
         raise ValueError("`minPts` must be at least 1")
-    pairs = eps_pairs(x, x, eps).persist()
-    core = pairs.groupBy("i").agg(F.count("*").alias("n")).where(F.col("n") >= min_pts).select(F.col("i").alias("row_id"))
-    inner = pairs.join(core.select(F.col("row_id").alias("i")), "i", "left_semi").join(core.select(F.col("row_id").alias("j")), "j", "left_semi")
-    roots = connected(core, inner.select("i", "j"))
-    reach = pairs.join(roots.select(F.col("row_id").alias("j"), "root"), "j").groupBy("i").agg(F.min("root").alias("root"))
-    own = reach.join(roots.select(F.col("row_id").alias("i"), F.col("root").alias("core_root")), "i", "left").select(F.col("i").alias("row_id"), F.coalesce("core_root", "root").alias("root"))
+    ensure_checkpoint_dir(x)
+    kind = x.schema["row_id"].dataType.simpleString()
+
+    def counted(rows: pa.Table, others: pa.Table) -> pa.Table:
+        n = np.concatenate([close.sum(axis=1) for _, _, close in _close(rows, others, eps)] or [np.zeros(0, int)])
+        return pa.table({"row_id": rows["row_id"], "n": pa.array(n, pa.int64())})
+
+    def forest(rows: pa.Table, others: pa.Table) -> pa.Table:
+        root: dict = {}
+
+        def find(v):
+            while root.setdefault(v, v) != v:
+                root[v] = root[root[v]]
+                v = root[v]
+            return v
+
+        left, right, edges = rows["row_id"].to_pylist(), others["row_id"].to_pylist(), []
+        for lo, _, close in _close(rows, others, eps):
+            for a, b in np.argwhere(close).tolist():
+                p, q = find(left[lo + a]), find(right[b])
+                if p != q:
+                    root[p] = q
+                    edges.append((left[lo + a], right[b]))
+        t = rows.schema.field("row_id").type
+        return pa.table({"i": pa.array([e[0] for e in edges], t), "j": pa.array([e[1] for e in edges], t)})
+
+    def least(rows: pa.Table, others: pa.Table) -> pa.Table:
+        roots = others["root"].to_pylist()
+        by = sorted(range(len(roots)), key=roots.__getitem__)
+        found = [None] * rows.num_rows
+        for lo, _, close in _close(rows, others.take(by), eps):
+            first = close.argmax(axis=1)
+            for a in np.flatnonzero(close.any(axis=1)).tolist():
+                found[lo + a] = roots[by[first[a]]]
+        return pa.table({"row_id": rows["row_id"], "root": pa.array(found, others.schema.field("root").type)})
+
+    core = eps_blocks(x, x, eps, counted, f"row_id {kind}, n long").groupBy("row_id").agg(F.sum("n").alias("n")).where(F.col("n") >= min_pts).select("row_id").checkpoint()
+    inner = x.join(core, "row_id", "left_semi")
+    roots = connected(core, eps_blocks(inner, inner, eps, forest, f"i {kind}, j {kind}"))
+    rooted = inner.join(roots, "row_id").select("row_id", "x", "root")
+    border = eps_blocks(x.join(core, "row_id", "left_anti"), rooted, eps, least, f"row_id {kind}, root {kind}").where("root is not null").groupBy("row_id").agg(F.min("root").alias("root"))
+    own = roots.select("row_id", "root").unionByName(border).checkpoint()
     # ids by the least row of a cluster, border rows included
-    firsts = own.groupBy("root").agg(F.min("row_id").alias("least")).withColumn("id", F.row_number().over(Window.orderBy("least")))
+    firsts = ranked(own.groupBy("root").agg(F.min("row_id").alias("least")), ["least"]).select("root", (F.col("place") + 1).alias("id"))
     labels = x.select("row_id").join(own.join(firsts, "root").select("row_id", "id"), "row_id", "left").select("row_id", F.coalesce("id", F.lit(0)).cast("int").alias("cluster")).checkpoint()
-    pairs.unpersist()
-    n = labels.where("cluster > 0").agg(F.countDistinct("cluster")).first()[0]
-    return ClusterFit("dbscan", {"eps": eps, "minPts": min_pts}, labels, n, info, training=x, extras={"noise_label": 0, "core": roots.select("row_id")})
+    return ClusterFit("dbscan", {"eps": eps, "minPts": min_pts}, labels, firsts.count(), info, training=x, extras={"noise_label": 0, "core": core})
 
 
 def predict_dbscan(fit: ClusterFit, new: DataFrame) -> DataFrame:
     """The cluster of the nearest training row that is not noise, if it is within eps; 0 otherwise."""
     known = fit.training.join(fit.clusters.where("cluster > 0"), "row_id").select("row_id", "x", "cluster")
-    hits = eps_pairs(new, known.select("row_id", "x"), fit.params["eps"]).join(known.select(F.col("row_id").alias("j"), "cluster"), "j")
-    best = hits.groupBy("i").agg(F.min(F.struct("d", "j", "cluster")).alias("b"))
-    return new.select("row_id").join(best.select(F.col("i").alias("row_id"), F.col("b.cluster").alias("c"), F.col("b.d").alias("d")), "row_id", "left").select("row_id", F.coalesce("c", F.lit(0)).alias("cluster"), F.col("d").alias("distance"))
+    kinds, eps = [df.schema["row_id"].dataType.simpleString() for df in (new, known)], fit.params["eps"]
+
+    def nearest_row(rows: pa.Table, others: pa.Table) -> pa.Table:
+        others = others.sort_by("row_id")
+        near = [(float(d[a].min()), int(d[a].argmin())) if close[a].any() else (None, None) for _, d, close in _close(rows, others, eps) for a in range(len(d))]
+        at = pa.array([j for _, j in near], pa.int64())
+        return pa.table({"row_id": rows["row_id"], "d": pa.array([d for d, _ in near], pa.float64()), "j": others["row_id"].take(at), "cluster": others["cluster"].take(at)})
+
+    hits = eps_blocks(new, known, eps, nearest_row, f"row_id {kinds[0]}, d double, j {kinds[1]}, cluster int").where("d is not null")
+    best = hits.groupBy("row_id").agg(F.min(F.struct("d", "j", "cluster")).alias("b"))
+    return new.select("row_id").join(best.select("row_id", F.col("b.cluster").alias("c"), F.col("b.d").alias("d")), "row_id", "left").select("row_id", F.coalesce("c", F.lit(0)).alias("cluster"), F.col("d").alias("distance"))
 
 
 # -- Gaussian mixtures ----------------------------------------------------------------------------
 
-FAMILIES = ("EII", "VII", "EEI", "VVI", "EEE", "VVV")
+# The covariance families; letters are volume, shape and orientation: equal, variable, or the identity.
+FAMILIES = ("EII", "VII", "EEI", "VEI", "EVI", "VVI", "EEE", "VEE", "EVE", "VVE", "EEV", "VEV", "EVV", "VVV")
 
 
 def _free(family: str, k: int, p: int) -> int:
-    cov = {"EII": 1, "VII": k, "EEI": p, "VVI": k * p, "EEE": p * (p + 1) // 2, "VVV": k * p * (p + 1) // 2}[family]
+    """Free parameters: weights, means, and volume, shape and orientation of the covariances."""
+    volume, shape, turn = family
+    cov = (k if volume == "V" else 1) + {"I": 0, "E": p - 1, "V": k * (p - 1)}[shape] + {"I": 0, "E": p * (p - 1) // 2, "V": k * p * (p - 1) // 2}[turn]
     return k - 1 + k * p + cov
 
 
+def _unit(m: np.ndarray) -> tuple[np.ndarray, float]:
+    """A matrix of determinant 1, and the root of the determinant that it was divided by."""
+    size = math.exp(np.linalg.slogdet(m)[1] / len(m))
+    return m / size, size
+
+
+def _common_turn(scatters: np.ndarray, shapes: list[np.ndarray], turn: np.ndarray) -> np.ndarray:
+    """A better common orientation, by plane rotations: each pair of axes is turned to lower the sum of tr(D' W D / shape)."""
+    p = turn.shape[0]
+    for _ in range(20):
+        worst = 0.0
+        for i in range(p):
+            for j in range(i + 1, p):
+                a = b = 0.0
+                for w, s in zip(scatters, shapes, strict=True):
+                    m = turn[:, [i, j]].T @ w @ turn[:, [i, j]]
+                    gap = 1 / s[i] - 1 / s[j]
+                    a, b = a + gap * (m[0, 0] - m[1, 1]) / 2, b + gap * m[0, 1]
+                angle = 0.5 * (math.atan2(b, a) + math.pi) if a or b else 0.0
+                angle = (angle + math.pi / 2) % math.pi - math.pi / 2
+                c, s_ = math.cos(angle), math.sin(angle)
+                turn[:, [i, j]] = turn[:, [i, j]] @ np.array([[c, -s_], [s_, c]])
+                worst = max(worst, abs(s_))
+        if worst < 1e-9:
+            break
+    return turn
+
+
 def _shape(family: str, n: np.ndarray, s: np.ndarray, eps: float) -> np.ndarray:
-    """Covariances of the family from the scatter matrices of the components."""
+    """Covariances of the family that are likeliest for the scatter matrices of the components."""
     k, p = len(n), s.shape[1]
-    total, diag = n.sum(), np.arange(p)
-    if family == "EII":
-        cov = np.tile(np.eye(p) * (np.trace(s.sum(axis=0)) / (total * p)), (k, 1, 1))
-    elif family == "VII":
-        cov = np.stack([np.eye(p) * (np.trace(s[g]) / (n[g] * p)) for g in range(k)])
-    elif family == "EEI":
-        cov = np.tile(np.diag(s.sum(axis=0)[diag, diag] / total), (k, 1, 1))
-    elif family == "VVI":
-        cov = np.stack([np.diag(s[g][diag, diag] / n[g]) for g in range(k)])
-    elif family == "EEE":
-        cov = np.tile(s.sum(axis=0) / total, (k, 1, 1))
-    else:
-        cov = s / n[:, None, None]
+    volume, shape, turn = family
+    total = n.sum()
+    s = s + 1e-12 * np.trace(s.sum(axis=0)) / p * np.eye(p)
+    if turn == "I":
+        s = np.stack([np.diag(np.diag(w)) if shape != "I" else np.eye(p) * np.trace(w) / p for w in s])
+    if shape in "IE" and turn in "IE":
+        common, sizes = s.sum(axis=0), np.ones(k)
+        for _ in range(50 if volume == "V" and k > 1 else 1):  # sizes and the common part in turn
+            form, _size = _unit((s / sizes[:, None, None]).sum(axis=0) if volume == "V" else common)
+            new = np.array([np.trace(w @ np.linalg.inv(form)) / (p * m) for w, m in zip(s, n, strict=True)])
+            done, sizes = np.allclose(new, sizes, rtol=1e-9), new
+            if done:
+                break
+        sizes = sizes if volume == "V" else np.full(k, (sizes * n).sum() / total)
+        cov = form[None] * sizes[:, None, None]
+    elif turn == "E" and shape == "V":  # common orientation, shapes of their own
+        d = np.linalg.eigh(s.sum(axis=0))[1]
+        for _ in range(20):
+            spread = [np.maximum(np.diag(d.T @ w @ d), 1e-300) for w in s]
+            shapes = [v / math.exp(np.log(v).mean()) for v in spread]
+            sizes = np.array([(v / a).sum() / p for v, a in zip(spread, shapes, strict=True)])
+            scaled = [a * (z / m if volume == "V" else 1.0) for a, z, m in zip(shapes, sizes, n, strict=True)]
+            before, d = d.copy(), _common_turn(s, scaled, d.copy())
+            if np.allclose(before, d, atol=1e-9):
+                break
+        spread = [np.maximum(np.diag(d.T @ w @ d), 1e-300) for w in s]
+        shapes = [v / math.exp(np.log(v).mean()) for v in spread]
+        sizes = np.array([(v / a).sum() / p for v, a in zip(spread, shapes, strict=True)])
+        sizes = sizes / n if volume == "V" else np.full(k, sizes.sum() / total)
+        cov = np.stack([z * d @ np.diag(a) @ d.T for z, a in zip(sizes, shapes, strict=True)])
+    elif shape == "E":  # orientations of their own, one shape
+        values, turns = zip(*(np.linalg.eigh(w) for w in s), strict=True)
+        values, sizes = np.maximum(np.stack(values), 1e-300), np.ones(k)
+        for _ in range(50 if volume == "V" else 1):
+            sum_ = (values / sizes[:, None]).sum(axis=0)
+            form = sum_ / math.exp(np.log(sum_).mean())
+            new = (values / form).sum(axis=1) / (p * n)
+            done, sizes = np.allclose(new, sizes, rtol=1e-9), new
+            if done:
+                break
+        sizes = sizes if volume == "V" else np.full(k, (sizes * n).sum() / total)
+        cov = np.stack([z * q @ np.diag(form) @ q.T for z, q in zip(sizes, turns, strict=True)])
+    else:  # shapes and orientations of their own, or on the axes
+        forms, sizes = zip(*map(_unit, s), strict=True)
+        sizes = np.array(sizes) / n if volume == "V" else np.full(k, sum(sizes) / total)
+        cov = np.stack(forms) * sizes[:, None, None]
     return cov + eps * np.eye(p)
 
 
@@ -252,36 +453,40 @@ def log_parts(x: np.ndarray, weight: np.ndarray, mean: np.ndarray, cov: np.ndarr
     return out
 
 
-def em_statistics(x: DataFrame, weight, mean, cov) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
-    """One pass: log-likelihood, and each component's mass, sum and scatter about its mean. A row a task comes back."""
-    k, p = mean.shape
+def em_statistics(x: DataFrame, models: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]) -> dict[str, tuple[float, np.ndarray, np.ndarray, np.ndarray]]:
+    """One pass for all models (weight, mean, cov): log-likelihood, and each component's mass, sum and scatter
+    about its mean. Tasks sum up what they hold, the sums of tasks are added up by an aggregate."""
+    k, p = next(iter(models.values()))[1].shape
+    width = 1 + k + k * p + k * p * p
 
     def run(batches):
-        ll, n, s1, s2 = 0.0, np.zeros(k), np.zeros((k, p)), np.zeros((k, p, p))
+        total = {name: np.zeros(width) for name in models}
         for batch in batches:
             own = np.array(batch.column(0).to_pylist(), float).reshape(-1, p)
             if not len(own):
                 continue
-            logs = log_parts(own, weight, mean, cov)
-            top = logs.max(axis=1, keepdims=True)
-            part = np.exp(logs - top)
-            ll += float((top[:, 0] + np.log(part.sum(axis=1))).sum())
-            r = part / part.sum(axis=1, keepdims=True)
-            n += r.sum(axis=0)
-            for g in range(k):
-                dev = own - mean[g]
-                s1[g] += r[:, g] @ dev
-                s2[g] += (dev * r[:, g : g + 1]).T @ dev
-        yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([[ll], n, s1.ravel(), s2.ravel()]).tobytes()], pa.binary())], ["s"])
-
-    rows = [np.frombuffer(r.s) for r in x.select("x").mapInArrow(run, "s binary").collect()]
-    total = np.sum(rows, axis=0)
-    return total[0], total[1 : 1 + k], total[1 + k : 1 + k + k * p].reshape(k, p), total[1 + k + k * p :].reshape(k, p, p)
-
-
-def fit_gmm(x: DataFrame, info: DataInfo, k: int, seed: int | None, families: tuple[str, ...] = FAMILIES, iter_max: int = 60, tol: float = 1e-5, **_) -> ClusterFit:
-    """EM from k-means labels for each covariance family; the family of the highest BIC is kept."""
-    start = fit_kmeans(x, info, k, seed, nstart=3)
+            for name, (weight, mean, cov) in models.items():
+                logs = log_parts(own, weight, mean, cov)
+                top = logs.max(axis=1, keepdims=True)
+                part = np.exp(logs - top)
+                r = part / part.sum(axis=1, keepdims=True)
+                devs = [own - mean[g] for g in range(k)]
+                s1 = np.stack([r[:, g] @ devs[g] for g in range(k)])
+                s2 = np.stack([(devs[g] * r[:, g : g + 1]).T @ devs[g] for g in range(k)])
+                total[name] += np.concatenate([[(top[:, 0] + np.log(part.sum(axis=1))).sum()], r.sum(axis=0), s1.ravel(), s2.ravel()])
+        yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array([list(v) for v in total.values()], pa.list_(pa.float64()))], ["model", "v"])
+
+    parts = x.select("x").mapInArrow(run, "model string, v array<double>").select("model", F.posexplode("v").alias("i", "v"))
+    sums = {name: np.zeros(width) for name in models}
+    for r in parts.groupBy("model", "i").agg(F.sum("v").alias("v")).collect():
+        sums[r.model][r.i] = r.v
+    return {name: (v[0], v[1 : 1 + k], v[1 + k : 1 + k + k * p].reshape(k, p), v[1 + k + k * p :].reshape(k, p, p)) for name, v in sums.items()}
+
+
+def fit_gmm(x: DataFrame, info: DataInfo, k: int, seed: int | None, families: tuple[str, ...] = FAMILIES, iter_max: int = 60, tol: float = 1e-5, starts: list[list[list[float]]] | None = None, **_) -> ClusterFit:
+    """EM from k-means labels for each covariance family, all in one pass a round; the family of the highest BIC is kept.
+    Given ``starts`` (one list of centers) are taken as they are."""
+    start = fit_kmeans(x, info, k, seed, nstart=3, starts=starts, iter_max=0 if starts else 100)
     p, n_all = len(info.features), info.n_obs
     data = x.select("row_id", "x").persist()
     try:
@@ -289,24 +494,22 @@ def fit_gmm(x: DataFrame, info: DataInfo, k: int, seed: int | None, families: tu
         counts = {r.g: r.n for r in labelled.groupBy("g").agg(F.count("*").alias("n")).collect()}
         spread = data.agg(*(F.var_pop(F.get("x", F.lit(i))).alias(f"v{i}") for i in range(p))).first()
         ridge = 1e-9 * max(max(spread), 1e-12)
-        best = None
-        for family in families:
-            weight = np.array([counts.get(g, 1) / n_all for g in range(1, k + 1)])
-            mean = np.array(start.centers, float)
-            cov = np.tile(np.diag([max(v, 1e-12) / k for v in spread]), (k, 1, 1))
-            before = -np.inf
-            for _ in range(iter_max):
-                ll, n, s1, s2 = em_statistics(data, weight, mean, cov)
-                if ll - before < tol * abs(ll) and before > -np.inf:
-                    break
-                before = ll
+        first = (np.array([counts.get(g, 1) / n_all for g in range(1, k + 1)]), np.array(start.centers, float), np.tile(np.diag([max(v, 1e-12) / k for v in spread]), (k, 1, 1)))
+        models, before, ended = dict.fromkeys(families, first), dict.fromkeys(families, -np.inf), {}
+        for turn in range(iter_max + 1):
+            for family, (ll, n, s1, s2) in em_statistics(data, models).items():
+                if turn == iter_max or (ll - before[family] < tol * abs(ll) and before[family] > -np.inf):
+                    ended[family] = (ll, *models.pop(family))
+                    continue
+                before[family] = ll
                 n = np.maximum(n, 1e-9)
                 shift = s1 / n[:, None]
                 scatter = s2 - n[:, None, None] * shift[:, :, None] * shift[:, None, :]
-                weight, mean, cov = n / n.sum(), mean + shift, _shape(family, n, scatter, ridge)
-            bic = 2 * ll - _free(family, k, p) * math.log(n_all)
-            if best is None or bic > best[0]:
-                best = (bic, family, ll, weight, mean, cov)
+                models[family] = (n / n.sum(), models[family][1] + shift, _shape(family, n, scatter, ridge))
+            if not models:
+                break
+        chosen = max(families, key=lambda f: (2 * ended[f][0] - _free(f, k, p) * math.log(n_all), -families.index(f)))
+        best = (2 * ended[chosen][0] - _free(chosen, k, p) * math.log(n_all), chosen, *ended[chosen])
     finally:
         data.unpersist()
     bic, family, ll, weight, mean, cov = best
@@ -391,36 +594,66 @@ def mixed_frame(df: DataFrame, id_col: str, types: dict[str, str], scaler: Scale
     return df.select(F.col(id_col).alias("row_id"), *cols)
 
 
-def trimmed_mean(c: Column, share: float = 0.1) -> Column:
-    ordered = F.array_sort(F.collect_list(c))
-    cut = F.floor(F.size(ordered) * share).cast("int")
-    kept = F.slice(ordered, cut + 1, F.size(ordered) - 2 * cut)
-    return F.when(F.size(ordered) > 0, F.aggregate(kept, F.lit(0.0), lambda s, v: s + v) / F.size(kept))
+CENTERS = ("mean", "median", "trimmed")
 
 
-CENTERS = {"mean": F.avg, "median": F.median, "trimmed": trimmed_mean}
+def prototype_round(rows: DataFrame, types: dict[str, str], runs: dict[int, list[dict]], lam: float, center_num: str = "mean") -> dict[int, tuple[list[dict], float]]:
+    """One pass for all runs, given as their prototypes: assigns all rows, then takes centers and smallest modes;
+    with them the objective before."""
+    own = {f: f"f{i}" for i, f in enumerate(types)}  # no name of a feature meets a name of this step
+    rows = rows.select(F.col("row_id").alias("r"), *(F.col(f"`{f}`").alias(c) for f, c in own.items()))
+    kinds, names = list(types.items()), list(runs)
+    whole = sum(1.0 if kind == "numeric" else lam for kind in types.values())
 
-
-def prototype_step(rows: DataFrame, types: dict[str, str], prototypes: list[dict], lam: float, center_num: str = "mean") -> tuple[list[dict], float, DataFrame]:
-    """Assigns all rows, then takes centers and smallest modes; returns the objective before."""
-    cols = {f: F.col(f) for f in types}
-    placed = rows.withColumn("ds", mixed_distances(prototypes, types, lam)(cols)).withColumn("g", argmin(F.col("ds"))).withColumn("d", F.array_min("ds")).drop("ds")
-    aggs = [(CENTERS[center_num](F.col(f)) if kind == "numeric" else F.mode(F.col(f), True)).alias(f) for f, kind in types.items()]
-    found = placed.groupBy("g").agg(F.sum("d").alias("_cost"), F.count("*").alias("_n"), *aggs).collect()
-    if any(r["_cost"] is not None and math.isinf(r["_cost"]) for r in found):
+    def assign(batches):
+        for batch in batches:
+            cols = [batch.column(1 + i) for i in range(len(kinds))]
+            there = [c.is_valid().to_numpy(zero_copy_only=False) for c in cols]
+            numbers = [np.nan_to_num(c.to_numpy(zero_copy_only=False).astype(float)) if kind == "numeric" else None for c, (_, kind) in zip(cols, kinds, strict=True)]
+            gs, ds = [], []
+            for s in names:
+                d = np.empty((batch.num_rows, len(runs[s])))
+                for j, proto in enumerate(runs[s]):
+                    total, seen = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
+                    for c, x, known, (f, kind) in zip(cols, numbers, there, kinds, strict=True):
+                        if proto[f] is not None:
+                            part = (x - proto[f]) ** 2 if kind == "numeric" else lam * pc.fill_null(pc.not_equal(c, pa.scalar(proto[f], c.type)), False).to_numpy(zero_copy_only=False)
+                            total, seen = total + np.where(known, part, 0.0), seen + np.where(known, 1.0 if kind == "numeric" else lam, 0.0)
+                    d[:, j] = np.where(seen > 0, total * whole / np.where(seen > 0, seen, 1), np.inf)
+                gs.append(d.argmin(axis=1) + 1)
+                ds.append(d.min(axis=1))
+            lists = [pa.array(np.stack(v, axis=1).tolist(), pa.list_(t)) for v, t in ((gs, pa.int32()), (ds, pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *lists], [*batch.schema.names, "g", "d"])
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", g array<int>, d array<double>"
+    placed = rows.mapInArrow(assign, schema).select("r", *own.values(), F.posexplode(F.arrays_zip("g", "d")).alias("at", "e"))
+    placed = placed.select("r", *own.values(), F.element_at(F.array(*map(F.lit, names)), F.col("at") + 1).alias("s"), "e.g", "e.d")
+    aggs = [(F.avg(own[f]) if kind == "numeric" else F.mode(F.col(own[f]), True)).alias(own[f]) for f, kind in types.items()]
+    found = placed.groupBy("s", "g").agg(F.sum("d").alias("cost"), *aggs).collect()
+    if any(r["cost"] is not None and math.isinf(r["cost"]) for r in found):
         raise ValueError("a row has no observed feature in common with the prototypes")
-    new = [dict(p) for p in prototypes]
+    out = {s: ([dict(p) for p in prototypes], 0.0) for s, prototypes in runs.items()}
     for r in found:
-        new[r.g - 1] = {f: r[f] for f in types}
-    empty = [g for g in range(1, len(prototypes) + 1) if g not in {r.g for r in found}]
-    if empty:  # an empty cluster takes a row that is farthest from its prototype
-        far = placed.orderBy(F.desc("d"), "row_id").limit(len(empty)).collect()
-        for g, r in zip(empty, far, strict=False):
-            new[g - 1] = {f: r[f] for f in types}
-    return new, float(sum(r["_cost"] for r in found)), placed
+        new, cost = out[r.s]
+        new[r.g - 1] = {f: r[c] for f, c in own.items()}
+        out[r.s] = (new, cost + float(r["cost"]))
+    if center_num != "mean":
+        middle = medians if center_num == "median" else trimmed_means
+        for f in (f for f, kind in types.items() if kind == "numeric"):
+            at = {(r.s, r.g): r.m for r in middle(placed, ["s", "g"], own[f], name="m").collect()}
+            for r in found:
+                out[r.s][0][r.g - 1][f] = at.get((r.s, r.g))
+    for s, (new, _) in out.items():
+        empty = [g for g in range(1, len(new) + 1) if (s, g) not in {(r.s, r.g) for r in found}]
+        if empty:  # an empty cluster takes a row that is farthest from its prototype
+            far = placed.where(F.col("s") == s).orderBy(F.desc("d"), "r").limit(len(empty)).collect()
+            for g, r in zip(empty, far, strict=False):
+                new[g - 1] = {f: r[c] for f, c in own.items()}
+    return out
 
 
-def fit_prototypes(method: str, df: DataFrame, info: DataInfo, k: int, seed: int | None, lam: float | str | None = None, nstart: int = 10, iter_max: int = 100, tol: float = 1e-6, center_num: str = "mean", missing_rule: str = "pairwise", restore: bool = False, **_) -> ClusterFit:
+def fit_prototypes(method: str, df: DataFrame, info: DataInfo, k: int, seed: int | None, lam: float | str | None = None, nstart: int = 10, iter_max: int = 100, tol: float = 1e-6, center_num: str = "mean", missing_rule: str = "pairwise", restore: bool = False, starts: list[list[dict]] | None = None, **_) -> ClusterFit:
+    """``starts`` has lists of k prototypes, in the values that are fitted, in place of rows drawn by hash."""
     types = info.types
     if lam not in (None, "auto") and lam < 0:
         raise ValueError("`lambda` must not be negative")
@@ -429,43 +662,43 @@ def fit_prototypes(method: str, df: DataFrame, info: DataInfo, k: int, seed: int
     rows = df.persist()
     try:
         if missing_rule == "fail":
-            gaps = rows.agg(F.count("*").alias("_n"), *(F.count(f).alias(f) for f in types)).first()
-            if any(gaps[f] < gaps["_n"] for f in types):
+            gaps = rows.agg(F.count("*"), *(F.count(f"`{f}`") for f in types)).first()
+            if min(gaps) < gaps[0]:
                 raise ValueError("missing values found; missing is fail")
         weight = estimate_lambda(rows, types) if lam in (None, "auto") else float(lam)
-        best = None
-        for s in range(nstart):
+        runs = {s: [dict(p) for p in start] for s, start in enumerate(starts or [])}
+        for s in range(0 if starts else nstart):
             start = rows.orderBy(F.xxhash64("row_id", F.lit((seed or 0) * 1000 + s)), "row_id").limit(k).collect()
-            protos = [{f: r[f] for f in types} for r in start]
-            before = math.inf
-            for _ in range(iter_max):
-                new, cost, _placed = prototype_step(rows, types, protos, weight, center_num)
-                done = abs(before - cost) < tol or new == protos
-                protos, before = new, cost
-                if done:
-                    break
-            if best is None or cost < best[0]:
-                best = (cost, protos)
+            runs[s] = [{f: r[f] for f in types} for r in start]
+        before, active = dict.fromkeys(runs, math.inf), set(runs)
+        for _ in range(iter_max):
+            for s, (new, cost) in prototype_round(rows, types, {s: runs[s] for s in sorted(active)}, weight, center_num).items():
+                if abs(before[s] - cost) < tol or new == runs[s]:
+                    active.discard(s)
+                runs[s], before[s] = new, cost
+            if not active:
+                break
+        cost, best = min((before[s], s) for s in runs)
+        protos = runs[best]
     finally:
         rows.unpersist()
-    cost, protos = best
     rule = mixed_distances(protos, types, weight)
     labels = df.select("row_id", argmin(rule({f: F.col(f) for f in types})).alias("cluster"))
     shown = [{f: (info.scaler.restore(f, v) if restore and info.scaler and types[f] == "numeric" and v is not None else v) for f, v in p.items()} for p in protos]
-    return ClusterFit(method, {"k": k, "lambda": weight, "nstart": nstart}, labels, k, info, prototypes=shown, distances=rule, extras={"objective": cost})
-
-
-def within_components(df: DataFrame, types: dict[str, str], prototypes: list[dict], labels: DataFrame, lam: float) -> tuple[float, float]:
-    """Numeric and categorical parts of the within cost."""
-    num, cat = F.lit(0.0), F.lit(0.0)
-    for f, kind in types.items():
-        value = F.element_at(F.array(*(F.lit(p[f]) for p in prototypes)), F.col("cluster"))
-        if kind == "numeric":
-            num = num + F.coalesce(F.pow(F.col(f) - value, 2), F.lit(0.0))
-        else:
-            cat = cat + F.when(F.col(f) != value, 1.0).otherwise(0.0)
-    row = df.join(labels, "row_id").agg(F.sum(num), F.sum(cat)).first()
-    return float(row[0]), lam * float(row[1])
-
-
-__all__ = ["lit_array", "feature_types", "fit_scaler", "vectors"]
+    return ClusterFit(method, {"k": k, "lambda": weight, "nstart": nstart}, labels, k, info, prototypes=shown, distances=rule, training=df, extras={"objective": cost, "fitted": protos})
+
+
+def within_split(fit: ClusterFit) -> tuple[float, float]:
+    """The parts of the objective from numeric and from categorical features; they sum to it where nothing is missing."""
+    types, lam = fit.info.types, fit.params["lambda"]
+    parts = []
+    for kind in ("numeric", "categorical"):
+        each = [F.lit(0.0)] * len(fit.extras["fitted"])
+        for i, p in enumerate(fit.extras["fitted"]):
+            for f in (f for f, t in types.items() if (t == "numeric") == (kind == "numeric") and p[f] is not None):
+                c = F.col(f"`{f}`")
+                own = (c - F.lit(float(p[f]))) * (c - F.lit(float(p[f]))) if kind == "numeric" else F.when(c != F.lit(p[f]), F.lit(lam)).otherwise(0.0)
+                each[i] = each[i] + F.coalesce(own, F.lit(0.0))
+        parts.append(F.sum(F.element_at(F.array(*each), F.col("cluster of the row"))))
+    row = fit.training.join(fit.clusters.withColumnRenamed("cluster", "cluster of the row"), "row_id").agg(*parts).first()
+    return float(row[0]), float(row[1])

@@ -6,11 +6,13 @@ only the contingency table leaves the partial aggregates.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.functions.expr import array_distance
-from kindred.operators.distance import MOST_ROWS, check_rows
+from kindred.functions.quantile import medians
 
 
 def sizes(labels: DataFrame) -> DataFrame:
@@ -32,7 +34,8 @@ def centroids(labelled: DataFrame) -> DataFrame:
 def feature_summary(df: DataFrame, features: list[str], cluster_col: str = "cluster") -> DataFrame:
     """(cluster, feature, mean, sd, median, min, max)."""
     tall = df.select(F.col(cluster_col).alias("cluster"), *(F.col(f"`{f}`").cast("double").alias(f) for f in features)).unpivot(["cluster"], [f"`{f}`" for f in features], "feature", "value")
-    return tall.groupBy("cluster", "feature").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.median("value").alias("median"), F.min("value").alias("min"), F.max("value").alias("max"))
+    plain = tall.groupBy("cluster", "feature").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.min("value").alias("min"), F.max("value").alias("max"))
+    return plain.join(medians(tall, ["cluster", "feature"], "value"), ["cluster", "feature"], "left").select("cluster", "feature", "mean", "sd", "median", "min", "max")
 
 
 def separation(df: DataFrame, features: list[str], cluster_col: str = "cluster") -> DataFrame:
@@ -70,12 +73,37 @@ def davies_bouldin(labelled: DataFrame) -> DataFrame:
     return a.join(b, F.col("c1") != F.col("c2")).groupBy("c1").agg(F.max(ratio).alias("r")).agg(F.avg("r").alias("davies_bouldin"))
 
 
-def silhouette_rows(labelled: DataFrame, max_exact_rows: int = 20_000) -> DataFrame:
-    """(row_id, cluster, neighbour, width) by plain Euclidean distances; a cluster of one has width 0."""
-    check_rows(labelled, max_exact_rows, "the silhouette")
-    other = F.broadcast(labelled.select(F.col("row_id").alias("j"), F.col("x").alias("y"), F.col("cluster").alias("g")))
-    sums = labelled.join(other, F.col("row_id") != F.col("j")).groupBy("row_id", "cluster", "g").agg(F.avg(array_distance(F.col("x"), F.col("y"))).alias("d"))
-    return widths(sums, labelled)
+def silhouette_rows(labelled: DataFrame, block_rows: int = 4096) -> DataFrame:
+    """(row_id, cluster, neighbour, width) by plain Euclidean distances; a cluster of one has width 0.
+
+    Exact at any size, and quadratic in the rows: they are dealt by hash to blocks of about ``block_rows``,
+    a task takes two blocks and gives back each row's sums of distances to the clusters of the other."""
+    blocks = max(1, -(-labelled.count() // block_rows))
+    own, every = F.pmod(F.xxhash64("row_id"), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = labelled.select("row_id", "cluster", "x", own.alias("one"), every.alias("two"))
+    right = labelled.select(*(F.col(c).alias(c) for c in ("row_id", "cluster", "x")), every.alias("one"), own.alias("two"))
+    kinds = {c: labelled.schema[c].dataType.simpleString() for c in ("row_id", "cluster")}
+
+    def sums(rows: pa.Table, others: pa.Table) -> pa.Table:
+        groups, of = np.unique(others["cluster"].to_numpy(zero_copy_only=False), return_inverse=True)
+        order = np.argsort(of, kind="stable")
+        starts = np.searchsorted(of[order], np.arange(len(groups)))
+        x, y = (np.array(t["x"].to_pylist(), float).reshape(t.num_rows, -1) for t in (rows, others))
+        y, parts = y[order], []
+        for at in range(0, len(x), 256):
+            d = np.zeros((len(x[at : at + 256]), len(y)))
+            for f in range(x.shape[1]):
+                d += (x[at : at + 256, f, None] - y[None, :, f]) ** 2
+            parts.append(np.add.reduceat(np.sqrt(d), starts, axis=1) if len(groups) else np.zeros((len(d), 0)))
+        total = np.concatenate(parts) if parts else np.zeros((0, len(groups)))
+        again = np.repeat(np.arange(len(x)), len(groups))
+        return pa.table({"row_id": rows["row_id"].take(again), "cluster": rows["cluster"].take(again), "g": pa.array(np.tile(groups, len(x)), rows.schema.field("cluster").type), "s": pa.array(total.ravel()), "n": pa.array(np.tile(np.bincount(of, minlength=len(groups)), len(x)), pa.int64())})
+
+    found = left.groupBy("one", "two").cogroup(right.groupBy("one", "two")).applyInArrow(sums, f"row_id {kinds['row_id']}, cluster {kinds['cluster']}, g {kinds['cluster']}, s double, n long")
+    # a row's distance to itself is nought and not counted
+    n = F.sum("n") - F.when(F.col("g") == F.col("cluster"), 1).otherwise(0)
+    means = found.groupBy("row_id", "cluster", "g").agg(F.sum("s").alias("s"), n.alias("n")).where("n > 0")
+    return widths(means.select("row_id", "cluster", "g", (F.col("s") / F.col("n")).alias("d")), labelled)
 
 
 def widths(sums: DataFrame, labelled: DataFrame) -> DataFrame:
@@ -144,26 +172,19 @@ def ensemble_stability(labels: DataFrame) -> DataFrame:
     return ab.join(ua, ["c1", "c2"]).join(vb, ["c1", "c2"]).select(ppa.alias("p")).agg(F.avg("p").alias("mean_ppa"), F.min("p").alias("min_ppa"), F.max("p").alias("max_ppa"))
 
 
-#: Scale and direction of each metric.
+# Scale and direction of each metric.
 METRICS = {
-    "silhouette": ("-1 to 1", "higher"),
-    "calinski_harabasz": ("0 to Inf", "higher"),
-    "davies_bouldin": ("0 to Inf", "lower"),
-    "total_within": ("0 to Inf", "lower"),
-    "ari": ("-1 to 1", "higher"),
-    "nmi": ("0 to 1", "higher"),
-    "bootstrap_ari": ("-1 to 1", "higher"),
+    "silhouette": ("-1 to 1", "higher is better"),
+    "bootstrap_ari": ("0 to 1", "higher is better"),
+    "davies_bouldin": ("positive, unbounded", "lower is better"),
+    "total_within": ("positive, unbounded", "lower is better"),
+    "calinski_harabasz": ("positive, unbounded", "higher is better"),
 }
 
 
-def top_contributions(contributions: DataFrame, top_n: int) -> DataFrame:
-    return contributions.orderBy(F.desc("contribution"), "feature").limit(top_n)
-
-
 def rank_effects(effects: DataFrame, top_n: int | None = None) -> DataFrame:
-    """Adds rank by absolute effect within each observation; with top_n, keeps as many."""
-    ranked = effects.withColumn("rank", F.row_number().over(Window.partitionBy("observation").orderBy(F.desc(F.abs("estimate")), "feature")))
+    """Adds rank by absolute effect within each observation, of equal ones by ``at`` (the place of the feature,
+    which goes) or by feature; with top_n, keeps as many."""
+    tie = "at" if "at" in effects.columns else "feature"
+    ranked = effects.withColumn("rank", F.row_number().over(Window.partitionBy("observation").orderBy(F.desc(F.abs("estimate")), tie))).drop("at")
     return ranked.where(F.col("rank") <= top_n) if top_n else ranked
-
-
-__all__ = ["MOST_ROWS", "METRICS"]

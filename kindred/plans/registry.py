@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kindred.functions.expr import lit_array, signif
+from kindred.functions.expr import signif
 from kindred.functions.preprocess import fit_encoder, fit_scaler
-from kindred.operators import api, consensus, embed, explain, metrics
+from kindred.operators import api, consensus, embed, explain, metrics, plotspec
 from kindred.operators.distance import eps_pairs, euclidean_pairs, mixed_distance, vectors
-from kindred.operators.graph import connected
-from kindred.operators.methods import center_distances, estimate_lambda, fit_dbscan, lloyd, mixed_distances, nearest, prototype_step
+from kindred.operators.graph import connected, ensure_checkpoint_dir
+from kindred.operators.methods import ClusterFit, estimate_lambda, mixed_distances
+from kindred.operators.methods import within_split as methods_within_split
+from kindred.sources.tables import read_table, write_results
+from kindred.streaming import assign
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,8 +41,14 @@ def oracle_sql() -> dict:
     return dict(ORACLES)
 
 
-def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+table = read_table
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path under the shared folder."""
+    df = spark.range(0)
+    ensure_checkpoint_dir(df)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
 def r6(c, name: str):
@@ -63,12 +74,12 @@ def zscore_part(spark, sf):
     return part_z(spark, sf).select("p_partkey", r6(F.col("p_size"), "z_size"), r6(F.col("p_retailprice"), "z_price"))
 
 
-GAPPED = "g AS (SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_acctbal END AS bal, CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE c_mktsegment END AS seg FROM customer)"
+GAPPED = "g AS (SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_acctbal END AS bal, CASE WHEN c_custkey % 11 = 0 AND c_custkey % 7 <> 0 THEN NULL ELSE c_mktsegment END AS seg FROM customer)"
 
 
 def gapped(spark, sf) -> DataFrame:
     c = table(spark, sf, "customer")
-    return c.select("c_custkey", F.when(F.col("c_custkey") % 7 != 0, F.col("c_acctbal")).alias("bal"), F.when(F.col("c_custkey") % 11 != 0, F.col("c_mktsegment")).alias("seg"))
+    return c.select("c_custkey", F.when(F.col("c_custkey") % 7 != 0, F.col("c_acctbal")).alias("bal"), F.when((F.col("c_custkey") % 11 != 0) | (F.col("c_custkey") % 7 == 0), F.col("c_mktsegment")).alias("seg"))
 
 
 @query(f"WITH {GAPPED} SELECT c_custkey, round(coalesce(bal, (SELECT median(bal) FROM g)), 4) AS bal, coalesce(seg, 'missing') AS seg FROM g")
@@ -101,11 +112,11 @@ def mixed_encode(spark, sf):
 
 @query(
     """WITH s AS (SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS v FROM lineitem)
-    SELECT l_orderkey, l_linenumber, round(v * pow(10.0::DOUBLE, 3.0::DOUBLE - floor(log10(abs(v))))) / pow(10.0::DOUBLE, 3.0::DOUBLE - floor(log10(abs(v)))) AS v4 FROM s WHERE v <> 0"""
+    SELECT l_orderkey, l_linenumber, CASE WHEN v = 0 THEN v ELSE round(v * pow(10.0::DOUBLE, 3.0::DOUBLE - floor(log10(abs(v))))) / pow(10.0::DOUBLE, 3.0::DOUBLE - floor(log10(abs(v)))) END AS v4 FROM s"""
 )
 def signif4(spark, sf):
     df = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("v"))
-    return df.where("v <> 0").select("l_orderkey", "l_linenumber", signif(F.col("v")).alias("v4"))
+    return df.select("l_orderkey", "l_linenumber", signif(F.col("v")).alias("v4"))
 
 
 # -- distances ------------------------------------------------------------------------------------
@@ -143,9 +154,7 @@ def eps_neighbors(spark, sf):
     SELECT z.p_partkey AS row_id, CAST(coalesce(f.id, 0) AS INTEGER) AS cluster FROM z LEFT JOIN b ON z.p_partkey = b.i LEFT JOIN f ON b.root = f.root"""
 )
 def dbscan_part(spark, sf):
-    x = vectors(part_z(spark, sf), "p_partkey", PART)
-    info = api.DataInfo(0, "p_partkey", tuple(PART), "matrix", None, None)
-    return fit_dbscan(x, info, EPS, 4).clusters
+    return api.cluster(table(spark, sf, "part"), "dbscan", id_col="p_partkey", features=PART, scale=True, eps=EPS, minPts=4).clusters
 
 
 @query("SELECT c.c_custkey AS row_id, min(d.c_custkey) AS root FROM customer c JOIN customer d ON c.c_nationkey = d.c_nationkey AND c.c_mktsegment = d.c_mktsegment GROUP BY 1")
@@ -163,15 +172,28 @@ SQL_D = [f"(a - {p}) ** 2 + (b - {q}) ** 2" for p, q in (("(-1.0::DOUBLE)", "(-1
 NEAR = f"d AS (SELECT *, {SQL_D[0]} AS d1, {SQL_D[1]} AS d2, {SQL_D[2]} AS d3 FROM z), n AS (SELECT *, CASE WHEN d1 <= d2 AND d1 <= d3 THEN 1 WHEN d2 <= d3 THEN 2 ELSE 3 END AS cluster FROM d)"
 
 
-def assigned_part(spark, sf, keep=("p_partkey",)):
-    z = part_z(spark, sf, keep)
-    x = F.array(*(F.col(f) for f in PART))
-    return z.withColumn("x", x).withColumn("cluster", nearest(F.col("x"), CENTERS))
+def fixed_fit(spark, sf, centers=CENTERS) -> ClusterFit:
+    """A fit of the given centers: k-means that stops before its first round."""
+    return api.cluster(table(spark, sf, "part"), "kmeans", len(centers), id_col="p_partkey", features=PART, scale=True, starts=[centers], iter_max=0)
 
 
 @query(f"WITH {PART_Z}, {NEAR} SELECT p_partkey, cluster FROM n")
 def assign_fixed_centers(spark, sf):
-    return assigned_part(spark, sf).select("p_partkey", "cluster")
+    return api.predict(fixed_fit(spark, sf), table(spark, sf, "part")).clusters.withColumnRenamed("row_id", "p_partkey")
+
+
+@query(f"WITH {PART_Z}, {NEAR} SELECT p_partkey, cluster FROM n")
+def stream_assign_part(spark, sf):
+    """Rows read as a stream, assigned and written as files."""
+    fit, out = fixed_fit(spark, sf), scratch(spark, "stream")
+    rows = spark.readStream.schema(fit.info.data.schema).option("pathGlobFilter", "part.parquet").parquet(sf)
+    assign.to_files(assign.assign_stream(fit, rows), f"{out}/rows", f"{out}/log").awaitTermination()
+    return spark.read.schema("row_id long, cluster int").parquet(f"{out}/rows").withColumnRenamed("row_id", "p_partkey")
+
+
+@query(f"WITH {PART_Z}, {NEAR} SELECT cluster, CAST(count(*) AS BIGINT) AS size FROM n GROUP BY cluster")
+def sizes_fixed_centers(spark, sf):
+    return plotspec.plot_cluster_sizes(fixed_fit(spark, sf)).data
 
 
 @query(
@@ -180,7 +202,8 @@ def assign_fixed_centers(spark, sf):
 )
 def part_profile(spark, sf):
     """The flagship: standardise, assign to literal centers, and profile the clusters in one aggregate."""
-    placed = assigned_part(spark, sf)
+    fit = fixed_fit(spark, sf)
+    placed = part_z(spark, sf).join(fit.clusters, F.col("p_partkey") == F.col("row_id"))
     a, b = (F.col(f) for f in PART)
     return placed.groupBy("cluster").agg(
         F.count("*").alias("size"), r6(F.avg(a), "mean_size"), r6(F.avg(b), "mean_price"), r6(F.stddev_samp(a), "sd_size"), r6(F.stddev_samp(b), "sd_price"), r6(F.var_pop(a) + F.var_pop(b), "within"),
@@ -193,12 +216,9 @@ def part_profile(spark, sf):
     SELECT p_partkey, cluster, round(e1 / (e1 + e2 + e3), 6) AS s1, round(e2 / (e1 + e2 + e3), 6) AS s2, round(e3 / (e1 + e2 + e3), 6) AS s3 FROM e"""
 )
 def scores_radial(spark, sf):
-    z = part_z(spark, sf)
-    cols = {f: F.col(f) for f in PART}
-    placed = z.withColumn("d", center_distances(CENTERS)(cols)).withColumn("cluster", F.array_position("d", F.array_min("d")).cast("int"))
-    sigma = placed.select(F.explode("d").alias("v")).agg(F.median("v").alias("s"))
-    scored = placed.join(F.broadcast(sigma)).withColumn("p", explain.radial(F.col("d"), F.col("s")))
-    return scored.select("p_partkey", "cluster", *(r6(F.get("p", F.lit(i)), f"s{i + 1}") for i in range(3)))
+    fit = fixed_fit(spark, sf)
+    scored = explain.score_rows(fit, table(spark, sf, "part"), api.feature_columns(fit))
+    return scored.select("p_partkey", "cluster", *(r6(F.get("scores", F.lit(i)), f"s{i + 1}") for i in range(3)))
 
 
 def _lloyd_sql(rounds: int) -> str:
@@ -210,9 +230,9 @@ def _lloyd_sql(rounds: int) -> str:
 
 
 def _lloyd(spark, sf, rounds):
-    x = vectors(part_z(spark, sf), "p_partkey", PART)
-    centers = lloyd(x, CENTERS, rounds)
-    return spark.createDataFrame([(g, round(p, 6), round(q, 6)) for g, (p, q) in enumerate(centers, 1)], "cluster int, m_size double, m_price double")
+    fit = api.cluster(table(spark, sf, "part"), "kmeans", 3, id_col="p_partkey", features=PART, scale=True, starts=[CENTERS], iter_max=rounds)
+    rows = [(g, *(round(c[f], 6) for f in PART)) for g, c in enumerate(api.centers(fit, rounded=False), 1)]
+    return spark.createDataFrame(rows, "cluster int, m_size double, m_price double")
 
 
 @query(_lloyd_sql(1))
@@ -225,6 +245,28 @@ def lloyd_rounds(spark, sf):
     return _lloyd(spark, sf, 4)
 
 
+@query(_lloyd_sql(3).rsplit(" SELECT", 1)[0] + ", l AS (SELECT p_partkey, min_by(g, ((a - p) ** 2 + (b - q) ** 2, g)) AS g FROM z, c3 GROUP BY p_partkey) SELECT p_partkey AS row_id, CAST(g AS INTEGER) AS cluster FROM l")
+def kmeans_fixed_start(spark, sf):
+    return api.cluster(table(spark, sf, "part"), "kmeans", 3, id_col="p_partkey", features=PART, scale=True, starts=[CENTERS], iter_max=3).clusters
+
+
+def _gmm_sql() -> str:
+    logs = ", ".join(f"ln(w{g}) - 0.5 * (({p} - a) ** 2 / va + ({q} - b) ** 2 / vb + ln(va) + ln(vb)) AS l{g}" for g, (p, q) in enumerate(CENTERS, 1))
+    shares = ", ".join(f"exp(l{g} - m) / (exp(l1 - m) + exp(l2 - m) + exp(l3 - m)) AS r{g}" for g in (1, 2, 3))
+    up = ", ".join(f"sum(r{g}) AS n{g}, sum(r{g} * a) / sum(r{g}) AS a{g}, sum(r{g} * b) / sum(r{g}) AS b{g}, sum(r{g} * a * a) / sum(r{g}) - pow(sum(r{g} * a) / sum(r{g}), 2) AS s{g}, sum(r{g} * b * b) / sum(r{g}) - pow(sum(r{g} * b) / sum(r{g}), 2) AS t{g}" for g in (1, 2, 3))
+    last = ", ".join(f"ln(n{g} / (n1 + n2 + n3)) - 0.5 * ((a - a{g}) ** 2 / s{g} + (b - b{g}) ** 2 / t{g} + ln(s{g}) + ln(t{g})) AS k{g}" for g in (1, 2, 3))
+    return f"""WITH {PART_Z}, {NEAR}, c AS (SELECT (count(*) FILTER (cluster = 1))::DOUBLE / count(*) AS w1, (count(*) FILTER (cluster = 2))::DOUBLE / count(*) AS w2, (count(*) FILTER (cluster = 3))::DOUBLE / count(*) AS w3, var_pop(a) / 3 AS va, var_pop(b) / 3 AS vb FROM n),
+    l AS (SELECT p_partkey, a, b, {logs} FROM z, c), r AS (SELECT *, {shares} FROM (SELECT *, greatest(l1, l2, l3) AS m FROM l)), u AS (SELECT {up} FROM r),
+    f AS (SELECT p_partkey, {last} FROM r, u) SELECT p_partkey AS row_id, CASE WHEN k1 >= k2 AND k1 >= k3 THEN 1 WHEN k2 >= k3 THEN 2 ELSE 3 END AS cluster, round(1 / (1 + exp(k2 - k1) + exp(k3 - k1)), 5) AS first FROM f"""
+
+
+@query(_gmm_sql())
+def gmm_fixed_start(spark, sf):
+    """One round of the axis-parallel family from fixed centers."""
+    fit = api.cluster(table(spark, sf, "part"), "gmm", 3, id_col="p_partkey", features=PART, scale=True, starts=[CENTERS], families=("VVI",), iter_max=1)
+    return fit.clusters.join(fit.membership, "row_id").select("row_id", "cluster", F.round(F.get("membership", F.lit(0)), 5).alias("first"))
+
+
 # -- mixed prototypes -----------------------------------------------------------------------------
 
 PROTOS = [{"bal": 0.0, "seg": "BUILDING"}, {"bal": 5000.0, "seg": "MACHINERY"}, {"bal": 9000.0, "seg": None}]
@@ -257,15 +299,35 @@ def lambda_auto(spark, sf):
     return spark.createDataFrame([(round(lam, 6),)], "lambda double")
 
 
-@query(
-    f"""WITH {GAPPED}, d AS (SELECT *, {_kmm_sql(PROTOS[0])} AS d1, {_kmm_sql(PROTOS[1])} AS d2 FROM g WHERE bal IS NOT NULL OR seg IS NOT NULL),
-    a AS (SELECT *, CASE WHEN d1 <= d2 THEN 1 ELSE 2 END AS g FROM d), m AS (SELECT g, seg, row_number() OVER (PARTITION BY g ORDER BY count(*) DESC, seg) AS r FROM a WHERE seg IS NOT NULL GROUP BY g, seg)
-    SELECT CAST(a.g AS INTEGER) AS cluster, round(avg(bal) / 1000, 6) AS bal, any_value(m.seg) AS seg FROM a JOIN m ON a.g = m.g AND m.r = 1 GROUP BY a.g"""
-)
-def prototypes_step(spark, sf):
-    rows = gapped(spark, sf).where("bal is not null or seg is not null").withColumnRenamed("c_custkey", "row_id")
-    new, _, _ = prototype_step(rows, TYPES, PROTOS[:2], LAM)
-    return spark.createDataFrame([(g, round(p["bal"] / 1000, 6), p["seg"]) for g, p in enumerate(new, 1)], "cluster int, bal double, seg string")
+_ROUND = f"""d AS (SELECT *, {_kmm_sql(PROTOS[0])} AS d1, {_kmm_sql(PROTOS[1])} AS d2 FROM g), a AS (SELECT *, CASE WHEN d1 <= d2 THEN 1 ELSE 2 END AS g FROM d),
+    m AS (SELECT g, seg, row_number() OVER (PARTITION BY g ORDER BY count(*) DESC, seg) AS r FROM a WHERE seg IS NOT NULL GROUP BY g, seg),
+    p AS (SELECT a.g, avg(bal) AS bal, any_value(m.seg) AS seg FROM a JOIN m ON a.g = m.g AND m.r = 1 GROUP BY a.g)"""
+_NEXT = f"""x AS (SELECT g.c_custkey, p.g, (coalesce(pow(g.bal - p.bal, 2), 0) + coalesce(CASE WHEN g.seg <> p.seg THEN {LAM}::DOUBLE WHEN g.seg = p.seg THEN 0 END, 0)) * (1 + {LAM}::DOUBLE) / (CASE WHEN g.bal IS NULL THEN 0 ELSE 1 END + CASE WHEN g.seg IS NULL THEN 0 ELSE {LAM}::DOUBLE END) AS d FROM g, p)
+    SELECT c_custkey AS row_id, CAST(min_by(g, (d, g)) AS INTEGER) AS cluster FROM x GROUP BY c_custkey"""
+
+
+@query(f"WITH {GAPPED}, {_ROUND} SELECT CAST(g AS INTEGER) AS cluster, round(bal / 1000, 6) AS bal, seg FROM p")
+def kmm_prototypes(spark, sf):
+    """One round from fixed prototypes, over what is observed."""
+    fit = api.cluster(gapped(spark, sf), "kmm", 2, id_col="c_custkey", scale_numeric=False, center=False, starts=[PROTOS[:2]], iter_max=1, **{"lambda": LAM})
+    return spark.createDataFrame([(g, round(p["bal"] / 1000, 6), p["seg"]) for g, p in enumerate(api.prototypes(fit, rounded=False), 1)], "cluster int, bal double, seg string")
+
+
+@query(f"WITH {GAPPED}, {_ROUND}, {_NEXT}")
+def kmm_fixed_start(spark, sf):
+    return api.cluster(gapped(spark, sf), "kmm", 2, id_col="c_custkey", scale_numeric=False, center=False, starts=[PROTOS[:2]], iter_max=1, **{"lambda": LAM}).clusters
+
+
+@query(f"WITH {GAPPED.replace('g AS', 'h AS')}, g AS (SELECT c_custkey, coalesce(bal, (SELECT median(bal) FROM h)) AS bal, coalesce(seg, 'missing') AS seg FROM h), {_ROUND}, {_NEXT}")
+def kproto_fixed_start(spark, sf):
+    """As kmm_fixed_start, with gaps filled first."""
+    return api.cluster(gapped(spark, sf), "kproto", 2, id_col="c_custkey", center=False, starts=[PROTOS[:2]], iter_max=1, **{"lambda": LAM}).clusters
+
+
+@query(f"WITH {GAPPED}, {_ROUND}, {_NEXT.rsplit(' SELECT', 1)[0]}, y AS (SELECT c_custkey, min_by(g, (d, g)) AS g FROM x GROUP BY 1) SELECT round(sum(pow(g.bal - p.bal, 2)) / 1e9::DOUBLE, 4) AS numeric_part, round(sum(CASE WHEN g.seg <> p.seg THEN {LAM}::DOUBLE ELSE 0 END) / 1e9::DOUBLE, 4) AS categorical_part FROM g JOIN y USING (c_custkey) JOIN p ON y.g = p.g")
+def within_split(spark, sf):
+    fit = api.cluster(gapped(spark, sf), "kmm", 2, id_col="c_custkey", scale_numeric=False, center=False, starts=[PROTOS[:2]], iter_max=1, **{"lambda": LAM})
+    return spark.createDataFrame([tuple(round(v / 1e9, 4) for v in methods_within_split(fit))], "numeric_part double, categorical_part double")
 
 
 # -- metrics --------------------------------------------------------------------------------------
@@ -373,6 +435,67 @@ def ppa(spark, sf):
     return metrics.partition_agreement(pairs(spark, sf)).select(r6(F.col("ppa"), "ppa"))
 
 
+# -- validation -----------------------------------------------------------------------------------
+
+_SIGNIF = "round(v * pow(10.0::DOUBLE, 3.0::DOUBLE - floor(log10(abs(v))))) / pow(10.0::DOUBLE, 3.0::DOUBLE - floor(log10(abs(v))))"
+
+
+@query(
+    f"""WITH {GAPPED}, q AS (SELECT c_custkey AS i, c_custkey % 3 + 1 AS g, [coalesce(bal, (SELECT median(bal) FROM g)), """
+    + ", ".join(f"CASE WHEN coalesce(seg, 'missing') = '{v}' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END" for v in LEVELS)
+    + f"""] AS x FROM g), p AS (SELECT a.i, a.g, b.g AS h, avg(sqrt(list_sum(list_transform(list_zip(a.x, b.x), lambda z: (z[1] - z[2]) ** 2)))) AS d FROM q a JOIN q b ON a.i <> b.i GROUP BY 1, 2, 3),
+    w AS (SELECT i, min(CASE WHEN h = g THEN d END) AS a, min(CASE WHEN h <> g THEN d END) AS b FROM p GROUP BY 1),
+    t AS (SELECT i, g, unnest(range(7)) AS f, unnest(x) AS v FROM q), c AS (SELECT g, f, count(*) AS n, avg(v) AS m, var_pop(v) AS s FROM t GROUP BY 1, 2), o AS (SELECT f, avg(v) AS m FROM t GROUP BY 1),
+    b AS (SELECT sum(c.n * (c.m - o.m) ** 2) AS b, sum(c.n * s) AS w FROM c JOIN o USING (f)), r AS (SELECT g, avg(d) AS s FROM (SELECT i, g, sqrt(sum((v - m) ** 2)) AS d FROM t JOIN c USING (g, f) GROUP BY 1, 2) GROUP BY 1),
+    e AS (SELECT x.g AS i, y.g AS j, sqrt(sum((x.m - y.m) ** 2)) AS d FROM c x JOIN c y ON x.f = y.f AND x.g <> y.g GROUP BY 1, 2),
+    u AS (SELECT 'silhouette' AS metric, avg((b - a) / greatest(a, b)) AS v FROM w UNION ALL SELECT 'calinski_harabasz', (b / 2) / (w / ((SELECT count(*) FROM q) - 3)) FROM b
+    UNION ALL SELECT 'davies_bouldin', avg(z) FROM (SELECT i, max((a.s + k.s) / d) AS z FROM e JOIN r a ON a.g = i JOIN r k ON k.g = j GROUP BY i) UNION ALL SELECT 'total_within', w FROM b) SELECT metric, {_SIGNIF} AS value FROM u"""
+)
+def validate_mixed(spark, sf):
+    """Internal metrics of a mixed fit, on imputed and one-hot encoded data."""
+    df = gapped(spark, sf)
+    fit = api.cluster(df, "kproto", 3, id_col="c_custkey", starts=[PROTOS], iter_max=1)
+    labels = df.select(F.col("c_custkey").alias("row_id"), (F.col("c_custkey") % 3 + 1).cast("int").alias("cluster"))
+    return api.validate(replace(fit, clusters=labels)).rounded().select("metric", "value")
+
+
+@query(f"WITH {PART_Z}, {NEAR}, {CELLS.replace('p_type AS a, p_brand AS b, count(*)::DOUBLE AS n FROM part', 'cluster AS a, p_brand AS b, count(*)::DOUBLE AS n FROM n')}, q AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM c) AS i, (SELECT sum(n * (n - 1) / 2) FROM x) AS p, (SELECT sum(n * (n - 1) / 2) FROM y) AS r, n * (n - 1) / 2 AS m FROM t), h AS (SELECT (SELECT -sum(x.n / t.n * ln(x.n / t.n)) FROM x, t) AS p, (SELECT -sum(y.n / t.n * ln(y.n / t.n)) FROM y, t) AS q, (SELECT -sum(c.n / t.n * ln(c.n / t.n)) FROM c, t) AS r) SELECT 'ari' AS metric, round((i - p * r / m) / ((p + r) / 2 - p * r / m), 6) AS value FROM q UNION ALL SELECT 'nmi', round((p + q - r) / sqrt(p * q), 6) FROM h")
+def validate_truth(spark, sf):
+    truth = table(spark, sf, "part").select(F.col("p_partkey").alias("row_id"), F.col("p_brand").alias("cluster"))
+    return api.validate(fixed_fit(spark, sf), truth=truth, metrics_wanted=["ari", "nmi"]).metrics_table.select("metric", r6(F.col("value"), "value"))
+
+
+def _boot_sql(repeats=(1000, 1001)) -> str:
+    u = "CAST('0x' || substr(md5(concat(d, ':', r)), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE"
+    return f"""WITH {PART_Z}, {NEAR}, k AS (SELECT cluster AS a, p_size AS v, row_number() OVER (ORDER BY p_partkey) - 1 AS place FROM n JOIN part USING (p_partkey)), s AS (SELECT count(*) AS n FROM k),
+    w AS (SELECT unnest({list(repeats)}) AS r), i AS (SELECT r, unnest(range(s.n)) AS d FROM w, s), j AS (SELECT r, a, v FROM (SELECT r, least(floor({u} * s.n), s.n - 1) AS place FROM i, s) JOIN k USING (place)),
+    c AS (SELECT r, a, v > avg(v) OVER (PARTITION BY r) AS b FROM j), e AS (SELECT r, a, b, count(*)::DOUBLE AS n FROM c GROUP BY 1, 2, 3), t AS (SELECT r, sum(n) AS n, sum(n * (n - 1) / 2) AS i FROM e GROUP BY 1),
+    p AS (SELECT r, sum(n * (n - 1) / 2) AS p FROM (SELECT r, sum(n) AS n FROM e GROUP BY r, a) GROUP BY 1), q AS (SELECT r, sum(n * (n - 1) / 2) AS q FROM (SELECT r, sum(n) AS n FROM e GROUP BY r, b) GROUP BY 1)
+    SELECT round(avg((i - p * q / (n * (n - 1) / 2)) / ((p + q) / 2 - p * q / (n * (n - 1) / 2))), 6) AS bootstrap_ari FROM t JOIN p USING (r) JOIN q USING (r)"""
+
+
+@query(_boot_sql())
+def bootstrap_ari_fixed(spark, sf):
+    """Agreement over every draw of two resamples, with a refit that splits at the resample's mean size."""
+    split = lambda sample: sample.join(F.broadcast(sample.agg(F.avg("f0").alias("m")))).select(F.col("draw_id").alias("row_id"), (F.col("f0") > F.col("m")).cast("int").alias("cluster"))
+    mean, _ = api.bootstrap_ari(fixed_fit(spark, sf), 2, refit=split)
+    return spark.createDataFrame([(round(mean, 6),)], "bootstrap_ari double")
+
+
+@query(f"WITH {PART_Z}, {NEAR}, t AS (SELECT cluster, 'p_size' AS feature, p_size::DOUBLE AS v FROM n JOIN part USING (p_partkey) UNION ALL SELECT cluster, 'p_retailprice', p_retailprice FROM n JOIN part USING (p_partkey)) SELECT cluster, feature, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS sd, round(median(v), 6) AS median, min(v) AS min, max(v) AS max FROM t GROUP BY 1, 2")
+def explore_profiles(spark, sf):
+    s = api.explore(fixed_fit(spark, sf), "pca").feature_summary
+    return s.select("cluster", "feature", *(r6(F.col(c), c) for c in ("mean", "sd", "median")), "min", "max")
+
+
+@query("SELECT p_partkey, p_size, p_type FROM part")
+def csv_round_trip(spark, sf):
+    out = scratch(spark, "csv")
+    write_results({"part": table(spark, sf, "part").select("p_partkey", "p_size", "p_type")}, out)
+    source = table(spark, sf, "part").select("p_partkey", "p_size", "p_type").schema
+    return spark.read.schema(source).option("header", True).csv(f"{out}/part")
+
+
 # -- consensus ------------------------------------------------------------------------------------
 
 LABELS = "l AS (SELECT 1 AS c, c_custkey AS r, c_nationkey % 4 AS g FROM customer UNION ALL SELECT 2, c_custkey, CAST(floor((c_acctbal + 1000) / 3000) AS INTEGER) + 1 FROM customer UNION ALL SELECT 3, c_custkey, CAST(length(c_mktsegment) AS INTEGER) FROM customer)"
@@ -424,11 +547,8 @@ def ensemble_stability(spark, sf):
     SELECT round(avg(CASE WHEN cluster <> CASE WHEN d1 <= d2 AND d1 <= d3 THEN 1 WHEN d2 <= d3 THEN 2 ELSE 3 END THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS instability FROM d2"""
 )
 def importance_md5(spark, sf):
-    base = assigned_part(spark, sf)
-    moved = explain.permuted(base, "p_partkey", "p_size", 1, 7)
-    again = base.select("p_partkey", "p_retailprice", "cluster").join(moved.withColumnRenamed("row_id", "p_partkey"), "p_partkey")
-    now = nearest(F.array("value", "p_retailprice"), CENTERS)
-    return again.agg(r6(F.avg((now != F.col("cluster")).cast("double")), "instability"))
+    found = explain.feature_importance(fixed_fit(spark, sf), table(spark, sf, "part"), ["p_size"], n_repeats=1, seed=7)
+    return found.summary.select(r6(F.col("importance"), "instability"))
 
 
 @query(
@@ -441,33 +561,46 @@ def cp_grid_quantile8(spark, sf):
     return spark.createDataFrame([(i, round(v, 6)) for i, v in enumerate(values)], "i int, value double")
 
 
-GRID = [-1.5, -0.5, 0.5, 1.5]
-CP = f"""WITH {PART_Z}, t AS (SELECT p_partkey, v AS a, b FROM z, (SELECT unnest([-1.5::DOUBLE, -0.5, 0.5, 1.5]) AS v)),
+GRID = [5.0, 15.0, 30.0, 45.0]
+CP = f"""WITH {PART_Z}, g AS (SELECT avg(p_size) AS m, stddev_samp(p_size) AS s FROM part), t AS (SELECT p_partkey, v, (v - m) / s AS a, b FROM z, g, (SELECT unnest([5.0::DOUBLE, 15.0, 30.0, 45.0]) AS v)),
  d AS (SELECT *, {SQL_D[0]} AS d1, {SQL_D[1]} AS d2, {SQL_D[2]} AS d3 FROM t), n AS (SELECT *, CASE WHEN d1 <= d2 AND d1 <= d3 THEN 1 WHEN d2 <= d3 THEN 2 ELSE 3 END AS cluster FROM d)"""
 
 
-def _cp_tasks(spark, sf):
-    z = part_z(spark, sf)
-    tasks = z.withColumn("v", F.explode(lit_array(GRID)))
-    d = center_distances(CENTERS)({"v": F.col("v"), "p_retailprice": F.col("p_retailprice")})
-    return tasks.withColumn("d", d).withColumn("cluster", F.array_position("d", F.array_min("d")).cast("int"))
+def _profiles(spark, sf, **options) -> DataFrame:
+    return explain.ceteris_paribus(fixed_fit(spark, sf), table(spark, sf, "part"), ["p_size"], grid={"p_size": GRID}, **options).profiles
 
 
-@query(CP + " SELECT p_partkey AS observation, a AS feature_value, cluster FROM n")
+@query(CP + " SELECT p_partkey AS observation, v AS feature_value, cluster FROM n")
 def cp_profile_cluster(spark, sf):
-    return _cp_tasks(spark, sf).select(F.col("p_partkey").alias("observation"), F.col("v").alias("feature_value"), "cluster")
+    return _profiles(spark, sf).select("observation", F.col("feature_value_num").alias("feature_value"), "cluster")
 
 
 @query(
     CP
-    + """, s AS (SELECT p_partkey, median(v) AS s FROM (SELECT p_partkey, unnest([sqrt(d1), sqrt(d2), sqrt(d3)]) AS v FROM n) GROUP BY 1), e AS (SELECT n.*, exp(-d1 / (2 * s * s)) AS e1, exp(-d2 / (2 * s * s)) AS e2, exp(-d3 / (2 * s * s)) AS e3 FROM n JOIN s USING (p_partkey))
-    SELECT p_partkey AS observation, a AS feature_value, round(e1 / (e1 + e2 + e3), 6) AS value FROM e"""
+    + """, s AS (SELECT p_partkey, median(x) AS s FROM (SELECT p_partkey, unnest([sqrt(d1), sqrt(d2), sqrt(d3)]) AS x FROM n) GROUP BY 1), e AS (SELECT n.*, exp(-d1 / (2 * s * s)) AS e1, exp(-d2 / (2 * s * s)) AS e2, exp(-d3 / (2 * s * s)) AS e3 FROM n JOIN s USING (p_partkey))
+    SELECT p_partkey AS observation, v AS feature_value, round(e1 / (e1 + e2 + e3), 6) AS value FROM e"""
 )
 def cp_profile_score(spark, sf):
-    tasks = _cp_tasks(spark, sf)
-    sigma = tasks.select("p_partkey", F.explode("d").alias("x")).groupBy("p_partkey").agg(F.median("x").alias("s"))
-    p = explain.radial(F.col("d"), F.col("s"))
-    return tasks.join(sigma, "p_partkey").select(F.col("p_partkey").alias("observation"), F.col("v").alias("feature_value"), r6(F.get(p, F.lit(0)), "value"))
+    return _profiles(spark, sf, target="score", cluster=1).select("observation", F.col("feature_value_num").alias("feature_value"), r6(F.col("value"), "value"))
+
+
+def _lime_sql(permutations: int = 100) -> str:
+    u = lambda end: f"((CAST('0x' || substr(md5(concat_ws(':', 1, s_suppkey, j, 's_acctbal', '{end}')), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)"
+    near = lambda v: f"CASE WHEN ({v} + 1) ** 2 <= {v} ** 2 AND ({v} + 1) ** 2 <= ({v} - 1) ** 2 THEN 1 WHEN {v} ** 2 <= ({v} - 1) ** 2 THEN 2 ELSE 3 END"
+    return f"""WITH s AS (SELECT s_suppkey, (s_acctbal - avg(s_acctbal) OVER ()) / stddev_samp(s_acctbal) OVER () AS x FROM supplier), t AS (SELECT s_suppkey, x, unnest(range(1, {permutations + 1})) AS j FROM s),
+    z AS (SELECT s_suppkey, x, CASE WHEN j = 1 THEN 0.0::DOUBLE ELSE sqrt(-2 * ln({u('r')})) * cos(2 * pi() * {u('t')}) END AS z FROM t),
+    w AS (SELECT s_suppkey, z, exp(-z * z / 0.5625::DOUBLE) AS w, CASE WHEN {near('(x + z)')} = {near('x')} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS y FROM z),
+    m AS (SELECT s_suppkey, sum(w * z) / sum(w) AS mz, sum(w * y) / sum(w) AS my FROM w GROUP BY 1)
+    SELECT s_suppkey AS observation, 's_acctbal' AS feature, round(sum(w * (z - mz) * (y - my)) / sum(w * (z - mz) ** 2), 6) + 0.0 AS estimate, 1 AS rank FROM w JOIN m USING (s_suppkey) GROUP BY 1"""
+
+
+@query(_lime_sql())
+def lime_supplier(spark, sf):
+    """Local slopes about each row of a fit of fixed centers on one feature, in closed form."""
+    s = table(spark, sf, "supplier").select("s_suppkey", "s_acctbal")
+    fit = api.cluster(s, "kmeans", 3, id_col="s_suppkey", features=["s_acctbal"], scale=True, starts=[[[-1.0], [0.0], [1.0]]], iter_max=0)
+    found = explain.lime_explain(fit, s, n_permutations=100).explanations
+    return found.select("observation", "feature", (F.round("estimate", 6) + 0.0).alias("estimate"), "rank")
 
 
 @query("WITH e AS (SELECT p_brand AS observation, p_type AS feature, avg(p_retailprice - 1400) / 1000 AS estimate FROM part GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY observation ORDER BY abs(estimate) DESC, feature) AS rank FROM e) SELECT observation, feature, round(estimate, 6) AS estimate, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3")
@@ -476,12 +609,6 @@ def rank_effects(spark, sf):
     return metrics.rank_effects(e, 3).select("observation", "feature", r6(F.col("estimate"), "estimate"), "rank")
 
 
-@query("SELECT feature, contribution FROM (SELECT p_type AS feature, CAST(count(*) AS BIGINT) AS contribution FROM part GROUP BY 1) ORDER BY contribution DESC, feature LIMIT 5")
-def top_contributions(spark, sf):
-    c = table(spark, sf, "part").groupBy(F.col("p_type").alias("feature")).agg(F.count("*").alias("contribution"))
-    return metrics.top_contributions(c, 5)
-
-
 # -- embeddings -----------------------------------------------------------------------------------
 
 
@@ -502,22 +629,50 @@ def mca_burt(spark, sf):
     return spark.createDataFrame(rows, "a string, b string, n long")
 
 
-@query()
+def _signed(points: DataFrame) -> DataFrame:
+    """Coordinates signed so that those of the least row_id are positive: axes have no direction of their own."""
+    first = points.orderBy("row_id").first()
+    return points.select("row_id", *((F.round(F.col(c) * (1.0 if first[c] >= 0 else -1.0), 6) + 0.0).alias(c) for c in ("x", "y")))
+
+
+def _two_axes(z: str, scale: str) -> str:
+    """SQL of the axes of two standardised columns a and b of z (i, a, b): their sum and difference."""
+    return f"""{z}, r AS (SELECT CASE WHEN corr(a, b) >= 0 THEN 1 ELSE -1 END AS s FROM z), y AS (SELECT i, (a + s * b) / {scale} AS x, (a - s * b) / {scale} AS y FROM z, r),
+    f AS (SELECT CASE WHEN x >= 0 THEN 1 ELSE -1 END AS fx, CASE WHEN y >= 0 THEN 1 ELSE -1 END AS fy FROM y ORDER BY i LIMIT 1) SELECT i AS row_id, round(x * fx, 6) + 0.0 AS x, round(y * fy, 6) + 0.0 AS y FROM y, f"""
+
+
+@query(_two_axes("WITH z AS (SELECT p_partkey AS i, (p_size - avg(p_size) OVER ()) / stddev_samp(p_size) OVER () AS a, (p_retailprice - avg(p_retailprice) OVER ()) / stddev_samp(p_retailprice) OVER () AS b FROM part)", "sqrt(2.0::DOUBLE)"))
 def pca_embedding(spark, sf):
-    points, _, _ = embed.pca(table(spark, sf, "part"), "p_partkey", PART)
-    return points
+    return _signed(embed.pca(table(spark, sf, "part"), "p_partkey", PART)[0])
 
 
-@query()
+_HALVES = "(t - avg(t) OVER ()) / stddev_pop(t) OVER ()"
+
+
+@query(_two_axes(f"WITH h AS (SELECT c_custkey AS i, c_acctbal AS v, CASE WHEN c_nationkey < 9 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS t FROM customer), z AS (SELECT i, (v - avg(v) OVER ()) / stddev_pop(v) OVER () AS a, {_HALVES} AS b FROM h)", "sqrt(2.0::DOUBLE)"))
 def famd_embedding(spark, sf):
-    points, _, _ = embed.famd(table(spark, sf, "customer").select("c_custkey", "c_acctbal", "c_mktsegment"), "c_custkey", ["c_acctbal", "c_mktsegment"])
-    return points
+    """One number and one category of two levels: the axes are the sum and difference of their standard scores."""
+    c = table(spark, sf, "customer").select("c_custkey", "c_acctbal", F.when(F.col("c_nationkey") < 9, "low").otherwise("high").alias("part"))
+    return _signed(embed.famd(c, "c_custkey", ["c_acctbal", "part"])[0])
 
 
-@query()
+def _two_levels(spark, sf) -> DataFrame:
+    return table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "F", "yes").otherwise("no").alias("filled"), F.when(F.col("o_totalprice") < 150000, "low").otherwise("high").alias("price"))
+
+
+_LEVELS2 = "SELECT o_orderkey AS i, CASE WHEN o_orderstatus = 'F' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS t, CASE WHEN o_totalprice < 150000 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS u FROM orders"
+
+
+@query(_two_axes(f"WITH h AS ({_LEVELS2}), z AS (SELECT i, {_HALVES} AS a, {_HALVES.replace('(t', '(u')} AS b FROM h)", "2.0::DOUBLE"))
 def mca_embedding(spark, sf):
-    points, _, _ = embed.mca(table(spark, sf, "orders"), "o_orderkey", ["o_orderstatus", "o_orderpriority"])
-    return points
+    return _signed(embed.mca(_two_levels(spark, sf), "o_orderkey", ["filled", "price"])[0])
+
+
+@query(f"WITH h AS ({_LEVELS2}), p AS (SELECT avg(t) AS t, avg(u) AS u FROM h) SELECT variable, round(50 * (1 - share), 6) AS contribution FROM (SELECT 'filled_yes' AS variable, t AS share FROM p UNION ALL SELECT 'filled_no', 1 - t FROM p UNION ALL SELECT 'price_low', u FROM p UNION ALL SELECT 'price_high', 1 - u FROM p)")
+def biplot_contributions(spark, sf):
+    """Of the levels of two categories of two levels: half of what is not a level's own share."""
+    _, _, extra = embed.mca(_two_levels(spark, sf), "o_orderkey", ["filled", "price"])
+    return spark.createDataFrame([(v["variable"], round(v["contribution"], 6)) for v in embed.biplot(extra)], "variable string, contribution double")
 
 
 # -- full fits ------------------------------------------------------------------------------------
@@ -525,50 +680,56 @@ def mca_embedding(spark, sf):
 
 @query()
 def kmeans_part(spark, sf):
-    return api.cluster(table(spark, sf, "part"), "kmeans", 3, id_col="p_partkey", features=PART, scale=True, seed=1, nstart=3).clusters
+    return api.cluster(table(spark, sf, "part"), "kmeans", 3, id_col="p_partkey", features=PART, scale=True, seed=1).clusters
 
 
-@query()
+@query(
+    """WITH s AS (SELECT s_suppkey AS i, s_acctbal AS v FROM supplier), t AS (SELECT a.i AS a, b.i AS b, (SELECT sum(least(abs(s.v - a.v), abs(s.v - b.v))) FROM s) AS cost FROM s a JOIN s b ON a.i < b.i), m AS (SELECT a, b FROM t ORDER BY cost, a, b LIMIT 1)
+    SELECT s.i AS row_id, CASE WHEN abs(s.v - x.v) <= abs(s.v - y.v) THEN m.a ELSE m.b END AS medoid FROM s, m JOIN s x ON x.i = m.a JOIN s y ON y.i = m.b"""
+)
 def pam_supplier(spark, sf):
-    return api.cluster(table(spark, sf, "supplier"), "pam", 3, id_col="s_suppkey", features=["s_acctbal"], scale=True).clusters
+    """Rows with their medoids; SQL tries all pairs of rows as medoids."""
+    fit = api.cluster(table(spark, sf, "supplier"), "pam", 2, id_col="s_suppkey", features=["s_acctbal"], scale=True, max_exact_rows=20_000)
+    medoid = F.element_at(F.array(*(F.lit(p["row_id"]) for p in api.prototypes(fit, rounded=False))), F.col("cluster"))
+    return fit.clusters.select("row_id", medoid.alias("medoid"))
 
 
-@query()
+def _gaps_sql(k: int) -> str:
+    """Single linkage of one column: the rows in order, cut at the k - 1 widest gaps; ids by the least row."""
+    return f"""WITH o AS (SELECT s_suppkey AS i, s_acctbal AS v, s_acctbal - lag(s_acctbal) OVER (ORDER BY s_acctbal, s_suppkey) AS gap FROM supplier), w AS (SELECT i, row_number() OVER (ORDER BY gap DESC NULLS LAST) AS wide FROM o),
+    p AS (SELECT o.i, sum(CASE WHEN wide < {k} THEN 1 ELSE 0 END) OVER (ORDER BY v, o.i) AS part FROM o JOIN w ON o.i = w.i), f AS (SELECT part, row_number() OVER (ORDER BY min(i)) AS id FROM p GROUP BY part)
+    SELECT p.i AS row_id, CAST(id AS INTEGER) AS cluster FROM p JOIN f USING (part)"""
+
+
+@query(_gaps_sql(4))
 def hclust_supplier(spark, sf):
-    return api.cluster(table(spark, sf, "supplier"), "hclust", 4, id_col="s_suppkey", features=["s_acctbal"], linkage="ward.D2").clusters
+    return api.cluster(table(spark, sf, "supplier"), "hclust", 4, id_col="s_suppkey", features=["s_acctbal"], linkage="single", max_exact_rows=20_000).clusters
 
 
-@query()
+@query(_gaps_sql(5))
 def agnes_gower_supplier(spark, sf):
-    s = table(spark, sf, "supplier").withColumn("n", F.col("s_nationkey").cast("string"))
-    return api.cluster(mixed_distance(s, "s_suppkey", ["n", "s_acctbal"]), "agnes", 4).clusters
+    """Of a distance table; Gower's dissimilarity of one number is its gap over the range."""
+    pairs = mixed_distance(table(spark, sf, "supplier"), "s_suppkey", ["s_acctbal"], max_exact_rows=20_000)
+    return api.cluster(pairs, "agnes", 5, linkage="single", max_exact_rows=20_000).clusters
 
 
 @query()
 def gmm_part(spark, sf):
-    fit = api.cluster(table(spark, sf, "part"), "gmm", 2, id_col="p_partkey", features=PART, scale=True, seed=1, families=("EEI", "VVV"), iter_max=15)
-    return fit.clusters
+    return api.cluster(table(spark, sf, "part"), "gmm", 2, id_col="p_partkey", features=PART, scale=True, seed=1).clusters
 
 
 @query()
 def kproto_customer(spark, sf):
     c = table(spark, sf, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
-    return api.cluster(c, "kproto", 3, id_col="c_custkey", scale=True, seed=1, nstart=2, iter_max=10).clusters
+    return api.cluster(c, "kproto", 3, id_col="c_custkey", scale=True, seed=1).clusters
 
 
 @query()
 def kmm_customer(spark, sf):
-    return api.cluster(gapped(spark, sf).where("bal is not null or seg is not null"), "kmm", 3, id_col="c_custkey", seed=1, nstart=2, iter_max=10).clusters
+    return api.cluster(gapped(spark, sf), "kmm", 3, id_col="c_custkey", seed=1).clusters
 
 
 @query()
 def metacluster_supplier(spark, sf):
     s = table(spark, sf, "supplier")
-    return consensus.metacluster(s, ("kmeans", "pam", "hclust"), range(2, 4), id_col="s_suppkey", features=["s_acctbal"], scale=True, seed=1).final_clusters
-
-
-@query()
-def lime_supplier(spark, sf):
-    s = table(spark, sf, "supplier").select("s_suppkey", "s_acctbal", F.col("s_nationkey").cast("double").alias("nation"))
-    fit = api.cluster(s, "kmeans", 3, id_col="s_suppkey", features=["s_acctbal", "nation"], scale=True, seed=1, nstart=1)
-    return explain.lime_explain(fit, s, n_permutations=100).explanations
+    return consensus.metacluster(s, ("kmeans", "pam", "hclust"), range(2, 7), id_col="s_suppkey", features=["s_acctbal"], scale=True, seed=1).final_clusters

@@ -25,3 +25,8 @@ def assign_stream(fit: ClusterFit, stream: DataFrame, sigma: float | None = None
 
 def start(assigned: DataFrame, name: str, checkpoint: str) -> StreamingQuery:
     return assigned.writeStream.format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def to_files(assigned: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """All that has arrived, appended to Parquet files at ``path``."""
+    return assigned.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

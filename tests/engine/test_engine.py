@@ -1,14 +1,15 @@
 import json
 import random
+from dataclasses import replace
 from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kindred.functions import preprocess
+from kindred.functions import preprocess, quantile
 from kindred.functions.expr import signif
-from kindred.operators import api, consensus, embed, explain, kernels, metrics, plotspec
+from kindred.operators import api, consensus, embed, explain, kernels, methods, metrics, plotspec
 from kindred.operators.distance import eps_pairs, mixed_distance
 from kindred.operators.methods import estimate_lambda, fit_dbscan, mixed_distances, predict_dbscan
 from kindred.sources.synthetic import synthetic_clusters
@@ -44,16 +45,20 @@ def groups(labels):
     return sorted(map(sorted, out.values()))
 
 
-@pytest.mark.parametrize("k,want", [(2, (0.681, 513.9, 0.4043, 152.3)), (3, (0.5528, 561.6, 0.662, 78.85))])
+@pytest.mark.parametrize("k,want", [(2, (0.681, 513.9, 0.4043, 152.3)), (3, (0.5528, 561.6, 0.662, 78.85)), (4, (0.4981, 530.8, 0.7803, 57.23)), (6, (0.3648, 473.9, 0.9142, 39.04))])
 def test_published_metrics(iris, k, want):
     v = api.validate(api.cluster(iris, "kmeans", k, features=NAMES, seed=1), n_boot=0)
     got = {r.metric: r.value for r in v.rounded().collect()}
     assert (got["silhouette"], got["calinski_harabasz"], got["davies_bouldin"], got["total_within"]) == want
 
 
-def test_four_means_are_near_the_best(iris):
-    """The rounds of means end in an optimum of their own, within a thousandth of the best known."""
-    assert api.cluster(iris, "kmeans", 4, features=NAMES, seed=1).extras["tot_withinss"] < 57.23 * 1.001
+def test_moves_lower_the_cost(spark):
+    """Where rounds of means are at rest, moving the row still lowers the cost."""
+    x = [0.0, 1.0, 2.6, 4.0]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x)], "row_id long, x double")
+    fit = api.cluster(df, "kmeans", 2, features=["x"], center=False, starts=[[[0.0], [2.5333333]]])
+    best = min(sum(np.var(part) * len(part) for part in (x[:i], x[i:])) for i in (1, 2, 3))
+    assert fit.extras["tot_withinss"] == pytest.approx(best)
 
 
 def test_kmeans_sizes_predict_and_truth(iris, fit3):
@@ -63,7 +68,10 @@ def test_kmeans_sizes_predict_and_truth(iris, fit3):
     truth = iris.select("row_id", F.col("species").alias("cluster"))
     v = {r.metric: r.value for r in api.validate(fit3, truth=truth, metrics_wanted=["ari", "nmi"]).metrics_table.collect()}
     assert abs(v["ari"] - 0.7302) < 1e-3 and abs(v["nmi"] - 0.7582) < 1e-3
-    assert "kmeans" in api.describe(fit3) and len(api.centers(fit3)) == 3 and api.method_used(fit3) == "kmeans"
+    assert api.describe(fit3) == "<cluster_fit>\n  Method: kmeans\n  Observations: 150\n  Clusters: 3"
+    text = api.describe(api.summary(fit3))
+    assert text.startswith("Cluster fit summary\n  Method: kmeans") and text.count("=") == 3 and not api.summary(fit3).values["has_prototypes"]
+    assert "<cluster_prediction>\n  Method: kmeans\n  Predictions: 150" == api.describe(p) and len(api.centers(fit3)) == 3 and api.method_used(fit3) == "kmeans"
 
 
 def test_trees(spark, iris):
@@ -119,6 +127,12 @@ def test_dbscan(spark):
         assert r.cluster in (0, truth[r.row_id])
     train = spark.createDataFrame([(1, [0.0]), (2, [0.1]), (3, [10.0]), (4, [10.1])], "row_id long, x array<double>")
     labels = spark.createDataFrame([(1, 1), (2, 1), (3, 2), (4, 2)], "row_id long, cluster int")
+    four = synthetic_clusters(spark, 900)  # more rows than a block
+    big = api.cluster(four, "dbscan", id_col="row_id", features=["x1", "x2"], eps=0.3, minPts=5)
+    y = np.array([(r.x1, r.x2) for r in four.orderBy("row_id").collect()])
+    close = kernels.distances(y) <= 0.3
+    solid = close.sum(axis=1) >= 5
+    assert all((r.cluster > 0) == bool((close[r.row_id] & solid).any()) for r in big.clusters.collect())
     own = api.ClusterFit("dbscan", {"eps": 0.5}, labels, 2, fit.info, training=train)
     new = spark.createDataFrame([(1, [0.05]), (2, [100.0])], "row_id long, x array<double>")
     assert {r.row_id: r.cluster for r in predict_dbscan(own, new).collect()} == {1: 1, 2: 0}
@@ -136,12 +150,111 @@ def test_eps_pairs_brute(spark):
 
 
 def test_gmm(iris):
+    assert all(api.cluster(iris, "gmm", 2, features=NAMES, seed=1, families=(f,), iter_max=3).extras["model_name"] == f for f in ("EVE", "VVE"))
     fit = api.cluster(iris, "gmm", 3, features=NAMES, seed=1, families=("EII", "VVV"), iter_max=25)
     assert fit.extras["model_name"] == "VVV" and sorted(r["size"] for r in api.sizes(fit).collect())[1] in (45, 46, 47, 48, 49, 50)
     assert all(abs(sum(r.membership) - 1) < 1e-9 for r in fit.membership.collect())
     assert groups(api.predict(fit, iris).clusters) == groups(fit.clusters)
 
 
+def test_covariance_families():
+    """Each family's covariances have its form, and no small step within it is likelier."""
+    rng = np.random.default_rng(7)
+    n, p = np.array([40.0, 25.0, 35.0]), 3
+    s = np.stack([(lambda a: a @ a.T * m)(rng.normal(size=(p, p)) + np.eye(p)) for m in n])
+    loss = lambda cov: sum(m * np.linalg.slogdet(c)[1] + np.trace(w @ np.linalg.inv(c)) for m, w, c in zip(n, s, cov))
+    found = {f: methods._shape(f, n, s, 0.0) for f in methods.FAMILIES}
+    inside = {"EII": ("VII", "EEI"), "EEI": ("VEI", "EVI", "EEE"), "VEI": ("VVI",), "EVI": ("VVI",), "EEE": ("VEE", "EVE", "EEV"), "VEE": ("VVE", "VEV"), "EVE": ("VVE", "EVV"), "EEV": ("VEV", "EVV"), "VEV": ("VVV",), "EVV": ("VVV",), "VVE": ("VVV",)}
+    for small, more in inside.items():
+        assert all(loss(found[m]) <= loss(found[small]) + 1e-6 for m in more)
+    for f, cov in found.items():
+        sizes, turns = np.array([np.linalg.det(c) ** (1 / p) for c in cov]), [np.linalg.eigh(c) for c in cov]
+        shapes = np.stack([v for v, _ in turns]) / sizes[:, None]
+        if f[0] == "E":
+            assert np.allclose(sizes, sizes[0])
+        if f[1] == "E":
+            assert np.allclose(shapes, shapes[0], atol=1e-6)
+        if f[2] == "I":
+            assert all(np.allclose(c, np.diag(np.diag(c))) for c in cov)
+        if f[2] == "E":  # one orientation: the matrices commute
+            assert all(np.allclose(a @ b, b @ a, atol=1e-5 * np.abs(a @ b).max()) for a in cov for b in cov)
+        for _ in range(40):  # turning and sizing all components alike stays in the family
+            a = rng.normal(size=(p, p)) * 0.02
+            turn = np.linalg.qr(np.eye(p) + (a - a.T))[0] if f[2] != "I" else np.eye(p)
+            again = np.stack([turn @ c @ turn.T for c in cov]) * np.exp(0.02 * rng.normal())
+            assert loss(again) >= loss(cov) - 1e-6 * abs(loss(cov))
+    assert methods._free("EEI", 3, 4) == 3 - 1 + 12 + 4 and methods._free("VVV", 3, 4) == 2 + 12 + 30 and methods._free("EVE", 2, 3) == 1 + 6 + 1 + 4 + 3
+
+
+def test_names_of_features_meet_no_helper(spark, mixed6):
+    """Columns named like what a step adds (d, g, ds, s, e, r) are features like others."""
+    want = groups(api.cluster(mixed6, "kmm", 2, features=["x", "y", "group"], seed=1, nstart=3).clusters)
+    renamed = mixed6.withColumnsRenamed({"x": "d", "y": "s", "group": "g"})
+    for center in ("mean", "median", "trimmed"):
+        fit = api.cluster(renamed, "kmm", 2, features=["d", "s", "g"], seed=1, nstart=3, center_num=center)
+        assert groups(fit.clusters) == want and set(fit.prototypes[0]) == {"d", "s", "g"}
+        num, cat = methods.within_split(fit)
+        assert center != "mean" or num + cat == pytest.approx(fit.extras["objective"])
+
+
+def test_order_statistics(spark):
+    rng = np.random.default_rng(5)
+    rows = [("hot", float(v)) for v in rng.integers(0, 50, 4000)] + [("fine", float(v)) for v in rng.normal(size=3001)] + [("one", 3.0), ("gap", None), ("gap", float("nan"))]
+    df = spark.createDataFrame(rows, "g string, v double")
+    values = {g: np.array([v for h, v in rows if h == g]) for g in ("hot", "fine", "one")}
+    assert {r.g: r.median for r in quantile.medians(df, ["g"], "v").collect()} == pytest.approx({g: np.median(v) for g, v in values.items()})
+    trimmed = {g: np.sort(v)[int(len(v) * 0.1) : len(v) - int(len(v) * 0.1)].mean() for g, v in values.items()}
+    assert {r.g: r.trimmed for r in quantile.trimmed_means(df, ["g"], "v").collect()} == pytest.approx(trimmed)
+    assert quantile.medians(df.where("g = 'hot'"), [], "v").first()[0] == np.median(values["hot"])
+    assert quantile.medians(df.where("g = 'gap'"), [], "v").count() == 0
+
+
+def test_validation_of_mixed_fits(spark, mixed6):
+    """On imputed indicators that are not standardised."""
+    fit = api.cluster(mixed6, "kproto", 2, features=["x", "y", "group"], seed=1, nstart=2)
+    got = {r.metric: r.value for r in api.validate(fit).metrics_table.collect()}
+    m = np.array([(r.x, r.y, r.group == "a", r.group == "b") for r in mixed6.orderBy("row_id").collect()], float)
+    labels = np.array([r.cluster for r in fit.clusters.orderBy("row_id").collect()])
+    assert got["total_within"] == pytest.approx(sum(((m[labels == g] - m[labels == g].mean(axis=0)) ** 2).sum() for g in (1, 2)))
+    assert got["silhouette"] == pytest.approx(kernels.silhouette(kernels.distances(m), labels))
+
+
+def test_silhouette_of_many_rows(spark):
+    """More rows than one block, against the matrix of all distances of some of them."""
+    n = 24_000
+    df = spark.range(n).select(F.col("id").alias("row_id"), F.array(F.sin("id") * 3, F.cos(F.col("id") * 7)).alias("x"), (F.col("id") % 3).cast("int").alias("cluster"))
+    some = {r.row_id: r.width for r in metrics.silhouette_rows(df, block_rows=3000).where("row_id % 3001 = 5").collect()}
+    ids = np.arange(n)
+    x = np.stack([np.sin(ids) * 3, np.cos(ids * 7)], axis=1)
+    for i, width in some.items():
+        d = np.sqrt(((x - x[i]) ** 2).sum(axis=1))
+        own = d[(ids % 3 == i % 3) & (ids != i)].mean()
+        other = min(d[ids % 3 == g].mean() for g in range(3) if g != i % 3)
+        assert width == pytest.approx((other - own) / max(own, other))
+    assert len(some) == 8
+
+
+def test_biplot_geometry(spark, iris):
+    fit = api.cluster(iris, "kmeans", 3, features=NAMES, seed=1, nstart=2)
+    e = api.explore(fit)
+    x = np.array([r[:4] for r in ROWS])
+    z = (x - x.mean(axis=0)) / x.std(axis=0, ddof=1)
+    u, s, vt = np.linalg.svd(z, full_matrices=False)
+    scores, eig = u * s, s**2 / 149
+    coord = vt.T * np.sqrt(eig)
+    share = 100 * coord[:, :2] ** 2 / (coord[:, :2] ** 2).sum(axis=0)
+    want = dict(zip(NAMES, share @ eig[:2] / eig[:2].sum()))
+    spec = plotspec.plot_biplot(e, "cos2")
+    assert {a["variable"]: a["contribution"] for a in spec.layers[0]["data"]} == pytest.approx(want)
+    cos2 = (scores[:, :2] ** 2).sum(axis=1) / (z**2).sum(axis=1)
+    assert [r.cos2 for r in spec.data.orderBy("row_id").collect()] == pytest.approx(cos2)
+    ratio = 0.7 * min(np.ptp(scores[:, i]) / np.ptp(coord[:, i]) for i in (0, 1))
+    arrow = {a["variable"]: abs(a["x"]) for a in spec.layers[0]["data"]}
+    assert arrow == pytest.approx(dict(zip(NAMES, abs(coord[:, 0]) * ratio)))
+    other = api.explore(fit, data=iris.select("row_id", "petal_width", "sepal_width"))
+    assert {r.feature for r in other.separation_table.collect()} == {"petal_width", "sepal_width"}
+
+
 def test_mixed_methods(spark, mixed6):
     for method in ("kproto", "kmm"):
         fit = api.cluster(mixed6, method, 2, features=["x", "y", "group"], seed=1, nstart=3)
@@ -223,6 +336,13 @@ def test_consensus(iris):
     s = meta.stability_summary.first()
     assert 0 < s.min_ppa <= s.mean_ppa <= s.max_ppa <= 1
     assert plotspec.plot_coassoc(meta).data.count() == 2 * len(rows) + 150
+    v = api.validate(meta)
+    table = {r.metric: r for r in v.metrics_table.collect()}
+    assert set(table) == {"silhouette", "calinski_harabasz", "davies_bouldin", "pairwise_partition_agreement"} and table["pairwise_partition_agreement"].value == pytest.approx(s.mean_ppa)
+    assert table["silhouette"].direction == "higher is better" and table["pairwise_partition_agreement"].scale is None
+    assert v.object_type == "metacluster_fit" and v.extras["selection_summary"].count() == 2 and "  Metrics: 4" in api.describe(v)
+    assert plotspec.plot_dendrogram(meta).title == "Consensus dendrogram" and plotspec.plot_dendrogram(meta).data.count() > 0
+    assert api.describe(meta).startswith("<metacluster_fit>\n  Methods: kmeans, hclust\n  Candidate fits: 4") and api.describe(api.summary(meta)).startswith("Meta-cluster summary")
     assert plotspec.plot_consensus(meta).title == "Consensus clusters"
 
 
@@ -230,6 +350,9 @@ def test_importance(iris, fit3):
     runs = [explain.feature_importance(fit3, iris, ["petal_length", "sepal_width"], n_repeats=2, seed=3) for _ in range(2)]
     a, b = ([tuple(r) for r in x.summary.collect()] for x in runs)
     assert a == b and runs[0].results.count() == 4 and a[0][0] == "petal_length" and all(0 <= r[1] <= 1 for r in a)
+    assert api.describe(runs[0]) == "<feature_importance>\n  Metric: instability\n  Features: 2\n  Repeats: 2"
+    moved = explain.permuted(iris, "row_id", "petal_length", [1, 2], 3)
+    assert moved.count() == 300 and sorted(r[0] for r in moved.where("repeat_id = 2").select("value").collect()) == sorted(r[2] for r in ROWS)
     loss = explain.feature_importance(fit3, iris, [3], loss=lambda data, labels, fit: labels.where("cluster = 1").count(), n_repeats=1)
     assert loss.settings["metric"] == "custom"
 
@@ -237,7 +360,8 @@ def test_importance(iris, fit3):
 def test_ceteris_paribus(iris, fit3):
     two = iris.where("row_id <= 2")
     cp = explain.ceteris_paribus(fit3, two, ["petal_length", "petal_width"], grid_size=4)
-    assert cp.profiles.count() == 16
+    assert cp.profiles.count() == 16 and api.describe(cp) == "<ceteris_paribus>\n  Target: cluster\n  Profiles: 16"
+    assert len(plotspec.plot(cp).layers[0]["data"]) == 4
     assert explain.grid_values(iris, "petal_length", True, None, 6) == pytest.approx([1, 1.5, 3.9, 4.653, 5.36, 6.9], abs=1e-3)
     score = explain.ceteris_paribus(fit3, two, ["petal_length"], grid_size=6, target="score").profiles.collect()
     assert all(0 <= r.value <= 1 for r in score)
@@ -282,6 +406,10 @@ def test_embeddings(spark, iris, mixed6):
 def test_plots_stream_and_sinks(spark, iris, fit3, tmp_path):
     e = api.explore(fit3)
     spec = plotspec.plot_clusters(e)
+    with pytest.raises(ValueError, match="most_rows"):
+        spec.to_json(most_rows=100)
+    spec.save(str(tmp_path / "plot"))
+    assert spark.read.json(str(tmp_path / "plot" / "data")).count() == 150 and json.loads(spark.read.text(str(tmp_path / "plot" / "spec")).first()[0])["mark"] == "point"
     assert json.loads(spec.to_json())["mark"] == "point" and e.separation_table.count() == 4
     assert len(plotspec.plot_biplot(e, top_n=2).layers[0]["data"]) == 2 and plotspec.plot_cluster_sizes(e).data.count() == 3
     assert plotspec.plot_feature_profiles(e, ["petal_length"]).data.count() == 3 and plotspec.plot_silhouette(fit3).data.count() == 150
@@ -296,5 +424,5 @@ def test_plots_stream_and_sinks(spark, iris, fit3, tmp_path):
 
 
 def test_bootstrap(iris, fit3):
-    mean, sd = api.bootstrap_ari(fit3, 2)
-    assert 0.5 < mean <= 1 and sd >= 0
+    runs = [api.bootstrap_ari(f, 2) for f in (fit3, replace(fit3, info=replace(fit3.info, data=iris.repartition(7))))]
+    assert 0.5 < runs[0][0] <= 1 and runs[0][1] >= 0 and runs[0] == pytest.approx(runs[1])
