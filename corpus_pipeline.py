@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from kindred.llm import contain, curriculum, minhash, pii, quality_rules
-from kindred.llm.common import Shelf
+from kindred.llm.common import Shelf, released
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +54,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     shelf = Shelf(spark, "pipeline")
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = shelf.put(stage(spark, docs, sf_dir), name)
+        with released():  # what a stage wrote for itself goes when its result is written
+            docs = shelf.put(stage(spark, docs, sf_dir), name)
         if before:
             shelf.drop(before)
         before = name
