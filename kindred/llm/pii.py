@@ -3,8 +3,10 @@
 The patterns give the base spans. The field is trained on the driver from a small labelled table
 (``labelled_rows``, or the caller's) and decoded by Viterbi in numpy batches. A word without a digit
 or an @ can only be outside, in training as in decoding, so the chain falls apart at such words and
-only the runs of other words are decoded, exactly. What it finds beside the base spans is added:
-numbers of national phone formats, social security numbers and bank account numbers.
+only the runs of other words are decoded, exactly: kinds whose words need hold neither (names, postal
+addresses in words, spelled-out addresses) are out of the field's reach, and a labelled table with such a
+span is an error. What it finds beside the base spans is added: numbers of national phone formats, social
+security numbers and bank account numbers.
 
 Defined cases: a null or empty text has no spans and the digest of an empty string; offsets are code
 points; repeated rows are searched alike; a null id is returned as null; other columns are not read.
@@ -33,6 +35,7 @@ KINDS = (*BASE, "ssn", "iban")
 
 MARK = re.compile(r"[0-9@]")
 SPACE = re.compile(r"[\x20\x09-\x0D]")
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 NOT_SPACE = re.compile(r"[^\x20\x09-\x0D]")
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -161,13 +164,19 @@ TAIL = re.compile(r"[#%&*$!.,;:?|]+$")
 
 
 def _shape(word: str) -> str:
-    return LONG.sub(r"\1\1\1\1+", word[:64].translate(SHAPE))
+    return LONG.sub(r"\1\1\1\1+", word.translate(SHAPE))
 
 
 def _around(text: str, start: int, end: int) -> tuple[str, str]:
-    left = text[max(0, start - 24) : start].split()
-    right = text[end : end + 24].split()
-    return (left[-1] if left else "^", right[0] if right else "$")
+    """The words before and after a run."""
+    hi = start
+    while hi > 0 and text[hi - 1] in SPACES:
+        hi -= 1
+    lo = hi
+    while lo > 0 and text[lo - 1] not in SPACES:
+        lo -= 1
+    after = WORDS.search(text, end)
+    return text[lo:hi] or "^", after[0] if after else "$"
 
 
 def run_features(text: str, run: list[tuple[int, int]]) -> list[list[str]]:
@@ -176,9 +185,9 @@ def run_features(text: str, run: list[tuple[int, int]]) -> list[list[str]]:
     shapes = [_shape(w) for w in words]
     out = []
     for i, (word, shape) in enumerate(zip(words, shapes, strict=True)):
-        prev = shapes[i - 1] if i else before[:12].lower()
+        prev = shapes[i - 1] if i else before.lower()
         following = shapes[i + 1] if i + 1 < len(run) else "$"
-        digits = sum(c == "d" for c in word[:64].translate(SHAPE))
+        digits = sum(c == "d" for c in word.translate(SHAPE))
         own = [f"s={shape}", f"c={RUN.sub(chr(92) + '1', shape)}", f"n={min(digits, 17)}", f"p={prev}", f"q={following}", f"sp={shape}|{prev if i else '^'}", f"sq={shape}|{following}", "b"]
         out.append(own)
     return out
@@ -219,6 +228,10 @@ def train(rows: list[tuple[str, list[tuple[int, int, str]]]], rounds: int = 60,
     """Maximum likelihood with L2, by Adam over the whole table; the same table gives the same field."""
     runs, features = [], {}
     for text, spans in rows:
+        words = [w for run in marked_runs(text) for w in run]
+        for a, b, kind in spans:
+            if kind not in KINDS or not any(a < e and s < b for s, e in words):
+                raise ValueError(f"a labelled span is of a kind in {', '.join(KINDS)} and holds a digit or an @: {kind} at {a}")
         for run in marked_runs(text):
             labels = []
             for s, e in run:

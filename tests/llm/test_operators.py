@@ -206,6 +206,57 @@ def test_pii_field_held_out():
     assert good >= 0.8 * want and wrong <= 0.05 * want
 
 
+#: Written by hand, not by the rule that makes the labelled table; [kind|value] are its spans.
+BY_HAND = """Please ring [phone|(415) 555-0132] after lunch and ask for Dana.
+My cell is [phone|212-555-0198], the office closes at 17:30.
+For help dial [phone|650.555.0117] or visit room 204 on floor 3.
+Fax number: [phone|(303) 555-0145], invoices from 2019 and 2020.
+Her extension changed, use [phone|702-555-0166] instead.
+Text [phone|718 555 0123] if the parcel of 12 kg is late.
+Patient SSN [ssn|078-05-1120], admitted 03/11/2021.
+The form lists [ssn|219-09-9999] as the social security number.
+Employee 4471 has SSN [ssn|457-55-5462] and badge 88.
+taxpayer id [ssn|123-45-6789] filed in April
+Wire the rent to [iban|DE89 3704 0044 0532 0130 00] before the 5th.
+Her account [iban|FR14 2004 1010 0505 0001 31] was closed in 2018.
+iban [iban|ES91 2100 0418 4502 0005 13] belongs to the shop
+Refund goes to [iban|DE75 5121 0800 1245 1261 99] within 14 days.
+The meeting on 2024-05-17 has 24 guests and costs 1,250 euros.
+Chapter 12, pages 340-352, explains figure 7.3 in 3 steps.
+Version 10.15.7 was built 1999 times by 42 people.
+Flight 447 left gate 23 at 18:05 with 216 aboard.
+The 100-200 range grew by 3.5% over 12 months.
+Order 30211 of 2021/11/05 weighs 13.25 kg.
+Room 101-102 seats 30, bus 9 leaves at 7:45.
+ISBN 978-3-16-148410-0 sold 120,000 copies.""".splitlines()
+
+
+def test_pii_field_on_sentences_written_by_hand():
+    field = pii.train(pii.labelled_rows())
+    added, right, wanted = 0, Counter(), Counter()
+    for line in BY_HAND:
+        text, spans = "", []
+        for part in re.split(r"(\[\w+\|[^\]]+\])", line):
+            kind, _, value = part[1:-1].partition("|") if part.startswith("[") else ("", "", part)
+            if kind:
+                spans.append((len(text), len(text) + len(value), kind))
+            text += value
+        base, every = pii.find_all([text], field)[0]
+        more = set(every) - set(base)
+        added += len(more)
+        for span in spans:
+            wanted[span[2]] += 1
+            right[span[2]] += span in more
+    print(dict(right), dict(wanted), added)
+    assert sum(right.values()) >= 0.7 * sum(wanted.values()) and sum(right.values()) >= 0.8 * added
+
+
+def test_labelled_spans_are_checked():
+    for bad in ([(0, 4, "name")], [(0, 4, "phone")]):
+        with pytest.raises(ValueError, match="labelled span"):
+            pii.train([("Anna called 555-0101", bad)], rounds=1)
+
+
 def test_viterbi_and_marginals_brute():
     import itertools
 
