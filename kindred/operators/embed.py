@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.functions.preprocess import feature_types, fit_encoder, fit_scaler
+from kindred.functions.preprocess import feature_types, fit_encoder, fit_scaler, make_name
 from kindred.operators import kernels
 from kindred.operators.distance import MOST_ROWS
 from kindred.operators.methods import square_form
@@ -113,9 +113,15 @@ def famd(df: DataFrame, id_col: str, features: list[str]):
 
 def burt(df: DataFrame, id_col: str, features: list[str]) -> tuple[list[str], np.ndarray, int]:
     """Joint counts of the levels of all pairs of features."""
-    encoder, table = _indicators(df, id_col, features)
+    encoder, _ = _indicators(df, id_col, features)
     columns = list(encoder.columns)
-    return columns, np.rint(moments(table, columns, np.zeros(len(columns)))), table.count()
+    place = {(i, level): columns.index(f"{f}_{make_name(level)}") for i, f in enumerate(features) for level in encoder.levels[f]}
+    own = F.array(*(F.struct(F.lit(i).alias("f"), F.coalesce(F.col(f"`{f}`").cast("string"), F.lit("missing")).alias("v")) for i, f in enumerate(features)))
+    pairs = df.select(own.alias("own")).select("own", F.explode("own").alias("a")).select("a", F.explode("own").alias("b"))
+    out = np.zeros((len(columns), len(columns)))
+    for r in pairs.groupBy("a", "b").agg(F.count("*").alias("n")).collect():  # a row for two levels that meet
+        out[place[r.a.f, r.a.v], place[r.b.f, r.b.v]] = r.n
+    return columns, out, df.count()
 
 
 def mca(df: DataFrame, id_col: str, features: list[str]):
