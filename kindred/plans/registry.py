@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kindred.functions.expr import signif
-from kindred.functions.preprocess import fit_encoder, fit_scaler
+from kindred.functions.preprocess import feature_types, fit_encoder, fit_scaler
 from kindred.operators import api, consensus, embed, explain, metrics, plotspec
 from kindred.operators.distance import eps_pairs, euclidean_pairs, mixed_distance, vectors
 from kindred.operators.graph import connected, ensure_checkpoint_dir
 from kindred.operators.methods import ClusterFit, estimate_lambda, mixed_distances
 from kindred.operators.methods import within_split as methods_within_split
+from kindred.sources.synthetic import synthetic_clusters
 from kindred.sources.tables import read_table, write_results
 from kindred.streaming import assign
 
@@ -330,6 +331,29 @@ def within_split(spark, sf):
     return spark.createDataFrame([tuple(round(v / 1e9, 4) for v in methods_within_split(fit))], "numeric_part double, categorical_part double")
 
 
+@query(f"WITH {GAPPED}, d AS (SELECT least({_kmm_sql(PROTOS[0])}, {_kmm_sql(PROTOS[1])}) AS d FROM g) SELECT round(sum(d) / 1e9::DOUBLE, 4) AS objective FROM d")
+def kmm_objective(spark, sf):
+    fit = api.cluster(gapped(spark, sf), "kmm", 2, id_col="c_custkey", scale_numeric=False, center=False, starts=[PROTOS[:2]], iter_max=1, **{"lambda": LAM})
+    return spark.createDataFrame([(round(fit.extras["objective"] / 1e9, 4),)], "objective double")
+
+
+SCALED = [{"bal": -0.5, "seg": "BUILDING"}, {"bal": 0.5, "seg": "MACHINERY"}]
+
+
+def _scaled_sql(p: dict) -> str:
+    return f"(coalesce(pow(z - {p['bal']}, 2), 0) + coalesce(CASE WHEN seg <> '{p['seg']}' THEN 1.0::DOUBLE WHEN seg IS NOT NULL THEN 0 END, 0)) * 2 / ((CASE WHEN z IS NULL THEN 0 ELSE 1 END) + (CASE WHEN seg IS NULL THEN 0 ELSE 1 END))"
+
+
+@query(
+    f"""WITH {GAPPED}, c AS (SELECT *, (bal - avg(bal) OVER ()) / stddev_samp(bal) OVER () AS z FROM g), a AS (SELECT *, CASE WHEN {_scaled_sql(SCALED[0])} <= {_scaled_sql(SCALED[1])} THEN 1 ELSE 2 END AS p FROM c),
+    m AS (SELECT p, seg, row_number() OVER (PARTITION BY p ORDER BY count(*) DESC, seg) AS r FROM a WHERE seg IS NOT NULL GROUP BY p, seg) SELECT CAST(a.p AS INTEGER) AS cluster, round(avg(bal), 4) AS bal, any_value(m.seg) AS seg FROM a JOIN m ON a.p = m.p AND m.r = 1 GROUP BY a.p"""
+)
+def kmm_restored_prototypes(spark, sf):
+    """A round on standardised numbers; prototypes are shown in the columns' own units."""
+    fit = api.cluster(gapped(spark, sf), "kmm", 2, id_col="c_custkey", starts=[SCALED], iter_max=1, **{"lambda": 1.0})
+    return spark.createDataFrame([(g, round(p["bal"], 4), p["seg"]) for g, p in enumerate(api.prototypes(fit, rounded=False), 1)], "cluster int, bal double, seg string")
+
+
 # -- metrics --------------------------------------------------------------------------------------
 
 LINE = ["l_quantity", "l_discount", "l_tax"]
@@ -449,14 +473,14 @@ _SIGNIF = "round(v * pow(10.0::DOUBLE, 3.0::DOUBLE - floor(log10(abs(v))))) / po
     b AS (SELECT sum(c.n * (c.m - o.m) ** 2) AS b, sum(c.n * s) AS w FROM c JOIN o USING (f)), r AS (SELECT g, avg(d) AS s FROM (SELECT i, g, sqrt(sum((v - m) ** 2)) AS d FROM t JOIN c USING (g, f) GROUP BY 1, 2) GROUP BY 1),
     e AS (SELECT x.g AS i, y.g AS j, sqrt(sum((x.m - y.m) ** 2)) AS d FROM c x JOIN c y ON x.f = y.f AND x.g <> y.g GROUP BY 1, 2),
     u AS (SELECT 'silhouette' AS metric, avg((b - a) / greatest(a, b)) AS v FROM w UNION ALL SELECT 'calinski_harabasz', (b / 2) / (w / ((SELECT count(*) FROM q) - 3)) FROM b
-    UNION ALL SELECT 'davies_bouldin', avg(z) FROM (SELECT i, max((a.s + k.s) / d) AS z FROM e JOIN r a ON a.g = i JOIN r k ON k.g = j GROUP BY i) UNION ALL SELECT 'total_within', w FROM b) SELECT metric, {_SIGNIF} AS value FROM u"""
+    UNION ALL SELECT 'davies_bouldin', avg(z) FROM (SELECT i, max((a.s + k.s) / d) AS z FROM e JOIN r a ON a.g = i JOIN r k ON k.g = j GROUP BY i) UNION ALL SELECT 'total_within', w FROM b) SELECT metric, {_SIGNIF} AS value, CASE WHEN metric = 'silhouette' THEN '-1 to 1' ELSE 'positive, unbounded' END AS scale, CASE WHEN metric IN ('silhouette', 'calinski_harabasz') THEN 'higher is better' ELSE 'lower is better' END AS direction FROM u"""
 )
 def validate_mixed(spark, sf):
     """Internal metrics of a mixed fit, on imputed and one-hot encoded data."""
     df = gapped(spark, sf)
     fit = api.cluster(df, "kproto", 3, id_col="c_custkey", starts=[PROTOS], iter_max=1)
     labels = df.select(F.col("c_custkey").alias("row_id"), (F.col("c_custkey") % 3 + 1).cast("int").alias("cluster"))
-    return api.validate(replace(fit, clusters=labels)).rounded().select("metric", "value")
+    return api.validate(replace(fit, clusters=labels)).rounded().select("metric", "value", "scale", "direction")
 
 
 @query(f"WITH {PART_Z}, {NEAR}, {CELLS.replace('p_type AS a, p_brand AS b, count(*)::DOUBLE AS n FROM part', 'cluster AS a, p_brand AS b, count(*)::DOUBLE AS n FROM n')}, q AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM c) AS i, (SELECT sum(n * (n - 1) / 2) FROM x) AS p, (SELECT sum(n * (n - 1) / 2) FROM y) AS r, n * (n - 1) / 2 AS m FROM t), h AS (SELECT (SELECT -sum(x.n / t.n * ln(x.n / t.n)) FROM x, t) AS p, (SELECT -sum(y.n / t.n * ln(y.n / t.n)) FROM y, t) AS q, (SELECT -sum(c.n / t.n * ln(c.n / t.n)) FROM c, t) AS r) SELECT 'ari' AS metric, round((i - p * r / m) / ((p + r) / 2 - p * r / m), 6) AS value FROM q UNION ALL SELECT 'nmi', round((p + q - r) / sqrt(p * q), 6) FROM h")
@@ -488,6 +512,26 @@ def explore_profiles(spark, sf):
     return s.select("cluster", "feature", *(r6(F.col(c), c) for c in ("mean", "sd", "median")), "min", "max")
 
 
+@query(
+    "SELECT feature, CASE WHEN n IS NULL OR n <= 10 THEN 'categorical' ELSE 'numeric' END AS kind FROM (SELECT 'n_regionkey' AS feature, count(DISTINCT n_regionkey) AS n FROM nation UNION ALL SELECT 'n_nationkey', count(DISTINCT n_nationkey) FROM nation UNION ALL SELECT 'n_name', NULL)"
+)
+def feature_kinds(spark, sf):
+    return spark.createDataFrame(list(feature_types(table(spark, sf, "nation"), ["n_regionkey", "n_nationkey", "n_name"]).items()), "feature string, kind string")
+
+
+def _normal_sql(keys: str) -> str:
+    u = lambda end: f"((CAST('0x' || substr(md5(concat_ws(':', {keys}, '{end}')), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)"
+    return f"sqrt(-2 * ln({u('r')})) * cos(2 * pi() * {u('t')})"
+
+
+@query(
+    f"""WITH i AS (SELECT unnest(range(120)) AS id), c AS (SELECT id, CAST(id // 40 + 1 AS INTEGER) AS y FROM i)
+    SELECT id AS row_id, round([0.0::DOUBLE, 3, -3][y] + 0.5 * {_normal_sql('1, id, 0')}, 6) AS x1, round([0.0::DOUBLE, 3, 3][y] + 0.5 * {_normal_sql('1, id, 1')}, 6) AS x2, y FROM c"""
+)
+def synthetic_rows(spark, sf):
+    return synthetic_clusters(spark).select("row_id", r6(F.col("x1"), "x1"), r6(F.col("x2"), "x2"), "y")
+
+
 @query("SELECT p_partkey, p_size, p_type FROM part")
 def csv_round_trip(spark, sf):
     out = scratch(spark, "csv")
@@ -551,6 +595,18 @@ def importance_md5(spark, sf):
     return found.summary.select(r6(F.col("importance"), "instability"))
 
 
+@query(
+    f"""WITH {PART_Z}, {NEAR}, t AS (SELECT b, cluster, row_number() OVER (ORDER BY p_partkey) AS k FROM n), v AS (SELECT a, row_number() OVER (ORDER BY md5(concat(p_partkey, ':p_size:1:7')), p_partkey) AS k FROM n),
+    m AS (SELECT v.a, t.b, t.cluster FROM t JOIN v USING (k)), d2 AS (SELECT *, {SQL_D[0]} AS d1, {SQL_D[1]} AS d2, {SQL_D[2]} AS d3 FROM m)
+    SELECT 'p_size' AS feature, round((count(*) FILTER (d1 <= d2 AND d1 <= d3) - count(*) FILTER (cluster = 1)) / count(*)::DOUBLE, 6) AS importance FROM d2"""
+)
+def importance_loss(spark, sf):
+    """By a caller's loss: the share of rows in the first cluster."""
+    share = lambda data, labels, fit: labels.agg(F.avg((F.col("cluster") == 1).cast("double"))).first()[0]
+    found = explain.feature_importance(fixed_fit(spark, sf), table(spark, sf, "part"), ["p_size"], loss=share, n_repeats=1, seed=7)
+    return found.summary.select("feature", r6(F.col("importance"), "importance"))
+
+
 @query(
     """WITH o AS (SELECT p_retailprice AS v, row_number() OVER (ORDER BY p_retailprice) AS k, count(*) OVER () AS n FROM part), g AS (SELECT unnest(range(6)) AS i), h AS (SELECT i, ((SELECT count(*) FROM part) + 1.0::DOUBLE / 3) * (i / 5.0::DOUBLE) + 1.0::DOUBLE / 3 AS h, (SELECT count(*) FROM part) AS n FROM g),
     q AS (SELECT i, h, n, CASE WHEN h < 1 THEN 1 WHEN h >= n THEN n ELSE floor(h) END AS lo, CASE WHEN h < 1 THEN 1 WHEN h >= n THEN n ELSE floor(h) + 1 END AS hi FROM h)
@@ -643,7 +699,7 @@ def _two_axes(z: str, scale: str) -> str:
 
 @query(_two_axes("WITH z AS (SELECT p_partkey AS i, (p_size - avg(p_size) OVER ()) / stddev_samp(p_size) OVER () AS a, (p_retailprice - avg(p_retailprice) OVER ()) / stddev_samp(p_retailprice) OVER () AS b FROM part)", "sqrt(2.0::DOUBLE)"))
 def pca_embedding(spark, sf):
-    return _signed(embed.pca(table(spark, sf, "part"), "p_partkey", PART)[0])
+    return _signed(embed.embed(table(spark, sf, "part"), "p_partkey", PART)[0])
 
 
 _HALVES = "(t - avg(t) OVER ()) / stddev_pop(t) OVER ()"
@@ -653,7 +709,24 @@ _HALVES = "(t - avg(t) OVER ()) / stddev_pop(t) OVER ()"
 def famd_embedding(spark, sf):
     """One number and one category of two levels: the axes are the sum and difference of their standard scores."""
     c = table(spark, sf, "customer").select("c_custkey", "c_acctbal", F.when(F.col("c_nationkey") < 9, "low").otherwise("high").alias("part"))
-    return _signed(embed.famd(c, "c_custkey", ["c_acctbal", "part"])[0])
+    return _signed(embed.embed(c, "c_custkey", ["c_acctbal", "part"])[0])
+
+
+_TURNED = """z AS (SELECT p_partkey AS i, p_size - avg(p_size) OVER () AS a, p_retailprice / 40 - avg(p_retailprice / 40) OVER () AS b FROM part), t AS (SELECT 0.5 * atan2(2 * covar_samp(a, b), var_samp(a) - var_samp(b)) AS t FROM z),
+ y AS (SELECT i, cos(t) * a + sin(t) * b AS x, cos(t) * b - sin(t) * a AS y FROM z, t)"""
+
+
+@query(f"WITH {_TURNED}, f AS (SELECT CASE WHEN x >= 0 THEN 1 ELSE -1 END AS fx, CASE WHEN y >= 0 THEN 1 ELSE -1 END AS fy FROM y ORDER BY i LIMIT 1) SELECT i AS row_id, round(x * fx, 6) + 0.0 AS x, round(y * fy, 6) + 0.0 AS y FROM y, f")
+def mds_embedding(spark, sf):
+    """Of two columns: they are turned to their main axes."""
+    part = table(spark, sf, "part").select("p_partkey", "p_size", (F.col("p_retailprice") / 40).alias("price"))
+    return _signed(embed.embed(part, "p_partkey", ["p_size", "price"], "mds")[0])
+
+
+@query("WITH z AS (SELECT s_suppkey AS i, s_acctbal - avg(s_acctbal) OVER () AS x FROM supplier), f AS (SELECT CASE WHEN x >= 0 THEN 1 ELSE -1 END AS f FROM z ORDER BY i LIMIT 1) SELECT i AS row_id, round(x * f, 6) + 0.0 AS x, 0.0::DOUBLE AS y FROM z, f")
+def mds_one_column(spark, sf):
+    """A single column has a second axis of noughts."""
+    return _signed(embed.embed(table(spark, sf, "supplier"), "s_suppkey", ["s_acctbal"], "mds")[0])
 
 
 def _two_levels(spark, sf) -> DataFrame:
@@ -665,7 +738,7 @@ _LEVELS2 = "SELECT o_orderkey AS i, CASE WHEN o_orderstatus = 'F' THEN 1.0::DOUB
 
 @query(_two_axes(f"WITH h AS ({_LEVELS2}), z AS (SELECT i, {_HALVES} AS a, {_HALVES.replace('(t', '(u')} AS b FROM h)", "2.0::DOUBLE"))
 def mca_embedding(spark, sf):
-    return _signed(embed.mca(_two_levels(spark, sf), "o_orderkey", ["filled", "price"])[0])
+    return _signed(embed.embed(_two_levels(spark, sf), "o_orderkey", ["filled", "price"])[0])
 
 
 @query(f"WITH h AS ({_LEVELS2}), p AS (SELECT avg(t) AS t, avg(u) AS u FROM h) SELECT variable, round(50 * (1 - share), 6) AS contribution FROM (SELECT 'filled_yes' AS variable, t AS share FROM p UNION ALL SELECT 'filled_no', 1 - t FROM p UNION ALL SELECT 'price_low', u FROM p UNION ALL SELECT 'price_high', 1 - u FROM p)")
@@ -706,6 +779,35 @@ def hclust_supplier(spark, sf):
     return api.cluster(table(spark, sf, "supplier"), "hclust", 4, id_col="s_suppkey", features=["s_acctbal"], linkage="single", max_exact_rows=20_000).clusters
 
 
+@query("WITH g AS (SELECT s_acctbal - lag(s_acctbal) OVER (ORDER BY s_acctbal, s_suppkey) AS gap FROM supplier) SELECT CAST(row_number() OVER (ORDER BY gap) AS INTEGER) AS step, round(gap, 6) AS height FROM g WHERE gap IS NOT NULL")
+def dendrogram_supplier(spark, sf):
+    fit = api.cluster(table(spark, sf, "supplier"), "hclust", 4, id_col="s_suppkey", features=["s_acctbal"], linkage="single", max_exact_rows=20_000)
+    return plotspec.plot_dendrogram(fit).data.select("step", r6(F.col("height"), "height"))
+
+
+SIL_ROWS = """e AS (SELECT s_suppkey AS i, s_nationkey % 3 AS g, s_acctbal AS x FROM supplier), p AS (SELECT a.i, a.g, b.g AS h, avg(abs(a.x - b.x)) AS d FROM e a JOIN e b ON a.i <> b.i GROUP BY 1, 2, 3),
+ w AS (SELECT i, g, min(CASE WHEN h = g THEN d END) AS a, min(CASE WHEN h <> g THEN d END) AS b, min_by(h, (d, h)) FILTER (h <> g) AS o FROM p GROUP BY 1, 2)"""
+
+
+@query(f"WITH {SIL_ROWS} SELECT i AS row_id, CAST(g AS INTEGER) AS cluster, CAST(o AS INTEGER) AS neighbour, round((b - a) / greatest(a, b), 6) AS width FROM w")
+def silhouette_plot_supplier(spark, sf):
+    s = table(spark, sf, "supplier")
+    fit = api.cluster(s, "kmeans", 3, id_col="s_suppkey", features=["s_acctbal"], starts=[[[-1.0], [0.0], [1.0]]], iter_max=0)
+    labels = s.select(F.col("s_suppkey").alias("row_id"), (F.col("s_nationkey") % 3).cast("int").alias("cluster"))
+    return plotspec.plot_silhouette(replace(fit, clusters=labels)).data.select("row_id", "cluster", "neighbour", r6(F.col("width"), "width"))
+
+
+@query(
+    _two_axes("WITH z AS (SELECT p_partkey AS i, (p_size - avg(p_size) OVER ()) / stddev_samp(p_size) OVER () AS a, (p_retailprice - avg(p_retailprice) OVER ()) / stddev_samp(p_retailprice) OVER () AS b FROM part)", "sqrt(2.0::DOUBLE)").replace(
+        " FROM y, f", f", CASE WHEN {SQL_D[0]} <= {SQL_D[1]} AND {SQL_D[0]} <= {SQL_D[2]} THEN 1 WHEN {SQL_D[1]} <= {SQL_D[2]} THEN 2 ELSE 3 END AS cluster FROM y JOIN z USING (i), f"
+    ).replace("SELECT i AS row_id", "SELECT y.i AS row_id")
+)
+def plot_clusters_part(spark, sf):
+    """The points of a cluster plot: two components and the cluster."""
+    data = plotspec.plot_clusters(fixed_fit(spark, sf), "pca").data
+    return _signed(data).join(data.select("row_id", "cluster"), "row_id")
+
+
 @query(_gaps_sql(5))
 def agnes_gower_supplier(spark, sf):
     """Of a distance table; Gower's dissimilarity of one number is its gap over the range."""
