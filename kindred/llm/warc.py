@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from kindred.llm.common import Shelf
 
 CHUNK_BYTES = 32 * 1024
-FILE_ROWS = 4096
+FILE_ROWS = 1024
 END = "\r\n\r\n"
 SUMMARY = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
