@@ -65,7 +65,7 @@ def running(shelf: Shelf, name: str, df: DataFrame, order: list[Column], **value
 
 
 def goals(shelf: Shelf, sources: DataFrame, turns, named: dict[str | None, Schedule], share: float, most: float) -> DataFrame:
-    """(source, s, n) with weight, schedule (t, w, cum) and target: demand by weight, none above ``most`` times
+    """(source, s, n) with a number (rank), weight, schedule (t, w, cum) and target: demand by weight, none above ``most`` times
     its size; the excess is shared again by weight."""
     ranked = running(shelf, "ranked", sources, [F.col("source").asc_nulls_last()], rank=F.lit(1))
     plans = [Schedule(tuple((t, w * f) for t, f in shape)) for w, shape in turns]
@@ -75,7 +75,7 @@ def goals(shelf: Shelf, sources: DataFrame, turns, named: dict[str | None, Sched
         plan = F.when(F.col("rank") % len(plans) == i, parts(own)).otherwise(plan)
     for source, own in named.items():
         plan = F.when(F.col("source").eqNullSafe(F.lit(source)), parts(own)).otherwise(plan)
-    weighed = ranked.withColumn("plan", plan).select("source", "s", "n", "plan.*").withColumn("weight", F.element_at("cum", -1))
+    weighed = ranked.withColumn("plan", plan).select("source", "s", "n", "rank", "plan.*").withColumn("weight", F.element_at("cum", -1))
     cap = F.lit(float(most)) * F.col("s")
     total = weighed.agg(F.sum("s"), F.sum("weight")).first()
     by = [F.when(F.col("weight") > 0, cap / F.nullif(F.col("weight"), F.lit(0.0))).asc_nulls_last(), F.col("source").asc_nulls_last()]
@@ -117,16 +117,17 @@ def lay_out(
     found = sized.groupBy("source").agg(F.sum("size").alias("s"), F.count("*").alias("n"))
     sources = shelf.put(goals(shelf, found, turns, named or {}, share, most), "sources")
     shelf.drop("ranked", "left")
-    own = sources.select(F.col("source").alias("own"), F.ceil(F.col("n") / bucket_rows).cast("long").alias("parts"))
+    own = sources.select(F.col("source").alias("own"), F.col("rank").alias("sid"), F.ceil(F.col("n") / bucket_rows).cast("long").alias("parts"))
     bucket = F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * F.col("parts") / F.lit(2**32)).cast("long")
-    placed = sized.join(own, F.col("source").eqNullSafe(F.col("own"))).select("row", "size", "key", "source", bucket.alias("bucket"))
-    sums = placed.groupBy("source", "bucket").agg(F.sum("size").alias("b"))
-    ahead = sums.select(F.col("source").alias("own"), F.col("bucket").alias("place"), (F.sum("b").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("b")).alias("offset"))
-    within = Window.partitionBy("source", "bucket").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, 0)
+    placed = sized.join(own, F.col("source").eqNullSafe(F.col("own"))).select("row", "size", "key", "sid", bucket.alias("bucket"))
+    sums = placed.groupBy("sid", "bucket").agg(F.sum("size").alias("b"))
+    ahead = sums.select("sid", "bucket", (F.sum("b").over(Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("b")).alias("offset"))
+    # window and join are by the same keys, so rows are shuffled once
+    within = Window.partitionBy("sid", "bucket").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, 0)
     start = (F.col("offset") + F.sum("size").over(within) - F.col("size")).alias("start")
-    laid = placed.join(ahead, F.col("source").eqNullSafe(F.col("own")) & (F.col("bucket") == F.col("place"))).select("row", "key", "size", "source", start)
-    plans = sources.select(F.col("source").alias("own"), F.col("s").alias("source_size"), "target", "t", "w", "cum")
-    laid = laid.join(plans, F.col("source").eqNullSafe(F.col("own")))
+    laid = placed.join(ahead, ["sid", "bucket"]).select("row", "key", "size", "sid", start)
+    plans = sources.select(F.col("rank").alias("sid"), F.col("s").alias("source_size"), "target", "t", "w", "cum")
+    laid = laid.join(plans, "sid")
     copies = F.when((F.col("source_size") > 0) & (F.col("size") > 0), F.greatest(F.lit(0), F.ceil((F.col("target") - F.col("start") - F.col("size") / 2.0) / F.col("source_size")))).otherwise(F.lit(0))
     counted = laid.withColumn("copies", F.least(copies, F.lit(int(most))).cast("int"))
     met = lambda j: F.least(F.lit(1.0), (j * F.col("source_size") + F.col("start")) / F.col("target"))
