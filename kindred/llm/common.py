@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 WORD = r"[^\x20\x09-\x0D]+"
 M1, M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 STEP = np.uint64(0x9E3779B97F4A7C15)
+FILE_VALUES = 500_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -45,7 +46,11 @@ class Shelf:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def put(self, df: DataFrame, name: str) -> DataFrame:
+    def put(self, df: DataFrame, name: str, values: int | None = None) -> DataFrame:
+        """``values``: about as many numbers are in the table, so it is written in files of FILE_VALUES
+        (at least one a core) instead of one for each shuffle partition. It bounds no rows."""
+        if values is not None:
+            df = df.coalesce(max(self.spark.sparkContext.defaultParallelism, -(-values // FILE_VALUES)))
         df.write.parquet(self.path(name))
         if not self.kept:
             files, path = self._at(self.root)

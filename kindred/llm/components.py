@@ -21,15 +21,16 @@ def _small(edges: DataFrame) -> DataFrame:
     return own.union(moved)
 
 
-def components(links: DataFrame, shelf: Shelf, name: str) -> DataFrame:
+def components(links: DataFrame, shelf: Shelf, name: str, about: int) -> DataFrame:
     """(node, root) of every node with a link; root is the smallest node of its component.
 
     ``links`` has the long columns a and b. Self-links, repeated links and null ends are left out.
+    ``about`` is a guess of their number, for the number of files.
     """
     edges = links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     seal, step = None, 0
     while True:
-        edges = shelf.put(edges, f"{name}-{step}")
+        edges = shelf.put(edges, f"{name}-{step}", 2 * (now[0] if step else about))
         if step:
             shelf.drop(f"{name}-{step - 1}")
         now = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v") % 1_000_000_007), F.lit(0))).first()

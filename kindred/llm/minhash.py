@@ -102,10 +102,9 @@ def sign(docs: DataFrame, k: int, rows: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, h long, n long, d1 long, d2 long, bands array<long>")
 
 
-def _sets(docs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
-    """(n, d1, d2, own) of the rows whose h is wanted, and of some others: h is first looked for in a
+def _sets(docs: DataFrame, k: int, wanted: DataFrame, n: int) -> DataFrame:
+    """(n, d1, d2, own) of the rows whose h is wanted (n rows), and of some others: h is first looked for in a
     hashed bitmap of at most 2**MOST_BITS bits, so that the texts are not shuffled."""
-    n = wanted.count()
     bits = 1 << min(MOST_BITS, max(10, (16 * n).bit_length()))
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
     words = wanted.select(place("h").alias("p")).select(F.shiftright("p", 5).alias("word"), F.expr("shiftleft(1L, CAST(p % 32 AS INT))").alias("bit"))
@@ -155,29 +154,34 @@ def judged_rows(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "d
     the rows equal to the first of their component in id and text."""
     shelf = Shelf(docs.sparkSession, "minhash")
     source = docs.select(*_rows(docs, id_col, text_col))
-    signed = shelf.put(sign(source, k, rows_per_band(percent / 100)), "signed")
+    rows = rows_per_band(percent / 100)
+    signed = shelf.put(sign(source, k, rows), "signed")
+    # sizes of the tables that follow, in numbers
+    bands, n_rows = 2 * (PERMUTATIONS // rows), signed.count()
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "bands")).alias("x")
     found = signed.where("n > 0").groupBy("n", "d1", "d2").agg(first)
     # a class gets a number, which holds from here on since it is written
-    classes = shelf.put(found.select("n", "d1", "d2", F.struct("x.none", "x.doc_id", "x.h").alias("first"), "x.bands", F.monotonically_increasing_id().alias("rep")), "classes")
+    classes = shelf.put(found.select("n", "d1", "d2", F.struct("x.none", "x.doc_id", "x.h").alias("first"), "x.bands", F.monotonically_increasing_id().alias("rep")), "classes", bands * n_rows)
     buckets = classes.select(F.explode("bands").alias("key"), "rep")
     several = buckets.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).where(F.col("pivot") != F.col("last")).select("key", "pivot")
-    members = shelf.put(buckets.join(several.hint("merge"), "key").where("rep != pivot").distinct(), "members")
+    members = shelf.put(buckets.join(several.hint("merge"), "key").where("rep != pivot").distinct(), "members", 2 * bands * n_rows)
+    n_members = members.count()
     # sets are made once, of all classes that share a bucket
     ids = members.select("rep").union(members.select(F.col("pivot").alias("rep"))).distinct()
-    wanted = shelf.put(classes.select("rep", "n", "d1", "d2", F.col("first.h").alias("h")).join(ids.hint("merge"), "rep", "left_semi"), "wanted")
-    own = _sets(source, k, wanted).join(wanted.select("rep", "n", "d1", "d2").hint("merge"), ["n", "d1", "d2"])
-    sets = shelf.put(own.groupBy("rep").agg(F.any_value("own").alias("own")), "sets")
+    wanted = shelf.put(classes.select("rep", "n", "d1", "d2", F.col("first.h").alias("h")).join(ids.hint("merge"), "rep", "left_semi"), "wanted", 5 * min(n_rows, 2 * n_members))
+    n_wanted, n_values = wanted.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    own = _sets(source, k, wanted, n_wanted).join(wanted.select("rep", "n", "d1", "d2").hint("merge"), ["n", "d1", "d2"])
+    sets = shelf.put(own.groupBy("rep").agg(F.any_value("own").alias("own")), "sets", n_values)
     pairs = members.select("rep", "pivot").distinct()
     compared = _compared(pairs.join(sets.hint("merge"), "rep").join(sets.select(F.col("rep").alias("pivot"), F.col("own").alias("other")).hint("merge"), "pivot").select("rep", "pivot", "own", "other"))
     judged = shelf.put(compared, "judged")
     links = judged.where(100 * F.col("common") >= percent * F.col("n_union")).select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
-    roots = components(links, shelf, "roots-0")
-    groups = shelf.put(_groups(members, judged, roots, 1 - percent / 100 + 1e-9), "groups")
+    roots = components(links, shelf, "roots-0", n_members)
+    groups = shelf.put(_groups(members, judged, roots, 1 - percent / 100 + 1e-9), "groups", 2 * n_members)
     if not groups.isEmpty():
-        more = shelf.put(_within_groups(groups, sets, percent), "links")
+        more = shelf.put(_within_groups(groups, sets, percent), "links", 2 * n_members)
         if not more.isEmpty():
-            roots = components(more.union(roots.select("node", "root")), shelf, "roots-1")
+            roots = components(more.union(roots.select("node", "root")), shelf, "roots-1", n_members)
     shelf.drop("sets", "members", "wanted", "judged", "groups", "links")
     own = classes.select("n", "d1", "d2", "rep", "first").join(roots, F.col("rep") == F.col("node"), "left").withColumn("root", F.coalesce("root", "rep")).drop("rep", "node", "bands")
     heads = own.groupBy("root").agg(F.min("first").alias("head"))

@@ -95,6 +95,31 @@ def test_near_duplicates_brute(spark, docs, k, percent):
     assert all(r.kept == (r.doc_id == r.component_id) for r in found)
 
 
+def test_near_duplicates_in_few_files(spark, monkeypatch):
+    # tables of a few numbers a row are not written in a file for each shuffle partition, and lose no rows by that
+    rows = [(i, " ".join(f"w{i // 4}x{j}" for j in range(60)) + f" z{i % 2}") for i in range(1200)]
+    conf, cores, files = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}, spark.sparkContext.defaultParallelism, {}
+    put = common.Shelf.put
+
+    def counted(shelf, df, name, *more):
+        out = put(shelf, df, name, *more)
+        files[name] = len(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(common.Shelf, "put", counted)
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {r.doc_id: r.component_id for r in found} == {i: i // 4 * 4 for i, _ in rows} and len(found) == len(rows)
+    several = [x for x in files if x.startswith("roots-0")]
+    assert several and all(files[x] <= cores for x in ["classes", "members", "wanted", "sets", "groups", *several]), files
+
+
 def test_near_duplicates_edges(odd, empty):
     rows = minhash.near_duplicates(odd, 3, 85).collect()
     assert len(rows) == len(ODD)
