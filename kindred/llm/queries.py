@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import contain, curriculum, html_diff, lm_diff, mil, minhash, pii, quality_rules, secrets_scan, warc
+from kindred.llm import contain, curriculum, fim, html_diff, lm_diff, merkle, mil, minhash, pii, quality_rules, secrets_scan, url_filter, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -56,11 +56,26 @@ def op10_quality_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mil.score(docs, mil.train(docs, _read(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_cross_entropy_difference, op2_quality_rules, op3_page_differencing, op4_warc_chunks, op5_curriculum_mix, op6_pii_field, op7_minhash_near_dedup, op8_decontamination, op9_secret_automata, op10_quality_attention)}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.prove(_read(spark, sf_dir, "documents"), merkle.tampered())
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(_read(spark, sf_dir, "documents"))
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_read(spark, sf_dir, "pages"), url_filter.train(url_filter.labelled_table(spark)))
+
+
+QUERIES = {f.__name__: f for f in (op1_cross_entropy_difference, op2_quality_rules, op3_page_differencing, op4_warc_chunks, op5_curriculum_mix, op6_pii_field, op7_minhash_near_dedup, op8_decontamination, op9_secret_automata, op10_quality_attention, op11_merkle_manifest, op12_fill_in_middle, op13_url_filter)}
 
 ORACLES = {
     "op2_quality_rules": "WITH " + quality_rules.oracle_cte() + " SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM judged",
     "op5_curriculum_mix": curriculum.oracle(),
     "op7_minhash_near_dedup": minhash.oracle(),
     "op4_warc_chunks": warc.oracle(),
+    "op11_merkle_manifest": merkle.oracle(),
+    "op12_fill_in_middle": fim.oracle(),
+    "op13_url_filter": url_filter.oracle(),
 }
