@@ -23,8 +23,9 @@ from kindred.functions.preprocess import Encoder, Scaler
 from kindred.functions.quantile import medians, trimmed_means
 from kindred.operators import kernels
 from kindred.operators.distance import MOST_ROWS, check_rows, eps_blocks
-from kindred.operators.graph import connected, ensure_checkpoint_dir
+from kindred.operators.graph import connected, least_of
 from kindred.operators.order import ranked
+from kindred.sources.shelf import Shelf
 
 
 @dataclass(frozen=True)
@@ -287,7 +288,7 @@ def fit_dbscan(x: DataFrame, info: DataInfo, eps: float, min_pts: int, **_) -> C
         raise ValueError("`eps` must be positive")
     if min_pts is None or min_pts < 1:
         raise ValueError("`minPts` must be at least 1")
-    ensure_checkpoint_dir(x)
+    shelf = Shelf(x.sparkSession, "dbscan")
     kind = x.schema["row_id"].dataType.simpleString()
 
     def counted(rows: pa.Table, others: pa.Table) -> pa.Table:
@@ -295,23 +296,19 @@ def fit_dbscan(x: DataFrame, info: DataInfo, eps: float, min_pts: int, **_) -> C
         return pa.table({"row_id": rows["row_id"], "n": pa.array(n, pa.int64())})
 
     def forest(rows: pa.Table, others: pa.Table) -> pa.Table:
-        root: dict = {}
-
-        def find(v):
-            while root.setdefault(v, v) != v:
-                root[v] = root[root[v]]
-                v = root[v]
-            return v
-
-        left, right, edges = rows["row_id"].to_pylist(), others["row_id"].to_pylist(), []
+        """Links of each row to the least row of its component among these, by numbers of their ids' order."""
+        n = rows.num_rows
+        ids, code = np.unique(np.array(rows["row_id"].to_pylist() + others["row_id"].to_pylist()), return_inverse=True)
+        u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for lo, _, close in _close(rows, others, eps):
-            for a, b in np.argwhere(close).tolist():
-                p, q = find(left[lo + a]), find(right[b])
-                if p != q:
-                    root[p] = q
-                    edges.append((left[lo + a], right[b]))
+            x, y = np.nonzero(close)
+            node, root = least_of(code[lo + x], code[n + y])
+            u.append(node[node != root])
+            v.append(root[node != root])
+        node, root = least_of(np.concatenate(u), np.concatenate(v))
+        node, root = node[node != root], root[node != root]
         t = rows.schema.field("row_id").type
-        return pa.table({"i": pa.array([e[0] for e in edges], t), "j": pa.array([e[1] for e in edges], t)})
+        return pa.table({"i": pa.array(ids[node], t), "j": pa.array(ids[root], t)})
 
     def least(rows: pa.Table, others: pa.Table) -> pa.Table:
         roots = others["root"].to_pylist()
@@ -323,15 +320,17 @@ def fit_dbscan(x: DataFrame, info: DataInfo, eps: float, min_pts: int, **_) -> C
                 found[lo + a] = roots[by[first[a]]]
         return pa.table({"row_id": rows["row_id"], "root": pa.array(found, others.schema.field("root").type)})
 
-    core = eps_blocks(x, x, eps, counted, f"row_id {kind}, n long").groupBy("row_id").agg(F.sum("n").alias("n")).where(F.col("n") >= min_pts).select("row_id").checkpoint()
-    inner = x.join(core, "row_id", "left_semi")
-    roots = connected(core, eps_blocks(inner, inner, eps, forest, f"i {kind}, j {kind}"))
-    rooted = inner.join(roots, "row_id").select("row_id", "x", "root")
+    core = eps_blocks(x, x, eps, counted, f"row_id {kind}, n long").groupBy("row_id").agg(F.sum("n").alias("n")).where(F.col("n") >= min_pts).select("row_id")
+    core = shelf.put(core, "core")
+    inner = shelf.put(x.join(core, "row_id", "left_semi").select("row_id", "x"), "inner")
+    roots = connected(core, eps_blocks(inner, inner, eps, forest, f"i {kind}, j {kind}"), shelf)
+    rooted = shelf.put(inner.join(roots, "row_id").select("row_id", "x", "root"), "rooted")
     border = eps_blocks(x.join(core, "row_id", "left_anti"), rooted, eps, least, f"row_id {kind}, root {kind}").where("root is not null").groupBy("row_id").agg(F.min("root").alias("root"))
-    own = roots.select("row_id", "root").unionByName(border).checkpoint()
+    own = shelf.put(rooted.select("row_id", "root").unionByName(border), "own")
     # ids by the least row of a cluster, border rows included
     firsts = ranked(own.groupBy("root").agg(F.min("row_id").alias("least")), ["least"]).select("root", (F.col("place") + 1).alias("id"))
-    labels = x.select("row_id").join(own.join(firsts, "root").select("row_id", "id"), "row_id", "left").select("row_id", F.coalesce("id", F.lit(0)).cast("int").alias("cluster")).checkpoint()
+    labels = x.select("row_id").join(own.join(firsts, "root").select("row_id", "id"), "row_id", "left").select("row_id", F.coalesce("id", F.lit(0)).cast("int").alias("cluster"))
+    labels = shelf.put(labels, "labels")
     return ClusterFit("dbscan", {"eps": eps, "minPts": min_pts}, labels, firsts.count(), info, training=x, extras={"noise_label": 0, "core": core})
 
 
