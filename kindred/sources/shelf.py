@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 FILE_VALUES = 500_000
@@ -33,6 +34,7 @@ class Shelf:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.kept = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", False
+        self.held: dict[str, DataFrame] = {}
         Shelf.made.append(self)
 
     def path(self, name: str) -> str:
@@ -49,16 +51,26 @@ class Shelf:
             self.kept = files.deleteOnExit(path)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def hold(self, df: DataFrame, name: str) -> DataFrame:
+        """For tables of few numbers a row that the same job reads again: kept by the executors on their disks, and made
+        again where one is lost. It writes no files of its own, so no process is started for them."""
+        self.held[name] = df.persist(StorageLevel.DISK_ONLY)
+        return self.held[name]
+
     def _at(self, path: str) -> tuple:
         where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), where
 
     def drop(self, *names: str) -> None:
         for name in names:
+            if name in self.held:
+                self.held.pop(name).unpersist()
+                continue
             files, path = self._at(self.path(name))
             files.delete(path, True)
 
     def drop_all(self) -> None:
+        self.drop(*list(self.held))
         files, path = self._at(self.root)
         files.delete(path, True)
 
