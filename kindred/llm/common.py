@@ -6,87 +6,24 @@ those, and no byte of a multi-byte UTF-8 character is one of them.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
 
+from kindred.sources.shelf import Shelf, released, shared_folder
+
+__all__ = ["Shelf", "WordHashes", "released", "shared_folder"]
 WORD = r"[^\x20\x09-\x0D]+"
 M1, M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 STEP = np.uint64(0x9E3779B97F4A7C15)
-FILE_VALUES = 500_000
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset, one in the warehouse is set for this session."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shelf"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-class Shelf:
-    """Tables written under the shared folder, in order to cut lineage or to be read more than once.
-
-    Tables that a returned DataFrame still reads stay there until the driver ends, or the block of
-    ``released`` does in which the shelf was made; drop() removes the others at once.
-    """
-
-    made: list[Shelf] = []
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root, self.kept = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", False
-        Shelf.made.append(self)
-
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
-
-    def put(self, df: DataFrame, name: str, values: int | None = None) -> DataFrame:
-        """``values``: about as many numbers are in the table, so it is written in files of FILE_VALUES
-        (at least one a core) instead of one for each shuffle partition. It bounds no rows."""
-        if values is not None:
-            df = df.coalesce(max(self.spark.sparkContext.defaultParallelism, -(-values // FILE_VALUES)))
-        df.write.parquet(self.path(name))
-        if not self.kept:
-            files, path = self._at(self.root)
-            self.kept = files.deleteOnExit(path)
-        return self.spark.read.schema(df.schema).parquet(self.path(name))
-
-    def _at(self, path: str) -> tuple:
-        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), where
-
-    def drop(self, *names: str) -> None:
-        for name in names:
-            files, path = self._at(self.path(name))
-            files.delete(path, True)
-
-    def drop_all(self) -> None:
-        files, path = self._at(self.root)
-        files.delete(path, True)
-
-
-@contextmanager
-def released() -> Iterator[None]:
-    """Shelves made in the block go with its end: what was read from them has been written elsewhere."""
-    before, Shelf.made = Shelf.made, []
-    try:
-        yield
-    finally:
-        for shelf in Shelf.made:
-            shelf.drop_all()
-        Shelf.made = before
 
 
 class WordHashes(dict):
     """64-bit hash by word; forgets all words when it holds too many."""
 
-    def __init__(self, most: int = 1_000_000, clean=None):
+    def __init__(self, most: int = 250_000, clean=None):
         super().__init__()
         self.most, self.clean = most, clean
 

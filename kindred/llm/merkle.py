@@ -243,7 +243,7 @@ def prove(docs: DataFrame, changed: dict[str, Column] | None = None, fanout: int
     largest = nodes.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
     trees = Trees(nodes, largest, fanout, shelf, "leaves", block)
     # the subroots are the leaves of one more tree
-    heads = trees.roots.select(F.lit("").alias("tree"), F.col("tree").alias("key"), "h")
+    heads = trees.roots.select(F.substring("h", 1, 0).alias("tree"), F.col("tree").alias("key"), "h")
     heads = shelf.put(ranked(heads, byte_digits("key"), ["key"], shelf, "langs", most), "heads")
     top = Trees(heads, heads.count(), fanout, shelf, "langs", block)
     root = top.roots.first()

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm.common import Shelf, WordHashes, column_bytes, mix, shingle_hashes, slices
-from kindred.llm.components import components
+from kindred.operators.graph import components
 
 PERMUTATIONS = 126
 MISS = 1e-5
@@ -155,7 +155,7 @@ def judged_rows(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "d
     shelf = Shelf(docs.sparkSession, "minhash")
     source = docs.select(*_rows(docs, id_col, text_col))
     rows = rows_per_band(percent / 100)
-    signed = shelf.put(sign(source, k, rows), "signed")
+    signed = shelf.hold(sign(source, k, rows), "signed")
     # sizes of the tables that follow, in numbers
     bands, n_rows = 2 * (PERMUTATIONS // rows), signed.count()
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "bands")).alias("x")
@@ -164,24 +164,24 @@ def judged_rows(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "d
     classes = shelf.put(found.select("n", "d1", "d2", F.struct("x.none", "x.doc_id", "x.h").alias("first"), "x.bands", F.monotonically_increasing_id().alias("rep")), "classes", bands * n_rows)
     buckets = classes.select(F.explode("bands").alias("key"), "rep")
     several = buckets.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).where(F.col("pivot") != F.col("last")).select("key", "pivot")
-    members = shelf.put(buckets.join(several.hint("merge"), "key").where("rep != pivot").distinct(), "members", 2 * bands * n_rows)
+    members = shelf.hold(buckets.join(several, "key").where("rep != pivot").distinct(), "members")
     n_members = members.count()
     # sets are made once, of all classes that share a bucket
     ids = members.select("rep").union(members.select(F.col("pivot").alias("rep"))).distinct()
-    wanted = shelf.put(classes.select("rep", "n", "d1", "d2", F.col("first.h").alias("h")).join(ids.hint("merge"), "rep", "left_semi"), "wanted", 5 * min(n_rows, 2 * n_members))
+    wanted = shelf.hold(classes.select("rep", "n", "d1", "d2", F.col("first.h").alias("h")).join(ids, "rep", "left_semi"), "wanted")
     n_wanted, n_values = wanted.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     own = _sets(source, k, wanted, n_wanted).join(wanted.select("rep", "n", "d1", "d2").hint("merge"), ["n", "d1", "d2"])
     sets = shelf.put(own.groupBy("rep").agg(F.any_value("own").alias("own")), "sets", n_values)
     pairs = members.select("rep", "pivot").distinct()
     compared = _compared(pairs.join(sets.hint("merge"), "rep").join(sets.select(F.col("rep").alias("pivot"), F.col("own").alias("other")).hint("merge"), "pivot").select("rep", "pivot", "own", "other"))
-    judged = shelf.put(compared, "judged")
+    judged = shelf.hold(compared, "judged")
     links = judged.where(100 * F.col("common") >= percent * F.col("n_union")).select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
-    roots = components(links, shelf, "roots-0", n_members)
-    groups = shelf.put(_groups(members, judged, roots, 1 - percent / 100 + 1e-9), "groups", 2 * n_members)
+    roots = components(links, shelf, "roots-0", values=2 * n_members)
+    groups = shelf.hold(_groups(members, judged, roots, 1 - percent / 100 + 1e-9), "groups")
     if not groups.isEmpty():
-        more = shelf.put(_within_groups(groups, sets, percent), "links", 2 * n_members)
+        more = shelf.hold(_within_groups(groups, sets, percent), "links")
         if not more.isEmpty():
-            roots = components(more.union(roots.select("node", "root")), shelf, "roots-1", n_members)
+            roots = components(more.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))), shelf, "roots-1", values=2 * n_members)
     shelf.drop("sets", "members", "wanted", "judged", "groups", "links")
     own = classes.select("n", "d1", "d2", "rep", "first").join(roots, F.col("rep") == F.col("node"), "left").withColumn("root", F.coalesce("root", "rep")).drop("rep", "node", "bands")
     heads = own.groupBy("root").agg(F.min("first").alias("head"))

@@ -117,7 +117,8 @@ def test_near_duplicates_in_few_files(spark, monkeypatch):
             spark.conf.set(k, v)
     assert {r.doc_id: r.component_id for r in found} == {i: i // 4 * 4 for i, _ in rows} and len(found) == len(rows)
     several = [x for x in files if x.startswith("roots-0")]
-    assert several and all(files[x] <= cores for x in ["classes", "members", "wanted", "sets", "groups", *several]), files
+    assert several and all(files[x] <= cores for x in ["classes", "sets", *several]), files
+    assert not {"signed", "members", "wanted", "judged", "groups", "links"} & set(files)  # kept without files
 
 
 def test_near_duplicates_edges(odd, empty):
