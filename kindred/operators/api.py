@@ -50,7 +50,7 @@ def cluster(df: DataFrame, method: str = "kmeans", k: int | None = None, *, id_c
         if method not in ("hclust", "agnes"):
             raise ValueError("a distance input is for hclust and agnes only")
         info = DataInfo(0, "i", (), "dist", None, df)
-        return fit_tree(method, df, info, k, options.get("linkage", "complete" if method == "hclust" else "average"), options.get("max_exact_rows", MOST_ROWS))
+        return fit_tree(method, df, info, k, options.pop("linkage", "complete" if method == "hclust" else "average"), **options)
     features = features or [c for c in df.columns if c != id_col]
     if method in MIXED:
         n = check_input(df, id_col, features)

@@ -1,5 +1,5 @@
-"""Pairwise distances and neighbourhoods. Pairs are i < j; the pair count of an all-pairs operator is
-checked against a limit, an eps-neighbourhood is found through a grid and has none."""
+"""Pairwise distances. Pairs are i < j; the pair count of an all-pairs operator is checked against a limit.
+Neighbourhoods within a radius are in ``partition`` and have none."""
 
 from __future__ import annotations
 
@@ -68,42 +68,3 @@ def mixed_distance(df: DataFrame, id_col: str, features: list[str], metric: str
         s = (F.abs(a - b) / F.lit(float(ranges[f])) if ranges[f] else F.lit(0.0)) if f in scaled else F.when(a != b, 1.0).otherwise(0.0)
         top, bottom = top + F.when(both, F.lit(w) * s).otherwise(0.0), bottom + F.when(both, F.lit(w)).otherwise(0.0)
     return _pairs(base, max_exact_rows).select(F.col("a_row_id").alias("i"), F.col("b_row_id").alias("j"), F.when(bottom > 0, top / bottom).alias("d"))
-
-
-def _cells(eps: float, side: float) -> tuple[Column, Column]:
-    """The cell of a row, of this side over the first three features; and the cells that have a place within eps of it."""
-    first = F.slice("x", 1, F.least(F.size("x"), F.lit(3)))
-    cell = F.transform(first, lambda v: F.floor(v / F.lit(side)))
-    reach = F.transform(first, lambda v: F.sequence(F.floor((v - F.lit(eps)) / F.lit(side)), F.floor((v + F.lit(eps)) / F.lit(side))))
-    near = F.aggregate(reach, F.array(F.array().cast("array<bigint>")), lambda acc, r: F.flatten(F.transform(acc, lambda p: F.transform(r, lambda q: F.concat(p, F.array(q))))))
-    return cell, near
-
-
-def eps_blocks(left: DataFrame, right: DataFrame, eps: float, run, schema: str, block_rows: int = 2048) -> DataFrame:
-    """What ``run`` (rows, others: Arrow tables) gives back for blocks of left rows and of the right rows that may lie within
-    eps of them. Blocks are cells of about ``block_rows`` rows on average; cells of more rows are cut by hash."""
-    small, _ = _cells(eps, eps)
-    found = left.agg(F.count("*").alias("n"), F.approx_count_distinct(F.xxhash64(small)).alias("cells"), F.max(F.size("x")).alias("p")).first()
-    wide = max(1.0, block_rows * found.cells / max(1, found.n)) ** (1 / min(3, max(1, found.p or 1)))
-    cell, near = _cells(float(eps), float(eps) * max(1, int(wide)))
-    a, b = left.withColumn("cell", cell), right.select(*(F.col(c).alias(c) for c in right.columns), F.explode(near).alias("cell"))
-    parts = [df.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias(n)) for df, n in ((a, "na"), (b, "nb"))]
-    cut = parts[0].join(parts[1], "cell")
-    place, every = (lambda n: F.pmod(F.xxhash64("row_id"), F.col(n)).cast("int")), (lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)))
-    a = a.join(cut, "cell").withColumn("one", place("na")).withColumn("two", every("nb")).drop("na", "nb")
-    b = b.join(cut, "cell").withColumn("two", place("nb")).withColumn("one", every("na")).drop("na", "nb")
-    keys = ["cell", "one", "two"]
-    return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInArrow(run, schema)
-
-
-def eps_pairs(left: DataFrame, right: DataFrame, eps: float) -> DataFrame:
-    """(i, j, d) of rows of two (row_id, x) tables within eps of one another, self pairs included.
-
-    Cells of side eps over the first three features: a row meets the rows of its own and the
-    neighbouring cells only, in an equi-join; the distance is taken over all features.
-    """
-    cell, near = _cells(float(eps), float(eps))
-    a = left.select(F.col("row_id").alias("i"), F.col("x").alias("xi"), cell.alias("cell"))
-    b = right.select(F.col("row_id").alias("j"), F.col("x").alias("xj"), F.explode(near).alias("cell"))
-    d = array_distance(F.col("xi"), F.col("xj"))
-    return a.join(b, "cell").select("i", "j", d.alias("d")).where(F.col("d") <= F.lit(float(eps)))

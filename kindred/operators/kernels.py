@@ -72,14 +72,19 @@ def agglomerate(d: np.ndarray, linkage: str, weights: np.ndarray | None = None)
 
 def cut(merge: np.ndarray, n: int, k: int) -> np.ndarray:
     """k clusters, numbered by first appearance in row order. Steps are taken as listed."""
-    label = np.arange(n)
-    groups: list[np.ndarray] = []
+    root, of = list(range(n)), [0] * len(merge)
+
+    def find(a: int) -> int:
+        while root[a] != a:
+            root[a] = root[root[a]]
+            a = root[a]
+        return a
+
     for step in range(max(0, n - k)):
-        parts = [np.array([-v - 1]) if v < 0 else groups[v - 1] for v in merge[step]]
-        groups.append(np.concatenate(parts))
-        label[groups[-1]] = label[groups[-1]].min()
+        a, b = (find(-v - 1 if v < 0 else of[v - 1]) for v in merge[step].tolist())
+        of[step] = root[max(a, b)] = min(a, b)
     seen: dict[int, int] = {}
-    return np.array([seen.setdefault(v, len(seen) + 1) for v in label])
+    return np.array([seen.setdefault(find(v), len(seen) + 1) for v in range(n)])
 
 
 def agglomerative_coefficient(merge: np.ndarray, height: np.ndarray) -> float:

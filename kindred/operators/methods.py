@@ -22,9 +22,12 @@ from kindred.functions.expr import argmin, missing, squared
 from kindred.functions.preprocess import Encoder, Scaler
 from kindred.functions.quantile import medians, trimmed_means
 from kindred.operators import kernels
-from kindred.operators.distance import MOST_ROWS, check_rows, eps_blocks
+from kindred.operators.distance import MOST_ROWS, check_rows
 from kindred.operators.graph import connected, least_of
+from kindred.operators.medoids import k_medoids
 from kindred.operators.order import ranked
+from kindred.operators.partition import distances_to, eps_blocks, eps_counts, vectors_of
+from kindred.operators.spanning import forest, merges, spanning_tree
 from kindred.sources.shelf import Shelf
 
 
@@ -202,9 +205,10 @@ def to_numpy(x: DataFrame, most: int, what: str) -> tuple[list, np.ndarray]:
     return [r.row_id for r in rows], np.array([r.x for r in rows], float)
 
 
-def fit_pam(x: DataFrame, info: DataInfo, k: int, seed: int | None, max_exact_rows: int = MOST_ROWS, approximate: bool = False, samples: int = 5, sample_size: int | None = None, **_) -> ClusterFit:
-    """Exact up to max_exact_rows; beyond, an error unless ``approximate``: then the best of some samples' medoids."""
-    if info.n_obs <= max_exact_rows:
+def fit_pam(x: DataFrame, info: DataInfo, k: int, seed: int | None, max_exact_rows: int = MOST_ROWS, approximate: bool = False, samples: int = 5, sample_size: int | None = None, distributed: bool = False, **_) -> ClusterFit:
+    """Exact: with a matrix on the driver up to max_exact_rows, by passes over pairs of blocks beyond (or where
+    ``distributed``). ``approximate``: beyond, the best of some samples' medoids."""
+    if info.n_obs <= max_exact_rows and not distributed:
         ids, m = to_numpy(x, max_exact_rows, "pam")
         at, cost = kernels.k_medoids(kernels.distances(m), k)
         medoids, centers = [ids[i] for i in at], m[at].tolist()
@@ -221,7 +225,8 @@ def fit_pam(x: DataFrame, info: DataInfo, k: int, seed: int | None, max_exact_ro
                 best = (cost, [ids[i] for i in at], own)
         cost, medoids, centers = best
     else:
-        raise ValueError(f"pam is quadratic in the rows and limited to {max_exact_rows} of them (max_exact_rows); set approximate=True for medoids of samples")
+        medoids, m, cost = k_medoids(x, k)
+        centers = m.tolist()
     labels = x.select("row_id", nearest(F.col("x"), centers).alias("cluster"))
     return ClusterFit("pam", {"k": k}, labels, k, info, centers, prototypes=[{"row_id": r, "values": c} for r, c in zip(medoids, centers, strict=True)], distances=center_distances(centers), extras={"medoid_ids": medoids, "cost": cost})
 
@@ -242,9 +247,12 @@ def square_form(pairs: DataFrame, max_exact_rows: int) -> tuple[list, np.ndarray
     return ids, d
 
 
-def fit_tree(method: str, data: DataFrame, info: DataInfo, k: int, linkage: str, max_exact_rows: int = MOST_ROWS, **_) -> ClusterFit:
+def fit_tree(method: str, data: DataFrame, info: DataInfo, k: int, linkage: str, max_exact_rows: int = MOST_ROWS, spanning: bool = False, **options) -> ClusterFit:
+    """A matrix on the driver of up to max_exact_rows rows; single linkage beyond, or where ``spanning``, from the spanning tree."""
     if linkage not in kernels.LINKAGES:
         raise ValueError(f"linkage must be one of {', '.join(kernels.LINKAGES)}")
+    if linkage == "single" and (spanning or _more_rows(data, info, max_exact_rows)):
+        return fit_single(method, data, info, k, **options)
     if info.input_type == "dist":
         ids, d = square_form(data, max_exact_rows)
         m = None
@@ -262,6 +270,55 @@ def fit_tree(method: str, data: DataFrame, info: DataInfo, k: int, linkage: str,
     return ClusterFit(method, {"k": k, "linkage": linkage}, labels, int(own.max()), info, centers, distances=center_distances(centers) if centers else None, extras=extras)
 
 
+def _more_rows(data: DataFrame, info: DataInfo, most: int) -> bool:
+    return (_nodes(data, info).limit(most + 1).count() if info.input_type == "dist" else info.n_obs) > most
+
+
+def _nodes(data: DataFrame, info: DataInfo) -> DataFrame:
+    return data.select(F.col("i").alias("row_id")).union(data.select("j")).distinct() if info.input_type == "dist" else data.select("row_id")
+
+
+def fit_single(method: str, data: DataFrame, info: DataInfo, k: int, max_tree_rows: int = 1_000_000, **_) -> ClusterFit:
+    """Single linkage from the minimum spanning tree: the clusters are what is left of it without its k - 1 longest
+    edges. The tree is in extras as a table (i, j, d); its merge table is made on the driver for at most max_tree_rows rows."""
+    shelf = Shelf(data.sparkSession, "single")
+    nodes = _nodes(data, info)
+    edges = forest(data, shelf, "pairs") if info.input_type == "dist" else spanning_tree(data, shelf)
+    n, m = nodes.count(), edges.count()
+    if m != n - 1:
+        raise ValueError(f"the distances leave {n - m} groups of rows apart")
+    last = edges.orderBy(F.desc("d"), F.desc("i"), F.desc("j")).limit(max(0, min(k, n) - 1)).collect()
+    key = F.struct("d", "i", "j")
+    kept = edges.where(key < F.struct(*(F.lit(v).cast(edges.schema[c].dataType) for c, v in zip("dij", (last[-1].d, last[-1].i, last[-1].j), strict=True)))) if last else edges
+    roots = shelf.put(connected(nodes, kept.select("i", "j"), shelf), "roots")
+    firsts = sorted(r[0] for r in roots.select("root").distinct().collect())  # k of them
+    kind = roots.schema["root"].dataType.simpleString()
+    ids = data.sparkSession.createDataFrame([(r, i + 1) for i, r in enumerate(firsts)], f"root {kind}, cluster int")
+    labels = roots.join(F.broadcast(ids), "root").select("row_id", "cluster")
+    centers = None
+    if info.input_type != "dist":
+        p = len(data.first().x)
+        means = data.join(labels, "row_id").groupBy("cluster").agg(*(F.avg(F.get("x", F.lit(f))).alias(f"m{f}") for f in range(p)))
+        centers = [[r[f"m{f}"] for f in range(p)] for r in sorted(means.collect(), key=lambda r: r.cluster)]
+    extras: dict[str, Any] = {"spanning_tree": edges}
+    if n <= max_tree_rows:
+        names = sorted(r[0] for r in nodes.collect())
+        at = {v: i for i, v in enumerate(names)}
+        merge, height, size = merges(n, [(at[r.i], at[r.j], r.d) for r in edges.orderBy("d", "i", "j").collect()])
+        extras |= {"tree": {"merge": merge, "height": height, "size": size, "order": kernels.leaf_order(merge) if n > 1 else [1], "ids": names}, "agglomerative_coefficient": kernels.agglomerative_coefficient(merge, height) if n > 1 else 0.0}
+    return ClusterFit(method, {"k": k, "linkage": "single"}, labels, len(firsts), info, centers, distances=center_distances(centers) if centers else None, extras=extras)
+
+
+def cut_at(fit: ClusterFit, height: float) -> DataFrame:
+    """(row_id, cluster) of a single-linkage fit from a spanning tree, cut at a height: clusters are what edges of at most
+    this length hold together; ids follow the least row id."""
+    shelf = Shelf(fit.clusters.sparkSession, "cut")
+    edges = fit.extras["spanning_tree"].where(F.col("d") <= F.lit(float(height)))
+    roots = shelf.put(connected(fit.clusters, edges, shelf), "roots")
+    ids = ranked(roots.select("root").distinct(), ["root"]).select("root", (F.col("place") + 1).cast("int").alias("cluster"))
+    return roots.join(ids, "root").select("row_id", "cluster")
+
+
 def dendrogram(spark, tree: dict[str, Any]) -> DataFrame:
     rows = [(s + 1, int(a), int(b), float(h), int(n)) for s, ((a, b), h, n) in enumerate(zip(tree["merge"], tree["height"], tree["size"], strict=True))]
     return spark.createDataFrame(rows, "step int, left int, right int, height double, size int")
@@ -272,12 +329,9 @@ def dendrogram(spark, tree: dict[str, Any]) -> DataFrame:
 
 def _close(rows: pa.Table, others: pa.Table, eps: float, at: int = 512):
     """(first row, distances, whether within eps) of pieces of the rows to all others."""
-    x, y = (np.array(t["x"].to_pylist(), float).reshape(t.num_rows, -1) for t in (rows, others))
+    x, y = vectors_of(rows["x"]), vectors_of(others["x"])
     for lo in range(0, len(x), at):
-        d = np.zeros((len(x[lo : lo + at]), len(y)))
-        for f in range(x.shape[1]):
-            d += (x[lo : lo + at, f, None] - y[None, :, f]) ** 2
-        d = np.sqrt(d)
+        d = distances_to(x[lo : lo + at], y)
         yield lo, d, d <= eps
 
 
@@ -291,10 +345,6 @@ def fit_dbscan(x: DataFrame, info: DataInfo, eps: float, min_pts: int, **_) -> C
     shelf = Shelf(x.sparkSession, "dbscan")
     kind = x.schema["row_id"].dataType.simpleString()
 
-    def counted(rows: pa.Table, others: pa.Table) -> pa.Table:
-        n = np.concatenate([close.sum(axis=1) for _, _, close in _close(rows, others, eps)] or [np.zeros(0, int)])
-        return pa.table({"row_id": rows["row_id"], "n": pa.array(n, pa.int64())})
-
     def forest(rows: pa.Table, others: pa.Table) -> pa.Table:
         """Links of each row to the least row of its component among these, by numbers of their ids' order."""
         n = rows.num_rows
@@ -320,8 +370,7 @@ def fit_dbscan(x: DataFrame, info: DataInfo, eps: float, min_pts: int, **_) -> C
                 found[lo + a] = roots[by[first[a]]]
         return pa.table({"row_id": rows["row_id"], "root": pa.array(found, others.schema.field("root").type)})
 
-    core = eps_blocks(x, x, eps, counted, f"row_id {kind}, n long").groupBy("row_id").agg(F.sum("n").alias("n")).where(F.col("n") >= min_pts).select("row_id")
-    core = shelf.put(core, "core")
+    core = shelf.put(eps_counts(x, x, eps).where(F.col("n") >= min_pts).select("row_id"), "core")
     inner = shelf.put(x.join(core, "row_id", "left_semi").select("row_id", "x"), "inner")
     roots = connected(core, eps_blocks(inner, inner, eps, forest, f"i {kind}, j {kind}"), shelf)
     rooted = shelf.put(inner.join(roots, "row_id").select("row_id", "x", "root"), "rooted")

@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from kindred.functions.expr import signif
 from kindred.functions.preprocess import feature_types, fit_encoder, fit_scaler
 from kindred.operators import api, consensus, embed, explain, metrics, plotspec
-from kindred.operators.distance import eps_pairs, euclidean_pairs, mixed_distance, vectors
+from kindred.operators.distance import euclidean_pairs, mixed_distance, vectors
 from kindred.operators.graph import connected, ensure_checkpoint_dir
-from kindred.operators.methods import ClusterFit, estimate_lambda, mixed_distances
+from kindred.operators.methods import ClusterFit, cut_at, estimate_lambda, mixed_distances
 from kindred.operators.methods import within_split as methods_within_split
+from kindred.operators.partition import eps_counts
 from kindred.sources.synthetic import synthetic_clusters
 from kindred.sources.tables import read_table, write_results
 from kindred.streaming import assign
@@ -143,7 +144,7 @@ EPS = 0.05
 @query(f"WITH {PART_Z} SELECT x.p_partkey AS row_id, CAST(count(*) AS BIGINT) AS n FROM z x JOIN z y ON x.a BETWEEN y.a - {EPS} AND y.a + {EPS} AND sqrt((x.a - y.a) ** 2 + (x.b - y.b) ** 2) <= {EPS} GROUP BY 1")
 def eps_neighbors(spark, sf):
     x = vectors(part_z(spark, sf), "p_partkey", PART)
-    return eps_pairs(x, x, EPS).groupBy(F.col("i").alias("row_id")).agg(F.count("*").alias("n"))
+    return eps_counts(x, x, EPS)
 
 
 @query(
@@ -762,7 +763,7 @@ def kmeans_part(spark, sf):
 )
 def pam_supplier(spark, sf):
     """Rows with their medoids; SQL tries all pairs of rows as medoids."""
-    fit = api.cluster(table(spark, sf, "supplier"), "pam", 2, id_col="s_suppkey", features=["s_acctbal"], scale=True, max_exact_rows=20_000)
+    fit = api.cluster(table(spark, sf, "supplier"), "pam", 2, id_col="s_suppkey", features=["s_acctbal"], scale=True, distributed=True)
     medoid = F.element_at(F.array(*(F.lit(p["row_id"]) for p in api.prototypes(fit, rounded=False))), F.col("cluster"))
     return fit.clusters.select("row_id", medoid.alias("medoid"))
 
@@ -776,12 +777,12 @@ def _gaps_sql(k: int) -> str:
 
 @query(_gaps_sql(4))
 def hclust_supplier(spark, sf):
-    return api.cluster(table(spark, sf, "supplier"), "hclust", 4, id_col="s_suppkey", features=["s_acctbal"], linkage="single", max_exact_rows=20_000).clusters
+    return api.cluster(table(spark, sf, "supplier"), "hclust", 4, id_col="s_suppkey", features=["s_acctbal"], linkage="single", spanning=True).clusters
 
 
 @query("WITH g AS (SELECT s_acctbal - lag(s_acctbal) OVER (ORDER BY s_acctbal, s_suppkey) AS gap FROM supplier) SELECT CAST(row_number() OVER (ORDER BY gap) AS INTEGER) AS step, round(gap, 6) AS height FROM g WHERE gap IS NOT NULL")
 def dendrogram_supplier(spark, sf):
-    fit = api.cluster(table(spark, sf, "supplier"), "hclust", 4, id_col="s_suppkey", features=["s_acctbal"], linkage="single", max_exact_rows=20_000)
+    fit = api.cluster(table(spark, sf, "supplier"), "hclust", 4, id_col="s_suppkey", features=["s_acctbal"], linkage="single", spanning=True)
     return plotspec.plot_dendrogram(fit).data.select("step", r6(F.col("height"), "height"))
 
 
@@ -812,7 +813,46 @@ def plot_clusters_part(spark, sf):
 def agnes_gower_supplier(spark, sf):
     """Of a distance table; Gower's dissimilarity of one number is its gap over the range."""
     pairs = mixed_distance(table(spark, sf, "supplier"), "s_suppkey", ["s_acctbal"], max_exact_rows=20_000)
-    return api.cluster(pairs, "agnes", 5, linkage="single", max_exact_rows=20_000).clusters
+    return api.cluster(pairs, "agnes", 5, linkage="single", spanning=True).clusters
+
+
+@query(
+    f"""WITH RECURSIVE {PART_Z}, e AS (SELECT x.p_partkey AS i, y.p_partkey AS j FROM z x JOIN z y ON x.a BETWEEN y.a - {EPS} AND y.a + {EPS} AND sqrt((x.a - y.a) ** 2 + (x.b - y.b) ** 2) <= {EPS}),
+    r(i, root) AS (SELECT p_partkey, p_partkey FROM z UNION SELECT e.j, r.root FROM r JOIN e ON r.i = e.i WHERE r.root < e.j), f AS (SELECT i, min(root) AS root FROM r GROUP BY i)
+    SELECT i AS row_id, CAST(dense_rank() OVER (ORDER BY root) AS INTEGER) AS cluster FROM f"""
+)
+def single_linkage_part(spark, sf):
+    """The spanning tree of two columns, cut at a height."""
+    fit = api.cluster(table(spark, sf, "part"), "hclust", 2, id_col="p_partkey", features=PART, scale=True, linkage="single", spanning=True)
+    return cut_at(fit, EPS)
+
+
+NEAR = 1.2
+
+
+@query(
+    f"""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings)
+    SELECT a.vec_id AS row_id, CAST(count(*) AS BIGINT) AS n FROM v a JOIN v b ON list_distance(a.x, b.x) <= {NEAR} GROUP BY 1"""
+)
+def eps_counts_embeddings(spark, sf):
+    """Neighbours within a radius in all dimensions of a vector column."""
+    e = emb(spark, sf)
+    return eps_counts(e, e, NEAR)
+
+
+@query(
+    """WITH s AS (SELECT s_suppkey AS i, s_nationkey AS n FROM supplier), p AS (SELECT k, a.i, a.n % k = b.n % k AS own, b.n % k AS h, avg((CAST(a.n % 2 <> b.n % 2 AS INT) + CAST(a.n % 4 <> b.n % 4 AS INT) + CAST(a.n % 8 <> b.n % 8 AS INT)) / 3) AS d FROM unnest([2, 4]) t(k), s a JOIN s b ON a.i <> b.i GROUP BY ALL),
+    w AS (SELECT k, i, min(d) FILTER (own) AS a, min(d) FILTER (NOT own) AS b FROM p GROUP BY 1, 2), m AS (SELECT k, avg(CASE WHEN a IS NULL OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END) AS v FROM w GROUP BY 1), best AS (SELECT k FROM m ORDER BY round(v, 9) DESC, k LIMIT 1)
+    SELECT i AS row_id, CAST(dense_rank() OVER (ORDER BY least) AS INTEGER) AS cluster FROM (SELECT i, min(i) OVER (PARTITION BY n % k) AS least FROM s, best)"""
+)
+def consensus_average(spark, sf):
+    """Average linkage of nested partitions, whose consensus distances are an ultrametric: its cuts are the partitions."""
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("row_id"), "s_nationkey")
+    labels = None
+    for c, m in enumerate((2, 4, 8)):
+        part = s.select(F.lit(c + 1).alias("candidate"), "row_id", (F.col("s_nationkey") % m + 1).cast("int").alias("cluster"))
+        labels = part if labels is None else labels.unionByName(part)
+    return consensus.consensus(labels, [2, 4])[0]
 
 
 @query()
