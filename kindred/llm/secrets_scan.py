@@ -1,14 +1,17 @@
 """Secret scan: fixed patterns, and probabilistic automata inferred from labelled credentials.
 
 For each family of credentials a prefix tree of its labelled examples is built, states counting how
-many examples arrive, end and go on by each symbol. States are merged, the tree folded along, where
-all their frequencies differ by less than the Hoeffding bound; what is left is a deterministic
-probabilistic automaton of the format. Every candidate is scored by all automata: each run of 20 or more token
-characters, and what each base span has as its secret. The score is the log-likelihood under the
-likeliest format over that under the automaton of ordinary tokens, per character. In a run the automata
-also start behind each sign and may end before each sign or at its end (key=..., paths, query strings);
-of parts that overlap the one of the largest ratio in all is taken. What scores ``LEAST_SCORE`` or more
-and meets no base span is a span of its own. The automata are inferred on the driver and broadcast.
+many examples arrive, end and go on by each symbol. Symbols are characters where a state has few of them for its
+examples (FEW), as in a format's literal parts; elsewhere letters and digits are one symbol, for which the state keeps
+how they fall into ranges, and each sign is its own. States are merged, the tree folded along, where all their
+frequencies differ by less than the Hoeffding bound, with the state of the nearest depth first, so lengths stay in
+the states; what is left is a deterministic probabilistic automaton of the format. Every candidate is scored by all
+automata: each run of 20 or more token characters, and what each base span has as its secret. The score is the
+log-likelihood under the likeliest format over that under the automaton of ordinary tokens, per character. In a run
+the automata also start behind each sign and may end before each sign or at its end (key=..., paths, query
+strings); of parts that overlap the one of the largest ratio in all is taken. What an automaton accepts, from its
+first state to an end, at a score of ``LEAST_SCORE`` or more, and what meets no base span, is a span of its own. The
+automata are inferred on the driver and broadcast.
 
 Defined cases: a null or empty text has no spans and the digest of an empty string; offsets are code
 points; repeated rows are searched alike; a null id is returned as null; other columns are not read.
@@ -37,10 +40,11 @@ BASE = ("assign", "access", "hex")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{20,}")
 SIGN = re.compile(r"[+/_.=-]")
 LEAST_LENGTH = 20
-# Symbols: ranges of letters and digits, and each sign by itself.
+# Ranges of letters and digits.
 CLASSES = {"a": "abcdef", "g": "ghijklmnopqrstuvwxyz", "A": "ABCDEF", "G": "GHIJKLMNOPQRSTUVWXYZ", "0": "0123456789"}
-SYMBOL = str.maketrans({c: k for k, members in CLASSES.items() for c in members})
-SPREAD = {k: -math.log(len(v)) for k, v in CLASSES.items()}
+RANGE = {c: k for k, members in CLASSES.items() for c in members}
+ANY = "any"  # the symbol of a letter or digit where characters are not told apart
+FEW, LEAST_ARRIVALS, PRIOR = 10, 20, 5.0
 FLOOR = math.log(1e-4)
 LEAST_SCORE = 0.35
 
@@ -60,31 +64,52 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 class Automaton:
-    """A deterministic probabilistic automaton: by state, the log-probability of ending and of each symbol."""
+    """A deterministic probabilistic automaton: by state, how many arrive, end, and go on by each symbol."""
 
     def __init__(self, examples: list[str], alpha: float = 0.05):
-        self.arrive, self.ends, self.next = [0], [0], [{}]
-        # merged states forget lengths, so what is found is held to those of the examples
-        self.least, self.most = min(map(len, examples)), max(map(len, examples))
-        for example in examples:
-            q = 0
-            self.arrive[0] += 1
-            for c in example.translate(SYMBOL):
-                if c not in self.next[q]:
-                    self.next[q][c] = [len(self.arrive), 0]
-                    self.arrive.append(0)
-                    self.ends.append(0)
-                    self.next.append({})
-                self.next[q][c][1] += 1
-                q = self.next[q][c][0]
-                self.arrive[q] += 1
-            self.ends[q] += 1
+        self.arrive, self.ends, self.next, self.depth = [], [], [], []
+        self.literal: list[bool] = []
+        self.ranges: list[dict[str, int]] = []
+        self._grow(examples)
+        every = [sum(r.get(k, 0) for r in self.ranges) for k in CLASSES]
+        self.prior = {k: (n + 0.5) / (sum(every) + 0.5 * len(CLASSES)) for k, n in zip(CLASSES, every, strict=True)}
         self.bound = math.sqrt(0.5 * math.log(2 / alpha))
         self._merge_all()
-        self.logs = {
-            q: ({c: math.log(n / self.arrive[q]) for c, (_, n) in self.next[q].items()}, {c: to for c, (to, _) in self.next[q].items()}, math.log(self.ends[q] / self.arrive[q]) if self.ends[q] else FLOOR)
-            for q in self.red
-        }
+        self.logs = {q: (self._steps(q), math.log(self.ends[q] / self.arrive[q]) if self.ends[q] else None) for q in self.red}
+
+    def _grow(self, examples: list[str]) -> None:
+        """The prefix tree; a state's characters are symbols where it has at most one a FEW examples."""
+        stack: list[tuple[int, list[str], list | None]] = [(0, examples, None)]
+        while stack:
+            depth, own, edge = stack.pop()
+            q, on = len(self.arrive), [x for x in own if len(x) > depth]
+            literal = len(on) >= LEAST_ARRIVALS and FEW * len({x[depth] for x in on}) <= len(on)
+            by: dict[str, list[str]] = {}
+            ranges: dict[str, int] = {}
+            for x in on:
+                kind = RANGE.get(x[depth])
+                by.setdefault(ANY if kind and not literal else x[depth], []).append(x)
+                if kind and not literal:
+                    ranges[kind] = ranges.get(kind, 0) + 1
+            self.arrive.append(len(own))
+            self.ends.append(len(own) - len(on))
+            self.next.append({c: [-1, len(xs)] for c, xs in by.items()})
+            self.depth.append(depth)
+            self.literal.append(literal)
+            self.ranges.append(ranges)
+            if edge:
+                edge[0] = q
+            stack += [(depth + 1, by[c], self.next[q][c]) for c in sorted(by, reverse=True)]
+
+    def _steps(self, q: int) -> dict[str, tuple[float, int]]:
+        """By character, its log-probability and the state that it leads to."""
+        out = {c: (math.log(n / self.arrive[q]), to) for c, (to, n) in self.next[q].items() if c != ANY}
+        if ANY in self.next[q]:
+            to, n = self.next[q][ANY]
+            for k, members in CLASSES.items():
+                log = math.log(n / self.arrive[q]) + math.log((self.ranges[q].get(k, 0) + PRIOR * self.prior[k]) / (n + PRIOR) / len(members))
+                out |= {c: (log, to) for c in members}
+        return out
 
     def _differs(self, f1: int, n1: int, f2: int, n2: int) -> bool:
         return abs(f1 / n1 - f2 / n2) > self.bound * (1 / math.sqrt(n1) + 1 / math.sqrt(n2))
@@ -96,6 +121,8 @@ class Automaton:
             n1, n2 = self.arrive[p], self.arrive[q]
             if not n1 or not n2:
                 continue
+            if self.literal[p] != self.literal[q]:
+                return False
             if self._differs(self.ends[p], n1, self.ends[q], n2):
                 return False
             for c in self.next[p].keys() | self.next[q].keys():
@@ -114,6 +141,8 @@ class Automaton:
             p, q = stack.pop()
             self.arrive[p] += self.arrive[q]
             self.ends[p] += self.ends[q]
+            for k, n in self.ranges[q].items():
+                self.ranges[p][k] = self.ranges[p].get(k, 0) + n
             for c, (to, n) in self.next[q].items():
                 if c in self.next[p]:
                     self.next[p][c][1] += n
@@ -129,7 +158,7 @@ class Automaton:
             if not blue:
                 return
             q, c, b = max(blue, key=lambda x: (self.arrive[x[2]], -x[2]))
-            for r in self.red:
+            for r in sorted(self.red, key=lambda r: (abs(self.depth[r] - self.depth[b]), r)):
                 if self._compatible(r, b):
                     self.next[q][c][0] = r
                     self._fold(r, b)
@@ -138,33 +167,28 @@ class Automaton:
                 self.red.append(b)
 
     def loglik(self, token: str) -> float:
-        """Of the token's symbols, its end and, evenly within a class, its characters."""
+        """Of the token's characters and its end; what the automaton does not know costs FLOOR."""
         q, total = 0, 0.0
-        for c in token.translate(SYMBOL):
-            total += SPREAD.get(c, 0.0)
-            if q is not None:
-                steps, to, _ = self.logs[q]
-                total += steps.get(c, FLOOR)
-                q = to.get(c)
-            else:
+        for c in token:
+            if q is None:
                 total += FLOOR / 2
-        return total + (self.logs[q][2] if q is not None else FLOOR)
-
+                continue
+            log, q = self.logs[q][0].get(c, (FLOOR, None))
+            total += log
+        end = self.logs[q][1] if q is not None else None
+        return total + (FLOOR if end is None else end)
 
     def ended(self, token: str, stops: set[int], start: int) -> list[tuple[int, float]]:
-        """(end, loglik of token[start:end]) for each of the stops that the automaton reaches in its format."""
+        """(end, loglik of token[start:end]) for each of the stops at which the automaton accepts."""
         q, total, found = 0, 0.0, []
         for i in range(start, len(token) + 1):
-            if i in stops and i - start >= LEAST_LENGTH and self.least <= i - start <= self.most:
-                found.append((i, total + self.logs[q][2]))
-            if i == len(token) or i - start == self.most:
-                break
-            c = token[i].translate(SYMBOL)
-            steps, to, _ = self.logs[q]
-            if c not in to:
+            steps, end = self.logs[q]
+            if i in stops and i - start >= LEAST_LENGTH and end is not None:
+                found.append((i, total + end))
+            if i == len(token) or token[i] not in steps:
                 break
-            total += steps[c] + SPREAD.get(c, 0.0)
-            q = to[c]
+            log, q = steps[token[i]]
+            total += log
         return found
 
 
@@ -173,10 +197,10 @@ FORMATS = {
     "github": ("ghp_", "x36"),
     "access": ("AKIA", "u16"),
     "stripe": ("sk_live_", "x24-99"),
-    "slack": ("xoxb-", "d12", "-", "d12", "-", "x24-32"),
+    "slack": ("xoxb-", "d10-13", "-", "d10-13", "-", "x24-32"),
     "google": ("AIza", "w35"),
     "aws": ("b40",),
-    "jwt": ("eyJ", "w17-60", ".eyJ", "w20-200", ".", "w43-86"),
+    "jwt": ("eyJ", "w17-60", ".eyJ", "w20-200", ".", "w43-342"),
     "digest": ("h40",),
 }
 LETTERS = {"x": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "h": "0123456789abcdef", "d": "0123456789", "u": "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"}
@@ -184,7 +208,7 @@ LETTERS |= {"b": LETTERS["x"] + "+/", "w": LETTERS["x"] + "-_"}
 SYLLABLES = "an ar be con de ed en er es for ge in ing ion le ment ou per re se sta th ti tion un ver".split()
 
 
-def labelled_credentials(count: int = 150, seed: int = 5) -> list[tuple[str, str]]:
+def labelled_credentials(count: int = 400, seed: int = 5) -> list[tuple[str, str]]:
     """(token, family), ordinary tokens under "plain"; made by rule."""
     rng, rows = random.Random(seed), []
     word = lambda: "".join(rng.choice(SYLLABLES) for _ in range(rng.randint(1, 4)))
@@ -214,12 +238,12 @@ class Scanner:
         ll, family = max((a.loglik(token), k) for k, a in self.families.items())
         return (ll - self.plain.loglik(token)) / len(token), family
 
-    def parts(self, token: str) -> list[tuple[int, int, str, float]]:
-        """(start, end, family, score) of the whole, and of parts between signs that score as credentials, the best of those that overlap first of all."""
+    def parts(self, token: str) -> tuple[list[tuple[int, int, str, float]], bool]:
+        """(start, end, family, score) of the parts between signs (the whole among them) that a format accepts at LEAST_SCORE,
+        the best of those that overlap; of the whole, and False, where there is none."""
         signs = [m.start() for m in SIGN.finditer(token)]
         score, family = self.score(token)
-        whole = (0, len(token), family, score)
-        found = [(-score * len(token), whole)] if score >= LEAST_SCORE and self.families[family].least <= len(token) <= self.families[family].most else []
+        whole, found = (0, len(token), family, score), []
         stops = {*signs, len(token)}
         for start in (0, *(i + 1 for i in signs)):
             if len(token) - start < LEAST_LENGTH:
@@ -234,12 +258,12 @@ class Scanner:
         for _, part in sorted(found):
             if not any(s < part[1] and part[0] < e for s, e, *_ in taken):
                 taken.append(part)
-        return taken or [whole]
+        return (taken, True) if taken else ([whole], False)
 
     def find(self, text: str) -> tuple[list, list, list]:
         """(base spans, all spans, all candidates as (start, end, family, score))."""
         base = base_spans(text)
-        scored = []
+        scored, accepted = [], set()
         for start, end, kind in base:
             inner = ASSIGN.match(text, start) if kind == "assign" else None
             start = inner.start(1) if inner else start
@@ -248,9 +272,13 @@ class Scanner:
         own = {x[:2] for x in scored}
         if max(map(len, text.split()), default=0) >= LEAST_LENGTH:
             for m in CANDIDATE.finditer(text):
-                scored += [x for s, e, family, score in self.parts(m[0]) if (x := (m.start() + s, m.start() + e, family, score))[:2] not in own]
-        fits = lambda n, family: self.families[family].least <= n <= self.families[family].most
-        more = [(s, e, f"format-{family}") for s, e, family, score in scored if score >= LEAST_SCORE and fits(e - s, family) and not any(a < e and s < b for a, b, _ in base)]
+                taken, known = self.parts(m[0])
+                for s, e, family, score in taken:
+                    x = (m.start() + s, m.start() + e, family, score)
+                    if x[:2] not in own:
+                        scored.append(x)
+                        accepted |= {x[:2]} if known else set()
+        more = [(s, e, f"format-{family}") for s, e, family, _ in scored if (s, e) in accepted and not any(a < e and s < b for a, b, _ in base)]
         rank = {k: i for i, k in enumerate(BASE)}
         return base, sorted(base + more, key=lambda x: (x[0], rank.get(x[2], 9), x[2])), sorted(scored)
 

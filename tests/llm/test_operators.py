@@ -318,7 +318,8 @@ def test_secrets(odd, empty, docs):
     hit = Counter()
     for token, family in secrets_scan.labelled_credentials(40, seed=123):
         if len(token) >= 20:
-            hit[family == "plain", scanner.score(token)[0] >= secrets_scan.LEAST_SCORE] += 1
+            spans = scanner.find(f"a {token} b")[1]
+            hit[family == "plain", any(k.startswith("format") for *_, k in spans) if family == "plain" else bool(spans)] += 1
     assert hit[False, True] >= 0.97 * (hit[False, True] + hit[False, False]) and hit[True, True] <= 0.02 * (hit[True, True] + hit[True, False])
     token = "ghp_" + "a1B2c3D4e5F6g7H8i9J0k1L2m3N4o5P6q7R8"
     assert scanner.find(f"use {token} now")[1] == [(4, 44, "format-github")]
@@ -341,14 +342,16 @@ def walked(a, token):
     """Log-likelihood by the automaton's counts."""
     q, total = 0, 0.0
     for c in token:
-        symbol = next((k for k, members in secrets_scan.CLASSES.items() if c in members), c)
-        total -= np.log(len(secrets_scan.CLASSES.get(symbol, " ")))
         if q is None:
             total += secrets_scan.FLOOR / 2
-        else:
-            to, n = a.next[q].get(symbol, (None, 0))
-            total += np.log(n / a.arrive[q]) if n else secrets_scan.FLOOR
-            q = to
+            continue
+        kind = next((k for k, members in secrets_scan.CLASSES.items() if c in members), None)
+        to, n = a.next[q].get(c, a.next[q].get("any", (None, 0)) if kind else (None, 0))
+        total += np.log(n / a.arrive[q]) if n else secrets_scan.FLOOR
+        if n and c not in a.next[q]:
+            assert sum(a.ranges[q].values()) == n
+            total += np.log((a.ranges[q].get(kind, 0) + 5 * a.prior[kind]) / (n + 5) / len(secrets_scan.CLASSES[kind]))
+        q = to
     return total + (np.log(a.ends[q] / a.arrive[q]) if q is not None and a.ends[q] else secrets_scan.FLOOR)
 
 
@@ -381,12 +384,26 @@ def test_every_candidate_is_scored_brute(spark):
 
 def test_automaton_keeps_frequencies():
     rng = random.Random(5)
-    examples = ["".join(rng.choice("aA0-") for _ in range(rng.randint(1, 4))) for _ in range(60)]
+    examples = ["".join(rng.choice("+-/_") for _ in range(rng.randint(1, 4))) for _ in range(60)]
     # alpha 2 makes the bound nought: only states of equal frequencies are merged, which changes no likelihood
     a = secrets_scan.Automaton(examples, alpha=2.0)
     for x, n in Counter(examples).items():
-        spread = sum(np.log(len(secrets_scan.CLASSES.get(next((k for k, v in secrets_scan.CLASSES.items() if c in v), c), " "))) for c in x)
-        assert abs(a.loglik(x) - (np.log(n / len(examples)) - spread)) < 1e-9
+        assert abs(a.loglik(x) - np.log(n / len(examples))) < 1e-9
+
+
+def test_automata_know_their_formats():
+    """Literal parts are kept as characters, and lengths in the states."""
+    scanner, rng = secrets_scan.Scanner(), random.Random(31)
+    drawn = lambda kind, n: "".join(rng.choices(secrets_scan.LETTERS[kind], k=n))
+    for _ in range(40):
+        for token in ("zzz_" + drawn("x", 36), "BQQC" + drawn("u", 16), "ghp_" + drawn("x", 22), "ghq_" + drawn("x", 36), "xoxz-" + drawn("d", 12) + "-" + drawn("d", 12) + "-" + drawn("x", 24)):
+            assert scanner.find(f"use {token} now")[1] == [], token
+        assert scanner.score("zzz_" + drawn("x", 36))[0] < secrets_scan.LEAST_SCORE
+        for token, family in (
+            ("eyJ" + drawn("w", 33) + ".eyJ" + drawn("w", 150) + "." + drawn("w", 342), "jwt"), ("xoxb-" + drawn("d", 11) + "-" + drawn("d", 11) + "-" + drawn("x", 24), "slack"), ("ghp_" + drawn("x", 36), "github"),
+            ("sk_live_" + drawn("x", 40), "stripe"), ("AIza" + drawn("w", 35), "google"),
+        ):
+            assert scanner.find(f"use {token} now")[1] == [(4, 4 + len(token), f"format-{family}")], token
 
 
 def test_secrets_of_another_making():
