@@ -1,16 +1,17 @@
 """Main text of web pages by nearest-URL page differencing.
 
-Pages stand in the order of host, path with query, and id. Each is compared with the ``NEAR`` other pages
-before it and after it, by longest common subsequences of their lines; a line is a block's text together
-with the elements that it is in. A run of pages of one html counts as one page. From the alignments come
-two decisions.
-
-* Lines that a page shares with its nearest page (of the same host, by the common part of their paths;
-  near copies are passed over, or they would take the article along) are deleted.
-* From the page's root down, the element whose own text, that which is not shared, is most over all
-  compared pages is the one that holds the article. Elements beside it that stand before or after it on at least
-  half of the compared pages, and hold at most ``SMALL`` of its own text, are the frame: menus, adverts and
-  footers whose words change from page to page. They are deleted. Headings are not.
+Pages stand in the order of host, path with query, and id. Each is aligned with the ``NEAR`` other pages before it and
+after it by longest common subsequences of their lines: a line is a block's text together with the elements that it
+is in, or the opening of an element. A run of pages of one html counts as one page. The alignments decide:
+
+* From the page's root down, the element whose own text, that which is not shared, is most over all compared
+  pages is the one that holds the article.
+* Elements beside it whose opening is shared with at least half of the compared pages, and which hold at most
+  ``SMALL`` of its own text, are template, and go with what is in them: menus, adverts and footers whose words
+  change from page to page. Headings are not.
+* Other lines beside it that the page shares with its nearest page (of the same host, by the common part of their
+  paths; near copies are passed over) go too. Lines within it go only if at least half of these pages share them, two of
+  them where there are two: what a few articles have in common stays.
 
 Markup is a guard: text under elements that hold no article by their meaning in HTML (menus, asides,
 footers, forms, scripts, what is hidden) is left out, and lines under an article or main element are not
@@ -252,20 +253,40 @@ def common_prefix(a: str, b: str) -> int:
     return n
 
 
+def items_of(lines: list[Line]) -> list[tuple[tuple, int | None]]:
+    """What is aligned, in page order: openings of elements (None, path), and lines (text, path) with their number."""
+    out: list[tuple[tuple, int | None]] = []
+    before: tuple[str, ...] = ()
+    for i, (text, _, path) in enumerate(lines):
+        same = 0
+        while same < min(len(path), len(before)) and path[same] == before[same]:
+            same += 1
+        # of two lines of one path the second has an element of its own
+        for d in range(len(path) - 1 if path == before and path else same, len(path)):
+            out.append(((None, path[: d + 1]), None))
+        out.append(((text, path), i))
+        before = path
+    return out
+
+
 class Page:
     """Pages of one html, next to each other: its lines, its first and last path, and its alignments."""
 
     def __init__(self, host: str, digest: int, html: str, guard: bool):
         self.host, self.digest, self.lines = host, digest, lines_of(html, guard)
-        self.keys = [(text, path) for text, _, path in self.lines]
+        self.items = items_of(self.lines)
+        self.keys = [k for k, _ in self.items]
         self.first = self.last = ""
         self.rows: list = []
-        self.found: dict[int, tuple[set[int], set[int]]] = {}
+        self.found: dict[int, tuple[set, set, set]] = {}
 
-    def with_(self, other: Page) -> tuple[set[int], set[int]]:
+    def with_(self, other: Page) -> tuple[set[int], set[int], set[tuple[str, ...]]]:
+        """Lines of this page and of the other that they share, and the paths of shared openings."""
         if id(other) not in self.found:
-            both = shared(self.keys, other.keys)
-            self.found[id(other)], other.found[id(self)] = both, both[::-1]
+            one, two = shared(self.keys, other.keys)
+            mine, theirs = ({n for i in own if (n := page.items[i][1]) is not None} for own, page in ((one, self), (two, other)))
+            opened = {self.keys[i][1] for i in one if self.items[i][1] is None}
+            self.found[id(other)], other.found[id(self)] = (mine, theirs, opened), (theirs, mine, opened)
         return self.found[id(other)]
 
 
@@ -297,7 +318,7 @@ def frame(page: Page, others: list[Page]) -> tuple[set[tuple[str, ...]], tuple[s
 
         for child in spans[0]:
             if child != best and child[-1].split(".")[0] not in HEADING and own[child] <= SMALL * own[best] and outside(spans[0], child):
-                votes = sum(outside(s, child) for s in spans[1:])
+                votes = sum(child in page.with_(x)[2] for x in others)
                 if votes and 2 * votes >= len(others):
                     out.add(child)
         parts = {part for _, part, path in page.lines if path[: depth + 1] == best}
@@ -319,13 +340,15 @@ def texts_of(pages: list[Page], at: int) -> list[str]:
         return bool(inside) and sum(len(page.lines[i][0]) for i in page.with_(x)[0] & inside) >= COPY * size
 
     usable = [(i, x) for i, x in host if not copy(x)]
+    shares = Counter(i for _, x in usable for i in page.with_(x)[0] & inside)
+    common = {i for i, n in shares.items() if n >= min(2, len(usable)) and 2 * n >= len(usable)}
     framed = {i for i, (_, part, path) in enumerate(page.lines) if part != BODY and any(path[:d] in cut for d in range(1, len(path) + 1)) or part != BODY and (*path, "") in cut}
     made: dict[int, str] = {}
     texts = []
     for path, *_ in page.rows:
         near = min(((-common_prefix(path, x.last if i < at else x.first), abs(i - at), i) for i, x in usable), default=(0, 0, -1))[2]
         if near not in made:
-            gone = page.with_(pages[near])[0] if near >= 0 else set()
+            gone = (page.with_(pages[near])[0] - inside if near >= 0 else set()) | common
             made[near] = "\n\n".join(t for i, (t, part, _) in enumerate(page.lines) if part == BODY or not (i in gone or i in framed))
         texts.append(made[near])
     return texts
