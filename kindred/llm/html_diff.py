@@ -8,10 +8,10 @@ is in, or the opening of an element. A run of pages of one html counts as one pa
   pages is the one that holds the article.
 * Elements beside it whose opening is shared with at least half of the compared pages, and which hold at most
   ``SMALL`` of its own text, are template, and go with what is in them: menus, adverts and footers whose words
-  change from page to page. Headings are not.
+  change from page to page.
 * Other lines beside it that the page shares with its nearest page (of the same host, by the common part of their
-  paths; near copies are passed over) go too. Lines within it go only if at least half of these pages share them, two of
-  them where there are two: what a few articles have in common stays.
+  paths; near copies are passed over) go too. Lines within it go only if ``TEMPLATE`` of these pages
+  share them: what some articles have in common stays.
 
 Markup is a guard: text under elements that hold no article by their meaning in HTML (menus, asides,
 footers, forms, scripts, what is hidden) is left out, and lines under an article or main element are not
@@ -61,7 +61,7 @@ DIGITS = re.compile(r"[0-9]+")
 
 OUT, FREE, BODY = 0, 1, 2
 SAMPLES = 200_000
-NEAR, SMALL, COPY = 3, 0.2, 0.7
+NEAR, SMALL, COPY, TEMPLATE = 3, 0.2, 0.7, 0.8
 TABLE_BITS = 1 << 27
 
 
@@ -333,7 +333,8 @@ def texts_of(pages: list[Page], at: int) -> list[str]:
     around = [(i, pages[i]) for i in range(max(0, at - NEAR), min(len(pages), at + NEAR + 1)) if i != at]
     host = [(i, x) for i, x in around if x.host == page.host]
     cut, best = frame(page, [x for _, x in (host if len(host) > 1 else around)])
-    inside = {i for i, (_, _, path) in enumerate(page.lines) if path[: len(best)] == best or (*path, "") == best}
+    heads = lambda path: path and path[-1].split(".")[0] in HEADING and path[:-1] == best[:-1]
+    inside = {i for i, (_, _, path) in enumerate(page.lines) if path[: len(best)] == best or (*path, "") == best or heads(path)}
     size = sum(len(page.lines[i][0]) for i in inside)
 
     def copy(x: Page) -> bool:
@@ -341,7 +342,7 @@ def texts_of(pages: list[Page], at: int) -> list[str]:
 
     usable = [(i, x) for i, x in host if not copy(x)]
     shares = Counter(i for _, x in usable for i in page.with_(x)[0] & inside)
-    common = {i for i, n in shares.items() if n >= min(2, len(usable)) and 2 * n >= len(usable)}
+    common = {i for i, n in shares.items() if n >= TEMPLATE * len(usable)}
     framed = {i for i, (_, part, path) in enumerate(page.lines) if part != BODY and any(path[:d] in cut for d in range(1, len(path) + 1)) or part != BODY and (*path, "") in cut}
     made: dict[int, str] = {}
     texts = []

@@ -712,11 +712,11 @@ def brute_text(runs, at, path):
         node = best
         if best not in deep or {k for _, k, p in mine if p[: len(best)] == best} == {html_diff.BODY}:
             break
-    held = {n for n, (_, _, p) in enumerate(mine) if (*p, "")[: len(node)] == node}
+    held = {n for n, (_, _, p) in enumerate(mine) if (*p, "")[: len(node)] == node or (p[:-1] == node[:-1] and p and p[-1] in ("h1", "h2", "h3", "h4", "h5", "h6"))}
     size = lambda which: sum(len(mine[n][0]) for n in which)
     rivals = [(-html_diff.common_prefix(path, runs[i][2] if i < at else runs[i][1]), abs(i - at), i) for i in host if not held or size(held & pairs[i][0]) < html_diff.COPY * size(held)]
     gone = pairs[min(rivals)[2]][0] - held if rivals else set()
-    gone |= {n for n in held if (m := sum(n in pairs[i][0] for *_, i in rivals)) >= min(2, len(rivals)) and m and 2 * m >= len(rivals)}
+    gone |= {n for n in held if rivals and sum(n in pairs[i][0] for *_, i in rivals) >= html_diff.TEMPLATE * len(rivals)}
     return "\n\n".join(t for n, (t, k, p) in enumerate(mine) if k == html_diff.BODY or not (n in gone or any((*p, "")[:d] in cut for d in range(1, len(p) + 2))))
 
 
