@@ -61,6 +61,7 @@ DIGITS = re.compile(r"[0-9]+")
 
 OUT, FREE, BODY = 0, 1, 2
 SAMPLES = 200_000
+PARTITION_BYTES = 32 << 20
 NEAR, SMALL, COPY, TEMPLATE = 3, 0.2, 0.7, 0.8
 TABLE_BITS = 1 << 27
 
@@ -442,12 +443,13 @@ def extract(pages: DataFrame, block_pages: int = 256, guard: bool = True, id_col
     host, path = host_and_path(F.col(url_col))
     keyed = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host.alias("host"), path.alias("path"), F.xxhash64(html_col).alias("digest"), F.col(html_col).alias("html"))
     id_type = pages.schema[id_col].dataType.simpleString()
-    keys = shelf.put(keyed.select(key), "keys")
+    keys = shelf.put(keyed.select(*key, F.octet_length("html").alias("size")), "keys")
     # blocks begin at evenly taken keys of a sample by hash, of at most about SAMPLES keys
-    rate = max(1, block_pages // 8, -(-keys.count() // SAMPLES))
+    n, size = keys.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    keys, rate = keys.select(key), max(1, block_pages // 8, -(-n // SAMPLES))
     sample = sorted({key_of(*r) for r in keys.where(F.pmod(F.xxhash64(*key), F.lit(rate)) == 0).collect()})
     bounds = spark.sparkContext.broadcast(sample[:: max(1, block_pages // rate)])
-    block_of = F.udf(lambda *k: bisect.bisect_right(bounds.value, key_of(*k)), "long")
+    block_of = F.udf(lambda *k: bisect.bisect_right(bounds.value, key_of(*k)), "long", useArrow=True)
 
     def head(table: pa.Table) -> pa.Table:
         rows = sorted(zip(*(table[c].to_pylist() for c in key), strict=True), key=lambda k: key_of(*k))
@@ -470,9 +472,10 @@ def extract(pages: DataFrame, block_pages: int = 256, guard: bool = True, id_col
         one = key_of(*k)
         return [bisect.bisect_right(bounds.value, one), *(-1 - b for b in copies.value.get(one, ()))]
 
-    dealt = keyed.withColumn("place", F.explode(F.udf(places, "array<long>")(*key)))
+    dealt = keyed.withColumn("place", F.explode(F.udf(places, "array<long>", useArrow=True)(*key)))
     dealt = dealt.select("page_id", "url", "host", "path", "digest", "html", (F.col("place") >= 0).alias("own"), F.when(F.col("place") >= 0, F.col("place")).otherwise(-1 - F.col("place")).alias("block"))
-    ordered = dealt.repartition("block").sortWithinPartitions("block", "host", "path", F.col("page_id").asc_nulls_first(), "digest")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PARTITION_BYTES))
+    ordered = dealt.repartition(parts, "block").sortWithinPartitions("block", "host", "path", F.col("page_id").asc_nulls_first(), "digest")
 
     def run(batches):
         held, size, block, window = [], 0, None, Window(guard)
