@@ -6,14 +6,15 @@ import re
 from dataclasses import dataclass, field
 from typing import Any
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kindred.functions.expr import argmin, signif
 from kindred.functions.preprocess import check_input, check_numeric, feature_type, feature_types, fit_encoder, fit_scaler
 from kindred.operators import embed, metrics
-from kindred.operators.distance import MOST_ROWS, vectors
-from kindred.operators.methods import ClusterFit, DataInfo, fit_dbscan, fit_gmm, fit_kmeans, fit_pam, fit_prototypes, fit_tree, mixed_frame, predict_dbscan, softmax
+from kindred.operators.distance import vectors
+from kindred.operators.methods import SAMPLE, ClusterFit, DataInfo, fit_dbscan, fit_gmm, fit_kmeans_grid, fit_pam, fit_prototypes, fit_tree, means_of, means_round, mixed_frame, nearest, predict_dbscan, runs_from, sampled, softmax, starts_among
 from kindred.operators.order import ranked
 
 METHODS = ("kmeans", "pam", "hclust", "agnes", "dbscan", "gmm", "kproto", "kmm")
@@ -66,14 +67,14 @@ def cluster(df: DataFrame, method: str = "kmeans", k: int | None = None, *, id_c
         scaler = fit_scaler(source, numeric, center or own_scale, own_scale) if numeric and (center or own_scale) else None
         info = DataInfo(n, id_col, tuple(features), "mixed", scaler, df, types, encoder if method == "kproto" else None)
         return fit_prototypes(method, mixed_frame(source, id_col, types, scaler), info, k, seed, restore=method == "kmm", **options)
+    if method == "kmeans":
+        return cluster_grid(df, [k], id_col=id_col, features=features, scale=scale, center=center, seeds=[seed], **options)[0]
     n = check_numeric(df, id_col, features)
     if k is not None and k > n and method in ("kmeans", "pam", "gmm"):
         raise ValueError("`k` cannot exceed the number of observations")
     scaler = fit_scaler(df, features, center or scale, scale)
     info = DataInfo(n, id_col, tuple(features), "matrix", scaler, df, {f: "numeric" for f in features})
     x = vectors(scaler.apply(df, [id_col]), id_col, features)
-    if method == "kmeans":
-        return fit_kmeans(x, info, k, seed, **options)
     if method == "pam":
         return fit_pam(x, info, k, seed, **options)
     if method == "gmm":
@@ -83,6 +84,17 @@ def cluster(df: DataFrame, method: str = "kmeans", k: int | None = None, *, id_c
     return fit_tree(method, x, info, k, options.pop("linkage", "complete" if method == "hclust" else "average"), **options)
 
 
+def cluster_grid(df: DataFrame, ks: list[int], *, id_col: str = "row_id", features: list[str] | None = None, scale: bool = False, center: bool = True, seeds: list[int | None] | None = None, **options) -> list[ClusterFit]:
+    """A k-means fit for each k, all of them and all their starts in one pass a round."""
+    features = features or [c for c in df.columns if c != id_col]
+    n = check_numeric(df, id_col, features)
+    if max(ks) > n:
+        raise ValueError("`k` cannot exceed the number of observations")
+    scaler = fit_scaler(df, features, center or scale, scale)
+    info = DataInfo(n, id_col, tuple(features), "matrix", scaler, df, {f: "numeric" for f in features})
+    return fit_kmeans_grid(vectors(scaler.apply(df, [id_col]), id_col, features), info, ks, seeds or [None] * len(ks), **options)
+
+
 @dataclass(frozen=True)
 class ClusterPrediction:
     clusters: DataFrame
@@ -212,17 +224,21 @@ def _label_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select("row_id", F.col("cluster").alias("a")).join(b.select("row_id", F.col("cluster").alias("b")), "row_id")
 
 
-def validate(obj, *, truth: DataFrame | None = None, metrics_wanted: list[str] | None = None, n_boot: int = 10, k: list[int] | None = None, method: str = "kmeans", **options) -> ClusterValidation:
+def validate(obj, *, truth: DataFrame | None = None, metrics_wanted: list[str] | None = None, n_boot: int = 10, k: list[int] | None = None, method: str = "kmeans", silhouette: str = "auto", silhouette_rows: int = 100_000, **options) -> ClusterValidation:
     """Of a fit, or of raw data over a grid of k. ``truth`` is a table (row_id, cluster). Only wanted
     metrics are computed; bootstrap refits (kmeans, pam, gmm) only where bootstrap_ari is wanted or
-    metrics_wanted is not given and n_boot is positive."""
+    metrics_wanted is not given and n_boot is positive. ``silhouette`` is exact (quadratic), estimate, or auto: exact
+    for at most ``silhouette_rows`` rows. settings say which it was, and extras what the estimate may be wrong by."""
+    options |= {"silhouette": silhouette, "silhouette_rows": silhouette_rows} if isinstance(obj, DataFrame) else {}
     if isinstance(obj, DataFrame):
         grid = sorted(set(k or range(2, 7)))
         if not grid or grid[0] < 2:
             raise ValueError("`k` must hold whole numbers of at least 2")
+        own = {ALIASES.get(o, o): v for o, v in options.items() if o not in ("seed", "silhouette", "silhouette_rows")}
+        fits = cluster_grid(obj, grid, seeds=[options.get("seed")] * len(grid), **own) if _method(method) == "kmeans" else [cluster(obj, method, value, seed=options.get("seed"), **own) for value in grid]
         tables = []
-        for value in grid:
-            one = validate(cluster(obj, method, value, **options), truth=truth, metrics_wanted=metrics_wanted, n_boot=n_boot)
+        for value, fit in zip(grid, fits, strict=True):
+            one = validate(fit, truth=truth, metrics_wanted=metrics_wanted, n_boot=n_boot, **{o: options[o] for o in ("silhouette", "silhouette_rows") if o in options})
             tables.append(one.metrics_table.withColumn("k", F.lit(value)))
         out = tables[0]
         for t in tables[1:]:
@@ -236,8 +252,14 @@ def validate(obj, *, truth: DataFrame | None = None, metrics_wanted: list[str] |
     per, extras = None, {"selection_summary": fit.selection_summary} if consensus else {}
     number = lambda row: None if row is None or row[0] is None else float(row[0])
     if wanted("silhouette"):
-        widths = metrics.silhouette_rows(labelled).persist()
+        if silhouette not in ("auto", "exact", "estimate"):
+            raise ValueError("silhouette must be auto, exact or estimate")
+        if silhouette == "auto":
+            silhouette = "exact" if labelled.limit(silhouette_rows + 1).count() <= silhouette_rows else "estimate"
+        widths = (metrics.silhouette_rows(labelled) if silhouette == "exact" else metrics.silhouette_estimates(labelled)).persist()
         rows.append(("silhouette", number(widths.agg(F.avg("width")).first())))
+        if silhouette == "estimate":
+            extras["silhouette_error"] = number(widths.agg(F.avg("error")).first())
         per = labels.sparkSession.createDataFrame(widths.groupBy("cluster").agg(F.avg("width").alias("silhouette")).collect(), f"cluster {labels.schema['cluster'].dataType.simpleString()}, silhouette double")
         widths.unpersist()
     for name, make in INTERNAL.items():
@@ -254,27 +276,70 @@ def validate(obj, *, truth: DataFrame | None = None, metrics_wanted: list[str] |
     # rows that are appended to the internal metrics have no scale and direction
     known = [(m, v, *(metrics.METRICS[m] if m == "silhouette" or m in INTERNAL else (None, None))) for m, v in rows]
     table = labels.sparkSession.createDataFrame(known, "metric string, value double, scale string, direction string")
-    settings = {"method": fit.method, "n_boot": n_boot, "metrics": metrics_wanted}
+    settings = {"method": fit.method, "n_boot": n_boot, "metrics": metrics_wanted, "silhouette": silhouette if wanted("silhouette") else None}
     return ClusterValidation(table, per, settings, "metacluster_fit" if consensus else "cluster_fit", extras)
 
 
-def draws_of(spark, n: int, repeat: int) -> DataFrame:
-    """(draw, place): n draws of places 0 to n - 1 with replacement, by an md5 of draw and repeat."""
-    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("id").cast("string"), F.lit(str(repeat)))), 1, 13), 16, 10).cast("long")
-    return spark.range(n).select(F.col("id").alias("draw"), F.least(F.floor(u / F.lit(16.0**13) * n), F.lit(n - 1)).cast("long").alias("place"))
+def _draws(n: int, repeat) -> tuple:
+    """(draw, place) of the ids of spark.range(n): n draws of places 0 to n - 1 with replacement, by an md5 of draw and repeat."""
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("id").cast("string"), repeat.cast("string"))), 1, 13), 16, 10).cast("long")
+    return F.col("id").alias("draw"), F.least(F.floor(u / F.lit(16.0**13) * n), F.lit(n - 1)).cast("long").alias("place")
 
 
-def bootstrap_ari(fit: ClusterFit, n_boot: int = 10, seed: int = 1, refit=None) -> tuple[float, float]:
+def draws_of(spark, n: int, repeat: int) -> DataFrame:
+    return spark.range(n).select(*_draws(n, F.lit(repeat)))
+
+
+def bootstrap_kmeans(fit: ClusterFit, placed: DataFrame, columns: list[str], n_boot: int, seed: int, nstart: int = 10, iter_max: int = 100, starts: list[list[list[float]]] | None = None) -> list[float]:
+    """The agreement of each refit: rows carry how often each resample draws them, all resamples and their starts are one
+    pass a round, and one aggregate counts the labels of all of them. ``starts`` are in the units of the fit's rows."""
+    info, n, k, p = fit.info, fit.info.n_obs, fit.params["k"], len(columns)
+    drawn = placed.sparkSession.range(n).select("id", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b"))
+    drawn = drawn.select("b", _draws(n, F.col("b") + seed * 1000)[1]).groupBy("place", "b").agg(F.count("*").cast("double").alias("n"))
+    often = drawn.groupBy("place").agg(F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("m"))
+    weights = F.transform(F.sequence(F.lit(0), F.lit(n_boot - 1)), lambda b: F.coalesce(F.element_at("m", b), F.lit(0.0)))
+    data = placed.join(often, "place").select("row_id", F.array(*(F.col(c).cast("double") for c in columns)).alias("x"), weights.alias("w")).persist()
+    try:
+        scales: list = [None] * n_boot
+        if info.scaler is not None and info.scaler.sd:
+            means = data.agg(*(F.avg(F.get("x", F.lit(f))).alias(f"m{f}") for f in range(p))).first()
+            term = lambda b, f, e: F.sum(F.get("w", F.lit(b)) * F.pow(F.get("x", F.lit(f)) - F.lit(float(means[f])), e))
+            sums = data.agg(*(term(b, f, e).alias(f"s{b}_{f}_{e}") for b in range(n_boot) for f in range(p) for e in (1, 2))).first()
+            sd = lambda b, f: ((sums[f"s{b}_{f}_2"] - sums[f"s{b}_{f}_1"] ** 2 / n) / max(1, n - 1)) ** 0.5
+            scales = [tuple(sd(b, f) or 1.0 for f in range(p)) for b in range(n_boot)]
+        part = [] if starts else sampled(data, max(SAMPLE, 4 * k), seed, ("x", "w"))
+        runs, of = [], []
+        for b in range(n_boot):
+            own = starts or starts_among(np.repeat(np.array([r.x for r in part], float), np.array([r.w[b] for r in part], int), axis=0) / (scales[b] or 1.0), k, seed, nstart)
+            runs += runs_from(own, sample=b, scale=scales[b])
+            of += [b] * len(own)
+        means_of(data, runs, iter_max)
+        costs = {s: found[2] for s, found in means_round(data, dict(enumerate(runs))).items()}
+        best = [min((costs[s], s) for s in range(len(runs)) if of[s] == b)[1] for b in range(n_boot)]
+        divided = lambda by: F.array(*(F.get("x", F.lit(f)) / F.lit(by[f]) for f in range(p))) if by else F.col("x")
+        to = [nearest(divided(scales[b]), runs[s].centers) for b, s in enumerate(best)]
+        both = data.join(fit.clusters.select("row_id", F.col("cluster").alias("a")), "row_id").select("a", F.posexplode(F.arrays_zip(F.array(*to).alias("c"), F.col("w").alias("w"))).alias("b", "z"))
+        counts = both.where("z.w > 0").groupBy("b", "a", F.col("z")["c"].alias("c")).agg(F.sum(F.col("z")["w"]).alias("n")).collect()
+    finally:
+        data.unpersist()
+    return [metrics.ari_of_counts([(r.a, r.c, r.n) for r in counts if r.b == b]) for b in range(n_boot)]
+
+
+def bootstrap_ari(fit: ClusterFit, n_boot: int = 10, seed: int = 1, refit=None, **options) -> tuple[float, float]:
     """Mean and standard deviation of the ARI of refits on resamples of the same size. Places are those of the
     rows in the order of their ids, and every draw counts; a row drawn more than once has its last label.
     ``refit`` takes a resample (draw_id, features) to its labels (row_id, cluster); without it the fit's method
-    and preprocessing do."""
+    and preprocessing do, k-means for all resamples at once (options as there)."""
     info, values = fit.info, []
     names = {f: f"f{i}" for i, f in enumerate(info.features)}
     numbered = info.data.select(F.col(f"`{info.id_col}`").alias("row_id"), *(F.col(f"`{f}`").alias(c) for f, c in names.items()))
     placed, n = ranked(numbered, ["row_id"]), info.n_obs
     again = refit or (lambda sample: cluster(sample, fit.method, fit.params["k"], id_col="draw_id", features=list(names.values()), scale=bool(info.scaler and info.scaler.sd), center=True, seed=seed).clusters)
-    for b in range(n_boot):
+    if refit is None and fit.method == "kmeans":
+        values, n_serial = bootstrap_kmeans(fit, placed, list(names.values()), n_boot, seed, **options), 0
+    else:
+        n_serial = n_boot
+    for b in range(n_serial):
         drawn = draws_of(placed.sparkSession, n, seed * 1000 + b).join(placed, "place").persist()
         found = again(drawn.select(F.col("draw").alias("draw_id"), *names.values())).select(F.col("row_id").alias("draw"), "cluster")
         last = found.join(drawn.select("draw", "row_id"), "draw").groupBy("row_id").agg(F.max_by("cluster", "draw").alias("b"))

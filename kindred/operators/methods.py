@@ -75,10 +75,14 @@ def nearest(x: Column, centers: list[list[float]]) -> Column:
 SAMPLE = 4096
 
 
-def seeded_starts(x: DataFrame, k: int, seed: int, nstart: int) -> list[list[list[float]]]:
-    """Starting centers: far rows by weighted draws, and rounds of means, on SAMPLE rows taken by a hash of row_id."""
-    part = x.orderBy(F.xxhash64("row_id", F.lit(seed)), "row_id").limit(max(SAMPLE, 4 * k)).select("x").collect()
-    m, out = np.array([r.x for r in part], float), []
+def sampled(x: DataFrame, size: int, seed: int, columns: tuple[str, ...] = ("x",)) -> list:
+    """Rows taken by a hash of row_id."""
+    return x.orderBy(F.xxhash64("row_id", F.lit(seed)), "row_id").limit(size).select(*columns).collect()
+
+
+def starts_among(m: np.ndarray, k: int, seed: int, nstart: int) -> list[list[list[float]]]:
+    """Starting centers among the rows of m: far rows by weighted draws, and rounds of means."""
+    out = []
     for i in range(nstart):
         rng = np.random.default_rng((seed & 0xFFFFFFFF, i))
         chosen = [m[rng.integers(len(m))]]
@@ -95,6 +99,11 @@ def seeded_starts(x: DataFrame, k: int, seed: int, nstart: int) -> list[list[lis
     return out
 
 
+def seeded_starts(x: DataFrame, k: int, seed: int, nstart: int) -> list[list[list[float]]]:
+    """Starting centers, from SAMPLE rows taken by a hash of row_id."""
+    return starts_among(np.array([r.x for r in sampled(x, max(SAMPLE, 4 * k), seed)], float), k, seed, nstart)
+
+
 @dataclass
 class Run:
     """One start: its centers, and after a round the sizes, cost and best moves that belong to them."""
@@ -103,6 +112,8 @@ class Run:
     sizes: list[int]
     cost: float = math.inf
     settled: bool = False
+    sample: int | None = None  # the place of its weights in a row's w; None for rows that count once
+    scale: tuple[float, ...] | None = None  # what features are divided by; centers are in these units
 
 
 def _squares(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
@@ -113,26 +124,32 @@ def _squares(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
 
 
 def means_round(x: DataFrame, runs: dict[int, Run]) -> dict[int, tuple[list[list[float]], list[int], float, list]]:
-    """One pass for all runs: means, sizes and cost of the nearest-center clusters, and of each cluster the row
-    whose move to another center lowers the cost most, by the sizes that the run has. Tasks sum up what they
-    hold in Arrow batches (the centers are data, so no round compiles a plan of its own), an aggregate the rest."""
-    k, p = len(next(iter(runs.values())).centers), len(next(iter(runs.values())).centers[0])
-    every = {s: (np.array(run.centers), np.maximum(1, run.sizes).astype(float)) for s, run in runs.items()}
-    own = [f"m{i}" for i in range(p)]
+    """One pass for all runs, of any number of centers each: means, sizes and cost of the nearest-center clusters, and
+    of each cluster the row whose move to another center lowers the cost most, by the sizes that the run has. Runs of a
+    resample weigh rows by how often it drew them (w). Tasks sum up what they hold in Arrow batches (the centers are
+    data, so no round compiles a plan of its own), an aggregate the rest."""
+    p = len(next(iter(runs.values())).centers[0])
+    every = {s: (np.array(run.centers), np.maximum(1, run.sizes).astype(float), run.sample, None if run.scale is None else np.array(run.scale)) for s, run in runs.items()}
+    own, weighted = [f"m{i}" for i in range(p)], any(run.sample is not None for run in runs.values())
 
     def run(batches):
-        sums = {s: (np.zeros(k, np.int64), np.zeros(k), np.zeros((k, p)), [None] * k) for s in every}
+        sums = {s: (np.zeros(len(c), np.int64), np.zeros(len(c)), np.zeros((len(c), p)), [None] * len(c)) for s, (c, *_) in every.items()}
         for batch in batches:
-            m = np.array(batch.column(0).to_pylist(), float).reshape(-1, p)
-            at = np.arange(len(m))
-            for s, (centers, size) in every.items():
+            raw = np.array(batch.column(0).to_pylist(), float).reshape(-1, p)
+            weights = vectors_of(batch.column(1)) if weighted and len(raw) else None
+            for s, (centers, size, sample, scale) in every.items():
                 n, cost, total, moves = sums[s]
+                m, w, k = raw if scale is None else raw / scale, np.ones(len(raw)), len(centers)
+                if sample is not None and len(raw):
+                    w = weights[:, sample]
+                    m, w = m[w > 0], w[w > 0]
+                at = np.arange(len(m))
                 d = _squares(m, centers)
                 g = d.argmin(axis=1)
-                n += np.bincount(g, minlength=k)
-                cost += np.bincount(g, d[at, g], k)
+                n += np.bincount(g, w, k).astype(np.int64)
+                cost += np.bincount(g, d[at, g] * w, k)
                 for f in range(p):
-                    total[:, f] += np.bincount(g, m[:, f], k)
+                    total[:, f] += np.bincount(g, m[:, f] * w, k)
                 stay = d[at, g] * np.where(size > 1, size / np.maximum(size - 1, 1), 0)[g]
                 others = d * (size / (size + 1))
                 others[at, g] = np.inf
@@ -141,13 +158,13 @@ def means_round(x: DataFrame, runs: dict[int, Run]) -> dict[int, tuple[list[list
                     i = int(np.where(g == c, gain, -np.inf).argmax())
                     if moves[c] is None or gain[i] > moves[c][0]:
                         moves[c] = (float(gain[i]), int(others[i].argmin()) + 1, m[i].tolist())
-        rows = [(s, c + 1, int(n[c]), float(cost[c]), *total[c].tolist(), *moves[c]) for s, (n, cost, total, moves) in sums.items() for c in range(k) if n[c]]
+        rows = [(s, c + 1, int(n[c]), float(cost[c]), *total[c].tolist(), *moves[c]) for s, (n, cost, total, moves) in sums.items() for c in range(len(n)) if n[c]]
         types = [pa.int32(), pa.int32(), pa.int64(), *[pa.float64()] * (p + 2), pa.int32(), pa.list_(pa.float64())]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * len(types), types, strict=True)], ["s", "g", "n", "cost", *own, "gain", "to", "x"])
 
-    parts = x.select("x").mapInArrow(run, "s int, g int, n long, cost double, " + "".join(f"{c} double, " for c in own) + "gain double, to int, x array<double>")
+    parts = x.select("x", *(["w"] if weighted else [])).mapInArrow(run, "s int, g int, n long, cost double, " + "".join(f"{c} double, " for c in own) + "gain double, to int, x array<double>")
     best = F.max(F.struct("gain", "to", "x")).alias("best")
-    out = {s: ([list(c) for c in run.centers], [0] * k, 0.0, [None] * k) for s, run in runs.items()}
+    out = {s: ([list(c) for c in run.centers], [0] * len(run.centers), 0.0, [None] * len(run.centers)) for s, run in runs.items()}
     for r in parts.groupBy("s", "g").agg(F.sum("n").alias("n"), F.sum("cost").alias("cost"), best, *(F.sum(c).alias(c) for c in own)).collect():
         means, sizes, cost, moves = out[r.s]
         means[r.g - 1], sizes[r.g - 1], moves[r.g - 1] = [r[c] / r.n for c in own], r.n, (r.best.gain, r.g, r.best.to, r.best.x)
@@ -155,10 +172,13 @@ def means_round(x: DataFrame, runs: dict[int, Run]) -> dict[int, tuple[list[list
     return out
 
 
-def means_of(x: DataFrame, starts: list[list[list[float]]], iter_max: int) -> list[Run]:
+def runs_from(starts: list[list[list[float]]], **of) -> list[Run]:
+    return [Run([list(map(float, c)) for c in start], [0] * len(start), **of) for start in starts]
+
+
+def means_of(x: DataFrame, runs: list[Run], iter_max: int) -> list[Run]:
     """Rounds of means from all starts at once. A run that has come to rest takes the single move of a row that
     lowers its cost most, if one does, and goes on; an empty cluster keeps its center."""
-    runs = [Run([list(map(float, c)) for c in start], [0] * len(start)) for start in starts]
     for _ in range(iter_max):
         active = {s: run for s, run in enumerate(runs) if not run.settled}
         if not active:
@@ -180,19 +200,30 @@ def means_of(x: DataFrame, starts: list[list[list[float]]], iter_max: int) -> li
     return runs
 
 
-def fit_kmeans(x: DataFrame, info: DataInfo, k: int, seed: int | None, nstart: int = 10, iter_max: int = 100, starts: list[list[list[float]]] | None = None, **_) -> ClusterFit:
+def fit_kmeans(x: DataFrame, info: DataInfo, k: int, seed: int | None, **options) -> ClusterFit:
     """The best of ``nstart`` starts, or of the given ``starts`` (of k preprocessed centers each)."""
+    return fit_kmeans_grid(x, info, [k], seed, **options)[0]
+
+
+def fit_kmeans_grid(x: DataFrame, info: DataInfo, ks: list[int], seed: int | list[int] | None, nstart: int = 10, iter_max: int = 100, starts: list[list[list[float]]] | None = None, **_) -> list[ClusterFit]:
+    """A fit for each k, with all starts of all of them in one pass a round. ``seed`` is one for all or one each."""
+    seeds = seed if isinstance(seed, list) else [seed] * len(ks)
     data = x.select("row_id", "x").persist()
     try:
-        runs = means_of(data, starts or seeded_starts(data, k, seed or 0, nstart), iter_max)
+        own = {i: runs_from(starts or seeded_starts(data, k, seeds[i] or 0, nstart)) for i, k in enumerate(ks)}
+        runs = means_of(data, [run for i in own for run in own[i]], iter_max)
         # of the last centers, not of those before them
         costs = {s: found[2] for s, found in means_round(data, dict(enumerate(runs))).items()}
     finally:
         data.unpersist()
-    cost, best = min((costs[s], s) for s in range(len(runs)))
-    centers = runs[best].centers
-    labels = x.select("row_id", nearest(F.col("x"), centers).alias("cluster"))
-    return ClusterFit("kmeans", {"k": k, "nstart": nstart, "iter.max": iter_max}, labels, len(centers), info, centers, distances=center_distances(centers), extras={"tot_withinss": cost})
+    fits, at = [], 0
+    for i, k in enumerate(ks):
+        cost, best = min((costs[s], s) for s in range(at, at + len(own[i])))
+        at += len(own[i])
+        centers = runs[best].centers
+        labels = x.select("row_id", nearest(F.col("x"), centers).alias("cluster"))
+        fits.append(ClusterFit("kmeans", {"k": k, "nstart": nstart, "iter.max": iter_max}, labels, len(centers), info, centers, distances=center_distances(centers), extras={"tot_withinss": cost}))
+    return fits
 
 
 # -- k-medoids ------------------------------------------------------------------------------------

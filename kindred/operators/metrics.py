@@ -106,6 +106,67 @@ def silhouette_rows(labelled: DataFrame, block_rows: int = 4096) -> DataFrame:
     return widths(means.select("row_id", "cluster", "g", (F.col("s") / F.col("n")).alias("d")), labelled)
 
 
+def silhouette_estimates(labelled: DataFrame, per_cluster: int = 512, seed: int = 1, sigmas: float = 3.0, most_values: int = 1 << 24) -> DataFrame:
+    """(row_id, cluster, neighbour, width, error): silhouettes by distances to a seeded sample of each cluster, linear in the rows.
+
+    Of a cluster at most ``per_cluster`` rows are taken, the first by a hash; so a cluster that is smaller counts whole.
+    error bounds what a width may be off by: the mean distances of a and b stray by at most ``sigmas`` standard errors (of a
+    sample without replacement), and a width changes by no more than both, over the greater of a and b. The
+    mean width is off by at most the mean error. The sample is sent to all tasks: ``most_values`` numbers at most."""
+    sizes = {r.cluster: r.n for r in labelled.groupBy("cluster").agg(F.count("*").alias("n")).collect()}
+    p = (labelled.select(F.size("x")).first() or [0])[0]
+    if len(sizes) * per_cluster * max(1, p) > most_values:
+        raise ValueError(f"samples of {per_cluster} rows of {len(sizes)} clusters are more than most_values numbers")
+    spark, kind = labelled.sparkSession, labelled.schema["cluster"].dataType.simpleString()
+    groups = sorted(sizes, key=lambda c: (c is not None, c))
+    place = F.pmod(F.xxhash64("row_id", F.lit(seed)), F.lit(1 << 30))
+    rates = spark.createDataFrame([(g, min(1 << 30, int((1 << 30) * (2 * per_cluster + 64) / sizes[g]))) for g in groups], f"cluster {kind}, rate long")
+    drawn: dict = {g: [] for g in groups}
+    for r in labelled.select("row_id", "cluster", "x", place.alias("place")).join(F.broadcast(rates), "cluster").where("place < rate").collect():  # about 2 * per_cluster a cluster
+        drawn[r.cluster].append((r.place, r.row_id, r.x))
+    samples = [(np.array([x for *_, x in own], float).reshape(-1, p), {i for _, i, _ in own}) for own in (sorted(drawn[g], key=lambda r: r[:2])[:per_cluster] for g in groups)]
+    shared = spark.sparkContext.broadcast(samples)
+    number, totals = {g: i for i, g in enumerate(groups)}, np.array([sizes[g] for g in groups], float)
+    names = labelled.columns
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, own = (batch.column(names.index(c)).to_pylist() for c in ("row_id", "cluster"))
+            x, mine = np.array(batch.column(names.index("x")).to_pylist(), float).reshape(len(ids), -1), np.array([number[c] for c in own])
+            mean, error = np.full((len(ids), len(groups)), np.inf), np.zeros((len(ids), len(groups)))
+            for g, (y, inside) in enumerate(shared.value):
+                for lo in range(0, len(x), 256):
+                    part = slice(lo, lo + 256)
+                    d = np.zeros((len(x[part]), len(y)))
+                    for f in range(p):
+                        d += (x[part, f, None] - y[None, :, f]) ** 2
+                    d = np.sqrt(d)
+                    self_ = np.array([i in inside for i in ids[part]]) & (mine[part] == g)
+                    m, n = len(y) - self_, totals[g] - (mine[part] == g)
+                    with np.errstate(invalid="ignore", divide="ignore"):
+                        at = d.sum(axis=1) / m
+                        spread = np.maximum((d * d).sum(axis=1) / m - at * at, 0) * m / np.maximum(m - 1, 1)
+                        left = np.where(n > 1, np.maximum(n - m, 0) / np.maximum(n - 1, 1), 0)
+                    mean[part, g], error[part, g] = np.where(m > 0, at, np.inf), np.where(m > 0, sigmas * np.sqrt(spread / np.maximum(m, 1) * left), 0)
+            rows = np.arange(len(ids))
+            a, ea = mean[rows, mine].copy(), error[rows, mine].copy()
+            mean[rows, mine], error[rows, mine] = np.inf, 0
+            near = mean.argmin(axis=1)
+            b, eb = mean[rows, near], error.max(axis=1)
+            alone, top = ~np.isfinite(a), np.maximum(np.where(np.isfinite(a), a, 0), b)
+            width = np.where(alone | (top == 0), 0, (b - np.where(alone, 0, a)) / np.where(top > 0, top, 1))
+            off = np.where(alone | (top == 0), 0, (ea + eb) / np.where(top > 0, top, 1))
+            no = ~np.isfinite(b)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(names.index("row_id")), batch.column(names.index("cluster")), pa.array([groups[g] for g in near], batch.column(names.index("cluster")).type, mask=no), pa.array(width, mask=no), pa.array(np.minimum(off, 2.0), mask=no)],
+                ["row_id", "cluster", "neighbour", "width", "error"],
+            )
+
+    return labelled.mapInArrow(run, f"row_id {labelled.schema['row_id'].dataType.simpleString()}, cluster {kind}, neighbour {kind}, width double, error double")
+
+
 def widths(sums: DataFrame, labelled: DataFrame) -> DataFrame:
     """Silhouettes from mean distances (row_id, cluster, g, d) to each cluster, own row left out."""
     own = F.col("g") == F.col("cluster")
@@ -147,6 +208,19 @@ def adjusted_rand_index(pairs: DataFrame) -> DataFrame:
     return _margins(pairs).select(F.when(bottom == 0, F.lit(float("nan"))).otherwise(top / bottom).alias("ari"))
 
 
+def ari_of_counts(cells: list[tuple]) -> float:
+    """Of the cells (a, b, n) of a contingency table; NaN where both partitions are trivial."""
+    pairs = lambda counts: sum(n * (n - 1) / 2 for n in counts)
+    rows: dict = {}
+    columns: dict = {}
+    for a, b, n in cells:
+        rows[a], columns[b] = rows.get(a, 0.0) + n, columns.get(b, 0.0) + n
+    total, i, p, q = sum(rows.values()), pairs(n for *_, n in cells), pairs(rows.values()), pairs(columns.values())
+    expected = p * q / (total * (total - 1) / 2)
+    bottom = (p + q) / 2 - expected
+    return (i - expected) / bottom if bottom else float("nan")
+
+
 def normalized_mutual_information(pairs: DataFrame) -> DataFrame:
     """Natural logarithm, normalised by the geometric mean of the entropies; NaN where one is 0."""
     n = F.col("n_ab")

@@ -507,6 +507,25 @@ def bootstrap_ari_fixed(spark, sf):
     return spark.createDataFrame([(round(mean, 6),)], "bootstrap_ari double")
 
 
+def _refit_sql(starts=(10, 40), repeats=(1000, 1001)) -> str:
+    u = "CAST('0x' || substr(md5(concat(d, ':', r)), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE"
+    first = f"abs(v - {starts[0]}) <= abs(v - {starts[1]})"
+    means = f"avg(v) FILTER ({first}) AS m1, avg(v) FILTER (NOT {first}) AS m2"
+    return f"""WITH k AS (SELECT p_size AS v, row_number() OVER (ORDER BY p_partkey) - 1 AS place FROM part), s AS (SELECT count(*) AS n FROM k), w AS (SELECT unnest({list(repeats)}) AS r), i AS (SELECT r, unnest(range(s.n)) AS d FROM w, s),
+    j AS (SELECT r, v FROM (SELECT r, least(floor({u} * s.n), s.n - 1) AS place FROM i, s) JOIN k USING (place)), f AS (SELECT {means} FROM k), g AS (SELECT r, {means} FROM j GROUP BY r),
+    c AS (SELECT r, abs(v - f.m1) <= abs(v - f.m2) AS a, abs(v - g.m1) <= abs(v - g.m2) AS b FROM j JOIN g USING (r), f), e AS (SELECT r, a, b, count(*)::DOUBLE AS n FROM c GROUP BY 1, 2, 3), t AS (SELECT r, sum(n) AS n, sum(n * (n - 1) / 2) AS i FROM e GROUP BY 1),
+    p AS (SELECT r, sum(n * (n - 1) / 2) AS p FROM (SELECT r, sum(n) AS n FROM e GROUP BY r, a) GROUP BY 1), q AS (SELECT r, sum(n * (n - 1) / 2) AS q FROM (SELECT r, sum(n) AS n FROM e GROUP BY r, b) GROUP BY 1)
+    SELECT round(avg((i - p * q / (n * (n - 1) / 2)) / ((p + q) / 2 - p * q / (n * (n - 1) / 2))), 6) AS bootstrap_ari FROM t JOIN p USING (r) JOIN q USING (r)"""
+
+
+@query(_refit_sql())
+def bootstrap_ari_refit(spark, sf):
+    """The real refit: a round of k-means from fixed starts on each of two resamples, in one pass."""
+    how = {"starts": [[[10.0], [40.0]]], "iter_max": 1}
+    fit = api.cluster(table(spark, sf, "part"), "kmeans", 2, id_col="p_partkey", features=["p_size"], center=False, **how)
+    return spark.createDataFrame([(round(api.bootstrap_ari(fit, 2, **how)[0], 6),)], "bootstrap_ari double")
+
+
 @query(f"WITH {PART_Z}, {NEAR}, t AS (SELECT cluster, 'p_size' AS feature, p_size::DOUBLE AS v FROM n JOIN part USING (p_partkey) UNION ALL SELECT cluster, 'p_retailprice', p_retailprice FROM n JOIN part USING (p_partkey)) SELECT cluster, feature, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS sd, round(median(v), 6) AS median, min(v) AS min, max(v) AS max FROM t GROUP BY 1, 2")
 def explore_profiles(spark, sf):
     s = api.explore(fixed_fit(spark, sf), "pca").feature_summary
