@@ -14,6 +14,9 @@ from kindred.functions.preprocess import feature_types, fit_encoder, fit_scaler,
 from kindred.operators import kernels
 from kindred.operators.distance import MOST_ROWS
 from kindred.operators.methods import square_form
+from kindred.operators.spectral import correspondence, scaling_of_pairs, signed
+
+DENSE_LEVELS, MOST_LEVELS = 1_000, 500_000
 
 
 def covariance(df: DataFrame, columns: list[str], population: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -80,10 +83,15 @@ def mds(df: DataFrame, id_col: str, columns: list[str]):
     return points, ("MDS1", "MDS2"), extra | {"kind": "mds"}
 
 
-def mds_of_pairs(pairs: DataFrame, max_exact_rows: int = MOST_ROWS):
-    ids, d = square_form(pairs, max_exact_rows)
-    xy = kernels.classical_mds(d)
+def mds_of_pairs(pairs: DataFrame, max_exact_rows: int = MOST_ROWS, iterated: bool = False):
+    """With a matrix on the driver for at most max_exact_rows rows, beyond (or where ``iterated``) by passes over the table."""
     kind = pairs.schema["i"].dataType.simpleString()
+    few = not iterated and pairs.select("i").union(pairs.select("j")).distinct().limit(max_exact_rows + 1).count() <= max_exact_rows
+    if few:
+        ids, d = square_form(pairs, max_exact_rows)
+        xy = kernels.classical_mds(d)
+    else:
+        ids, xy = scaling_of_pairs(pairs)
     points = pairs.sparkSession.createDataFrame([(i, float(a), float(b)) for i, (a, b) in zip(ids, xy, strict=True)], f"row_id {kind}, x double, y double")
     return points, ("MDS1", "MDS2"), {"kind": "mds"}
 
@@ -124,11 +132,47 @@ def burt(df: DataFrame, id_col: str, features: list[str]) -> tuple[list[str], np
     return columns, out, df.count()
 
 
-def mca(df: DataFrame, id_col: str, features: list[str]):
-    """Correspondence analysis of the indicator matrix, from the Burt table."""
+def mca_wide(df: DataFrame, id_col: str, features: list[str], axes: int = 2, most_levels: int = MOST_LEVELS):
+    """mca() for many levels: the first ``axes`` only, by passes over the rows. A level is one row on the driver, at most most_levels."""
+    q, n = len(features), df.count()
+    text = [F.coalesce(F.col(f"`{f}`").cast("string"), F.lit("missing")) for f in features]
+    each = df.select(F.explode(F.array(*(F.struct(F.lit(i).alias("f"), t.alias("v")) for i, t in enumerate(text)))).alias("c"))
+    found = each.groupBy("c.f", "c.v").agg(F.count("*").alias("n")).orderBy("f", "v").limit(most_levels + 1).collect()
+    if len(found) > most_levels:
+        raise ValueError(f"more than {most_levels} levels (most_levels)")
+    levels, counts = [(r.f, r.v) for r in found], np.array([r.n for r in found], float)
+    mass = counts / (n * q)
+    axes = max(1, min(axes, len(levels) - q))
+    values, vectors = correspondence(df, features, levels, counts, n, axes)
+    lam = np.maximum(values[:axes], 0)
+    coord = signed(vectors[:, :axes]) / np.sqrt(mass)[:, None] * np.sqrt(lam)
+    scale = np.where(lam > 0, 1 / np.sqrt(np.maximum(lam, 1e-300)), 0) / q
+    table = {key: (float(c[0] * scale[0]), float(c[1] * scale[1]) if axes > 1 else 0.0, float(1 / (q * q * m))) for key, c, m in zip(levels, coord, mass, strict=True)}
+    shared, kind = df.sparkSession.sparkContext.broadcast(table), df.schema[id_col].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            at = [[shared.value[i, x] for x in batch.column(i + 1).to_pylist()] for i in range(q)]
+            total = np.array(at, float).reshape(q, -1, 3).sum(axis=0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(total[:, c] - (c == 2)) for c in range(3))], ["row_id", "x", "y", "norm2"])
+
+    placed = df.select(F.col(f"`{id_col}`").alias("row_id"), *(t.alias(f"c{i}") for i, t in enumerate(text))).mapInArrow(run, f"row_id {kind}, x double, y double, norm2 double")
+    # all axes together: of a level its squared distance to the center, of the table the total inertia
+    dist2, inertia = np.maximum(1 / (mass * q) - 1, 1e-300), len(levels) / q - 1
+    share = lam / inertia * 100 if inertia > 0 else lam * 0
+    names = tuple(f"Dim{k + 1} ({share[k] if k < len(share) else 0:.1f}%)" for k in range(2))
+    columns = [f"{features[i]}_{make_name(v)}" for i, v in levels]
+    extra = {"kind": "mca", "columns": columns, "eig": lam, "var_coord": coord, "contrib": 100 * mass[:, None] * coord**2 / np.maximum(lam, 1e-300), "cos2": coord**2 / dist2[:, None], "norm2": placed.select("row_id", "norm2")}
+    return placed.select("row_id", "x", "y"), names, extra
+
+
+def mca(df: DataFrame, id_col: str, features: list[str], dense_levels: int = DENSE_LEVELS):
+    """Correspondence analysis of the indicator matrix, from the Burt table; of more than ``dense_levels`` levels by mca_wide()."""
     types = feature_types(df, features)
     if "numeric" in types.values():
         raise ValueError("mca needs categorical columns only")
+    if df.agg(sum((F.countDistinct(F.col(f"`{f}`")) for f in features), F.lit(0))).first()[0] > dense_levels:
+        return mca_wide(df, id_col, features)
     columns, table, n = burt(df, id_col, features)
     q = len(features)
     mass = np.diag(table) / (n * q)

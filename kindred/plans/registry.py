@@ -14,7 +14,7 @@ from kindred.functions.preprocess import feature_types, fit_encoder, fit_scaler
 from kindred.operators import api, consensus, embed, explain, metrics, plotspec
 from kindred.operators.distance import euclidean_pairs, mixed_distance, vectors
 from kindred.operators.graph import connected, ensure_checkpoint_dir
-from kindred.operators.methods import ClusterFit, cut_at, estimate_lambda, mixed_distances
+from kindred.operators.methods import ClusterFit, DataInfo, cut_at, estimate_lambda, mixed_distances
 from kindred.operators.methods import within_split as methods_within_split
 from kindred.operators.partition import eps_counts
 from kindred.sources.synthetic import synthetic_clusters
@@ -545,11 +545,14 @@ def _normal_sql(keys: str) -> str:
 
 
 @query(
-    f"""WITH i AS (SELECT unnest(range(120)) AS id), c AS (SELECT id, CAST(id // 40 + 1 AS INTEGER) AS y FROM i)
-    SELECT id AS row_id, round([0.0::DOUBLE, 3, -3][y] + 0.5 * {_normal_sql('1, id, 0')}, 6) AS x1, round([0.0::DOUBLE, 3, 3][y] + 0.5 * {_normal_sql('1, id, 1')}, 6) AS x2, y FROM c"""
+    f"""WITH m AS (SELECT s_nationkey % 3 AS g, avg(s_acctbal) / 1000 AS x, avg(s_nationkey) AS y FROM supplier GROUP BY 1), n AS (SELECT count(*) AS n FROM supplier), i AS (SELECT unnest(range(3 * n)) AS id, n FROM n), c AS (SELECT id, CAST(id // n + 1 AS INTEGER) AS y FROM i)
+    SELECT id AS row_id, round(m.x + 0.5 * {_normal_sql('1, id, 0')}, 6) AS x1, round(m.y + 0.5 * {_normal_sql('1, id, 1')}, 6) AS x2, c.y FROM c JOIN m ON m.g = c.y - 1"""
 )
 def synthetic_rows(spark, sf):
-    return synthetic_clusters(spark).select("row_id", r6(F.col("x1"), "x1"), r6(F.col("x2"), "x2"), "y")
+    """Groups about the means of three groups of suppliers, of as many rows as there are suppliers."""
+    s = table(spark, sf, "supplier")
+    means = s.groupBy((F.col("s_nationkey") % 3).alias("g")).agg((F.avg("s_acctbal") / 1000).alias("x"), F.avg("s_nationkey").alias("y")).orderBy("g").collect()
+    return synthetic_clusters(spark, s.count(), [(r.x, r.y) for r in means]).select("row_id", r6(F.col("x1"), "x1"), r6(F.col("x2"), "x2"), "y")
 
 
 @query("SELECT p_partkey, p_size, p_type FROM part")
@@ -846,17 +849,17 @@ def single_linkage_part(spark, sf):
     return cut_at(fit, EPS)
 
 
-NEAR = 1.2
+EMB_EPS = 1.2
 
 
 @query(
     f"""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings)
-    SELECT a.vec_id AS row_id, CAST(count(*) AS BIGINT) AS n FROM v a JOIN v b ON list_distance(a.x, b.x) <= {NEAR} GROUP BY 1"""
+    SELECT a.vec_id AS row_id, CAST(count(*) AS BIGINT) AS n FROM v a JOIN v b ON list_distance(a.x, b.x) <= {EMB_EPS} GROUP BY 1"""
 )
 def eps_counts_embeddings(spark, sf):
     """Neighbours within a radius in all dimensions of a vector column."""
     e = emb(spark, sf)
-    return eps_counts(e, e, NEAR)
+    return eps_counts(e, e, EMB_EPS)
 
 
 @query(
@@ -894,3 +897,98 @@ def kmm_customer(spark, sf):
 def metacluster_supplier(spark, sf):
     s = table(spark, sf, "supplier")
     return consensus.metacluster(s, ("kmeans", "pam", "hclust"), range(2, 7), id_col="s_suppkey", features=["s_acctbal"], scale=True, seed=1).final_clusters
+
+
+# -- streams by micro-batch -----------------------------------------------------------------------
+
+
+@query(
+    f"""WITH {PART_Z}, t AS (SELECT p_partkey AS i, a, b, CASE WHEN a < 0 AND b < 0 THEN 1 WHEN a >= 0 AND b >= 0 THEN 2 ELSE 0 END AS g FROM z),
+    n AS (SELECT x.i, min_by(y.g, (sqrt((x.a - y.a) ** 2 + (x.b - y.b) ** 2), y.i)) AS g FROM t x JOIN t y ON y.g > 0 AND x.a BETWEEN y.a - {EPS} AND y.a + {EPS} AND sqrt((x.a - y.a) ** 2 + (x.b - y.b) ** 2) <= {EPS} GROUP BY 1)
+    SELECT t.i AS row_id, CAST(coalesce(n.g, 0) AS INTEGER) AS cluster FROM t LEFT JOIN n USING (i)"""
+)
+def stream_dbscan_part(spark, sf):
+    """A stream of rows joined with the training rows of a density fit of given labels, batch by batch."""
+    z = part_z(spark, sf).withColumnsRenamed({"p_size": "a", "p_retailprice": "b"})
+    low, high = (F.col("a") < 0) & (F.col("b") < 0), (F.col("a") >= 0) & (F.col("b") >= 0)
+    labels = z.select(F.col("p_partkey").alias("row_id"), F.when(low, 1).when(high, 2).otherwise(0).alias("cluster"))
+    info = DataInfo(z.count(), "p_partkey", ("a", "b"), "matrix", None, z, {"a": "numeric", "b": "numeric"})
+    fit = ClusterFit("dbscan", {"eps": EPS}, labels, 2, info, training=vectors(z, "p_partkey", ["a", "b"]))
+    source, out = scratch(spark, "arriving"), scratch(spark, "assigned")
+    z.repartition(3).write.parquet(source)
+    stream = spark.readStream.schema(z.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    assign.by_batch(fit, stream, out).awaitTermination()
+    return assign.assigned(spark, out).select("row_id", "cluster")
+
+
+# -- consensus of fixed fits, and plots -----------------------------------------------------------
+
+_GAPS = """o AS (SELECT s_suppkey AS i, s_acctbal AS v, s_acctbal - lag(s_acctbal) OVER (ORDER BY s_acctbal, s_suppkey) AS gap FROM supplier), w AS (SELECT i, v, row_number() OVER (ORDER BY gap DESC NULLS LAST) AS wide FROM o),
+ g AS (SELECT i, v, count(*) FILTER (wide < 2) OVER (ORDER BY v, i) AS g2, count(*) FILTER (wide < 4) OVER (ORDER BY v, i) AS g4 FROM w)"""
+_FINAL = f"""{_GAPS}, p AS (SELECT k, a.i, CASE k WHEN 2 THEN a.g2 = b.g2 ELSE a.g4 = b.g4 END AS own, CASE k WHEN 2 THEN b.g2 ELSE b.g4 END AS h, avg((CAST(a.g2 <> b.g2 AS INT) + CAST(a.g4 <> b.g4 AS INT)) / 2) AS d FROM unnest([2, 4]) t(k), g a JOIN g b ON a.i <> b.i GROUP BY ALL),
+ u AS (SELECT k, i, min(d) FILTER (own) AS a, min(d) FILTER (NOT own) AS b FROM p GROUP BY 1, 2), m AS (SELECT k, avg(CASE WHEN a IS NULL OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END) AS v FROM u GROUP BY 1), best AS (SELECT k FROM m ORDER BY round(v, 9) DESC, k LIMIT 1),
+ final AS (SELECT i, v, CAST(dense_rank() OVER (ORDER BY least) AS INTEGER) AS cluster FROM (SELECT i, v, min(i) OVER (PARTITION BY CASE k WHEN 2 THEN g2 ELSE g4 END) AS least FROM g, best))"""
+
+
+def _single_consensus(spark, sf):
+    s = table(spark, sf, "supplier").select("s_suppkey", "s_acctbal")
+    return consensus.metacluster(s, ("hclust", "agnes"), [2, 4], id_col="s_suppkey", features=["s_acctbal"], linkage="single", spanning=True)
+
+
+@query(f"WITH {_FINAL} SELECT i AS row_id, cluster FROM final")
+def metacluster_single(spark, sf):
+    """Consensus of single-linkage fits, which are nested: k by the silhouettes of the consensus."""
+    return _single_consensus(spark, sf).final_clusters
+
+
+@query(f"WITH {_GAPS} SELECT a.i, b.i AS j, (CAST(a.g2 = b.g2 AS INT) + CAST(a.g4 = b.g4 AS INT)) / 2.0::DOUBLE AS agreement FROM g a JOIN g b ON a.g2 = b.g2")
+def plot_coassoc_supplier(spark, sf):
+    return plotspec.plot_coassoc(_single_consensus(spark, sf)).data
+
+
+@query(f"WITH {_FINAL}, z AS (SELECT i, cluster, v - avg(v) OVER () AS x FROM final), f AS (SELECT CASE WHEN x >= 0 THEN 1 ELSE -1 END AS f FROM z ORDER BY i LIMIT 1) SELECT i AS row_id, round(x * f / (SELECT stddev_samp(v) FROM final), 6) + 0.0 AS x, 0.0::DOUBLE AS y, cluster FROM z, f")
+def plot_consensus_supplier(spark, sf):
+    data = plotspec.plot_consensus(_single_consensus(spark, sf), "pca").data
+    return _signed(data).join(data.select("row_id", "cluster"), "row_id")
+
+
+@query(ORACLES["plot_clusters_part"].replace(" AS cluster FROM y", " AS cluster, 1.0::DOUBLE AS cos2 FROM y"))
+def plot_biplot_part(spark, sf):
+    """Of two columns both axes are all there is: every row is wholly in the plane."""
+    data = plotspec.plot_biplot(fixed_fit(spark, sf), "cos2").data
+    return _signed(data).join(data.select("row_id", "cluster", r6(F.col("cos2"), "cos2")), "row_id")
+
+
+@query(ORACLES["biplot_contributions"] + " ORDER BY contribution DESC, variable LIMIT 3")
+def biplot_top(spark, sf):
+    """The variables that contribute most."""
+    _, _, extra = embed.mca(_two_levels(spark, sf), "o_orderkey", ["filled", "price"])
+    return spark.createDataFrame([(v["variable"], round(v["contribution"], 6)) for v in embed.biplot(extra, 3)], "variable string, contribution double")
+
+
+@query(ORACLES["mca_embedding"])
+def mca_by_passes(spark, sf):
+    """The embedding of mca_embedding by passes over the rows, as of many levels."""
+    return _signed(embed.mca_wide(_two_levels(spark, sf), "o_orderkey", ["filled", "price"])[0])
+
+
+@query(f"SELECT cluster, feature, mean FROM ({ORACLES['explore_profiles']}) WHERE feature = 'p_size'")
+def plot_profiles_part(spark, sf):
+    return plotspec.plot_feature_profiles(fixed_fit(spark, sf), ["p_size"]).data.select("cluster", "feature", r6(F.col("mean"), "mean"))
+
+
+@query(f"SELECT 'p_size' AS feature, instability AS importance FROM ({ORACLES['importance_md5']})")
+def plot_importance_part(spark, sf):
+    found = explain.feature_importance(fixed_fit(spark, sf), table(spark, sf, "part"), ["p_size"], n_repeats=1, seed=7)
+    return plotspec.plot(found).data.select("feature", r6(F.col("importance"), "importance"))
+
+
+_TURNED_SUPPLIER = """z AS (SELECT s_suppkey AS i, s_nationkey - avg(s_nationkey) OVER () AS a, s_acctbal / 400 - avg(s_acctbal / 400) OVER () AS b FROM supplier), q AS (SELECT 0.5 * atan2(2 * covar_samp(a, b), var_samp(a) - var_samp(b)) AS t FROM z),
+ y AS (SELECT i, cos(t) * a + sin(t) * b AS x, cos(t) * b - sin(t) * a AS y FROM z, q)"""
+
+
+@query(f"WITH {_TURNED_SUPPLIER}, f AS (SELECT CASE WHEN x >= 0 THEN 1 ELSE -1 END AS fx, CASE WHEN y >= 0 THEN 1 ELSE -1 END AS fy FROM y ORDER BY i LIMIT 1) SELECT i AS row_id, round(x * fx, 6) + 0.0 AS x, round(y * fy, 6) + 0.0 AS y FROM y, f")
+def mds_pairs_supplier(spark, sf):
+    """Scaling of a table of distances by passes over it: of two columns these turn to their main axes."""
+    s = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey", (F.col("s_acctbal") / 400).alias("b"))
+    return _signed(embed.mds_of_pairs(euclidean_pairs(vectors(s, "s_suppkey", ["s_nationkey", "b"])), iterated=True)[0])
