@@ -64,13 +64,31 @@ def calinski_harabasz(labelled: DataFrame) -> DataFrame:
     return row.select(F.when((F.col("k") > 1) & (F.col("w") > 0), (F.col("b") / (F.col("k") - 1)) / (F.col("w") / (F.col("n") - F.col("k")))).alias("calinski_harabasz"))
 
 
-def davies_bouldin(labelled: DataFrame) -> DataFrame:
-    """Null with fewer than two clusters. The table of centers is one row a cluster; a task holds it."""
+def davies_bouldin(labelled: DataFrame, most_values: int = 1 << 24) -> DataFrame:
+    """Null with fewer than two clusters. The table of centers, most_values numbers at most, is sent to all tasks."""
     centers = centroids(labelled)
     scatter = labelled.join(centers.select("cluster", "center"), "cluster").groupBy("cluster").agg(F.avg(array_distance(F.col("x"), F.col("center"))).alias("s"), F.first("center").alias("center"))
-    a, b = (scatter.select(F.col("cluster").alias(f"c{i}"), F.col("s").alias(f"s{i}"), F.col("center").alias(f"m{i}")) for i in (1, 2))
-    ratio = (F.col("s1") + F.col("s2")) / array_distance(F.col("m1"), F.col("m2"))
-    return a.join(b, F.col("c1") != F.col("c2")).groupBy("c1").agg(F.max(ratio).alias("r")).agg(F.avg("r").alias("davies_bouldin"))
+    rows = scatter.collect()
+    if sum(len(r.center) for r in rows) > most_values:
+        raise ValueError("the centers of all clusters are more than most_values numbers")
+    spark = labelled.sparkSession
+    s, m = np.array([r.s for r in rows]), np.array([r.center for r in rows], float).reshape(len(rows), -1)
+    shared = spark.sparkContext.broadcast((s, m))
+
+    def run(batches):
+        s, m = shared.value
+        for batch in batches:
+            own, out = batch.column(0).to_numpy(), []
+            for i in own.tolist():
+                d = np.zeros(len(m))
+                for f in range(m.shape[1]):
+                    d += (m[:, f] - m[i, f]) ** 2
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    ratio = (s + s[i]) / np.sqrt(d)
+                out.append(np.delete(ratio, i).max() if len(m) > 1 else None)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.float64())], ["r"])
+
+    return spark.range(len(rows)).mapInArrow(run, "r double").agg(F.avg("r").alias("davies_bouldin"))
 
 
 def silhouette_rows(labelled: DataFrame, block_rows: int = 4096) -> DataFrame:

@@ -186,3 +186,18 @@ def test_many_rows_of_noise(spark):
     final, k, scores, tree = consensus.consensus(labels, [2, 3, 4])
     assert k == 4 and {r["count"] for r in final.groupBy("cluster").count().collect()} == {25_000}
     assert len(tree["height"]) == 99_999 and sorted(set(np.round(tree["height"], 9))) == [0.5, 1.0]
+
+
+def test_coassociation_is_bounded(spark):
+    labels = np.random.default_rng(1).integers(0, 4, (40, 3))
+    df = table_of(spark, labels)
+    want = {(i, j): 1 - v for (i, j), v in np.ndenumerate(apart(labels)) if i < j and v < 1}
+    assert {(r.i, r.j): pytest.approx(r.agreement) for r in consensus.coassociation(df).collect()} == want
+    with pytest.raises(ValueError, match="most_pairs"):
+        consensus.coassociation(df, most_pairs=5)
+    pairs, rows = consensus.signature_coassociation(df)
+    head, found = {r.row_id: r.i for r in rows.collect()}, {(r.i, r.j): r.agreement for r in pairs.collect()}
+    for (i, j), v in np.ndenumerate(apart(labels)):
+        a, b = sorted((head[i], head[j]))
+        if a < b:
+            assert found.get((a, b), 0.0) == pytest.approx(1 - v)
