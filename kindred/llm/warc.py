@@ -13,7 +13,8 @@ through an incremental digest, one chunk at a time.
 Defined cases: a null html is an empty payload; of equal payloads the record of the smallest page_id
 is the response (rows that repeat this page_id with this payload are all responses), and a null
 page_id counts as the largest; payloads under ``least_bytes`` are always responses; a null url has no
-target line; an empty table gives no archives and no rows; other columns are not read.
+target line; an empty table gives no archives and no rows; a payload that is not what its record's digest says
+is an error when it is read; other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ from kindred.llm.common import Shelf
 
 CHUNK_BYTES = 32 * 1024
 FILE_ROWS = 1024
+SALTS = 16
 END = "\r\n\r\n"
 SUMMARY = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
@@ -47,7 +49,9 @@ def with_types(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"))
     own = own.select("page_id", "url", "payload", F.octet_length("payload").cast("long").alias("n"), F.sha1("payload").alias("sha"), F.xxhash64("payload").alias("more"))
     light = own.where(F.col("n") >= least_bytes).groupBy("sha", "n", "more").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    joined = own.join(light, ["sha", "n", "more"], "left")
+    # copies of one payload go to SALTS tasks, not to one
+    salted = light.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    joined = own.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(salted, ["sha", "n", "more", "salt"], "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return joined.select("page_id", "url", "payload", "n", base32(F.col("sha")).alias("digest"), F.when(revisit, F.col("first")).alias("refers_to"))
 
@@ -159,6 +163,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     length = int(fields["X-Payload-Length"]) if refers else len(block)
                     declared = fields.get("WARC-Payload-Digest", "").removeprefix("sha1:")
                     digest = None if number else declared if refers else base64.b32encode(hashlib.sha1(block).digest()).decode()
+                    if digest and declared and digest != declared:
+                        raise ValueError(f"{fields['WARC-Record-ID']} is not what its digest says")
                     rows.append((_origin(fields), number, declared or None, fields["WARC-Type"], _page(refers) if refers else None, length, digest, block if number else None))
                     if len(rows) >= 256:
                         yield _chunk_batch(rows)
@@ -185,21 +191,23 @@ def summaries(chunks: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([_page(x) for x in origins], pa.int64()), *(batch.column(i) for i in range(1, 5))], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
     def segmented(batches):
-        origin, length, digest, number, pages = None, 0, None, 0, []
+        origin, length, digest, number, pages, known = None, 0, None, 0, [], None
 
         def done():
             text = base64.b32encode(digest.digest()).decode()
+            if known and text != known:
+                raise ValueError(f"{origin} is not what its digest says")
             return (_page(origin), length, text, "response", None)
 
         for batch in batches:
-            for name, n, size, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for name, n, size, data, declared in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 # rows that repeat a record come as the same segment again; one of each is its payload
                 if name == origin and n == number:
                     continue
                 if name != origin:
                     if origin is not None:
                         pages.append(done())
-                    origin, length, digest = name, 0, hashlib.sha1()
+                    origin, length, digest, known = name, 0, hashlib.sha1(), declared
                 elif n != number + 1:
                     raise ValueError(f"{name}: segment {n} follows {number}")
                 number, length = n, length + size
@@ -210,7 +218,7 @@ def summaries(chunks: DataFrame) -> DataFrame:
             yield _summary([done()])
 
     single = chunks.where("number = 0").select("origin", "length", "digest", "type", "refers_to").mapInArrow(whole, SUMMARY)
-    parts = chunks.where("number > 0").select("origin", "number", "length", "data")
+    parts = chunks.where("number > 0").select("origin", "number", "length", "data", "declared")
     ordered = parts.repartition("origin").sortWithinPartitions("origin", "number")
     joined = ordered.mapInArrow(segmented, SUMMARY)
     copies = chunks.where("number = 1").groupBy("origin").agg(F.count("*").alias("copies")).where("copies > 1")

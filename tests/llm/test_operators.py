@@ -796,6 +796,20 @@ def test_warc_edges(spark):
     assert warc.chunk_table(warc.with_types(pages), 1000).agg(F.max(F.octet_length("data"))).first()[0] == 1000
 
 
+def test_warc_finds_changed_payloads(spark, tmp_path):
+    import gzip
+
+    pages = spark.createDataFrame([(1, "http://a/", "<p>first</p>"), (2, "http://b/", "x" * 900 + "y")], "page_id long, url string, html string")
+    warc.write(warc.chunk_table(warc.with_types(pages), 400), str(tmp_path / "good"))
+    assert warc.summaries(warc.read(spark, str(tmp_path / "good"))).count() == 2
+    raw = b"".join(gzip.decompress(f.read_bytes()) for f in sorted((tmp_path / "good").glob("*.gz")))
+    for n, (old, new) in enumerate(((b"first", b"fIrst"), (b"xy", b"xz"))):
+        (tmp_path / f"bad{n}").mkdir()
+        (tmp_path / f"bad{n}" / "a.gz").write_bytes(gzip.compress(raw.replace(old, new)))
+        with pytest.raises(Exception, match="digest says"):
+            warc.summaries(warc.read(spark, str(tmp_path / f"bad{n}"))).collect()
+
+
 def test_page_edges(spark):
     pages = spark.createDataFrame([(*p, "k", 1) for p in PAGES], "page_id long, url string, html string, path string, block long")
     rows = html_diff.extract(pages).collect()
