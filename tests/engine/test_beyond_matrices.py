@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kindred.operators import api, consensus, kernels, medoids, partition, spanning
+from kindred.operators import api, consensus, distance, kernels, medoids, partition, spanning
 from kindred.operators.methods import cut_at
 from kindred.sources.shelf import Shelf
 
@@ -201,3 +201,15 @@ def test_coassociation_is_bounded(spark):
         a, b = sorted((head[i], head[j]))
         if a < b:
             assert found.get((a, b), 0.0) == pytest.approx(1 - v)
+
+
+def test_pairs_of_many_blocks(spark, monkeypatch):
+    """Every pair once, beyond one block and beyond the rows that a matrix on the driver may have."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 2))
+    monkeypatch.setattr(distance, "PAIR_ROWS", 7)
+    d, found = dense(x), distance.euclidean_pairs(points(spark, x)).collect()
+    assert len(found) == 60 * 59 // 2 and all(r.i < r.j and r.d == pytest.approx(d[r.i, r.j]) for r in found)
+    monkeypatch.undo()
+    many = spark.range(distance.MOST_ROWS + 1).select(F.col("id").alias("row_id"), F.array(F.col("id").cast("double")).alias("x"))
+    assert distance.euclidean_pairs(many).count() == (distance.MOST_ROWS + 1) * distance.MOST_ROWS // 2
