@@ -213,3 +213,14 @@ def test_pairs_of_many_blocks(spark, monkeypatch):
     monkeypatch.undo()
     many = spark.range(distance.MOST_ROWS + 1).select(F.col("id").alias("row_id"), F.array(F.col("id").cast("double")).alias("x"))
     assert distance.euclidean_pairs(many).count() == (distance.MOST_ROWS + 1) * distance.MOST_ROWS // 2
+
+
+def test_gower_of_many_blocks(spark, monkeypatch):
+    x = np.random.default_rng(3).normal(size=(60, 1))
+    monkeypatch.setattr(distance, "PAIR_ROWS", 7)
+    mixed = distance.mixed_distance(spark.createDataFrame([(i, float(v), "ab"[i % 2]) for i, v in enumerate(x[:, 0])], "row_id long, v double, g string"), "row_id", ["v", "g"]).collect()
+    want = {(i, j): (abs(x[i, 0] - x[j, 0]) / np.ptp(x[:, 0]) + (i % 2 != j % 2)) / 2 for i in range(60) for j in range(i + 1, 60)}
+    assert {(r.i, r.j): pytest.approx(r.d) for r in mixed} == want and len(mixed) == len(want)
+    monkeypatch.undo()
+    many = spark.range(distance.MOST_ROWS + 1).select(F.col("id").alias("row_id"), F.col("id").cast("double").alias("v"))
+    assert distance.mixed_distance(many, "row_id", ["v"]).count() == (distance.MOST_ROWS + 1) * distance.MOST_ROWS // 2
