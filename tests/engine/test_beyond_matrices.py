@@ -224,3 +224,20 @@ def test_gower_of_many_blocks(spark, monkeypatch):
     monkeypatch.undo()
     many = spark.range(distance.MOST_ROWS + 1).select(F.col("id").alias("row_id"), F.col("id").cast("double").alias("v"))
     assert distance.mixed_distance(many, "row_id", ["v"]).count() == (distance.MOST_ROWS + 1) * distance.MOST_ROWS // 2
+
+
+@pytest.mark.parametrize("share", [0.0, 2.0])
+def test_coassociation_ways(spark, monkeypatch, share):
+    """Pairs found among all pairs of blocks and pairs joined by cluster are the same; noise never agrees."""
+    labels = np.random.default_rng(5).integers(0, 3, (50, 3))
+    monkeypatch.setattr(consensus, "SPARSE", share)
+    monkeypatch.setattr(distance, "PAIR_ROWS", 9)
+    want = {(i, j): ((labels[i] == labels[j]) & (labels[i] > 0)).mean() for i in range(50) for j in range(i + 1, 50)}
+    found = consensus.coassociation(table_of(spark, labels)).collect()
+    assert len(found) == len({(r.i, r.j) for r in found}) and {(r.i, r.j): pytest.approx(r.agreement) for r in found} == {k: v for k, v in want.items() if v}
+
+
+def test_coassociation_beyond_a_limit_of_pairs(spark):
+    """More pairs than a fixed limit let through: nothing of them is made before they are read."""
+    rows = spark.range(30_000).select(F.lit(1).alias("candidate"), F.col("id").alias("row_id"), F.lit(1).alias("cluster"))
+    assert consensus.coassociation(rows).where("j = 1 AND i = 0").columns == ["i", "j", "agreement"]
