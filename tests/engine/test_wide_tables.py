@@ -31,3 +31,18 @@ def test_profile_scores_join_nothing(spark, fitted):
         e = np.exp(-(d**2) / (2 * np.median(d) ** 2))
         want |= {(r.row_id, v): pytest.approx(e[i, 0] / e[i].sum()) for i, v in enumerate((-1.0, 0.5))}
     assert {(r.observation, r.feature_value_num): r.value for r in found.collect()} == want
+
+
+@pytest.mark.parametrize("target", ["cluster", "score"])
+def test_local_slopes_of_whole_observations(spark, fitted, target):
+    """Batches that end within an observation do not cut it; nothing is joined for a cluster's slopes."""
+    df, fit = fitted
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    try:
+        found = explain.lime_explain(fit, df, n_permutations=40, target=target)
+        assert target == "score" or "Join" not in plan(found.explanations)
+        rows = {(r.observation, r.feature): r.estimate for r in found.explanations.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    again = explain.lime_explain(fit, df, n_permutations=40, target=target).explanations.collect()
+    assert len(rows) == 120 and rows == {(r.observation, r.feature): pytest.approx(r.estimate) for r in again}
