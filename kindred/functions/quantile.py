@@ -11,34 +11,43 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ACCURACY = 10_000
+ACCURACY, MOST_GROUPS = 10_000, 10_000
 
 
-def at_place(df: DataFrame, groups: list[str], value: str, share: float, place: Callable[[Column], Column], name: str) -> DataFrame:
-    """(groups, n, name, below, through): the value at ``place`` (from 0, of n values that are not null or NaN) in
-    order, with the numbers of values below it and up to it. ``share`` is about where the place lies, of 1."""
+def _ordered(df: DataFrame, groups: list[str], value: str, share: float) -> DataFrame:
+    """(groups, n, _v, below, through) of the distinct values about ``share`` of the way, of 1, in order. The brackets of at most
+    MOST_GROUPS groups are sent to all tasks, so that no rows are shuffled by group, of which there may be few."""
     rows = df.select(*groups, F.col(f"`{value}`").cast("double").alias("_v")).where("_v is not null and not isnan(_v)")
     ends = [max(0.0, share - 2 / ACCURACY), min(1.0, share + 2 / ACCURACY)]
     sketch = rows.groupBy(*groups).agg(F.count("*").alias("n"), F.percentile_approx("_v", ends, ACCURACY).alias("_b"))
+    found = sketch.limit(MOST_GROUPS + 1).collect()
+    few = len(found) <= MOST_GROUPS
+    sketch = df.sparkSession.createDataFrame(found, sketch.schema) if few else sketch
+    near = F.broadcast if few else (lambda t: t)
     low = F.lit(float("-inf")) if ends[0] == 0 else F.get("_b", F.lit(0))
     high = F.lit(float("inf")) if ends[1] == 1 else F.get("_b", F.lit(1))
-    ends_of = sketch.select(*groups, low.alias("_low"), high.alias("_high"))
-    bounded = rows.join(ends_of, groups) if groups else rows.join(F.broadcast(ends_of))  # one row without groups
+    ends_of = near(sketch.select(*groups, low.alias("_low"), high.alias("_high")))
+    bounded = rows.join(ends_of, groups) if groups else rows.join(ends_of)
     counts = bounded.where("_v <= _high").groupBy(*groups, F.when(F.col("_v") >= F.col("_low"), F.col("_v")).alias("_v")).agg(F.count("*").alias("_c"))
     through = F.sum("_c").over(Window.partitionBy(*groups).orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
     placed = counts.select(*groups, "_v", through.alias("through"), (through - F.col("_c")).alias("below"))
-    sized = sketch.select(*groups, "n")
-    both = placed.join(sized, groups) if groups else placed.join(F.broadcast(sized))
+    sized = near(sketch.select(*groups, "n"))
+    return placed.join(sized, groups) if groups else placed.join(sized)
+
+
+def at_place(df: DataFrame, groups: list[str], value: str, share: float, place: Callable[[Column], Column], name: str) -> DataFrame:
+    """(groups, n, name, below, through): the value at ``place`` (from 0, of n values that are not null or NaN) in
+    order, with the numbers of values below it and up to it. ``share`` is about where the place lies, of 1."""
     wanted = place(F.col("n"))
-    return both.where((F.col("below") <= wanted) & (wanted < F.col("through"))).select(*groups, "n", F.col("_v").alias(name), "below", "through")
+    return _ordered(df, groups, value, share).where((F.col("below") <= wanted) & (wanted < F.col("through"))).select(*groups, "n", F.col("_v").alias(name), "below", "through")
 
 
 def medians(df: DataFrame, groups: list[str], value: str, name: str = "median") -> DataFrame:
     """(groups, name): groups without any value have no row."""
-    lo = at_place(df, groups, value, 0.5, lambda n: F.floor((n - 1) / 2), "_lo").drop("n", "below", "through")
-    hi = at_place(df, groups, value, 0.5, lambda n: F.floor(n / 2), "_hi").drop("n", "below", "through")
-    both = lo.join(hi, groups) if groups else lo.join(F.broadcast(hi))
-    return both.select(*groups, (F.col("_lo") + (F.col("_hi") - F.col("_lo")) / 2).alias(name))
+    lo, hi = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
+    both = _ordered(df, groups, value, 0.5).where((F.col("below") <= hi) & (lo < F.col("through")))
+    ends = both.groupBy(*groups).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi")).where("_lo is not null")
+    return ends.select(*groups, (F.col("_lo") + (F.col("_hi") - F.col("_lo")) / 2).alias(name))
 
 
 def trimmed_means(df: DataFrame, groups: list[str], value: str, share: float = 0.1, name: str = "trimmed") -> DataFrame:

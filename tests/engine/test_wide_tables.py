@@ -46,3 +46,15 @@ def test_local_slopes_of_whole_observations(spark, fitted, target):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     again = explain.lime_explain(fit, df, n_permutations=40, target=target).explanations.collect()
     assert len(rows) == 120 and rows == {(r.observation, r.feature): pytest.approx(r.estimate) for r in again}
+
+
+def test_medians_of_few_groups_shuffle_no_rows(spark):
+    df = spark.range(3001).select((F.col("id") % 3).alias("g"), ((F.col("id") * 7919) % 3001).cast("double").alias("v"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = medians(df, ["g"], "v")
+        assert "SortMergeJoin" not in plan(found)
+        rows = {r.g: r["median"] for r in found.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert rows == {g: float(np.median([(i * 7919) % 3001 for i in range(g, 3001, 3)])) for g in range(3)}
