@@ -88,7 +88,8 @@ def forest(edges: DataFrame, shelf: Shelf, name: str, piece: int = PIECE) -> Dat
     """(i, j, d), i < j: the minimum spanning forest of the edges (i, j, d). Self-loops and null distances are left out."""
     i, j = F.least("i", "j"), F.greatest("i", "j")
     one = edges.where("i <> j AND d IS NOT NULL").select(i.alias("i"), j.alias("j"), F.col("d").cast("double").alias("d"))
-    now = shelf.put(one.select(F.col("i").alias("u"), F.col("j").alias("v"), "d", "i", "j"), f"{name}-edges")
+    # pieces are reduced before anything is written: of all pairs of n rows only about n edges a piece are
+    now = shelf.put(_reduced(one.select(F.col("i").alias("u"), F.col("j").alias("v"), "d", "i", "j"), piece), f"{name}-edges")
     n, step, parts = now.count(), 0, []
     while n:
         if n <= piece:

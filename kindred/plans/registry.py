@@ -834,7 +834,7 @@ def plot_clusters_part(spark, sf):
 @query(_gaps_sql(5))
 def agnes_gower_supplier(spark, sf):
     """Of a distance table; Gower's dissimilarity of one number is its gap over the range."""
-    pairs = mixed_distance(table(spark, sf, "supplier"), "s_suppkey", ["s_acctbal"], max_exact_rows=20_000)
+    pairs = mixed_distance(table(spark, sf, "supplier"), "s_suppkey", ["s_acctbal"])
     return api.cluster(pairs, "agnes", 5, linkage="single", spanning=True).clusters
 
 

@@ -241,3 +241,12 @@ def test_coassociation_beyond_a_limit_of_pairs(spark):
     """More pairs than a fixed limit let through: nothing of them is made before they are read."""
     rows = spark.range(30_000).select(F.lit(1).alias("candidate"), F.col("id").alias("row_id"), F.lit(1).alias("cluster"))
     assert consensus.coassociation(rows).where("j = 1 AND i = 0").columns == ["i", "j", "agreement"]
+
+
+def test_forest_writes_no_pairs(spark):
+    """Of a table of all pairs only the forests of its pieces are written."""
+    x = np.random.default_rng(9).normal(size=(120, 1))
+    shelf = Shelf(spark, "few")
+    found = spanning.forest(distance.euclidean_pairs(points(spark, x)), shelf, "t")
+    assert found.count() == 119 and spark.read.parquet(shelf.path("t-edges")).count() < 120 * 119 // 8
+    assert np.allclose(sorted(r.d for r in found.collect()), np.sort(np.diff(np.sort(x[:, 0]))))
