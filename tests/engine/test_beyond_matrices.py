@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kindred.operators import api, consensus, distance, kernels, medoids, partition, spanning
+from kindred.operators import api, consensus, distance, embed, kernels, medoids, partition, spanning
 from kindred.operators.methods import cut_at
 from kindred.sources.shelf import Shelf
 
@@ -250,3 +250,17 @@ def test_forest_writes_no_pairs(spark):
     found = spanning.forest(distance.euclidean_pairs(points(spark, x)), shelf, "t")
     assert found.count() == 119 and spark.read.parquet(shelf.path("t-edges")).count() < 120 * 119 // 8
     assert np.allclose(sorted(r.d for r in found.collect()), np.sort(np.diff(np.sort(x[:, 0]))))
+
+
+def test_squares_by_one_product(monkeypatch):
+    """Near and equal rows, and rows about the radius, are as exact as feature by feature; what is not finite stays so."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(40, 12)) + 1000
+    y = np.concatenate([x[:10], x[10:20] + 1e-7, rng.normal(size=(20, 12)) + 1000])
+    plain = ((x[:, None] - y[None]) ** 2).sum(axis=2)
+    at = float(plain[3, 35])
+    found = partition.squares(x, y, at)
+    assert np.allclose(found, plain, rtol=1e-9, atol=1e-18) and found[0, 0] == 0
+    y[5] = np.nan
+    odd = partition.squares(x, y)
+    assert np.isnan(odd[:, 5]).all() and np.isfinite(np.delete(odd, 5, axis=1)).all()
