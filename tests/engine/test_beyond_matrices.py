@@ -264,3 +264,12 @@ def test_squares_by_one_product(monkeypatch):
     y[5] = np.nan
     odd = partition.squares(x, y)
     assert np.isnan(odd[:, 5]).all() and np.isfinite(np.delete(odd, 5, axis=1)).all()
+
+
+def test_scaling_of_more_pairs_than_a_matrix(spark):
+    """Distances of more rows than a matrix on the driver may have are scaled by passes: one column comes back."""
+    x = np.random.default_rng(2).normal(size=(distance.MOST_ROWS + 100, 1))
+    pairs = distance.euclidean_pairs(points(spark, x))
+    rows = {r.row_id: r.x for r in embed.mds_of_pairs(pairs, iterated=True)[0].collect()}
+    got = np.array([rows[i] for i in range(len(x))])
+    assert np.abs(np.abs(got) - np.abs(x[:, 0] - x.mean())).max() < 1e-6
