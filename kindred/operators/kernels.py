@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 
 LINKAGES = ("complete", "single", "average", "ward.D", "ward.D2", "mcquitty", "median", "centroid")
@@ -70,6 +72,42 @@ def agglomerate(d: np.ndarray, linkage: str, weights: np.ndarray | None = None)
     return merge, height, counts
 
 
+def agglomerate_line(x: np.ndarray, weights: np.ndarray, linkage: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """agglomerate() of one column by complete or average linkage, without distances: clusters are intervals and only
+    neighbours merge. Linear in memory; a row of x counts for ``weights`` equal rows."""
+    n = len(x)
+    order = np.lexsort((np.arange(n), x)).tolist()
+    low, high = x[order].tolist(), x[order].tolist()
+    w = weights[order].astype(float).tolist()
+    total, leaf, name, stamp = [v * m for v, m in zip(low, w, strict=True)], list(order), [-i - 1 for i in order], [0] * n
+    left, right = list(range(-1, n - 1)), [*range(1, n), -1]
+
+    def entry(a: int, b: int) -> tuple:
+        h = high[b] - low[a] if linkage == "complete" else total[b] / w[b] - total[a] / w[a]
+        return (max(h, 0.0), min(leaf[a], leaf[b]), max(leaf[a], leaf[b]), a, b, stamp[a], stamp[b])
+
+    heap = [entry(i, i + 1) for i in range(n - 1)]
+    heapq.heapify(heap)
+    merge, height, size = np.zeros((max(n - 1, 0), 2), int), np.zeros(max(n - 1, 0)), np.zeros(max(n - 1, 0), int)
+    step = 0
+    while heap:
+        h, _, _, a, b, one, two = heapq.heappop(heap)
+        if stamp[a] != one or stamp[b] != two:
+            continue
+        pair = (name[a], name[b])
+        merge[step] = sorted(pair) if (pair[0] < 0) == (pair[1] < 0) else sorted(pair, key=lambda v: v > 0)
+        high[a], total[a], w[a], leaf[a] = high[b], total[a] + total[b], w[a] + w[b], min(leaf[a], leaf[b])
+        height[step], size[step], name[a] = max(h, height[step - 1] if step else 0.0), round(w[a]), step + 1
+        stamp[a], stamp[b], right[a] = stamp[a] + 1, -1, right[b]
+        if right[a] >= 0:
+            left[right[a]] = a
+            heapq.heappush(heap, entry(a, right[a]))
+        if left[a] >= 0:
+            heapq.heappush(heap, entry(left[a], a))
+        step += 1
+    return merge, height, size
+
+
 def cut(merge: np.ndarray, n: int, k: int) -> np.ndarray:
     """k clusters, numbered by first appearance in row order. Steps are taken as listed."""
     root, of = list(range(n)), [0] * len(merge)

@@ -273,3 +273,16 @@ def test_scaling_of_more_pairs_than_a_matrix(spark):
     rows = {r.row_id: r.x for r in embed.mds_of_pairs(pairs, iterated=True)[0].collect()}
     got = np.array([rows[i] for i in range(len(x))])
     assert np.abs(np.abs(got) - np.abs(x[:, 0] - x.mean())).max() < 1e-6
+
+
+@pytest.mark.parametrize("linkage", ["complete", "average"])
+def test_one_column_beyond_a_matrix(spark, linkage):
+    """Trees of one column from its values in order are those of a matrix, equal values included."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(size=80), np.repeat(rng.normal(size=5), 4)])
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "row_id long, a double")
+    few, many = (api.cluster(df, "hclust", 6, features=["a"], linkage=linkage, max_exact_rows=n) for n in (5000, 50))
+    assert {tuple(r) for r in few.clusters.collect()} == {tuple(r) for r in many.clusters.collect()}
+    positive = few.extras["tree"]["height"][few.extras["tree"]["height"] > 1e-7]
+    assert np.allclose(positive, many.extras["tree"]["height"], atol=1e-6) and np.allclose(few.centers, many.centers)
+    assert many.extras["agglomerative_coefficient"] == pytest.approx(few.extras["agglomerative_coefficient"], abs=1e-6)
