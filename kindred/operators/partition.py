@@ -15,6 +15,14 @@ from pyspark.sql import functions as F
 
 MOST_PIVOTS, SAMPLE, ROUNDS = 256, 4096, 5
 WIDE = 8
+LEAST_TASK_ROWS, MOST_TASK_ROWS = 8192, 250_000
+
+
+def spread(df: DataFrame, n: int) -> DataFrame:
+    """``df``, of about n rows, dealt by a hash of row_id to all cores where it has the rows for them: a table of one file is one task."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    tasks = max(min(cores, -(-n // LEAST_TASK_ROWS)), -(-n // MOST_TASK_ROWS))
+    return df.repartition(tasks, "row_id") if tasks > 1 else df
 
 
 def vectors_of(column: pa.ChunkedArray | pa.Array, p: int | None = None) -> np.ndarray:
