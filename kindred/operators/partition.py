@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 MOST_PIVOTS, SAMPLE, ROUNDS = 256, 4096, 5
 WIDE = 8
+KEPT, MOST_BLOCK, LEAST_BLOCKS = 0.5, 32_768, 12
 LEAST_TASK_ROWS, MOST_TASK_ROWS = 8192, 250_000
 
 
@@ -63,6 +64,51 @@ def squares(x: np.ndarray, y: np.ndarray, at: float = 0.0) -> np.ndarray:
     return d
 
 
+def _plain_counts(x: np.ndarray, y: np.ndarray, eps: float, weight: np.ndarray | None) -> np.ndarray:
+    at, out = max(1, min(256, (1 << 20) // max(1, len(y)))), np.zeros(len(x), np.int64)
+    for lo in range(0, len(x), at):
+        close = distances_to(x[lo : lo + at], y) <= eps
+        out[lo : lo + at] = close.sum(axis=1) if weight is None else close @ weight
+    return out
+
+
+def counts_within(x: np.ndarray, y: np.ndarray, eps: float, weight: np.ndarray | None = None) -> np.ndarray:
+    """Of each row of x, the rows of y within eps (or their weights). Of WIDE features and more by one product in single
+    precision; pairs that its rounding could move across eps are summed up feature by feature."""
+    p = x.shape[1] if len(x) else 0
+    out = np.zeros(len(x), np.int64)
+    if not len(x) or not len(y):
+        return out
+    if p < WIDE or not (np.isfinite(x).all() and np.isfinite(y).all()):
+        return _plain_counts(x, y, eps, weight)
+    center = y.mean(axis=0)
+    a, b = x - center, y - center
+    own, far = (a * a).sum(axis=1), (b * b).sum(axis=1)
+    # of the roundings of p + 2 products and sums, of the parts, and of the distance summed up below
+    slack = 4 * (p + 4) * 2.0**-24 * (own.max() + far.max() + eps * eps)
+    if not 1e-30 < slack < 1e30:
+        return _plain_counts(x, y, eps, weight)
+    # own + far - 2 a b as one product
+    left = np.concatenate([a, own[:, None], np.ones((len(a), 1))], axis=1).astype(np.float32)
+    right = np.concatenate([-2 * b, np.ones((len(b), 1)), far[:, None]], axis=1).astype(np.float32).T
+    low, high = np.float32(eps * eps - slack), np.float32(eps * eps + slack)
+    for at in range(0, len(y), 2048):
+        piece, w = np.ascontiguousarray(right[:, at : at + 2048]), None if weight is None else weight[at : at + 2048]
+        for lo in range(0, len(x), 256):
+            d = left[lo : lo + 256] @ piece
+            close = d <= high
+            cell = np.flatnonzero(close)
+            open_ = cell[d.ravel()[cell] > low]
+            i, j = np.divmod(open_, d.shape[1])
+            exact = np.zeros(len(i))
+            for f in range(p):
+                exact += (x[lo + i, f] - y[at + j, f]) ** 2
+            far_off = open_[np.sqrt(exact) > eps]
+            out[lo : lo + 256] += np.bincount(cell // d.shape[1], None if w is None else w[cell % d.shape[1]], len(d)).astype(np.int64)
+            out[lo : lo + 256] -= np.bincount(far_off // d.shape[1], None if w is None else w[far_off % d.shape[1]], len(d)).astype(np.int64)
+    return out
+
+
 def pivots(x: DataFrame, blocks: int, seed: int = 0) -> np.ndarray:
     """At most ``blocks`` and MOST_PIVOTS points among which the rows of (row_id, x) spread about evenly."""
     count = min(MOST_PIVOTS, max(1, blocks))
@@ -97,6 +143,20 @@ def _schema(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
 
+def near_cells(d: np.ndarray, radius: np.ndarray, eps: float) -> np.ndarray:
+    """Which cells may hold a row within eps of the rows, by their distances d to the pivots."""
+    # of rounding, not of the metric
+    slack = eps * (1 + 1e-9) + 1e-9 * d.max()
+    return (radius >= 0) & (d <= radius + slack) & (d <= d.min(axis=1)[:, None] + 2 * slack)
+
+
+def cells_kept(x: DataFrame, points: np.ndarray, radius: np.ndarray, eps: float) -> float:
+    """The share of the cells that a row of (row_id, x) is sent to, from a sample. It decides on blocks, not on results."""
+    part = x.select("x", F.xxhash64("row_id", F.lit(1)).alias("h"), "row_id").orderBy("h", "row_id").limit(SAMPLE // 4)
+    m = np.array([r.x for r in part.select("x").collect()], float)
+    return float(near_cells(distances_to(m, points), radius, eps).mean() * len(points) / max(1, (radius >= 0).sum())) if len(m) else 0.0
+
+
 def replicated(x: DataFrame, points: np.ndarray, radius: np.ndarray, eps: float) -> DataFrame:
     """``x`` with a row for each cell that may hold a row within eps of it; ``radius`` by cell, below 0 where it is empty."""
     names = x.columns
@@ -105,9 +165,7 @@ def replicated(x: DataFrame, points: np.ndarray, radius: np.ndarray, eps: float)
         for batch in batches:
             if batch.num_rows and len(points):
                 d = distances_to(vectors_of(batch.column(names.index("x"))), points)
-                # of rounding, not of the metric
-                slack = eps * (1 + 1e-9) + 1e-9 * d.max()
-                row, cell = np.nonzero((radius >= 0) & (d <= radius + slack) & (d <= d.min(axis=1)[:, None] + 2 * slack))
+                row, cell = np.nonzero(near_cells(d, radius, eps))
                 yield pa.RecordBatch.from_arrays([*(c.take(pa.array(row)) for c in batch.columns), pa.array(cell, pa.int32())], [*names, "cell"])
 
     return x.mapInArrow(run, _schema(x) + ", cell int")
@@ -115,12 +173,18 @@ def replicated(x: DataFrame, points: np.ndarray, radius: np.ndarray, eps: float)
 
 def eps_blocks(left: DataFrame, right: DataFrame, eps: float, run, schema: str, block_rows: int = 2048) -> DataFrame:
     """What ``run`` (rows, others: Arrow tables) gives back for blocks of left rows and of the right rows that may lie
-    within eps of them; both have row_id and x. A task gets two blocks of about ``block_rows`` rows at most."""
-    points = pivots(left, -(-left.count() // block_rows))
-    a = celled(left, points).drop("near")
+    within eps of them; both have row_id and x. A task gets two blocks of about ``block_rows`` rows at most, or
+    of MOST_BLOCK where the pivots leave most cells to most rows (what is sent is the square of the rows over a block's)."""
+    n = left.count()
+    left, right = spread(left, n), spread(right, n if left is right else right.count())
+    points = pivots(left, -(-n // block_rows))
     radius = np.full(len(points), -1.0)
     for r in celled(left.select("row_id", "x"), points).groupBy("cell").agg(F.max("near").alias("r")).collect():  # a row a pivot
         radius[r.cell] = r.r
+    if len(points) > 1 and points.shape[1] >= WIDE and cells_kept(right, points, radius, float(eps)) > KEPT:
+        # pivots tell too little apart in so many dimensions: one cell, whose larger blocks are sent to fewer others
+        points, radius, block_rows = points.mean(axis=0)[None], np.array([np.inf]), min(MOST_BLOCK, max(block_rows, -(-n // LEAST_BLOCKS)))
+    a = celled(left, points).drop("near")
     b = replicated(right, points, radius, float(eps))
     parts = [df.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias(n)) for df, n in ((a, "na"), (b, "nb"))]
     cut = F.broadcast(parts[0].join(F.broadcast(parts[1]), "cell"))  # a row a pivot
@@ -137,8 +201,9 @@ def eps_pairs(left: DataFrame, right: DataFrame, eps: float) -> DataFrame:
 
     def run(rows: pa.Table, others: pa.Table) -> pa.Table:
         x, y, out = vectors_of(rows["x"]), vectors_of(others["x"]), []
-        for lo in range(0, len(x), 256):
-            d = distances_to(x[lo : lo + 256], y)
+        at = max(1, min(256, (1 << 20) // max(1, len(y))))
+        for lo in range(0, len(x), at):
+            d = distances_to(x[lo : lo + at], y)
             i, j = np.nonzero(d <= eps)
             out.append((i + lo, j, d[i, j]))
         i, j, d = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, int),) * 3
@@ -152,9 +217,7 @@ def eps_counts(left: DataFrame, right: DataFrame, eps: float) -> DataFrame:
     kind = left.schema["row_id"].dataType.simpleString()
 
     def run(rows: pa.Table, others: pa.Table) -> pa.Table:
-        x, y = vectors_of(rows["x"]), vectors_of(others["x"])
-        n = [(distances_to(x[lo : lo + 256], y) <= eps).sum(axis=1) for lo in range(0, len(x), 256)]
-        return pa.table({"row_id": rows["row_id"], "n": pa.array(np.concatenate(n) if n else [], pa.int64())})
+        return pa.table({"row_id": rows["row_id"], "n": pa.array(counts_within(vectors_of(rows["x"]), vectors_of(others["x"]), eps), pa.int64())})
 
     found = eps_blocks(left.select("row_id", "x"), right.select("row_id", "x"), eps, run, f"row_id {kind}, n long").groupBy("row_id").agg(F.sum("n").alias("n"))
     return left.select("row_id").join(found, "row_id", "left").select("row_id", F.coalesce("n", F.lit(0)).alias("n"))

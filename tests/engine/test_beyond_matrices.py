@@ -286,3 +286,26 @@ def test_one_column_beyond_a_matrix(spark, linkage):
     positive = few.extras["tree"]["height"][few.extras["tree"]["height"] > 1e-7]
     assert np.allclose(positive, many.extras["tree"]["height"], atol=1e-6) and np.allclose(few.centers, many.centers)
     assert many.extras["agglomerative_coefficient"] == pytest.approx(few.extras["agglomerative_coefficient"], abs=1e-6)
+
+
+def test_wide_rows_are_sent_by_larger_blocks(spark, monkeypatch):
+    """Where pivots leave all cells to all rows, rows are sent once for each of few large blocks, and counts are those of all pairs."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(2000, 64))
+    x = np.concatenate([x / np.linalg.norm(x, axis=1)[:, None], np.eye(64)[:2], -np.eye(64)[:2]]).astype(np.float32).astype(float)
+    df, d, eps = points(spark, x), partition.distances_to(x, x), float(np.float32(1.3))
+    sides = lambda a, b: __import__("pyarrow").table({"n": [a.num_rows + b.num_rows]})
+    assert sum(r.n for r in partition.eps_blocks(df, df, eps, sides, "n long", 50).collect()) <= 2 * len(x) * 13
+    assert {r.row_id: r.n for r in partition.eps_counts(df, df, eps).collect()} == dict(enumerate((d <= eps).sum(axis=1).tolist()))
+
+
+@pytest.mark.parametrize("p", [2, 9, 64])
+def test_counts_within_by_one_product(p):
+    """Pairs exactly at the radius, copies, far offsets and weights."""
+    rng = np.random.default_rng(p)
+    for x in (rng.integers(0, 3, size=(300, p)).astype(float), rng.normal(size=(300, p)) + 1e6, rng.normal(size=(300, p)) * 1e-3):
+        d = partition.distances_to(x, x)
+        for eps in (float(d[0, 1]), float(d[5, 250]), float(np.median(d))):
+            assert (partition.counts_within(x, x, eps) == (d <= eps).sum(axis=1)).all()
+            w = rng.integers(1, 5, len(x))
+            assert (partition.counts_within(x, x, eps, w) == (d <= eps) @ w).all()
