@@ -212,12 +212,13 @@ def eps_pairs(left: DataFrame, right: DataFrame, eps: float) -> DataFrame:
     return eps_blocks(left.select("row_id", "x"), right.select("row_id", "x"), eps, run, f"i {kinds[0]}, j {kinds[1]}, d double")
 
 
-def eps_counts(left: DataFrame, right: DataFrame, eps: float) -> DataFrame:
-    """(row_id, n) of each left row: the right rows within eps of it. No pairs are written."""
+def eps_counts(left: DataFrame, right: DataFrame, eps: float, weight: str | None = None) -> DataFrame:
+    """(row_id, n) of each left row: the right rows within eps of it, or the sum of their ``weight``. No pairs are written."""
     kind = left.schema["row_id"].dataType.simpleString()
 
     def run(rows: pa.Table, others: pa.Table) -> pa.Table:
-        return pa.table({"row_id": rows["row_id"], "n": pa.array(counts_within(vectors_of(rows["x"]), vectors_of(others["x"]), eps), pa.int64())})
+        w = None if weight is None else others[weight].to_numpy()
+        return pa.table({"row_id": rows["row_id"], "n": pa.array(counts_within(vectors_of(rows["x"]), vectors_of(others["x"]), eps, w), pa.int64())})
 
-    found = eps_blocks(left.select("row_id", "x"), right.select("row_id", "x"), eps, run, f"row_id {kind}, n long").groupBy("row_id").agg(F.sum("n").alias("n"))
+    found = eps_blocks(left.select("row_id", "x"), right.select("row_id", "x", *([weight] if weight else [])), eps, run, f"row_id {kind}, n long").groupBy("row_id").agg(F.sum("n").alias("n"))
     return left.select("row_id").join(found, "row_id", "left").select("row_id", F.coalesce("n", F.lit(0)).alias("n"))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kindred.operators import api, consensus, distance, embed, kernels, medoids, partition, spanning
+from kindred.operators import api, consensus, distance, embed, kernels, medoids, methods, partition, spanning
 from kindred.operators.methods import cut_at
 from kindred.sources.shelf import Shelf
 
@@ -309,3 +309,64 @@ def test_counts_within_by_one_product(p):
             assert (partition.counts_within(x, x, eps) == (d <= eps).sum(axis=1)).all()
             w = rng.integers(1, 5, len(x))
             assert (partition.counts_within(x, x, eps, w) == (d <= eps) @ w).all()
+
+
+@pytest.fixture
+def repeated(spark):
+    """Nine places, each of 40 rows and more, one of them alone."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate([np.repeat(np.array([[i, j] for i in (0.0, 1.0, 5.0) for j in (0.0, 1.0, 5.0)]), 40, axis=0), [[20.0, 20.0]]])
+    x = x[rng.permutation(len(x))]
+    return x, spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(x)], "id int, a double, b double")
+
+
+def test_copies_go_through_density_once(repeated, monkeypatch):
+    x, df = repeated
+    real, seen = methods.eps_blocks, []
+    monkeypatch.setattr(methods, "eps_blocks", lambda a, b, *more: seen.append((a.count(), b.count())) or real(a, b, *more))
+    fit = api.cluster(df, "dbscan", id_col="id", features=["a", "b"], eps=1.0, minPts=41)
+    assert max(max(v) for v in seen) <= 10  # of 361 rows
+    d = dense(x)
+    near = d <= 1.0
+    core = near.sum(axis=1) >= 41
+    found = {r.row_id: r.cluster for r in fit.clusters.collect()}
+    assert {r.row_id for r in fit.extras["core"].collect()} == set(np.flatnonzero(core).tolist()) and sorted(found) == list(range(len(x)))
+    groups = {}
+    for i in range(len(x)):
+        assert (found[i] == 0) == (not (near[i] & core).any())
+        groups.setdefault(found[i], []).append(i)
+    assert all(found[i] == found[j] for i in np.flatnonzero(core) for j in np.flatnonzero(core & near[i]))
+    own = [min(v) for g, v in sorted(groups.items()) if g]
+    assert own == sorted(own) and len(own) == 3
+
+
+def test_copies_are_one_leaf_of_the_spanning_tree(repeated, monkeypatch):
+    x, df = repeated
+    real, seen = methods.spanning_tree, []
+    monkeypatch.setattr(methods, "spanning_tree", lambda a, *more: seen.append(a.count()) or real(a, *more))
+    for k in (5, 12):  # whole classes of equal edges between places go, and the last two of length 0
+        fit = api.cluster(df, "hclust", k, id_col="id", features=["a", "b"], linkage="single", spanning=True)
+        assert seen == [10]  # of 361 rows
+        seen.clear()
+        d = dense(x)
+        order = sorted((d[i, j], i, j) for i in range(len(x)) for j in range(i + 1, len(x)))
+        root, tree = list(range(len(x))), []
+
+        def top(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        for w, i, j in order:  # Kruskal
+            if top(i) != top(j):
+                root[max(top(i), top(j))] = min(top(i), top(j))
+                tree.append((i, j, w))
+        edges = [(r.i, r.j, r.d) for r in fit.extras["spanning_tree"].collect()]
+        assert [e[2] for e in sorted(edges, key=lambda e: e[2])] == [e[2] for e in tree] and sorted(e for e in edges if not e[2]) == sorted(e for e in tree if not e[2])
+        for labels, kept in ((fit.clusters, tree[: len(tree) - k + 1]), (cut_at(fit, 4.5), [e for e in tree if e[2] <= 4.5]), (cut_at(fit, -1.0), [])):
+            root = list(range(len(x)))
+            for i, j, _ in kept:
+                root[max(top(i), top(j))] = min(top(i), top(j))
+            tops = [top(i) for i in range(len(x))]
+            number = {r: c + 1 for c, r in enumerate(sorted(set(tops)))}
+            assert {r.row_id: r.cluster for r in labels.collect()} == {i: number[t] for i, t in enumerate(tops)}
