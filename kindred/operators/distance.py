@@ -3,16 +3,40 @@ Neighbourhoods within a radius are in ``partition`` and have none."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kindred.functions.expr import array_distance, missing
 from kindred.functions.preprocess import feature_types
+from kindred.operators.partition import distances_to
 
 MOST_ROWS = 5000
 PAIR_ROWS, MOST_TASKS, MOST_FLAT = 1024, 20_000, 32
 
 
+@dataclass(frozen=True)
+class Origin:
+    """What a table of distances is made of, where that is known (its attribute ``origin``): (row_id, x) and the distances of
+    two blocks of rows. Who reduces the table may then make it piece by piece within tasks, and none of it is written."""
+
+    rows: DataFrame
+    between: Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+def origin_of(pairs: DataFrame) -> Origin | None:
+    """The origin of a table of all pairs of two rows and more; None where values are missing or rows share an id, or of other tables."""
+    found = getattr(pairs, "origin", None)
+    if found is None:
+        return None
+    gap = F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    n, ids, gaps, widths = found.rows.agg(F.count("*"), F.countDistinct("row_id"), F.count(F.when(F.col("x").isNull() | gap, 1)), F.countDistinct(F.size("x"))).first()
+    return found if n > 1 and ids == n and not gaps and widths == 1 else None
+
+
 def check_rows(df: DataFrame, most: int, what: str) -> int:
     n = df.limit(most + 1).count()
     if n > most:
@@ -44,7 +68,9 @@ def euclidean_pairs(x: DataFrame, max_exact_rows: int | None = None) -> DataFram
     """(i, j, d) of a (row_id, x) table."""
     p = x.agg(F.max(F.size("x"))).first()[0] or 0
     d = sum(((F.get("a_x", F.lit(f)) - F.get("b_x", F.lit(f))) * (F.get("a_x", F.lit(f)) - F.get("b_x", F.lit(f))) for f in range(p)), F.lit(0.0)) if p <= MOST_FLAT else None
-    return row_pairs(x, max_exact_rows).select(F.col("a_row_id").alias("i"), F.col("b_row_id").alias("j"), (array_distance(F.col("a_x"), F.col("b_x")) if d is None else F.sqrt(d)).alias("d"))
+    pairs = row_pairs(x, max_exact_rows).select(F.col("a_row_id").alias("i"), F.col("b_row_id").alias("j"), (array_distance(F.col("a_x"), F.col("b_x")) if d is None else F.sqrt(d)).alias("d"))
+    pairs.origin = Origin(x.where("row_id IS NOT NULL").select("row_id", "x"), distances_to)
+    return pairs
 
 
 def mixed_distance(df: DataFrame, id_col: str, features: list[str], metric: str = "gower", ordinal: dict[str, list] | None = None, weights: dict[str, float] | None = None, max_exact_rows: int | None = None) -> DataFrame:
@@ -79,4 +105,17 @@ def mixed_distance(df: DataFrame, id_col: str, features: list[str], metric: str
         both = a.isNotNull() & b.isNotNull()
         s = (F.abs(a - b) / F.lit(float(ranges[f])) if ranges[f] else F.lit(0.0)) if f in scaled else F.when(a != b, 1.0).otherwise(0.0)
         top, bottom = top + F.when(both, F.lit(w) * s).otherwise(0.0), bottom + F.when(both, F.lit(w)).otherwise(0.0)
-    return row_pairs(base, max_exact_rows).select(F.col("a_row_id").alias("i"), F.col("b_row_id").alias("j"), F.when(bottom > 0, top / bottom).alias("d"))
+    pairs = row_pairs(base, max_exact_rows).select(F.col("a_row_id").alias("i"), F.col("b_row_id").alias("j"), F.when(bottom > 0, top / bottom).alias("d"))
+    shares = [float((weights or {}).get(f, 1.0)) for f in features]
+    if features and len(scaled) == len(features) and min(shares) > 0:
+        each = [(w, float(ranges[f] or 0.0)) for f, w in zip(features, shares, strict=True)]
+
+        def between(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            out = np.zeros((len(x), len(y)))
+            for f, (w, r) in enumerate(each):
+                if r:
+                    out += w * (np.abs(x[:, f, None] - y[None, :, f]) / r)
+            return out / sum(shares)
+
+        pairs.origin = Origin(vectors(base.where("row_id IS NOT NULL"), "row_id", features), between)
+    return pairs

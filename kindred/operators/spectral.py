@@ -15,9 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kindred.operators.distance import Origin, origin_of
+from kindred.operators.partition import vectors_of
 from kindred.sources.shelf import Shelf
 
 BLOCK, KEPT, MOST_VALUES = 8, 6, 1 << 27
+PIECE_ROWS = 4096
 TOLERANCE, ROUNDS = 1e-10, 300
 
 
@@ -70,19 +73,64 @@ def scaling_of_pairs(pairs: DataFrame, shelf: Shelf | None = None, k: int = 2) -
     """Ids and coordinates by classical scaling of a distance table (i, j, d); a pair that is not in it is at distance 0.
 
     The doubly centred table of squares is not made: a centred block times it is the table's squares times the
-    block, centred again. The table is written once, in both directions and by rows, and read once a round."""
-    spark = pairs.sparkSession
-    shelf = shelf or Shelf(spark, "scaling")
-    ids = sorted(r[0] for r in pairs.select("i").union(pairs.select("j")).distinct().limit(MOST_VALUES // (BLOCK * (KEPT + 1)) + 1).collect())
+    block, centred again. Where the table's origin is known, tasks make it again in each round, a few rows at a time
+    against all of them, and nothing is written; any other table is written once, each pair once, and read once a round."""
+    spark, origin = pairs.sparkSession, origin_of(pairs)
+    nodes = pairs.select("i").union(pairs.select("j")).distinct() if origin is None else origin.rows.select("row_id")
+    ids = sorted(r[0] for r in nodes.limit(MOST_VALUES // (BLOCK * (KEPT + 1)) + 1).collect())
     n = len(ids)
     if n * BLOCK * (KEPT + 1) > MOST_VALUES:
         raise ValueError("more rows than MOST_VALUES allows")
+    if not n:
+        return ids, np.zeros((0, k))
+    product = _of_table(pairs, ids, shelf or Shelf(spark, "scaling")) if origin is None else _of_rows(origin, n)
+    values, vectors = leading(product, n, min(k, n), center=True)
+    out = signed(vectors[:, :k]) * np.sqrt(np.maximum(values[:k], 0))
+    return ids, np.pad(out, ((0, 0), (0, max(0, k - out.shape[1]))))
+
+
+def _of_rows(origin: Origin, n: int) -> Callable[[np.ndarray], np.ndarray]:
+    """The product with the table of two rows each, which is made within tasks. All rows are sent to all tasks, as the blocks are."""
+    found, spark = origin.rows.orderBy("row_id").select("x").toArrow(), origin.rows.sparkSession
+    x = vectors_of(found["x"])
+    if x.size > MOST_VALUES:
+        raise ValueError("more values than MOST_VALUES allows")
+    every, between, cores = spark.sparkContext.broadcast(x), origin.between, spark.sparkContext.defaultParallelism
+    pieces = max(cores, -(-n // PIECE_ROWS))
+
+    def product(v: np.ndarray) -> np.ndarray:
+        q, w = v.shape[1], spark.sparkContext.broadcast(v - v.mean(axis=0))
+
+        def run(batches):
+            for batch in batches:
+                for piece in batch.column(0).to_pylist():
+                    begin, end = piece * n // pieces, (piece + 1) * n // pieces
+                    out = np.zeros((end - begin, q))
+                    for lo in range(begin, end, 64):
+                        rows = every.value[lo : min(end, lo + 64)]
+                        for at in range(0, n, 2048):
+                            d = between(rows, every.value[at : at + 2048])
+                            d *= d
+                            out[lo - begin : lo - begin + len(rows)] += d @ w.value[at : at + 2048]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(begin, end), pa.int32()), pa.FixedSizeListArray.from_arrays(pa.array(out.ravel()), q).cast(pa.list_(pa.float64()))], ["i", "v"])
+
+        z = np.zeros((n, q))
+        for batch in spark.range(0, pieces, 1, pieces).mapInArrow(run, "i int, v array<double>").toArrow().to_batches():
+            z[batch.column(0).to_numpy()] = batch.column(1).flatten().to_numpy().reshape(-1, q)
+        w.unpersist()
+        return -0.5 * (z - z.mean(axis=0))
+
+    return product
+
+
+def _of_table(pairs: DataFrame, ids: list, shelf: Shelf) -> Callable[[np.ndarray], np.ndarray]:
+    """The product with a table of any origin."""
+    spark, n = pairs.sparkSession, len(ids)
     kind = pairs.schema["i"].dataType.simpleString()
     places = shelf.put(spark.createDataFrame(list(zip(ids, range(n), strict=True)), f"id {kind}, place int"), "places")
     at = lambda c: places.select(F.col("id").alias(c), F.col("place").alias(f"{c}_place"))
     half = pairs.where("i <> j AND d IS NOT NULL").join(at("i"), "i").join(at("j"), "j").select("i_place", "j_place", F.pow(F.col("d").cast("double"), 2).alias("s"))
-    both = half.union(half.select("j_place", "i_place", "s")).toDF("i", "j", "s")
-    table = shelf.put(both.repartition("i"), "squares")
+    table = shelf.put(half.toDF("i", "j", "s"), "squares")
 
     def product(v: np.ndarray) -> np.ndarray:
         q, w = v.shape[1], spark.sparkContext.broadcast(v - v.mean(axis=0))
@@ -90,20 +138,17 @@ def scaling_of_pairs(pairs: DataFrame, shelf: Shelf | None = None, k: int = 2) -
         def run(batches):
             for batch in batches:
                 i, j, s = (batch.column(c).to_numpy() for c in range(3))
-                rows, of = np.unique(i, return_inverse=True)
+                rows, of = np.unique(np.concatenate([i, j]), return_inverse=True)
+                s, to = np.concatenate([s, s]), np.concatenate([j, i])
                 out = np.zeros((len(rows), q))
                 for c in range(q):
-                    out[:, c] = np.bincount(of, s * w.value[j, c], len(rows))
+                    out[:, c] = np.bincount(of, s * w.value[to, c], len(rows))
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(out.tolist(), pa.list_(pa.float64()))], ["i", "v"])
 
         z = _summed(table.mapInArrow(run, "i int, v array<double>"), n, q)
         return -0.5 * (z - z.mean(axis=0))
 
-    if not n:
-        return ids, np.zeros((0, k))
-    values, vectors = leading(product, n, min(k, n), center=True)
-    out = signed(vectors[:, :k]) * np.sqrt(np.maximum(values[:k], 0))
-    return ids, np.pad(out, ((0, 0), (0, max(0, k - out.shape[1]))))
+    return product
 
 
 def correspondence(df: DataFrame, features: list[str], levels: list[tuple[int, str]], counts: np.ndarray, n: int, wanted: int = 2) -> tuple[np.ndarray, np.ndarray]:
