@@ -125,14 +125,14 @@ def pivots(x: DataFrame, blocks: int, seed: int = 0) -> np.ndarray:
     return np.unique(points, axis=0)
 
 
-def celled(x: DataFrame, points: np.ndarray) -> DataFrame:
-    """``x`` with its cell and the distance to the cell's pivot (near)."""
+def celled(x: DataFrame, points: np.ndarray, between=distances_to) -> DataFrame:
+    """``x`` with its cell and the distance to the cell's pivot (near). ``between``: the metric."""
     names = x.columns
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                d = distances_to(vectors_of(batch.column(names.index("x"))), points)
+                d = between(vectors_of(batch.column(names.index("x"))), points)
                 cell = d.argmin(axis=1)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32()), pa.array(d[np.arange(len(d)), cell])], [*names, "cell", "near"])
 

@@ -120,11 +120,11 @@ def forest(edges: DataFrame, shelf: Shelf, name: str, piece: int = PIECE) -> Dat
     return shelf.put(out, f"{name}-forest")
 
 
-def _prim(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _prim(x: np.ndarray, between=distances_to) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(from, to, d) of a spanning tree of the rows of x."""
     n = len(x)
     left = np.arange(1, n)
-    near, least = np.zeros(n - 1, int), distances_to(x[:1], x[1:])[0]
+    near, least = np.zeros(n - 1, int), between(x[:1], x[1:])[0]
     a, b, d = np.zeros(n - 1, int), np.zeros(n - 1, int), np.zeros(n - 1)
     for step in range(n - 1):
         at = int(least.argmin())
@@ -133,13 +133,13 @@ def _prim(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         left[at], near[at], least[at] = left[-1], near[-1], least[-1]
         left, near, least = left[:-1], near[:-1], least[:-1]
         if len(left):
-            far = distances_to(x[new : new + 1], x[left])[0]
+            far = between(x[new : new + 1], x[left])[0]
             closer = far < least
             near[closer], least[closer] = new, far[closer]
     return a, b, d
 
 
-def _block_trees(rows: DataFrame, cells: list[tuple[int, int]], parts: dict[int, int]) -> DataFrame:
+def _block_trees(rows: DataFrame, cells: list[tuple[int, int]], parts: dict[int, int], between=distances_to) -> DataFrame:
     """Trees of the pairs of blocks of the given pairs of cells; of (row_id, x, cell, part)."""
     kind = rows.schema["row_id"].dataType.simpleString()
     spark = rows.sparkSession
@@ -151,13 +151,13 @@ def _block_trees(rows: DataFrame, cells: list[tuple[int, int]], parts: dict[int,
     q = F.when(own, F.greatest("part", "with")).when(F.col("first"), F.col("with")).otherwise(F.col("part"))
 
     def run(table: pa.Table) -> pa.Table:
-        a, b, d = _prim(vectors_of(table["x"])) if table.num_rows > 1 else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        a, b, d = _prim(vectors_of(table["x"]), between) if table.num_rows > 1 else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
         return pa.table({"i": table["row_id"].take(pa.array(a)), "j": table["row_id"].take(pa.array(b)), "d": pa.array(d, pa.float64())})
 
     return dealt.select("one", "two", p.alias("p"), q.alias("q"), "row_id", "x").groupBy("one", "two", "p", "q").applyInArrow(run, f"i {kind}, j {kind}, d double")
 
 
-def _bounds(rows: DataFrame, points: np.ndarray) -> np.ndarray:
+def _bounds(rows: DataFrame, points: np.ndarray, between=distances_to) -> np.ndarray:
     """Of each two cells, a number that no distance between their rows is below."""
     names, k = rows.columns, len(points)
 
@@ -165,7 +165,7 @@ def _bounds(rows: DataFrame, points: np.ndarray) -> np.ndarray:
         margin, radius = np.full((k, k), np.inf), np.full(k, -np.inf)
         for batch in batches:
             if batch.num_rows:
-                d = distances_to(vectors_of(batch.column(names.index("x"))), points)
+                d = between(vectors_of(batch.column(names.index("x"))), points)
                 cell = batch.column(names.index("cell")).to_numpy()
                 own = d[np.arange(len(d)), cell]
                 np.maximum.at(radius, cell, own)
@@ -176,27 +176,28 @@ def _bounds(rows: DataFrame, points: np.ndarray) -> np.ndarray:
     margin, radius = np.full((k, k), np.inf), np.full(k, -np.inf)
     for r in rows.mapInArrow(run, "a int, b int, m double, r double").groupBy("a", "b").agg(F.min("m").alias("m"), F.max("r").alias("r")).collect():  # a row a pair of pivots
         margin[r.a, r.b], radius[r.a] = r.m, r.r
-    low = np.maximum((margin + margin.T) / 2, distances_to(points, points) - radius[:, None] - radius[None, :])
+    low = np.maximum((margin + margin.T) / 2, between(points, points) - radius[:, None] - radius[None, :])
     # of rounding, not of the metric
     return np.maximum(0, low * (1 - 1e-9) - 1e-12)
 
 
-def spanning_tree(x: DataFrame, shelf: Shelf | None = None, block_rows: int = BLOCK_ROWS, piece: int = PIECE) -> DataFrame:
-    """(i, j, d), i < j: the minimum spanning tree of (row_id, x) by Euclidean distances. One row or none has no edges."""
+def spanning_tree(x: DataFrame, shelf: Shelf | None = None, block_rows: int = BLOCK_ROWS, piece: int = PIECE, between=distances_to) -> DataFrame:
+    """(i, j, d), i < j: the minimum spanning tree of (row_id, x) by Euclidean distances, or those of another metric
+    (``between`` two blocks of rows). One row or none has no edges."""
     shelf = shelf or Shelf(x.sparkSession, "tree")
     n = x.count()
     points = pivots(x, -(-n // block_rows))
-    cells = shelf.put(celled(x.select("row_id", "x"), points), "cells")
+    cells = shelf.put(celled(x.select("row_id", "x"), points, between), "cells")
     parts = {r.cell: -(-r["count"] // block_rows) for r in cells.groupBy("cell").count().collect()}  # a row a pivot
     cut = F.create_map(*(F.lit(v) for item in parts.items() for v in item)) if parts else F.create_map()
     rows = cells.withColumn("part", F.pmod(F.xxhash64("row_id"), cut[F.col("cell")]).cast("int") if parts else F.lit(0))
     if n < 2:
         return forest(x.select(F.col("row_id").alias("i"), F.col("row_id").alias("j"), F.lit(0.0).alias("d")), shelf, "none")
-    bound = _bounds(cells, points)
+    bound = _bounds(cells, points, between)
     known = sorted(parts)
     pairs = {(a, b): bound[a, b] for i, a in enumerate(known) for b in known[i + 1 :]}
     # cells alone, then with what is as near as the nearest cell of any
-    edges = shelf.put(_block_trees(rows, [(a, a) for a in known], parts), "round-0")
+    edges = shelf.put(_block_trees(rows, [(a, a) for a in known], parts, between), "round-0")
     reach, step = max((min(v for k, v in pairs.items() if a in k) for a in known), default=0.0) if pairs else 0.0, 0
     tree = forest(edges, shelf, "forest-0", piece)
     while pairs:
@@ -205,7 +206,7 @@ def spanning_tree(x: DataFrame, shelf: Shelf | None = None, block_rows: int = BL
         for k in now:
             del pairs[k]
         if now:
-            more = shelf.put(_block_trees(rows, now, parts), f"round-{step}")
+            more = shelf.put(_block_trees(rows, now, parts, between), f"round-{step}")
             tree = forest(tree.unionByName(more), shelf, f"forest-{step}", piece)
         count, longest = tree.agg(F.count("*"), F.max("d")).first()
         if count == n - 1:
